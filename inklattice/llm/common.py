@@ -163,6 +163,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), bounds
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts have about ``most`` bytes, one row at least."""
+    _, bounds = text_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        stop = min(stop, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z folded) and, for each text, where its words begin.
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.llm import bpe, decontam, line_dedup, near_dedup, toxicity
+from inklattice.llm import bpe, decontam, line_dedup, lm_score, near_dedup, toxicity
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -33,6 +37,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_score": op2_lm_score,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
