@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.llm import bpe, decontam, license_scan, line_dedup, lm_score, near_dedup, toxicity
+from inklattice.llm import ann, bpe, decontam, license_scan, line_dedup, lm_score, near_dedup, toxicity, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -42,7 +50,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
