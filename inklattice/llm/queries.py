@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.llm import ann, bpe, decontam, license_scan, line_dedup, lm_score, near_dedup, toxicity, url_filter
+from inklattice.llm import ann, bpe, decontam, html_extract, license_scan, line_dedup, lm_score, near_dedup, toxicity, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_license_scan": op6_license_scan,
+    "op7_html_extract": op7_html_extract,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
