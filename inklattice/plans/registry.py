@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.plans import text_queries
+from inklattice.plans import store_queries, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**text_queries.QUERIES}
+    return {**text_queries.QUERIES, **store_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**text_queries.ORACLE_SQL}
+    return {**text_queries.ORACLE_SQL, **store_queries.ORACLE_SQL}
