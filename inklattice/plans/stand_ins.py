@@ -81,7 +81,7 @@ BOXES_SQL = "boxes AS (SELECT doc, seq AS box, x - 15 AS b_x, y - 10 AS b_y, 30.
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as positions along an axis: grp, seq, at, size."""
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 50).alias("grp"), F.col("event_id").alias("seq"), F.round(F.pmod(F.col("event_id") * 37, F.lit(1000)) + F.col("value") % 1, 1).alias("at"), F.round(F.abs(F.col("value")), 2).alias("size"), "event_type")
+    return e.select((F.col("user_id") % 50).alias("grp"), F.col("event_id").alias("seq"), F.round(F.pmod(F.col("event_id") * 37, F.lit(1000)) + F.col("value") % 1, 1).alias("pos"), F.round(F.abs(F.col("value")), 2).alias("size"), "event_type")
 
 
-READINGS_SQL = "readings AS (SELECT user_id % 50 AS grp, event_id AS seq, round((event_id * 37) % 1000 + value % 1, 1) AS at, round(abs(value), 2) AS size, event_type FROM events)"
+READINGS_SQL = "readings AS (SELECT user_id % 50 AS grp, event_id AS seq, round((event_id * 37) % 1000 + value % 1, 1) AS pos, round(abs(value), 2) AS size, event_type FROM events)"
