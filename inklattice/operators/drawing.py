@@ -19,10 +19,14 @@ Box = tuple[float, float, float, float]
 
 # Header words of tables and their roles, in order.
 TABLE_ROLES = {
-    "equipment": [("index", r"序号|编号"), ("name", r"名称|符号"), ("model", r"型号|规格"), ("desc", r"说明|描述"), ("qty", r"数量"), ("position", r"位置|备注")],
-    "usage": [("cell_label", r"屏号"), ("equipment", r"名称"), ("qty", r"数量"), ("remark", r"备注")],
-    "schedule": [("cable_id", r"电缆编号|编号|序号"), ("circuit_desc", r"用途|回路名称"), ("strip_name", r"起点"), ("terminal_no_remote", r"终点"), ("conductor_no", r"芯数"), ("loop_id", r"回路号"), ("circuit_desc", r"备注"), ("cabinet_name", r"屏柜|柜名")],
-}
+    "equipment": [("index", r"序号|序號|编[号號]|顺序"), ("name", r"名\s*称|名[称稱]|符号|符號|代号"), ("model", r"型\s*号|型[号號]|规\s*格|规[格範]"), ("desc", r"说\s*明|說明|描\s*述|用\s*途|备\s*注|備[注]"), ("qty", r"数\s*量|數量|件数"), ("position", r"安\s*装|位\s*置|柜\s*体|安装位置")],
+    "usage": [("cell_label", r"屏\s*号"), ("equipment", r"名\s*称"), ("qty", r"数\s*量"), ("remark", r"备\s*注")],
+    "material": [("name", r"名\s*称|名[称稱]"), ("unit", r"单位|單[位]"), ("qty", r"数量|數[量]"), ("remark", r"备\s*注|備[注]|说明|說明"), ("index", r"序号|序號|顺序|順[序]"), ("legend", r"图例")],
+    "schedule": [
+        ("cable_id", r"电缆编号|电缆编[号碼]|编[号號]|序号|序號|电缆(?:名称|ID|编号)"), ("circuit_desc", r"电缆型号|型号|规格|电[缆线]型号"), ("strip_name", r"起点(?:柜|端子)?|起始|始端|来源|來[源渊]|本端"), ("terminal_no_remote", r"终点(?:柜|端子)?|終点|末端|目标|目的|对端"),
+        ("conductor_no", r"芯数|线芯|线[芯心]数|芯线数|缆芯"), ("loop_id", r"回路(?:编号|编[号號])?|回[路線]编号"), ("circuit_desc", r"备注|注|说明|說[明文]"), ("cabinet_name", r"柜体|机柜|安装位置|所在柜|所属柜"),
+    ],
+}
 # Name prefixes and what they say of a group, with weights.
 NAME_EVIDENCE = [
     ([f"{k}d" for k in range(1, 21)], "TERMINAL_COLUMN", 0.40), (["dtz", "ddz", "dsz", "dssd"], "METER_GROUP", 0.30), (["dk", "zdk", "zdf", "gz", "xd"], "RELAY_GROUP", 0.30),
@@ -420,6 +424,25 @@ def schedule_records(words: list[tuple[float, float, str]]) -> list[dict]:
     return [{"cable_id": i} for i in sorted({i for _, _, t in words for i in re.findall(rf"\b({full})\b", t)})]
 
 
+def usage_rows(words: list[tuple[float, float, str]]) -> list[dict]:
+    """Rows of a usage table anchored at labels like 12F or 3C: texts within 6 units of a label's row, by column order."""
+    labels = sorted((w for w in words if re.fullmatch(r"\d+[CF]", w[2])), key=lambda w: -w[1])
+    left, out = {id(w): w for w in words}, []
+    for x, y, label in labels:
+        row = sorted((w for w in left.values() if abs(w[1] - y) <= 6 and w[0] > x and not re.fullmatch(r"\d+[CF]", w[2])), key=lambda w: w[0])
+        for w in row:
+            left.pop(id(w), None)
+        names = [w[2] for w in row if not w[2].isdigit()]
+        out.append({"cell_label": label, "equipment": names[0] if names else "", "qty": sum(int(w[2]) for w in row if w[2].isdigit()), "remark": " / ".join(names[1:])})
+    return out
+
+
+def cross_reference(cells: list[dict], usage: list[dict]) -> list[dict]:
+    """Cells with the equipment, quantity and remark of their label; of equal labels the last counts."""
+    by = {u["cell_label"]: u for u in usage}
+    return [{**c, **{k: by.get(c["label"], {}).get(k, "" if k != "qty" else None) for k in ("equipment", "qty", "remark")}} for c in cells]
+
+
 def position_cells(rows: list[dict]) -> list[dict]:
     """Labelled cells of a position plan with row, group and column numbers.
 

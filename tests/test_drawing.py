@@ -96,6 +96,14 @@ def test_schedule():
     assert [r["cable_id"] for r in D.schedule_records([(0.0, 0.0, "ZL-2 and ZL-1"), (0.0, 9.0, "ZL-2")])] == ["ZL-1", "ZL-2"]
 
 
+def test_usage():
+    words = [(0.0, 50.0, "1F"), (20.0, 52.0, "励磁柜"), (40.0, 49.0, "1"), (60.0, 50.0, "备"), (0.0, 20.0, "2C"), (20.0, 20.0, "调节柜"), (40.0, 20.0, "1")]
+    usage = D.usage_rows(words)
+    assert [(u["cell_label"], u["equipment"], u["qty"], u["remark"]) for u in usage] == [("1F", "励磁柜", 1, "备"), ("2C", "调节柜", 1, "")]
+    assert [c["equipment"] for c in D.cross_reference([{"label": "1F"}, {"label": "9F"}], usage)] == ["励磁柜", ""]
+    assert D.cross_reference([{"label": "1F"}], [])[0]["equipment"] == ""
+
+
 def test_positions():
     rows = [box(-340 + 12 * (k % 2), -12 + 8 * (k // 2), 10, 5) for k in range(4)]
     rows += [text(f"{k + 1}F", -335 + 12 * (k % 2), -9.5 + 8 * (k // 2)) for k in range(4)] + [text("ABC", 0, 0), text("12G", 5, 5)]
