@@ -33,9 +33,20 @@ SPACE = r"[ \t\x0B\f\r]+"
 FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
-def masked(line: Column) -> Column:
-    """Tokens joined by single spaces, those with digits as ``<*>``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), FIELD, "<*>")
+def masked_lines(text: Column) -> Column:
+    """The lines' tokens joined by single spaces, those with digits as ``<*>``.
+
+    Both steps are array transforms, so each line passes once, and regular expressions meet only lines that need
+    them.
+    """
+
+    def tidy(line: Column) -> Column:
+        wide = line.contains("  ")
+        for c in "\t\x0b\f\r":
+            wide = wide | line.contains(c)
+        return F.trim(F.when(wide, F.regexp_replace(line, SPACE, " ")).otherwise(line))
+
+    return F.transform(F.transform(F.split(text, "\n"), tidy), lambda m: F.when(m.rlike("[0-9]"), F.regexp_replace(m, FIELD, "<*>")).otherwise(m))
 
 
 def identity(m: Column) -> Column:
@@ -45,7 +56,7 @@ def identity(m: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Distinct (leaf, tmpl, n) of a text's lines that have tokens."""
-    shown = F.filter(F.transform(F.split(text, "\n"), masked), lambda m: m != "")
+    shown = F.filter(masked_lines(text), lambda m: m != "")
 
     def node(m: Column) -> Column:
         n = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
@@ -54,20 +65,18 @@ def lines_of(text: Column) -> Column:
     return F.array_distinct(F.transform(shown, node))
 
 
-def recurring(docs: DataFrame, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(docs: DataFrame, seen: DataFrame, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(tmpl, first): the masked lines whose template recurs and the first document of that template.
 
-    docs: id, text.
+    docs: id, text; seen: their distinct (id, leaf, tmpl, n).
     """
-    seen = docs.filter("id is not null and text is not null").select("id", F.explode(lines_of(F.col("text"))).alias("l")).select("id", "l.leaf", "l.tmpl", "l.n").distinct()
     exact = seen.groupBy("leaf", "tmpl", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("id").alias("last"))
     exact = materialize(exact, "templates")
     wide = materialize(exact.filter(F.col("n") >= min_tokens).groupBy("leaf").agg(F.count("*").alias("k"), F.max_by("tmpl", F.struct("docs", "tmpl")).alias("head")).filter("k > 1"), "leaves")
     leaves = wide.select("leaf")
     leaves = F.broadcast(leaves) if wide.count() <= BROADCAST_ROWS else leaves
     # The masked lines of those leaves only, once each.
-    line = F.explode(F.split("text", "\n")).alias("line")
-    text = docs.filter("id is not null and text is not null").select(line).select(masked(F.col("line")).alias("m")).filter("m <> ''")
+    text = docs.filter("id is not null and text is not null").select(F.explode(masked_lines(F.col("text"))).alias("m")).filter("m <> ''")
     n = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1
     text = text.withColumn("leaf", F.xxhash64(n, F.substring_index("m", " ", LEAD))).join(leaves, "leaf")
     text = text.groupBy("leaf", identity(F.col("m")).alias("tmpl")).agg(F.first("m").alias("m"))
@@ -89,13 +98,16 @@ def recurring(docs: DataFrame, similar: float = SIMILAR, min_tokens: int = MIN_T
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with the text's kept lines, and n_lines, n_dropped."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    repeated = materialize(recurring(slim, similar, min_tokens, min_docs), "recurring")
-    seen = slim.filter("id is not null and text is not null").select("id", F.explode(lines_of(F.col("text"))).alias("l")).select("id", "l.leaf", "l.tmpl")
+    seen = slim.filter("id is not null and text is not null").select("id", F.explode(lines_of(F.col("text"))).alias("l")).select("id", "l.leaf", "l.tmpl", "l.n")
+    seen = materialize(seen.distinct(), "lines")
+    repeated = materialize(recurring(slim, seen, similar, min_tokens, min_docs), "recurring")
     drops = seen.join(repeated, ["leaf", "tmpl"]).filter(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("tmpl").alias("_gone")).withColumnRenamed("id", "_gone_id")
     marked = docs.join(drops, docs[id_col] == F.col("_gone_id"), "left")
     lines = F.split(F.col(text_col), "\n")
-    keep = F.filter(lines, lambda x: ~F.array_contains("_gone", identity(masked(x))) | (masked(x) == ""))
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(keep)
+    own = F.transform(masked_lines(F.col(text_col)), lambda m: F.when(m != "", identity(m)))
+    pairs = F.zip_with(lines, own, lambda line, t: F.struct(line.alias("line"), t.alias("t")))
+    keep = F.transform(F.filter(pairs, lambda p: p.t.isNull() | ~F.array_contains("_gone", p.t)), lambda p: p.line)
+    kept = F.when(F.col("_gone").isNull(), F.lit(None).cast("array<string>")).otherwise(keep)
     out = marked.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
     out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
