@@ -33,8 +33,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def folded(text: Column) -> Column:
+    """A-Z in lower case, all else as it is: texts of ASCII alone take the faster function."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
 def _small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -54,7 +59,7 @@ def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
     at = wins.select("win", "len", "items", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
     ranked = at.groupBy("win", "len", "items").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))).alias("r"))
     both = ranked.select("win", "len", "items", F.posexplode(F.when(F.size("r") > 1, F.slice("r", 1, 2)).otherwise(F.array(F.col("r")[0], F.col("r")[0]))).alias("rank", "a"))
-    return both.groupBy(F.col("a.term").alias("term")).agg(F.collect_list(F.struct("rank", "win", "len", "items", F.col("a.off").alias("off"))).alias("uses"))
+    return both.groupBy(F.col("a.term").alias("term")).agg(F.collect_list(F.struct("rank", "win", F.col("win").bitwiseAND(F.lit((1 << 62) - 1)).alias("base"), "len", "items", F.col("a.off").alias("off"))).alias("uses"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
@@ -65,28 +70,19 @@ def build_index(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
 
 def search(index: DataFrame, uses: DataFrame, rows: int, slack: int = SLACK) -> DataFrame:
     """Candidates per document: exact (window starts that both anchors give) and n_near (windows near to one)."""
-    # A start is kept with its window as one 64-bit key, so that lists intersect by hashing.
-    key = lambda win, start: F.xxhash64(win, start)
-
-    def starts(rank: int) -> Column:
-        return F.flatten(
-            F.transform(
-                F.filter("uses", lambda u: u.rank == rank),
-                lambda u: F.transform("positions", lambda p: F.struct(u.win.alias("win"), (p - u.off).alias("start"), u.len.alias("len"), u["items"].alias("items"))),
-            )
-        )
-
-    met = index.join(_small(uses, rows), "term").select("id", starts(0).alias("first"), starts(1).alias("second"))
-    lists = met.groupBy("id").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("second")).alias("second"))
-    keyed = (
-        lists.withColumn("first", F.filter("first", lambda s: s.start >= 0))
-        .withColumn("k2", F.transform("second", lambda s: key(s.win, s.start)))
-        .withColumn("common", F.array_intersect(F.transform("first", lambda s: key(s.win, s.start)), "k2"))
-    )
+    # A start is kept with its window as one number (62 bits of the window's hash plus the start), so that lists
+    # intersect by hashing and shift by adding.  Chance agreements fall to the comparison of whole windows.
+    def starts(rank: int, made) -> Column:
+        return F.flatten(F.transform(F.filter("uses", lambda u: u.rank == rank), lambda u: F.transform("positions", lambda p: made(u, p))))
+
+    first = starts(0, lambda u, p: F.struct((u.base + p - u.off).alias("key"), u.win.alias("win"), (p - u.off).alias("start"), u.len.alias("len"), u["items"].alias("items")))
+    met = index.join(_small(uses, rows), "term").select("id", first.alias("first"), starts(1, lambda u, p: u.base + p - u.off).alias("k2"))
+    lists = met.groupBy("id").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("k2")).alias("k2"))
+    keyed = lists.withColumn("k1", F.transform("first", lambda s: s.key)).withColumn("common", F.array_intersect("k1", "k2"))
     near = F.lit(0)
     for shift in [s for s in range(-slack, slack + 1) if s]:
-        near = near + F.size(F.array_intersect(F.transform("first", lambda s, d=shift: key(s.win, s.start + d)), "k2"))
-    return keyed.select("id", F.filter("first", lambda s: F.array_contains("common", key(s.win, s.start))).alias("exact"), near.alias("n_near")).filter((F.size("exact") > 0) | (F.col("n_near") > 0))
+        near = near + F.size(F.array_intersect(F.transform("k1", lambda k, d=shift: k + d), "k2"))
+    return keyed.select("id", F.filter("first", lambda s: (s.start >= 0) & F.array_contains("common", s.key)).alias("exact"), near.alias("n_near")).filter((F.size("exact") > 0) | (F.col("n_near") > 0))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
