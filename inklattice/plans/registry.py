@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.plans import class_queries, spatial_queries, store_queries, text_queries
+from inklattice.plans import class_queries, drawing_queries, spatial_queries, store_queries, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**text_queries.QUERIES, **store_queries.QUERIES, **spatial_queries.QUERIES, **class_queries.QUERIES}
+    return {**text_queries.QUERIES, **store_queries.QUERIES, **spatial_queries.QUERIES, **class_queries.QUERIES, **drawing_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
