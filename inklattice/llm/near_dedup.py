@@ -10,8 +10,10 @@ words).  Steps:
    group of copies costs one row.
 3. Bands of compressed registers give buckets of candidates.  Each member is compared with the bucket's
    leader only: the collision-corrected estimate first, then the full sets.
-4. Where a bucket still holds several components after that, further leaders are tried, and finally every pair
-   of members from different components that was not compared yet.  No bucket is capped.
+4. Where a bucket still holds several components after that, a further leader is tried, and finally every pair
+   of members from different components that an odd sketch allows and that was not compared yet.  The sketch
+   holds, for each of 1024 bins, whether an odd number of shingles fell into it; two sketches differ in at most
+   as many bins as the sets differ in shingles, so no pair that it rules out can be a link.  No bucket is capped.
 5. Components of the confirmed links name the groups.
 
 Nulls and texts without words have no shingles: n_shingles 0, linked with nothing, kept.  A null id is not a
@@ -27,7 +29,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inklattice.llm.common import discard, materialize, mix64, ngram_hashes, word_hashes
@@ -39,8 +41,9 @@ ROWS = 6
 MISS = 1e-6
 MANTISSA_BITS = 10
 PROBES = 64
+ODD_BITS = 1024
 #: Rounds in which unsettled buckets get further leaders before all pairs left are compared.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -122,11 +125,12 @@ def sketch(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
                     pa.array(digests[:, 1]),
                     pa.array([r.tobytes() for r in regs], pa.binary()),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                    pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "set_hi", "set_lo", "registers", "bands"],
+                ["id", "n_shingles", "set_hi", "set_lo", "registers", "bands", "odd"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long, registers binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long, registers binary, bands array<long>, odd array<long>")
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -178,6 +182,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """ODD_BITS parities of shingle counts by bin, in 64-bit integers."""
+    bins = (mix64(shingles ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(ODD_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=ODD_BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _allowed(l: str, r: str, percent: int) -> Column:
+    """False only if the sets of two rows (structs or aliases with n and odd) surely differ too much for a link."""
+    differ = F.lit(0)
+    for k in range(ODD_BITS // 64):
+        differ = differ + F.bit_count(F.col(f"{l}.odd")[k].bitwiseXOR(F.col(f"{r}.odd")[k]))
+    return differ * (100 + percent) <= (100 - percent) * (F.col(f"{l}.n") + F.col(f"{r}.n"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -189,10 +207,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = materialize(sketch(docs, bands, rows), "sketch")
     classes = materialize(sketches.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("id"))
-    reps = materialize(sketches.filter("n_shingles > 0").join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "bands"), "reps")
-    spread = reps.select("id", F.explode("bands").alias("key"))
+    reps = materialize(sketches.filter("n_shingles > 0").join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "bands", "odd"), "reps")
+    spread = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader")
-    members = materialize(spread.join(shared, "key").select("key", "id", "leader"), "members")
+    members = materialize(spread.join(shared, "key").select("key", "id", F.col("n_shingles").alias("n"), "leader"), "members")
 
     tried = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     near = materialize(_estimated(tried, reps, threshold), "near")
@@ -201,33 +219,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = None
     if sets is not None:
         links = materialize(_confirmed(near, sets, percent), "confirmed")
-        for step in range(LEADER_ROUNDS + 1):
-            if comps is not None:
-                discard(comps)
+        bounded = None
+        for step in range(LEADER_ROUNDS + 2):
             comps = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comps")
-            placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+            if step == LEADER_ROUNDS + 1:
+                break
+            placed = (members if bounded is None else bounded).drop("leader", "comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
+            open_ = placed.join(mixed, "key", "left_semi")
+            if bounded is None:
+                open_ = open_.join(reps.select("id", "odd"), "id")
+            bounded = open_ = materialize(open_, "open")
             if open_.isEmpty():
                 break
             if step < LEADER_ROUNDS:
-                # The leader of each component in a bucket changes from bucket to bucket; every member of another
-                # component meets the leaders next to its own component in the bucket's order of components.
-                rank = F.xxhash64("id", "key", F.lit(step))
-                heads = open_.groupBy("key", "comp").agg(F.min_by("id", rank).alias("head"), F.count("*").alias("size"))
-                best = heads.groupBy("key").agg(F.max_by(F.struct("comp", "head"), F.struct("size", "comp")).alias("top"))
-                pairs = open_.join(best, "key").filter(F.col("comp") != F.col("top.comp")).select(F.col("top.head").alias("a"), F.col("id").alias("b"))
+                # In each bucket, members outside the largest component meet one of its members.
+                heads = open_.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", "odd"), F.xxhash64("id", "key", F.lit(step))).alias("head"), F.count("*").alias("size"))
+                best = heads.groupBy("key").agg(F.max_by(F.struct("comp", "head"), F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"), "top.head")
+                pairs = open_.alias("l").join(best.alias("r"), "key").filter((F.col("comp") != F.col("top")) & _allowed("l", "head", percent)).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
             else:
-                left, right = open_.alias("l"), open_.alias("r")
-                pairs = left.join(right, "key").filter("l.comp < r.comp").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+                may = (F.col("l.comp") < F.col("r.comp")) & _allowed("l", "r", percent)
+                pairs = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key")) & may).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            found = materialize(_confirmed(_estimated(pairs, reps, threshold), sets, percent), "confirmed")
-            if step < LEADER_ROUNDS:
-                tried = tried.union(pairs)
-            links = links.union(found)
-            if step == LEADER_ROUNDS:
-                comps = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "comps")
+            tried = tried.union(pairs)
+            links = links.union(materialize(_confirmed(_estimated(pairs, reps, threshold), sets, percent), "confirmed"))
         discard(sets)
     named = classes if comps is None else classes.join(comps, classes.rep == comps.id, "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("rep"))
     slim = sketches.select("id", "n_shingles", "set_hi", "set_lo")
