@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inklattice.llm import ann, bpe, decontam, html_extract, license_scan, line_dedup, lm_score, near_dedup, toxicity, url_filter
+from inklattice.llm import ann, bpe, decontam, html_extract, license_scan, line_dedup, lm_score, near_dedup, sql, toxicity, url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_near_dedup": sql.NEAR_DEDUP,
     "op10_decontamination": decontam.ORACLE_SQL,
 }
