@@ -143,7 +143,7 @@ class Scorer:
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         how = zstandard.ZstdCompressionParameters.from_level(
             3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
-            min_match=4, strategy=zstandard.STRATEGY_BTOPT, window_log=15, hash_log=13, chain_log=14, search_log=6,
+            min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=15, hash_log=13, chain_log=14, search_log=6,
         )
         made = zstandard.ZstdCompressionDict(content.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made.precompute_compress(compression_params=how)
