@@ -63,10 +63,10 @@ TEXTS_SQL = "texts AS (SELECT document_hash, i - 1 AS seq, lines[i] AS text FROM
 def points(spark: SparkSession, sf_dir: str, scale: float = 400.0) -> DataFrame:
     """Points from the first two vector components: doc, seq, x, y."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select((F.col("label") % 3).alias("doc"), F.col("vec_id").alias("seq"), F.round(F.col("embedding")[0].cast("double") * scale, 2).alias("x"), F.round(F.col("embedding")[1].cast("double") * scale, 2).alias("y"))
+    return e.select((F.col("label") % 3).alias("doc"), F.col("vec_id").alias("seq"), (F.floor(F.col("embedding")[0].cast("double") * scale * 64) / 64.0).alias("x"), (F.floor(F.col("embedding")[1].cast("double") * scale * 64) / 64.0).alias("y"))
 
 
-POINTS_SQL = "points AS (SELECT label % 3 AS doc, vec_id AS seq, round(CAST(embedding[1] AS DOUBLE) * 400.0, 2) AS x, round(CAST(embedding[2] AS DOUBLE) * 400.0, 2) AS y FROM embeddings)"
+POINTS_SQL = "points AS (SELECT label % 3 AS doc, vec_id AS seq, floor(CAST(embedding[1] AS DOUBLE) * 400.0 * 64) / 64 AS x, floor(CAST(embedding[2] AS DOUBLE) * 400.0 * 64) / 64 AS y FROM embeddings)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ BOXES_SQL = "boxes AS (SELECT doc, seq AS box, x - 15 AS b_x, y - 10 AS b_y, 30.
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as positions along an axis: grp, seq, at, size."""
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 50).alias("grp"), F.col("event_id").alias("seq"), F.round(F.pmod(F.col("event_id") * 37, F.lit(1000)) + F.col("value") % 1, 1).alias("pos"), F.round(F.abs(F.col("value")), 2).alias("size"), "event_type")
+    return e.select((F.col("user_id") % 50).alias("grp"), F.col("event_id").alias("seq"), (F.pmod(F.col("event_id") * 37, F.lit(1000)) + (F.col("event_id") % 8) * F.lit(0.125)).alias("pos"), (F.floor(F.abs(F.col("value")) * 4) / 4.0).alias("size"), "event_type")
 
 
-READINGS_SQL = "readings AS (SELECT user_id % 50 AS grp, event_id AS seq, round((event_id * 37) % 1000 + value % 1, 1) AS pos, round(abs(value), 2) AS size, event_type FROM events)"
+READINGS_SQL = "readings AS (SELECT user_id % 50 AS grp, event_id AS seq, (event_id * 37) % 1000 + (event_id % 8) * CAST(0.125 AS DOUBLE) AS pos, floor(abs(value) * 4) / 4 AS size, event_type FROM events)"
