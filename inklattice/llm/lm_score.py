@@ -2,8 +2,8 @@
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z folded, then one end token per text.
 
-Base: add-one unigrams over the training tokens, exact for every word.  The counts of the ``KNOWN_WORDS`` most
-frequent words go to all executors (a bounded table); rarer words of each text are looked up by a shuffle join.
+Base: add-one unigrams over the training tokens, exact for every word.  The counts of the most frequent words
+(``KNOWN_WORDS`` at most) go to all executors (a bounded table); rarer words of each text are looked up by a shuffle join.
 
 Model: P(word | history) = P(class | history) * P(word | class, history).  The ``CLASSES - 1`` first classes hold
 ``PER_CLASS`` words each (the most frequent ones, by frequency); the last class holds all other words, among them
@@ -245,14 +245,26 @@ def _train_round(docs: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
     return {r.block: np.frombuffer(r.change, np.float64) / max(total, 1) for r in rows}
 
 
+def _level() -> Column:
+    """Sixteen classes of counts to each doubling."""
+    return F.floor(F.log2("c") * 16)
+
+
 def train(docs: DataFrame) -> Model:
     """docs: id, text, held."""
     spark = docs.sparkSession
     counts = materialize(count_tokens(docs), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(KNOWN_WORDS).toPandas()
+    # The most frequent words by classes of like counts: as many whole classes as fit, so that no task sorts them all.
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    known, least = 0, None
+    for level, n in sizes:
+        if known + n > KNOWN_WORDS:
+            break
+        known, least = known + n, level
+    top = counts.filter(_level() >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     model = Model(Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals[0]), int(totals[1])))
-    model.counts = None
+    model.counts, model.least = None, least
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)  # bounded: the tables' and the vocabulary's sizes are parameters
         change = _train_round(docs, shared, round_)
@@ -303,9 +315,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     if vocab.distinct > len(vocab.hashes):
         # Rare words: their exact counts by a shuffle join; a word not in the table was never seen in training.
-        known = len(vocab.hashes)
-        least = int(vocab.counts.min()) if known else 0
-        rest = counts.filter(F.col("c") <= least)
+        rest = counts if model.least is None else counts.filter(_level() < model.least)
         spread = first.select("row", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("n_rare").alias("n"))).alias("w")).select("row", F.col("w.h").alias("h"), F.col("w.n").alias("n"))
         joined = spread.join(rest, "h", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     else:
