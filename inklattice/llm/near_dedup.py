@@ -17,7 +17,7 @@ words).  Steps:
 5. Components of the confirmed links name the groups.
 
 Nulls and texts without words have no shingles: n_shingles 0, linked with nothing, kept.  A null id is not a
-document and is left out.  Repeated rows with the same id and text give one row each with the same group.
+document and is left out.  Repeated rows with the same id and text give one row each with the same group; an id is expected to have one text.
 Ties go to the smallest id.  Other columns are ignored.
 """
 
@@ -252,6 +252,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The documents without those near to a kept one; all columns stay as they are."""
+    """The documents without those near to a kept one; all columns stay as they are.
+
+    Rows with a null id are no documents and go; repeated rows of a kept id all stay.
+    """
     kept = near_groups(docs, id_col, text_col, percent).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
