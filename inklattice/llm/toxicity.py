@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_TOXIC, FIT_ORDINARY = 1500, 3000
-CURVE_TOXIC, CURVE_ORDINARY = 1000, 2000
+FIT_TOXIC, FIT_ORDINARY = 1000, 2000
+CURVE_TOXIC, CURVE_ORDINARY = 600, 1200
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 4
 GRAM = 5
 #: A gram sets toxic text apart if contexts as many as this share of the toxic texts hold it, at this many times the ordinary rate.
@@ -59,8 +58,14 @@ def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
 
 def _gram_counts(texts: list[bytes]) -> tuple[Counter, Counter]:
     """How many different words come before each word, so that copies of a text count once; sums of that over grams."""
-    pairs = {pair for text in texts for pair in pairwise([b"", *text.split()])}
-    words = Counter(word for _, word in pairs)
+    ids: dict[bytes, int] = {b"": 0}
+    pairs = [np.empty(0, np.uint64)]
+    for text in texts:  # as numbers, since the pairs are many
+        own = np.array([0, *(ids.setdefault(w, len(ids)) for w in text.split())], np.uint64)
+        pairs.append(np.unique(own[:-1] << np.uint64(32) | own[1:]))
+    followers = np.unique(np.concatenate(pairs)) & np.uint64(0xFFFFFFFF)
+    times = np.bincount(followers.astype(np.int64), minlength=len(ids)).tolist()
+    words = Counter({w: times[k] for w, k in ids.items() if times[k]})
     grams: Counter = Counter()
     for word, n in words.items():
         shown = b" " + word[:200] + b" "
