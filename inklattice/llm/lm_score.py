@@ -240,7 +240,7 @@ def _train_round(docs: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
 
     schema = "block long, seen long, change binary"
     part = docs.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == round_)).select("text").mapInArrow(run, schema)
-    rows = part.repartition(16, "block").mapInArrow(add, schema).collect()  # the size of the weight tables
+    rows = part.repartition(96, "block").mapInArrow(add, schema).collect()  # the size of the weight tables
     total = max((r.seen for r in rows), default=0)  # the first block counts every partition
     return {r.block: np.frombuffer(r.change, np.float64) / max(total, 1) for r in rows}
 
