@@ -53,5 +53,22 @@ def test_propagation(spark):
     assert abs(got[2].trust - mass["friend.com"]) < 1e-12 and abs(got[3].trust - mass["second.com"]) < 1e-12
 
 
+def test_long_chains_are_followed_to_their_ends(spark):
+    chain = [f"h{k}.com" for k in range(20)] + ["bad.net"]
+    rows = [(k, f"http://{h}/", f"<a href='http://{chain[k + 1]}/'>x</a>" if k + 1 < len(chain) else "") for k, h in enumerate(chain)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.verdict for r in got} == {"block"}
+    for r in got:
+        far = 20 - r.page_id
+        want = url_filter.DAMPING**far * (1 - url_filter.DAMPING)
+        assert abs(r.distrust - want) < 1e-12 * want
+
+
+def test_cycles_converge(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    got = dict(url_filter.propagate(edges, spark.createDataFrame([("a",)], "host string"), damping=0.5).collect())
+    assert abs(got["a"] - 2 / 3) < 1e-8 and abs(got["b"] - 1 / 3) < 1e-8
+
+
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
