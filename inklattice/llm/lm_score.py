@@ -6,10 +6,13 @@ Base: add-one unigrams over the training tokens, exact for every word.  The coun
 (``KNOWN_WORDS`` at most) go to all executors (a bounded table); rarer words of each text are looked up by a shuffle join.
 
 Model: P(word | history) = P(class | history) * P(word | class, history).  The ``CLASSES - 1`` first classes hold
-``PER_CLASS`` words each (the most frequent ones, by frequency); the last class holds all other words, among them
-the unseen one, with add-one unigram probabilities inside the class.  Both softmaxes are maximum-entropy models
-with weights in hashed tables: the word before, the one two before (skip), the one three before (skip), and the
-pair of the last two.  Weights start at the unigram distribution and are trained on all training tokens by
+``PER_CLASS`` words each (the most frequent ones, by frequency); the last class holds all other words in a tree of
+``PER_CLASS`` branches a node and as many leaves as there are such words, dealt to the leaves by hash:
+P(word | last class, history) = product of P(branch | node, history) * P(word | leaf), where the few words of a leaf
+and one unseen word a leaf share its mass by add-one counts.  All softmaxes are maximum-entropy models with weights
+in hashed tables that grow with the vocabulary: the word before, the one two before (skip), the one three before
+(skip), and the pair of the last two, each by its own hash, whatever its frequency.  Weights start at the unigram
+distribution, for which every task holds the leaves' masses (4 bytes a word), and are trained on all training tokens by
 distributed gradient updates: in each of ``ROUNDS`` rounds every partition runs mini-batches of adaptive gradient
 steps over its share, and the changes of all partitions are averaged, weighed by their tokens.
 
@@ -20,6 +23,7 @@ results; without training tokens N = V = 0 and every probability of the base is
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +36,14 @@ from inklattice.llm.common import materialize, mix64, slices, word_hashes
 FOLDS, HELD_OUT = 7, 2
 KNOWN_WORDS = 262_144
 CLASSES, PER_CLASS = 32, 31
-#: Rows of the hashed weight tables of the class and the word model.
+#: Least rows of the hashed weight tables of the class and the word model, which double while there are 64 and 32 words a row or more.
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.15
 BLOCK = 8192
+#: Leaves whose masses are summed and sent together.
+LEAF_BLOCK = 65_536
 END = 0x0E0D0E0D0E0D0E0D
 FEATURES = 4
 #: Distinct hashes that a counting task holds before it passes them on.
@@ -90,6 +96,49 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.filter("not held").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def tail_slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(2)).astype(np.int64) + (CLASSES - 1) * PER_CLASS
+
+
+def leaf_of(slots: np.ndarray, leaves: int) -> np.ndarray:
+    """The leaf that each slot beyond the heads falls on."""
+    return ((mix64(slots.astype(np.uint64)) >> np.uint64(32)) * np.uint64(leaves) >> np.uint64(32)).astype(np.int64)
+
+
+def leaf_masses(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Mass of each leaf: add-one counts of all words beyond the heads and of one unseen word a leaf."""
+    heads, leaves = vocab.hashes[vocab.head < (CLASSES - 1) * PER_CLASS], vocab.leaves
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            tail = ~np.isin(h, heads)
+            leaf = leaf_of(tail_slots(h[tail]), leaves)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf // LEAF_BLOCK), pa.array(leaf % LEAF_BLOCK), pa.array(batch.column(1).to_numpy()[tail] + 1)], ["block", "leaf", "mass"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, leaf, mass = (batch.column(k).to_numpy() for k in range(3))
+            for b in np.unique(block).tolist():
+                own = block == b
+                sums[b] = sums.get(b, 0) + np.bincount(leaf[own], mass[own], LEAF_BLOCK)
+        for b, value in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([value.astype(np.float32).tobytes()], pa.binary())], ["block", "mass"])
+
+    out = np.zeros(leaves, np.float32)
+    for r in counts.select("h", "c").mapInArrow(deal, "block long, leaf long, mass long").repartition(96, "block").mapInArrow(add, "block long, mass binary").collect():
+        part = out[r.block * LEAF_BLOCK : (r.block + 1) * LEAF_BLOCK]
+        part += np.frombuffer(r.mass, np.float32)[: len(part)]
+    return out + 1
+
+
+def table_rows(least: int, distinct: int, words: int) -> int:
+    while least * 2 * words <= distinct:
+        least *= 2
+    return least
+
+
 class Vocabulary:
     """The most frequent words with their counts, and which of them have places in the classes."""
 
@@ -107,17 +156,19 @@ class Vocabulary:
         self.head_counts = np.zeros(heads)
         self.head_counts[: self.n_head] = self.counts[top]
         #: Mass of the last class: add-one counts of all words outside the heads and of the unseen one.
+        self.leaves = max(distinct - self.n_head, 1)
         self.tail_mass = float(self.floor - (self.head_counts[: self.n_head] + 1).sum())
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(head slot, count) of each token; count -1 for words that are not among the frequent ones."""
+        """(slot, count) of each token; the slot is a head's place or, beyond the heads, the word's hash; count -1 for words that are not among the frequent ones."""
         heads = (CLASSES - 1) * PER_CLASS
+        others = tail_slots(tokens)
         if not len(self.hashes):
-            return np.full(len(tokens), heads), np.full(len(tokens), -1, np.int64)
+            return others, np.full(len(tokens), -1, np.int64)
         at = np.searchsorted(self.hashes, tokens)
         at[at == len(self.hashes)] = 0
         found = self.hashes[at] == tokens
-        return np.where(found, self.head[at], heads), np.where(found, self.counts[at], -1)
+        return np.where(found & (self.head[at] < heads), self.head[at], others), np.where(found, self.counts[at], -1)
 
 
 def features(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -127,21 +178,46 @@ def features(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
     place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
     none = CLASSES * PER_CLASS + 2
     back = [np.where(place >= k, padded[3 - k : 3 - k + n], none).astype(np.uint64) for k in (1, 2, 3)]
-    raw = [back[0] * np.uint64(4), back[1] * np.uint64(4) + np.uint64(1), back[2] * np.uint64(4) + np.uint64(2), (back[0] * np.uint64(1 << 20) + back[1]) * np.uint64(4) + np.uint64(3)]
+    raw = [back[0] * np.uint64(4), back[1] * np.uint64(4) + np.uint64(1), back[2] * np.uint64(4) + np.uint64(2), (mix64(back[0]) + back[1]) * np.uint64(4) + np.uint64(3)]
     return np.stack([mix64(f + np.uint64(0x632BE59BD9B4E019)) for f in raw])
 
 
 class Model:
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, masses: np.ndarray | None = None):
+        """masses: of the leaves; by default each leaf has the same."""
         self.vocab = vocab
+        self.set_masses(np.full(vocab.leaves, vocab.tail_mass / vocab.leaves, np.float32) if masses is None else masses)
         heads = (vocab.head_counts + 1).reshape(CLASSES - 1, PER_CLASS)
         live = (np.arange((CLASSES - 1) * PER_CLASS) < vocab.n_head).reshape(CLASSES - 1, PER_CLASS)
         mass = np.append((heads * live).sum(axis=1), max(vocab.tail_mass, 1e-12))
         with np.errstate(divide="ignore"):
             self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-300)), -1e9).astype(np.float32)
             self.word_bias = np.where(live, np.log(heads), -1e9).astype(np.float32)
-        self.class_weights = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.word_weights = np.zeros((WORD_ROWS, PER_CLASS), np.float32)
+        self.class_weights = np.zeros((table_rows(CLASS_ROWS, vocab.distinct, 64), CLASSES), np.float32)
+        self.word_weights = np.zeros((table_rows(WORD_ROWS, vocab.distinct, 32), PER_CLASS), np.float32)
+
+    def set_masses(self, masses: np.ndarray) -> None:
+        """The tree's levels from the root down: log masses of each node's branches."""
+        self.levels: list[np.ndarray] = []
+        self.last = np.log(np.maximum(masses, 1e-12)).astype(np.float32)
+        while len(masses) > 1:
+            padded = np.zeros(-(-len(masses) // PER_CLASS) * PER_CLASS, np.float32)
+            padded[: len(masses)] = masses
+            nodes = padded.reshape(-1, PER_CLASS)
+            with np.errstate(divide="ignore"):
+                self.levels.insert(0, np.where(nodes > 0, np.log(np.maximum(nodes, 1e-12)), -1e9).astype(np.float32))
+            masses = nodes.sum(axis=1)
+        #: Only one copy of the leaves is kept.
+        if self.levels:
+            self.last = self.levels[-1].ravel()[: len(self.last)]
+
+    def branches(self, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, biases, branch) on each level, for slots beyond the heads."""
+        leaf, first = leaf_of(slots, len(self.last)), CLASSES
+        for k, level in enumerate(self.levels):
+            child = leaf // PER_CLASS ** (len(self.levels) - 1 - k)
+            yield first + child // PER_CLASS, level[child // PER_CLASS], child % PER_CLASS
+            first += len(level)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -151,19 +227,20 @@ class Model:
         return z
 
     def class_part(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = (f & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
+        rows = (f & np.uint64(len(self.class_weights) - 1)).astype(np.int64)
         z = self.class_weights[rows[0]]
         for r in rows[1:]:
             z += self.class_weights[r]
         z += self.class_bias
         return rows, self._softmax(z)
 
-    def word_part(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = (mix64(f + classes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
+    def word_part(self, f: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """classes: of the words, or nodes of the tree with the biases of their branches."""
+        rows = (mix64(f + classes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) & np.uint64(len(self.word_weights) - 1)).astype(np.int64)
         z = self.word_weights[rows[0]]
         for r in rows[1:]:
             z += self.word_weights[r]
-        z += self.word_bias[classes]
+        z += self.word_bias[classes] if bias is None else bias
         return rows, self._softmax(z)
 
     def learn(self, f: np.ndarray, slots: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
@@ -174,6 +251,11 @@ class Model:
         inner = np.flatnonzero(slots < heads)
         if len(inner):
             self._step(self.word_weights, squares[1], *self.word_part(f[:, inner], classes[inner]), slots[inner] % PER_CLASS)
+        outer = np.flatnonzero(slots >= heads)
+        if len(outer):
+            own = f[:, outer]
+            for nodes, bias, branch in self.branches(slots[outer]):
+                self._step(self.word_weights, squares[1], *self.word_part(own, nodes, bias), branch)
 
     @staticmethod
     def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray, targets: np.ndarray) -> None:
@@ -187,7 +269,7 @@ class Model:
         weights[touched] -= (RATE / np.sqrt(squares[touched] + 1e-3))[:, None] * g
 
     def log10(self, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of the model's probability of each token; of its class only for tokens outside the heads."""
+        """log10 of the model's probability of each token; of its leaf only for tokens outside the heads."""
         f, heads = features(slots, starts), (CLASSES - 1) * PER_CLASS
         classes = np.where(slots < heads, slots // PER_CLASS, CLASSES - 1)
         out = np.empty(len(slots))
@@ -201,6 +283,13 @@ class Model:
                 _, q = self.word_part(f[:, part][:, inner], c[inner])
                 got[inner] *= q[np.arange(len(inner)), slots[part][inner] % PER_CLASS]
             out[part] = np.log10(np.maximum(got, 1e-30))
+            outer = np.flatnonzero(c == CLASSES - 1)
+            if len(outer):
+                own, at_leaf = f[:, part][:, outer], np.zeros(len(outer))
+                for nodes, bias, branch in self.branches(slots[part][outer]):
+                    _, q = self.word_part(own, nodes, bias)
+                    at_leaf += np.log10(np.maximum(q[np.arange(len(outer)), branch], 1e-30))
+                out[at + outer] += at_leaf
         return out
 
 
@@ -208,9 +297,9 @@ def _train_round(docs: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
     """Average change of all weights in one round, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value.vocab)
+        model = copy.copy(shared.value)
         model.class_weights, model.word_weights = shared.value.class_weights.copy(), shared.value.word_weights.copy()
-        squares = (np.full(CLASS_ROWS, 0.1, np.float32), np.full(WORD_ROWS, 0.1, np.float32))
+        squares = (np.full(len(model.class_weights), 0.1, np.float32), np.full(len(model.word_weights), 0.1, np.float32))
         seen = 0
         for batch in (part for whole in batches for part in slices(whole, 0)):
             tokens, starts = tokens_of(batch.column(0))
@@ -236,13 +325,15 @@ def _train_round(docs: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
                 sums[b] = sums[b] + value if b in sums else value
                 n[b] = n.get(b, 0) + s
         for b, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([n[b]]), pa.array([value.tobytes()], pa.binary())], ["block", "seen", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([n[b]]), pa.array([value.astype(np.float32).tobytes()], pa.binary())], ["block", "seen", "change"])
 
     schema = "block long, seen long, change binary"
-    part = docs.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == round_)).select("text").mapInArrow(run, schema)
+    part = docs.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == round_)).select("text")
+    # A copy of the tables for each two tasks of a core: each copy is sent back whole.
+    part = part.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
     rows = part.repartition(96, "block").mapInArrow(add, schema).collect()  # the size of the weight tables
     total = max((r.seen for r in rows), default=0)  # the first block counts every partition
-    return {r.block: np.frombuffer(r.change, np.float64) / max(total, 1) for r in rows}
+    return {r.block: np.frombuffer(r.change, np.float32) / np.float32(max(total, 1)) for r in rows}
 
 
 def _level() -> Column:
@@ -263,16 +354,18 @@ def train(docs: DataFrame) -> Model:
             break
         known, least = known + n, level
     top = counts.filter(_level() >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    model = Model(Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals[0]), int(totals[1])))
+    vocab = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals[0]), int(totals[1]))
+    model = Model(vocab, leaf_masses(counts, vocab))
     model.counts, model.least = None, least
     for round_ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)  # bounded: the tables' and the vocabulary's sizes are parameters
+        shared = spark.sparkContext.broadcast(model)  # grows with the vocabulary: about 8 bytes a word
         change = _train_round(docs, shared, round_)
+        shared.destroy()
         flat = np.concatenate([model.class_weights.ravel(), model.word_weights.ravel()])
         for b, value in change.items():
             flat[b * BLOCK : b * BLOCK + len(value)] += value.astype(np.float32)
         n = model.class_weights.size
-        model.class_weights, model.word_weights = flat[:n].reshape(CLASS_ROWS, CLASSES), flat[n:].reshape(WORD_ROWS, PER_CLASS)
+        model.class_weights, model.word_weights = flat[:n].reshape(-1, CLASSES), flat[n:].reshape(-1, PER_CLASS)
     model.counts = counts
     return model
 
@@ -285,7 +378,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts, model.counts = model.counts, None
     shared = spark.sparkContext.broadcast(model)
     vocab = model.vocab
-    floor, tail = float(vocab.floor), float(max(vocab.tail_mass, 1e-12))
+    floor = float(vocab.floor)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +389,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             logs = own.log10(slots, starts)
             known = c >= 0
             base = np.where(known, np.log10((c + 1) / floor), 0.0)
-            logs += np.where(known & (slots >= (CLASSES - 1) * PER_CLASS), np.log10((np.maximum(c, 0) + 1) / tail), 0.0)
+            outer = np.flatnonzero(slots >= (CLASSES - 1) * PER_CLASS)
+            logs[outer] += np.log10(np.maximum(c[outer], 0) + 1) - own.last[leaf_of(slots[outer], len(own.last))] / np.log(10)
             sums = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else np.zeros(0)
             rare, n_rare = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -323,7 +417,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     logs = joined.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"),
         F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(floor))).alias("b"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(tail))).alias("s"),
+        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("s"),
     )
     return first.drop("rare", "n_rare").join(logs, "row", "left").select(
         F.col("id").alias(id_col),

@@ -56,6 +56,52 @@ def test_learns_order_and_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_learns_the_order_of_words_outside_the_heads():
+    r = np.random.default_rng(2)
+    n, heads = 1500, (lm_score.CLASSES - 1) * lm_score.PER_CLASS
+    names = r.integers(0, 2**63, heads + n).astype(np.uint64)
+    follow = r.permutation(n)
+    walk, at = [], 0
+    for _ in range(60_000):
+        at = int(follow[at]) if r.random() < 0.9 else int(r.integers(n))
+        walk.append(heads + at)
+    tokens = names[np.array(walk)]
+    counts = np.concatenate([np.full(heads, 1000), np.bincount(np.array(walk) - heads, minlength=n)])
+    vocab = lm_score.Vocabulary(names, counts, int(counts.sum()), len(names))
+    slots, c = vocab.look_up(tokens)
+    assert (slots >= heads).all() and (c >= 0).all()
+    masses = np.bincount(lm_score.leaf_of(lm_score.tail_slots(names[heads:]), vocab.leaves), counts[heads:] + 1, vocab.leaves) + 1
+    model = lm_score.Model(vocab, masses)
+    starts = np.array([0, len(slots)])
+    before = model.log10(slots, starts).mean()
+    f = lm_score.features(slots, starts)
+    squares = (np.full(lm_score.CLASS_ROWS, 0.1, np.float32), np.full(lm_score.WORD_ROWS, 0.1, np.float32))
+    for k in range(0, len(slots), 2048):
+        model.learn(f[:, k : k + 2048], slots[k : k + 2048], squares)
+    assert model.log10(slots, starts).mean() > before + 1
+    # Over all words and one unseen word a leaf, the tail's probabilities sum to one.
+    total = np.zeros(vocab.leaves)
+    reach = np.ones(1)
+    first = lm_score.CLASSES
+    for level in model.levels:
+        nodes = np.arange(len(level))
+        _, p = model.word_part(np.repeat(f[:, 500:501], len(level), axis=1), first + nodes, level)
+        reach = (reach[: len(level), None] * p).ravel()
+        first += len(level)
+    total = reach[: vocab.leaves]
+    assert abs(total.sum() - 1) < 1e-3 and abs(reach.sum() - 1) < 1e-3
+
+
+def test_leaf_masses_hold_every_word_beyond_the_heads(spark):
+    r = np.random.default_rng(3)
+    names, c = r.integers(0, 2**63, 5000).astype(np.uint64), np.sort(r.integers(1, 99, 5000))[::-1].copy()
+    vocab = lm_score.Vocabulary(names[:2000], c[:2000], int(c.sum()), 5000)
+    frame = spark.createDataFrame(list(zip(names.view(np.int64).tolist(), c.tolist(), strict=True)), "h long, c long")
+    got = lm_score.leaf_masses(frame, vocab)
+    heads = (lm_score.CLASSES - 1) * lm_score.PER_CLASS
+    assert len(got) == 5000 - heads and got.sum() == (c[heads:] + 1).sum() + len(got)
+
+
 def test_empty_table(spark):
     assert lm_score.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
