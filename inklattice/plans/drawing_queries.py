@@ -13,14 +13,14 @@ from inklattice.plans import stand_ins as S
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """Boxes as closed polylines and points as short texts, one document per label group."""
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    b = S.boxes(spark, d)
+    b = S.boxes(spark, d, every=1)
     x, y, x2, y2 = F.col("b_x"), F.col("b_y"), F.col("b_x") + F.col("b_w"), F.col("b_y") + F.col("b_h")
     lines = b.select(F.col("doc").cast("string").alias("document_hash"), (F.col("box") + 1_000_000_000).alias("seq"), F.lit("LINE").alias("kind"), F.array(point(x, y), point(x2, y), point(x2, y2), point(x, y2), point(x, y)).alias("points"), F.when(F.col("box") % 40 == 0, F.lit("DASHED")).alias("ltype"))
     frame = b.groupBy("doc").agg(F.min("b_x").alias("x"), F.min("b_y").alias("y"), F.max("b_x").alias("x2"), F.max("b_y").alias("y2"))
     top = F.greatest(F.col("y2"), F.col("y") + 1.6 * (F.col("x2") - F.col("x")))
     sides = frame.select(F.col("doc").cast("string").alias("document_hash"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("x").alias("at")), F.struct(F.lit(2).alias("k"), F.col("x2").alias("at")))).alias("s"), "y", top.alias("top"))
     sides = sides.select("document_hash", F.col("s.k").cast("long").alias("seq"), F.lit("LINE").alias("kind"), F.array(point(F.col("s.at"), F.col("y")), point(F.col("s.at"), F.col("top"))).alias("points"))
-    t = S.points(spark, d).filter("seq % 4 = 0").select(F.col("doc").cast("string").alias("document_hash"), (F.col("seq") + 10).alias("seq"), F.lit("TEXT").alias("kind"), "x", "y", F.when(F.col("seq") % 28 == 0, F.concat(F.lit("GY-"), F.col("seq").cast("string"))).otherwise(F.concat((F.col("seq") % 12).cast("string"), F.when(F.col("seq") % 8 == 0, F.lit("F")).otherwise(F.lit("D")))).alias("text"))
+    t = S.points(spark, d).filter("seq % 50 <> 0").select(F.col("doc").cast("string").alias("document_hash"), (F.col("seq") + 10).alias("seq"), F.lit("TEXT").alias("kind"), "x", "y", F.when(F.col("seq") % 28 == 0, F.concat(F.lit("GY-"), F.col("seq").cast("string"))).otherwise(F.concat((F.col("seq") % 12).cast("string"), F.when(F.col("seq") % 8 == 0, F.lit("F")).otherwise(F.lit("D")))).alias("text"))
     serials = S.points(spark, d).filter("seq % 50 = 0").select(F.col("doc").cast("string").alias("document_hash"), (F.col("seq") + 500_000_000).alias("seq"), F.lit("ATTRIB").alias("kind"), F.lit("WireSerial").alias("tag"), "x", "y", F.concat(F.lit("ZL-"), F.col("seq"), F.lit("(1)")).alias("text"))
     empty = spark.createDataFrame([], schema.ENTITIES)
     return empty.unionByName(lines, allowMissingColumns=True).unionByName(sides, allowMissingColumns=True).unionByName(t, allowMissingColumns=True).unionByName(serials, allowMissingColumns=True)

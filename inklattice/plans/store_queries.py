@@ -170,7 +170,7 @@ def multi_hit_cables(spark: SparkSession, d: str) -> DataFrame:
 
 def match_tiers(spark: SparkSession, d: str) -> DataFrame:
     li = S.table(spark, d, "part").select(F.concat(F.lit("B"), F.col("p_partkey") % 90, F.lit("-"), F.col("p_size")).alias("target")).distinct()
-    texts = S.table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("b"), F.col("p_partkey") % 70, F.lit("_"), F.col("p_size"), F.lit(" 8"), F.col("p_partkey") % 80, F.lit("-"), F.col("p_size")).alias("text"))
+    texts = S.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("b"), F.col("p_partkey") % 70, F.lit("_"), F.col("p_size"), F.lit(" 8"), F.col("p_partkey") % 80, F.lit("-"), F.col("p_size")).alias("text"))
     return matching.tiered(li, texts)
 
 
