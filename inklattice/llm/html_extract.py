@@ -176,7 +176,7 @@ class Page:
             near = self.tags[p] if p >= 0 else ""
             density = linked[e] / whole[e] if whole[e] else 0.0
             row = [f"t:{tag}", f"t:{tag}<{near}", f"l:{min(int(density * 4), 3)}" if linked[e] else "l:no", f"w:{min(whole[e].bit_length(), 11)}", f"o:{min(own[e].bit_length(), 9)}", f"p:{min(paragraphs[e], 3)}", f"t:{tag}:w{min(whole[e].bit_length(), 10) // 2}"]
-            row += [f"n:{w}" for w in self.names[e][:12]]
+            row += [f"n:{w}" for w in dict.fromkeys(self.names[e])]
             out.append(row)
         return out
 

@@ -39,6 +39,12 @@ def test_text_of_blocks():
     assert wrap("<p>" + "long " * 20_000 + "</p>") == ("long " * 20_000).strip()
 
 
+def test_late_names_count():
+    utilities = "flex grid block hidden rounded shadow border italic underline truncate static relative"
+    (row,) = [r for r in H.Page(f'<div class="{utilities} sidebar sidebar">x</div>').features() if "t:div" in r]
+    assert row.count("n:sidebar") == 1 and row.count("n:flex") == 1
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>x y z</p></article>", "t"), (2, None, None, "t"), (3, "u", "", "t"), (None, "u", "<<<>>><p", "t"), (1, "u", "<article><p>x y z</p></article>", "t")]
     got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
