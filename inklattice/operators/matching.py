@@ -12,7 +12,8 @@ def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFra
     """(target, doc, match_type): best tier at which a target occurs in a document's text.
 
     targets: target; texts: doc, text.  Tokens of texts are matched by equality for the first three tiers, so
-    the joins are equi-joins on keys instead of a substring test of every pair; ``contains_tier`` has the other.
+    the joins are equi-joins on keys instead of a substring test of every pair; a target inside a longer token is
+    not found.
     """
     token = texts.select("doc", F.explode(F.array_distinct(F.split(F.col("text"), r"\s+"))).alias("token")).filter("token <> ''")
     t = targets.select("target").distinct()
