@@ -6,15 +6,18 @@ Base: add-one unigrams over the training tokens, exact for every word.  The coun
 (``KNOWN_WORDS`` at most) go to all executors (a bounded table); rarer words of each text are looked up by a shuffle join.
 
 Model: P(word | history) = P(class | history) * P(word | class, history).  The ``CLASSES - 1`` first classes hold
-``PER_CLASS`` words each (the most frequent ones, by frequency); the last class holds all other words in a tree of
-``PER_CLASS`` branches a node and as many leaves as there are such words, dealt to the leaves by hash:
-P(word | last class, history) = product of P(branch | node, history) * P(word | leaf), where the few words of a leaf
-and one unseen word a leaf share its mass by add-one counts.  All softmaxes are maximum-entropy models with weights
-in hashed tables that grow with the vocabulary: the word before, the one two before (skip), the one three before
-(skip), and the pair of the last two, each by its own hash, whatever its frequency.  Weights start at the unigram
-distribution, for which every task holds the leaves' masses (4 bytes a word), and are trained on all training tokens by
-distributed gradient updates: in each of ``ROUNDS`` rounds every partition runs mini-batches of adaptive gradient
-steps over its share, and the changes of all partitions are averaged, weighed by their tokens.
+``PER_CLASS`` words each (the most frequent ones, by frequency).  The last class holds all other words, split again
+and again into two classes, ``LEAST_DEPTH`` times or more (once more with each fourfold vocabulary; words are dealt by
+hash): P(word | last class, history) = product of P(half | node, history) * P(word | leaf), where the words of a
+leaf and one unseen word a leaf share its mass by add-one counts.  All softmaxes are maximum-entropy models with
+weights in hashed tables, which grow with the square root of the vocabulary: the word before, the one two before
+(skip), and the pair of both, each by its own hash, whatever its frequency.  Weights start at the unigram distribution.
+No task holds more than these tables, the leaves' masses and the ``KNOWN_WORDS`` counts.
+
+Training: distributed gradient updates on all training tokens.  Texts are dealt by their id's hash to shards whose
+number depends on the corpus alone and are read in order of their ids, so scores do not depend on the table's
+partitions (but for the order of sums).  In each of ``ROUNDS`` rounds every shard runs mini-batches of adaptive gradient steps over its
+share; a weight's change is the mean over the shards that changed it.
 
 Training texts: crc32(id as text) mod 7 is not 2.  Nulls: a null text is empty (one end token); rows with a null
 id are scored as held out.  Repeated rows are learnt and scored as often as they occur.  Empty tables give empty
@@ -36,16 +39,15 @@ from inklattice.llm.common import materialize, mix64, slices, word_hashes
 FOLDS, HELD_OUT = 7, 2
 KNOWN_WORDS = 262_144
 CLASSES, PER_CLASS = 32, 31
-#: Least rows of the hashed weight tables of the class and the word model, which double while there are 64 and 32 words a row or more.
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+#: Least rows of the hashed weight tables of the class and the word model, least weights of the splits, and least tokens of a shard; all double with each fourfold vocabulary from ``LEAST_WORDS`` on.
+CLASS_ROWS, WORD_ROWS, SPLIT_WEIGHTS, SHARD_TOKENS = 1 << 12, 1 << 12, 1 << 17, 2_000_000
+LEAST_WORDS, LEAST_DEPTH = 1 << 18, 10
 ROUNDS = 2
-BATCH = 8192
-RATE = 0.15
+BATCH = 16_384
+RATE, SPLIT_RATE = 0.15, 0.03
 BLOCK = 8192
-#: Leaves whose masses are summed and sent together.
-LEAF_BLOCK = 65_536
 END = 0x0E0D0E0D0E0D0E0D
-FEATURES = 4
+FEATURES = 3
 #: Distinct hashes that a counting task holds before it passes them on.
 HELD_COUNTS = 2_000_000
 
@@ -101,8 +103,8 @@ def tail_slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def leaf_of(slots: np.ndarray, leaves: int) -> np.ndarray:
-    """The leaf that each slot beyond the heads falls on."""
-    return ((mix64(slots.astype(np.uint64)) >> np.uint64(32)) * np.uint64(leaves) >> np.uint64(32)).astype(np.int64)
+    """The leaf that each slot beyond the heads falls on; leaves are a power of two."""
+    return (mix64(slots.astype(np.uint64)) & np.uint64(leaves - 1)).astype(np.int64)
 
 
 def leaf_masses(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
@@ -110,33 +112,23 @@ def leaf_masses(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
     heads, leaves = vocab.hashes[vocab.head < (CLASSES - 1) * PER_CLASS], vocab.leaves
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(leaves)
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
             tail = ~np.isin(h, heads)
-            leaf = leaf_of(tail_slots(h[tail]), leaves)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf // LEAF_BLOCK), pa.array(leaf % LEAF_BLOCK), pa.array(batch.column(1).to_numpy()[tail] + 1)], ["block", "leaf", "mass"])
+            mass += np.bincount(leaf_of(tail_slots(h[tail]), leaves), batch.column(1).to_numpy()[tail] + 1, leaves)
+        held = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(mass[held].astype(np.int64))], ["leaf", "mass"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, leaf, mass = (batch.column(k).to_numpy() for k in range(3))
-            for b in np.unique(block).tolist():
-                own = block == b
-                sums[b] = sums.get(b, 0) + np.bincount(leaf[own], mass[own], LEAF_BLOCK)
-        for b, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([value.astype(np.float32).tobytes()], pa.binary())], ["block", "mass"])
+    out = np.ones(leaves)
+    for r in counts.select("h", "c").mapInArrow(deal, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).collect():
+        out[r.leaf] += r.mass
+    return out
 
-    out = np.zeros(leaves, np.float32)
-    for r in counts.select("h", "c").mapInArrow(deal, "block long, leaf long, mass long").repartition(96, "block").mapInArrow(add, "block long, mass binary").collect():
-        part = out[r.block * LEAF_BLOCK : (r.block + 1) * LEAF_BLOCK]
-        part += np.frombuffer(r.mass, np.float32)[: len(part)]
-    return out + 1
 
-
-def table_rows(least: int, distinct: int, words: int) -> int:
-    while least * 2 * words <= distinct:
-        least *= 2
-    return least
+def doublings(distinct: int) -> int:
+    """How often the tables double for a vocabulary: once with each fourfold number of words."""
+    return max(0, (max(distinct, 1) // LEAST_WORDS).bit_length() - 1) // 2
 
 
 class Vocabulary:
@@ -146,6 +138,7 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.tokens, self.distinct = tokens, distinct
+        self.small = None
         self.floor = tokens + distinct + 1
         rank = np.empty(len(order), np.int64)
         rank[:] = order  # hashes came by falling frequency, so the place in that list is the rank
@@ -155,10 +148,28 @@ class Vocabulary:
         top = np.argsort(rank)[: self.n_head]
         self.head_counts = np.zeros(heads)
         self.head_counts[: self.n_head] = self.counts[top]
+        self.leaves = 1 << LEAST_DEPTH + doublings(distinct)
         #: Mass of the last class: add-one counts of all words outside the heads and of the unseen one.
-        self.leaves = max(distinct - self.n_head, 1)
         self.tail_mass = float(self.floor - (self.head_counts[: self.n_head] + 1).sum())
 
+    def slots(self, tokens: np.ndarray) -> np.ndarray:
+        """The head's place of each token or, beyond the heads, the word's hash: by a small open table."""
+        if self.small is None:
+            heads = np.flatnonzero(self.head < (CLASSES - 1) * PER_CLASS)
+            self.small = (np.full(1 << 16, np.uint64(0)), np.full(1 << 16, -1, np.int64))
+            self.crowded = []
+            for k in heads.tolist():
+                at = int(self.hashes[k]) >> 48
+                if self.small[1][at] < 0:
+                    self.small[0][at], self.small[1][at] = self.hashes[k], self.head[k]
+                else:
+                    self.crowded.append((self.hashes[k], self.head[k]))
+        at = (tokens >> np.uint64(48)).astype(np.int64)
+        out = np.where((self.small[0][at] == tokens) & (self.small[1][at] >= 0), self.small[1][at], tail_slots(tokens))
+        for h, place in self.crowded:
+            out[tokens == h] = place
+        return out
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slot, count) of each token; the slot is a head's place or, beyond the heads, the word's hash; count -1 for words that are not among the frequent ones."""
         heads = (CLASSES - 1) * PER_CLASS
@@ -172,56 +183,65 @@ class Vocabulary:
 
 
 def features(slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of each token's history: previous slot, skip of one, skip of two, pair of the last two."""
-    padded = np.concatenate([np.full(3, CLASSES * PER_CLASS + 1), slots])
-    n = len(slots)
-    place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
-    none = CLASSES * PER_CLASS + 2
-    back = [np.where(place >= k, padded[3 - k : 3 - k + n], none).astype(np.uint64) for k in (1, 2, 3)]
-    raw = [back[0] * np.uint64(4), back[1] * np.uint64(4) + np.uint64(1), back[2] * np.uint64(4) + np.uint64(2), (mix64(back[0]) + back[1]) * np.uint64(4) + np.uint64(3)]
+    """Hashes of each token's history: the slot before, the one before that (skip), the pair of both."""
+    none = np.uint64(CLASSES * PER_CLASS + 2)
+    one, two = np.empty(len(slots), np.uint64), np.empty(len(slots), np.uint64)
+    one[1:], two[2:] = slots[:-1], slots[:-2]
+    first, second = starts[:-1], starts[:-1] + 1
+    one[first] = two[first] = none
+    two[second[second < starts[1:]]] = none
+    raw = [one * np.uint64(4), two * np.uint64(4) + np.uint64(1), (mix64(one) + two) * np.uint64(4) + np.uint64(3)]
     return np.stack([mix64(f + np.uint64(0x632BE59BD9B4E019)) for f in raw])
 
 
+def _centred(mass: np.ndarray) -> np.ndarray:
+    """Log masses less their largest, by row; -1e4 for none, so that its exponential is 0; rows without any are even."""
+    out = np.log(np.maximum(mass, 1e-300))
+    out = np.where(mass > 0, out - out.max(axis=1, keepdims=True), -1e4)
+    return np.where(mass.any(axis=1, keepdims=True), out, 0).astype(np.float32)
+
+
 class Model:
     def __init__(self, vocab: Vocabulary, masses: np.ndarray | None = None):
         """masses: of the leaves; by default each leaf has the same."""
         self.vocab = vocab
-        self.set_masses(np.full(vocab.leaves, vocab.tail_mass / vocab.leaves, np.float32) if masses is None else masses)
+        self.set_masses(np.full(vocab.leaves, max(vocab.tail_mass, 1e-12) / vocab.leaves) if masses is None else masses)
         heads = (vocab.head_counts + 1).reshape(CLASSES - 1, PER_CLASS)
         live = (np.arange((CLASSES - 1) * PER_CLASS) < vocab.n_head).reshape(CLASSES - 1, PER_CLASS)
         mass = np.append((heads * live).sum(axis=1), max(vocab.tail_mass, 1e-12))
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-300)), -1e9).astype(np.float32)
-            self.word_bias = np.where(live, np.log(heads), -1e9).astype(np.float32)
-        self.class_weights = np.zeros((table_rows(CLASS_ROWS, vocab.distinct, 64), CLASSES), np.float32)
-        self.word_weights = np.zeros((table_rows(WORD_ROWS, vocab.distinct, 32), PER_CLASS), np.float32)
+        self.class_bias = _centred(mass[None])[0]
+        self.word_bias = _centred(heads * live)
+        more = doublings(vocab.distinct)
+        self.class_weights = np.zeros((CLASS_ROWS << more, CLASSES), np.float32)
+        self.word_weights = np.zeros((WORD_ROWS << more, PER_CLASS), np.float32)
+        self.split_weights = np.zeros(SPLIT_WEIGHTS << more, np.float32)
 
     def set_masses(self, masses: np.ndarray) -> None:
-        """The tree's levels from the root down: log masses of each node's branches."""
-        self.levels: list[np.ndarray] = []
+        """Log masses of the leaves, and of each node of the halving the log odds of its second half."""
         self.last = np.log(np.maximum(masses, 1e-12)).astype(np.float32)
-        while len(masses) > 1:
-            padded = np.zeros(-(-len(masses) // PER_CLASS) * PER_CLASS, np.float32)
-            padded[: len(masses)] = masses
-            nodes = padded.reshape(-1, PER_CLASS)
-            with np.errstate(divide="ignore"):
-                self.levels.insert(0, np.where(nodes > 0, np.log(np.maximum(nodes, 1e-12)), -1e9).astype(np.float32))
-            masses = nodes.sum(axis=1)
-        #: Only one copy of the leaves is kept.
-        if self.levels:
-            self.last = self.levels[-1].ravel()[: len(self.last)]
-
-    def branches(self, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(node, biases, branch) on each level, for slots beyond the heads."""
-        leaf, first = leaf_of(slots, len(self.last)), CLASSES
-        for k, level in enumerate(self.levels):
-            child = leaf // PER_CLASS ** (len(self.levels) - 1 - k)
-            yield first + child // PER_CLASS, level[child // PER_CLASS], child % PER_CLASS
-            first += len(level)
+        odds, level = [], masses.astype(np.float64)
+        while len(level) > 1:
+            odds.insert(0, np.log(level[1::2] / level[::2]))
+            level = level[::2] + level[1::2]
+        self.odds = np.concatenate([[0.0], *odds]).astype(np.float32)
+
+    def splits(self, f: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of slots beyond the heads: log odds and side (a column a level), and the indexes of the weights that take part, by feature."""
+        depth = len(self.last).bit_length() - 1
+        path = (leaf_of(slots, len(self.last)) + len(self.last))[:, None] >> np.arange(depth, -1, -1)
+        nodes, side = path[:, :-1], path[:, 1:] & 1
+        z, parts = self.odds[nodes], []
+        salted = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        shift = np.uint64(65 - len(self.split_weights).bit_length())
+        for k in range(FEATURES):
+            at = (((salted ^ f[k][:, None]) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
+            z += self.split_weights[at]
+            parts.append(at)
+        return z, side, parts
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+        """In place; the biases' largest is 0 and weights are small, so exponentials stay in range."""
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         return z
@@ -234,37 +254,47 @@ class Model:
         z += self.class_bias
         return rows, self._softmax(z)
 
-    def word_part(self, f: np.ndarray, classes: np.ndarray, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """classes: of the words, or nodes of the tree with the biases of their branches."""
+    def word_part(self, f: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = (mix64(f + classes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) & np.uint64(len(self.word_weights) - 1)).astype(np.int64)
         z = self.word_weights[rows[0]]
         for r in rows[1:]:
             z += self.word_weights[r]
-        z += self.word_bias[classes] if bias is None else bias
+        z += self.word_bias[classes]
         return rows, self._softmax(z)
 
-    def learn(self, f: np.ndarray, slots: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
-        """One gradient step (adaptive rates) on a mini-batch."""
-        heads = (CLASSES - 1) * PER_CLASS
+    def fresh_squares(self) -> list[np.ndarray]:
+        """Sums of squared gradients before the first step, for each table."""
+        return [np.full(len(t), 0.1, np.float32) for t in self.tables()]
+
+    def tables(self) -> list[np.ndarray]:
+        return [self.class_weights, self.word_weights, self.split_weights]
+
+    def learn(self, f: np.ndarray, slots: np.ndarray, squares: list[np.ndarray], turn: int = 0) -> None:
+        """One gradient step (adaptive rates) on a mini-batch, for the weights of one kind of feature: the kinds take turns."""
+        heads, k = (CLASSES - 1) * PER_CLASS, turn % FEATURES
         classes = np.where(slots < heads, slots // PER_CLASS, CLASSES - 1)
-        self._step(self.class_weights, squares[0], *self.class_part(f), classes)
+        rows, p = self.class_part(f)
+        self._step(self.class_weights, squares[0], rows[k], p, classes)
         inner = np.flatnonzero(slots < heads)
         if len(inner):
-            self._step(self.word_weights, squares[1], *self.word_part(f[:, inner], classes[inner]), slots[inner] % PER_CLASS)
+            rows, p = self.word_part(f[:, inner], classes[inner])
+            self._step(self.word_weights, squares[1], rows[k], p, slots[inner] % PER_CLASS)
         outer = np.flatnonzero(slots >= heads)
         if len(outer):
-            own = f[:, outer]
-            for nodes, bias, branch in self.branches(slots[outer]):
-                self._step(self.word_weights, squares[1], *self.word_part(own, nodes, bias), branch)
+            z, side, parts = self.splits(f[:, outer], slots[outer])
+            g, at = (1 / (1 + np.exp(-z)) - side).ravel().astype(np.float32), parts[k].ravel()
+            np.add.at(squares[2], at, g * g)
+            np.add.at(self.split_weights, at, -SPLIT_RATE * g / np.sqrt(squares[2][at]))
 
     @staticmethod
     def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, p: np.ndarray, targets: np.ndarray) -> None:
         p[np.arange(len(p)), targets] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        touched, first = np.unique(flat[order], return_index=True)
-        g = np.add.reduceat(p[order % p.shape[0]], first, axis=0)
-        g /= np.sqrt(np.maximum(np.diff(np.append(first, len(flat))), 1))[:, None]
+        order = np.argsort(rows.astype(np.uint16) if len(weights) <= 1 << 16 else rows, kind="stable")
+        held = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        touched = held[first]
+        g = np.add.reduceat(p[order], first, axis=0)
+        g /= np.sqrt(np.diff(np.append(first, len(rows))))[:, None]
         squares[touched] += (g * g).mean(axis=1)
         weights[touched] -= (RATE / np.sqrt(squares[touched] + 1e-3))[:, None] * g
 
@@ -277,7 +307,7 @@ class Model:
             part = slice(at, at + BATCH)
             c = classes[part]
             _, p = self.class_part(f[:, part])
-            got = p[np.arange(len(c)), c].astype(np.float64)
+            got = p[np.arange(len(c)), c]
             inner = np.flatnonzero(c < CLASSES - 1)
             if len(inner):
                 _, q = self.word_part(f[:, part][:, inner], c[inner])
@@ -285,55 +315,62 @@ class Model:
             out[part] = np.log10(np.maximum(got, 1e-30))
             outer = np.flatnonzero(c == CLASSES - 1)
             if len(outer):
-                own, at_leaf = f[:, part][:, outer], np.zeros(len(outer))
-                for nodes, bias, branch in self.branches(slots[part][outer]):
-                    _, q = self.word_part(own, nodes, bias)
-                    at_leaf += np.log10(np.maximum(q[np.arange(len(outer)), branch], 1e-30))
-                out[at + outer] += at_leaf
+                z, side, _ = self.splits(f[:, part][:, outer], slots[part][outer])
+                out[at + outer] -= np.log1p(np.exp(np.clip(np.where(side, -z, z), -60, 60))).sum(axis=1) / np.log(10)
         return out
 
 
-def _train_round(docs: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
-    """Average change of all weights in one round, by block."""
+def _train_round(dealt: DataFrame, shared, round_: int) -> dict[int, np.ndarray]:
+    """Mean changes of all weights in one round, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = copy.copy(shared.value)
-        model.class_weights, model.word_weights = shared.value.class_weights.copy(), shared.value.word_weights.copy()
-        squares = (np.full(len(model.class_weights), 0.1, np.float32), np.full(len(model.word_weights), 0.1, np.float32))
-        seen = 0
+        shard, model, squares, turn = None, None, None, 0
+
+        def changes() -> Iterator[pa.RecordBatch]:
+            change = np.concatenate([(new - old).ravel() for new, old in zip(model.tables(), shared.value.tables(), strict=True)]).astype(np.float16)
+            for k in range(0, len(change), BLOCK):
+                if change[k : k + BLOCK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([change[k : k + BLOCK].tobytes()], pa.binary())], ["block", "change"])
+
         for batch in (part for whole in batches for part in slices(whole, 0)):
-            tokens, starts = tokens_of(batch.column(0))
-            slots, _ = model.vocab.look_up(tokens)
-            f = features(slots, starts)
-            for at in range(0, len(slots), BATCH):
-                model.learn(f[:, at : at + BATCH], slots[at : at + BATCH], squares)
-            seen += len(slots)
-        if not seen:
-            return
-        change = np.concatenate([(model.class_weights - shared.value.class_weights).ravel(), (model.word_weights - shared.value.word_weights).ravel()]) * np.float32(seen)
-        for k in range(0, len(change), BLOCK):
-            if change[k : k + BLOCK].any() or k == 0:
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([seen]), pa.array([change[k : k + BLOCK].tobytes()], pa.binary())], ["block", "seen", "change"])
+            shards = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if shards[a] != shard:
+                    if model is not None:
+                        yield from changes()
+                    shard, model = shards[a], copy.copy(shared.value)
+                    model.class_weights, model.word_weights, model.split_weights = (t.copy() for t in shared.value.tables())
+                    squares, turn = model.fresh_squares(), 0
+                tokens, starts = tokens_of(batch.column(0).slice(a, b - a))
+                slots = model.vocab.slots(tokens)
+                f = features(slots, starts)
+                for at in range(0, len(slots), BATCH):
+                    model.learn(f[:, at : at + BATCH], slots[at : at + BATCH], squares, turn)
+                    turn += 1
+        if model is not None:
+            yield from changes()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Partial sums within a task first, so that few rows are sent to the last sum.
         sums: dict[int, np.ndarray] = {}
-        n: dict[int, int] = {}
+        n: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, s, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                value = np.frombuffer(blob, np.float32).astype(np.float64)
-                sums[b] = sums[b] + value if b in sums else value
-                n[b] = n.get(b, 0) + s
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = np.frombuffer(blob, np.float16).astype(np.float64)
+                sums[b], n[b] = sums.get(b, 0) + value, n.get(b, 0) + (value != 0)
         for b, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([n[b]]), pa.array([value.astype(np.float32).tobytes()], pa.binary())], ["block", "seen", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([(value / np.maximum(n[b], 1)).astype(np.float32).tobytes()], pa.binary())], ["block", "change"])
+
+    schema = "block long, change binary"
+    rows = dealt.filter(F.col("round") == round_).select("text", "shard").mapInArrow(run, schema).repartition(96, "block").mapInArrow(add, schema).collect()  # the size of the weight tables
+    return {r.block: np.frombuffer(r.change, np.float32) for r in rows}
+
 
-    schema = "block long, seen long, change binary"
-    part = docs.filter(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == round_)).select("text")
-    # A copy of the tables for each two tasks of a core: each copy is sent back whole.
-    part = part.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
-    rows = part.repartition(96, "block").mapInArrow(add, schema).collect()  # the size of the weight tables
-    total = max((r.seen for r in rows), default=0)  # the first block counts every partition
-    return {r.block: np.frombuffer(r.change, np.float32) / np.float32(max(total, 1)) for r in rows}
+def deal(docs: DataFrame, tokens: int, distinct: int) -> DataFrame:
+    """text, shard, round of the training texts, one shard a task, by id."""
+    shards = max(1, -(-tokens // (SHARD_TOKENS << doublings(distinct))))
+    own = docs.filter("not held").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit("round")), F.lit(ROUNDS)).cast("int").alias("round"))
+    return own.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("text")).select("text", "shard", "round")
 
 
 def _level() -> Column:
@@ -357,15 +394,17 @@ def train(docs: DataFrame) -> Model:
     vocab = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals[0]), int(totals[1]))
     model = Model(vocab, leaf_masses(counts, vocab))
     model.counts, model.least = None, least
+    dealt = materialize(deal(docs, vocab.tokens, vocab.distinct), "shards")
     for round_ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)  # grows with the vocabulary: about 8 bytes a word
-        change = _train_round(docs, shared, round_)
+        shared = spark.sparkContext.broadcast(model)  # the weight tables and the counts of KNOWN_WORDS words
+        change = _train_round(dealt, shared, round_)
         shared.destroy()
-        flat = np.concatenate([model.class_weights.ravel(), model.word_weights.ravel()])
+        sizes = [t.size for t in model.tables()]
+        flat = np.concatenate([t.ravel() for t in model.tables()])
         for b, value in change.items():
-            flat[b * BLOCK : b * BLOCK + len(value)] += value.astype(np.float32)
-        n = model.class_weights.size
-        model.class_weights, model.word_weights = flat[:n].reshape(-1, CLASSES), flat[n:].reshape(-1, PER_CLASS)
+            flat[b * BLOCK : b * BLOCK + len(value)] += value
+        a, b, c = np.split(flat, np.cumsum(sizes)[:-1])
+        model.class_weights, model.word_weights, model.split_weights = a.reshape(-1, CLASSES), b.reshape(-1, PER_CLASS), c
     model.counts = counts
     return model
 

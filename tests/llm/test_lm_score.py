@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inklattice.llm import lm_score
@@ -34,7 +35,7 @@ def test_learns_order_and_is_a_distribution():
     names = r.integers(0, 2**63, 300).astype(np.uint64)
     follow = r.permutation(300)
     walk, at = [], 0
-    for _ in range(40_000):
+    for _ in range(120_000):
         at = int(follow[at]) if r.random() < 0.8 else int(r.integers(300))
         walk.append(at)
     tokens = names[np.array(walk)]
@@ -46,9 +47,9 @@ def test_learns_order_and_is_a_distribution():
     starts = np.array([0, len(slots)])
     before = model.log10(slots, starts).mean()
     f = lm_score.features(slots, starts)
-    squares = (np.full(lm_score.CLASS_ROWS, 0.1, np.float32), np.full(lm_score.WORD_ROWS, 0.1, np.float32))
+    squares = model.fresh_squares()
     for k in range(0, len(slots), 2048):
-        model.learn(f[:, k : k + 2048], slots[k : k + 2048], squares)
+        model.learn(f[:, k : k + 2048], slots[k : k + 2048], squares, k // 2048)
     assert model.log10(slots, starts).mean() > before + 0.3
     one = f[:, 500:501]
     _, p = model.class_part(one)
@@ -62,7 +63,7 @@ def test_learns_the_order_of_words_outside_the_heads():
     names = r.integers(0, 2**63, heads + n).astype(np.uint64)
     follow = r.permutation(n)
     walk, at = [], 0
-    for _ in range(60_000):
+    for _ in range(120_000):
         at = int(follow[at]) if r.random() < 0.9 else int(r.integers(n))
         walk.append(heads + at)
     tokens = names[np.array(walk)]
@@ -75,21 +76,16 @@ def test_learns_the_order_of_words_outside_the_heads():
     starts = np.array([0, len(slots)])
     before = model.log10(slots, starts).mean()
     f = lm_score.features(slots, starts)
-    squares = (np.full(lm_score.CLASS_ROWS, 0.1, np.float32), np.full(lm_score.WORD_ROWS, 0.1, np.float32))
+    squares = model.fresh_squares()
     for k in range(0, len(slots), 2048):
-        model.learn(f[:, k : k + 2048], slots[k : k + 2048], squares)
-    assert model.log10(slots, starts).mean() > before + 1
-    # Over all words and one unseen word a leaf, the tail's probabilities sum to one.
-    total = np.zeros(vocab.leaves)
-    reach = np.ones(1)
-    first = lm_score.CLASSES
-    for level in model.levels:
-        nodes = np.arange(len(level))
-        _, p = model.word_part(np.repeat(f[:, 500:501], len(level), axis=1), first + nodes, level)
-        reach = (reach[: len(level), None] * p).ravel()
-        first += len(level)
-    total = reach[: vocab.leaves]
-    assert abs(total.sum() - 1) < 1e-3 and abs(reach.sum() - 1) < 1e-3
+        model.learn(f[:, k : k + 2048], slots[k : k + 2048], squares, k // 2048)
+    assert model.log10(slots, starts).mean() > before + 0.5
+    # Over all leaves, the probabilities of one history sum to one.
+    leaves = len(model.last)
+    every, left = np.empty(leaves, np.int64), np.arange(heads, heads + 60 * leaves)
+    every[lm_score.leaf_of(left, leaves)] = left
+    z, side, _ = model.splits(np.repeat(f[:, 500:501], leaves, axis=1), every)
+    assert abs(np.exp(-np.logaddexp(0, np.where(side, -z, z)).sum(axis=1)).sum() - 1) < 1e-3
 
 
 def test_leaf_masses_hold_every_word_beyond_the_heads(spark):
@@ -99,7 +95,52 @@ def test_leaf_masses_hold_every_word_beyond_the_heads(spark):
     frame = spark.createDataFrame(list(zip(names.view(np.int64).tolist(), c.tolist(), strict=True)), "h long, c long")
     got = lm_score.leaf_masses(frame, vocab)
     heads = (lm_score.CLASSES - 1) * lm_score.PER_CLASS
-    assert len(got) == 5000 - heads and got.sum() == (c[heads:] + 1).sum() + len(got)
+    assert len(got) == vocab.leaves == 1024 and got.sum() == (c[heads:] + 1).sum() + len(got)
+
+
+def test_brute_force_score_and_partitions(spark, prose, monkeypatch):
+    """Scores of the query equal the model applied alone, and do not depend on how the table is cut."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 4000)
+    rows = [(k, prose(k % 50, 60)) for k in range(300)] + [(3, prose(999, 5)), (7, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted((r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(frame.repartition(2)).collect())
+    two = sorted((r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(frame.repartition(13)).collect())
+    assert len(one) == len(two) == len(rows)
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-3) for a, b in zip(one, two, strict=True))
+    docs = frame.selectExpr("doc_id AS id", "text", "false AS held")
+    model = lm_score.train(docs)
+    tokens, starts = lm_score.tokens_of(pa.array([rows[0][1]]))
+    f = lm_score.features(model.vocab.look_up(tokens)[0], starts)
+    want, (h, counts) = 0.0, np.unique(np.concatenate([lm_score.tokens_of(pa.array([t]))[0] for _, t in rows]), return_counts=True)
+    counts = dict(zip(h.tolist(), counts.tolist(), strict=True))
+    slots, _ = model.vocab.look_up(tokens)
+    for k, (token, slot) in enumerate(zip(tokens.tolist(), slots.tolist(), strict=True)):  # one token at a time, by plain sums
+        own = f[:, k : k + 1]
+        n = min(slot // lm_score.PER_CLASS, lm_score.CLASSES - 1)
+        z = model.class_bias.astype(float) + sum(model.class_weights[int(x) % len(model.class_weights)] for x in own[:, 0])
+        want += math.log10(np.exp(z[n]) / np.exp(z).sum())
+        if n < lm_score.CLASSES - 1:
+            salt = np.array([n], np.uint64) * np.uint64(0xA24BAED4963EE407)
+            z = model.word_bias[n].astype(float) + sum(model.word_weights[int(lm_score.mix64(own[j] + salt)[0]) % len(model.word_weights)] for j in range(lm_score.FEATURES))
+            want += math.log10(np.exp(z[slot % lm_score.PER_CLASS]) / np.exp(z).sum())
+        else:
+            z, side, _ = model.splits(own, np.array([slot]))
+            want += sum(math.log10(1 / (1 + math.exp(-x if s else x))) for x, s in zip(z[0], side[0], strict=True))
+            leaf = lm_score.leaf_of(np.array([slot]), len(model.last))[0]
+            want += math.log10(counts[token] + 1) - model.last[leaf] / math.log(10)
+    shared = lm_score.score_documents(frame)
+    assert shared.columns[-1] == "score"
+    got = model.log10(slots, starts)
+    outer = slots >= (lm_score.CLASSES - 1) * lm_score.PER_CLASS
+    got[outer] += [math.log10(counts[t] + 1) for t in tokens[outer].tolist()] - model.last[lm_score.leaf_of(slots[outer], len(model.last))] / math.log(10)
+    assert math.isclose(got.sum(), want, rel_tol=1e-4)
+
+
+def test_nulls_and_repeated_rows(spark):
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (4, None)]
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {r.held_out for r in got if r.doc_id is None} == {True}
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and [r.n_tokens for r in got if r.doc_id == 4] == [1]
 
 
 def test_empty_table(spark):
