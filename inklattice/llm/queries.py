@@ -66,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_license_scan": license_scan.oracle_sql(),
     "op8_near_dedup": sql.NEAR_DEDUP,
     "op10_decontamination": decontam.ORACLE_SQL,
 }
