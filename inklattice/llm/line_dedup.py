@@ -1,14 +1,15 @@
 """Line dedup by a log-template tree (operator 1), in DataFrame functions only.
 
 A line's tokens are its runs without white space; tokens that hold an ASCII digit become ``<*>``.  The tree has
-a fixed depth: token count, then the ``lead`` first tokens.  A leaf holds the masked lines below it.  The leaf's
-template is its most frequent masked line (ties: the largest hash); a line whose tokens agree with it at
-``similar`` of the positions or more belongs to that template (the positions that differ are variable fields),
-provided it has ``min_tokens`` tokens, so that short lines fall together only if their masked forms are equal.
-Every other line is a template of its own.
+a fixed depth: token count, then the ``lead`` first tokens.  A leaf holds the masked lines below it, and any number
+of templates: each masked line is one, and each masked line with one more variable field is another, if several
+masked lines of the leaf have that form.  Such a field takes one token, or up to ``FIELD_SHARE`` of a longer line's (places behind the
+leading tokens are cut into blocks of that width); lines of fewer than ``min_tokens`` tokens get none.  A line belongs to
+every template that it fits.
 
-A template recurs when it stands in ``min_docs`` or more documents.  Its lines stay in the first document (the
-smallest id) and are dropped from all others.  Lines without tokens always stay.
+A template recurs when it stands in ``min_docs`` or more documents.  A line is dropped if a recurring template that
+it fits stands in an earlier document (one with a smaller id): its first document keeps it, or all of them if they repeat
+it.  Lines without tokens always stay.
 
 Nulls: a null text has no lines and stays null; rows with a null id stay as they are and count nowhere.
 Repeated rows with one id are one document.  Other columns pass through.
@@ -24,7 +25,8 @@ from inklattice.llm.common import materialize
 LEAD = 4
 MIN_DOCS = 2
 MIN_TOKENS = 8
-SIMILAR = 0.9
+#: One token in so many may be a variable field (one at least).
+FIELD_SHARE = 10
 #: Leaves up to which their hashes are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -65,43 +67,53 @@ def lines_of(text: Column) -> Column:
     return F.array_distinct(F.transform(shown, node))
 
 
-def recurring(docs: DataFrame, seen: DataFrame, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(tmpl, first): the masked lines whose template recurs and the first document of that template.
+def forms(m: Column, n: Column) -> Column:
+    """Hashes of a masked line's templates with one more variable field: one for each block behind the leading tokens."""
+    width = F.greatest(F.floor(n / FIELD_SHARE), F.lit(1)).cast("int")
+    blocks = F.ceil((n - LEAD) / width).cast("int")
+
+    def without(tokens: Column, k: Column) -> Column:
+        at = F.lit(LEAD + 1) + k * width
+        return F.xxhash64(n, k, F.slice(tokens, 1, at - 1), F.slice(tokens, at + width, n))
+
+    # The tokens are named once, so that the line is split once.
+    return F.flatten(F.transform(F.array(F.split(m, " ")), lambda tokens: F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: without(tokens, k))))
+
+
+def recurring(docs: DataFrame, seen: DataFrame, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(leaf, tmpl, first): the masked lines that fit a recurring template, and the first document of such a one.
 
     docs: id, text; seen: their distinct (id, leaf, tmpl, n).
     """
-    exact = seen.groupBy("leaf", "tmpl", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("id").alias("last"))
-    exact = materialize(exact, "templates")
-    wide = materialize(exact.filter(F.col("n") >= min_tokens).groupBy("leaf").agg(F.count("*").alias("k"), F.max_by("tmpl", F.struct("docs", "tmpl")).alias("head")).filter("k > 1"), "leaves")
-    leaves = wide.select("leaf")
-    leaves = F.broadcast(leaves) if wide.count() <= BROADCAST_ROWS else leaves
+    min_tokens = max(min_tokens, LEAD + 1)
+    exact = materialize(seen.groupBy("leaf", "tmpl", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("id").alias("last")), "templates")
+    leaves = materialize(exact.filter(F.col("n") >= min_tokens).groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf"), "leaves")
+    leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
     # The masked lines of those leaves only, once each.
     text = docs.filter("id is not null and text is not null").select(F.explode(masked_lines(F.col("text"))).alias("m")).filter("m <> ''")
-    n = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    text = text.withColumn("leaf", F.xxhash64(n, F.substring_index("m", " ", LEAD))).join(leaves, "leaf")
-    text = text.groupBy("leaf", identity(F.col("m")).alias("tmpl")).agg(F.first("m").alias("m"))
-    heads = text.join(wide, (text.leaf == wide.leaf) & (text.tmpl == wide["head"]), "inner").select(text.leaf.alias("leaf"), F.col("m").alias("hm"), "head")
-    agree = F.zip_with(F.split("m", " "), F.split("hm", " "), lambda a, b: a == b)
-    same = F.size(F.filter(agree, lambda x: x)) / F.size(agree)
-    joined = text.join(heads, "leaf").filter(same >= similar).select(F.col("leaf"), "tmpl", "head")
-    grouped = exact.join(joined, ["leaf", "tmpl"], "left").withColumn("grp", F.coalesce("head", "tmpl"))
-    total = grouped.groupBy("leaf", "grp").agg(F.sum("docs").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("k"))
-    if min_docs <= 2:  # two documents or more: the first is not the last
-        total = total.filter(F.col("first") < F.col("last")).select("leaf", "grp", "first")
+    n = (F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1).cast("int")
+    text = text.withColumn("n", n).filter(F.col("n") >= min_tokens).withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", LEAD))).join(leaves, "leaf")
+    fits = text.groupBy("leaf", identity(F.col("m")).alias("tmpl")).agg(F.first(forms(F.col("m"), F.col("n"))).alias("forms"))
+    fits = materialize(fits.join(exact, ["leaf", "tmpl"]).select("leaf", "tmpl", "first", F.explode("forms").alias("form")), "forms")
+    if min_docs <= 2:  # a line of a template with an earlier document stands in two of them
+        shared = fits.groupBy("form").agg(F.min("first").alias("met"), F.count("*").alias("k")).filter("k > 1").select("form", "met")
+        own = exact.select("leaf", "tmpl", "last", F.col("first").alias("met"))
     else:
-        own = seen.join(grouped.select("leaf", "tmpl", "grp"), ["leaf", "tmpl"]).select("leaf", "grp", "id").distinct()
-        many = own.groupBy("leaf", "grp").agg(F.count("*").alias("d"), F.min("id").alias("first")).filter(F.col("d") >= min_docs)
-        total = many.select("leaf", "grp", "first")
-    return grouped.join(total.withColumnRenamed("first", "first_doc"), ["leaf", "grp"]).select("leaf", "tmpl", F.col("first_doc").alias("first"))
+        at = seen.join(fits.select("leaf", "tmpl", "form"), ["leaf", "tmpl"]).select("form", "id").distinct()
+        shared = at.groupBy("form").agg(F.min("id").alias("met"), F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("form", "met")
+        own = exact.select("leaf", "tmpl", "last", F.when(F.col("docs") >= min_docs, F.col("first")).alias("met"))
+    wider = fits.join(shared, "form").groupBy("leaf", "tmpl").agg(F.min("met").alias("wide"))
+    found = own.join(wider, ["leaf", "tmpl"], "left").withColumn("first", F.least("met", "wide"))
+    return found.filter(F.col("first") < F.col("last")).select("leaf", "tmpl", "first")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with the text's kept lines, and n_lines, n_dropped."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = slim.filter("id is not null and text is not null").select("id", F.explode(lines_of(F.col("text"))).alias("l")).select("id", "l.leaf", "l.tmpl", "l.n")
     seen = materialize(seen.distinct(), "lines")
-    repeated = materialize(recurring(slim, seen, similar, min_tokens, min_docs), "recurring")
-    drops = seen.join(repeated, ["leaf", "tmpl"]).filter(F.col("id") != F.col("first")).groupBy("id").agg(F.collect_set("tmpl").alias("_gone")).withColumnRenamed("id", "_gone_id")
+    repeated = materialize(recurring(slim, seen, min_tokens, min_docs), "recurring")
+    drops = seen.join(repeated, ["leaf", "tmpl"]).filter(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("tmpl").alias("_gone")).withColumnRenamed("id", "_gone_id")
     marked = docs.join(drops, docs[id_col] == F.col("_gone_id"), "left")
     lines = F.split(F.col(text_col), "\n")
     own = F.transform(masked_lines(F.col(text_col)), lambda m: F.when(m != "", identity(m)))
@@ -128,11 +140,13 @@ WITH l AS (SELECT doc_id, i, line, trim(regexp_replace(line, '[ \t\x0B\f\r]+', '
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
 t AS (SELECT doc_id, i, line, list_transform(string_split(m0, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l WHERE m0 <> ''),
 n AS (SELECT doc_id, i, line, toks, len(toks) AS n, array_to_string(toks, ' ') AS m, array_to_string(toks[1:4], ' ') AS lead FROM t),
-e AS (SELECT n, lead, m, any_value(toks) AS toks, count(DISTINCT doc_id) AS docs, min(doc_id) AS first, max(doc_id) AS last, CAST('0x' || md5(m)[1:15] AS BIGINT) AS tmpl FROM n GROUP BY n, lead, m),
-h AS (SELECT n, lead, m AS head, toks AS htoks FROM (SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, tmpl DESC) AS r, count(*) OVER (PARTITION BY n, lead) AS k FROM e WHERE n >= 8) WHERE r = 1 AND k > 1),
-g AS (SELECT e.n, e.lead, e.m, e.first, e.last, CASE WHEN len(list_filter(list_zip(e.toks, h.htoks), lambda p: p[1] = p[2])) / e.n >= 0.9 THEN h.head ELSE e.m END AS grp FROM e LEFT JOIN h ON h.n = e.n AND h.lead = e.lead),
-r AS (SELECT n, lead, m, grp, min(first) OVER w AS first, max(last) OVER w AS last FROM g WINDOW w AS (PARTITION BY n, lead, grp)),
-d AS (SELECT n.doc_id, n.i FROM n JOIN r ON r.n = n.n AND r.lead = n.lead AND r.m = n.m WHERE r.first < r.last AND n.doc_id <> r.first),
+e AS (SELECT n, lead, m, any_value(toks) AS toks, min(doc_id) AS first, greatest(n // 10, 1) AS width FROM n GROUP BY n, lead, m),
+f AS (SELECT n, m, first, b, array_to_string(list_concat(toks[1:4 + b * width], toks[5 + (b + 1) * width:]), ' ') AS form
+      FROM (SELECT *, unnest(generate_series(0, CAST(ceil((n - 4) / width) AS BIGINT) - 1)) AS b FROM e WHERE n >= 8)),
+g AS (SELECT n, b, form, min(first) AS met FROM f GROUP BY n, b, form HAVING count(*) > 1),
+x AS (SELECT f.n, f.m, min(met) AS wide FROM f JOIN g ON g.n = f.n AND g.b = f.b AND g.form = f.form GROUP BY f.n, f.m),
+r AS (SELECT e.n, e.m, least(first, coalesce(wide, first)) AS first FROM e LEFT JOIN x ON x.n = e.n AND x.m = e.m),
+d AS (SELECT n.doc_id, n.i FROM n JOIN r ON r.n = n.n AND r.m = n.m WHERE n.doc_id > r.first),
 k AS (SELECT doc_id, count(*) AS n_dropped, list(i) AS gone FROM d GROUP BY doc_id),
 a AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents)
 SELECT a.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
