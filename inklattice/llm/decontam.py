@@ -3,17 +3,21 @@
 1. Count in all documents the words that benchmark windows use.
 2. Each window takes its two rarest words as anchors.  The index holds, for each document and anchor word, the
    list of positions; it is written to the shared folder.
-3. Search: position lists become lists of window starts by subtracting the anchor's offset in the window; the
-   lists of a window's two anchors are intersected.  Equal starts are candidates for exact phrases; starts that
-   differ by 1 to ``slack`` are proximity matches.
-4. Candidates are compared with the document's own words (a 64-bit hash of the whole window).
+3. Search: the positions of a window's rarest word meet those of its second in the same document; both lists become
+   window starts by subtracting the anchors' offsets and are intersected.  Equal starts are candidates for exact
+   phrases; starts that differ by 1 to ``slack`` are candidates for proximity matches.
+4. Candidates are compared with the document's own words: exact ones by a 64-bit hash of the whole window, near ones
+   by the share of the window's distinct words that stand within ``slack`` words of its place (``NEAR_SHARE`` or more).
+
+No step gathers more in one row than one document's starts of the windows that it may hold.  A document is named by a
+64-bit hash of its id and text; agreements by chance fall to the comparison with its own words.
 
 Words: A-Z folded, then runs of characters outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  A window is
 ``size`` consecutive words of an item; a shorter item is one window, an item without words has none.
 
-Nulls: a null text has no words; a null item id is left out; rows with a null document id are left out.
-Repeated document rows each get their own row; repeated items count once.  Ties between anchors go to the
-smaller word, then the smaller offset.  Other columns are ignored.
+Nulls: a null text has no words; a null item id is left out; rows with a null document id are judged like others.
+Repeated document rows each get their own row, also those of one id with different texts; repeated items count once.
+Ties between anchors go to the smaller word, then the smaller offset.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,10 @@ WINDOW = 10
 SLACK = 2
 #: Rows up to which a table is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-BROADCAST_ENTRIES = 500_000
+#: Bytes of text up to which the table of windows is.
+BROADCAST_BYTES = 16 << 20
+#: Share of a window's distinct words that a proximity match holds.
+NEAR_SHARE = 0.8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,53 +62,79 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
 
 
 def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """term -> windows in which it is the rarest (first) or second rarest word, with its offset."""
-    at = wins.select("win", "len", "items", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
-    ranked = at.groupBy("win", "len", "items").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))).alias("r"))
-    both = ranked.select("win", "len", "items", F.posexplode(F.when(F.size("r") > 1, F.slice("r", 1, 2)).otherwise(F.array(F.col("r")[0], F.col("r")[0]))).alias("rank", "a"))
-    return both.groupBy(F.col("a.term").alias("term")).agg(F.collect_list(F.struct("rank", "win", F.col("win").bitwiseAND(F.lit((1 << 62) - 1)).alias("base"), "len", "items", F.col("a.off").alias("off"))).alias("uses"))
+    """term, off: the rarest word of each window and its offset; term2, off2: the second rarest."""
+    at = wins.select("win", F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
+    least = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off")
+    ranked = at.groupBy("win").agg(F.slice(F.array_sort(F.collect_list(least)), 1, 2).alias("r"))
+    second = F.element_at("r", -1)
+    return ranked.select("win", F.col("r")[0].term.alias("term"), F.col("r")[0].off.alias("off"), second.term.alias("term2"), second.off.alias("off2"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
-    """Postings (id, term, positions) of the given terms, written to the shared folder."""
-    at = docs.select("id", F.posexplode("words").alias("pos", "term")).join(_small(terms.select("term"), rows), "term")
-    return materialize(at.groupBy("id", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions")), "postings")
+def build_index(docs: DataFrame, uses: DataFrame) -> DataFrame:
+    """Postings (key, term, positions) of all anchors, written to the shared folder."""
+    terms = uses.select("term").union(uses.select("term2")).distinct()
+    at = docs.select("key", F.posexplode("words").alias("pos", "term")).join(_small(terms, terms.count()), "term")
+    return materialize(at.groupBy("key", "term").agg(F.sort_array(F.collect_set("pos")).alias("positions")), "postings")
 
 
 def search(index: DataFrame, uses: DataFrame, rows: int, slack: int = SLACK) -> DataFrame:
-    """Candidates per document: exact (window starts that both anchors give) and n_near (windows near to one)."""
-    # A start is kept with its window as one number (62 bits of the window's hash plus the start), so that lists
-    # intersect by hashing and shift by adding.  Chance agreements fall to the comparison of whole windows.
-    def starts(rank: int, made) -> Column:
-        return F.flatten(F.transform(F.filter("uses", lambda u: u.rank == rank), lambda u: F.transform("positions", lambda p: made(u, p))))
-
-    first = starts(0, lambda u, p: F.struct((u.base + p - u.off).alias("key"), u.win.alias("win"), (p - u.off).alias("start"), u.len.alias("len"), u["items"].alias("items")))
-    met = index.join(_small(uses, rows), "term").select("id", first.alias("first"), starts(1, lambda u, p: u.base + p - u.off).alias("k2"))
-    lists = met.groupBy("id").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("k2")).alias("k2"))
-    keyed = lists.withColumn("k1", F.transform("first", lambda s: s.key)).withColumn("common", F.array_intersect("k1", "k2"))
-    near = F.lit(0)
-    for shift in [s for s in range(-slack, slack + 1) if s]:
-        near = near + F.size(F.array_intersect(F.transform("k1", lambda k, d=shift: k + d), "k2"))
-    return keyed.select("id", F.filter("first", lambda s: (s.start >= 0) & F.array_contains("common", s.key)).alias("exact"), near.alias("n_near")).filter((F.size("exact") > 0) | (F.col("n_near") > 0))
+    """(key, win, exact, near): starts that both anchors give, and starts of the rarest word near to one of the second."""
+    rarest = index.join(_small(uses, rows), "term").select("key", "win", "off", F.col("term2").alias("term"), "off2", F.col("positions").alias("first"))
+    met = rarest.join(index, ["key", "term"])
+    starts = met.select("key", "win", F.transform("first", lambda p: p - F.col("off")).alias("a"), F.transform("positions", lambda p: p - F.col("off2")).alias("b"))
+    beside = F.flatten(F.transform("b", lambda p: F.array(*[p + d for d in range(-slack, slack + 1) if d]))) if slack else F.array().cast("array<int>")
+    both = starts.select("key", "win", F.array_intersect("a", "b").alias("exact"), F.array_except(F.array_intersect("a", beside), "b").alias("near"))
+    return both.withColumn("exact", F.filter("exact", lambda p: p >= 0)).filter((F.size("exact") > 0) | (F.size("near") > 0))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, n_near, hits.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key, text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
-    hits: exact matches as (start, len, items).
-    """
-    words = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).filter("id is not null")
+
+def verified(docs: DataFrame, found: DataFrame, wins: DataFrame, n_bytes: int, slack: int = SLACK) -> DataFrame:
+    """(key, hits, near): arrays of (start, len, items), by start, of documents that hold any.  docs: id, key, text."""
+    listed = found.join(_small(wins, n_bytes, BROADCAST_BYTES), "win").groupBy("key").agg(F.collect_list(F.struct("win", "len", "items", "words", "exact", "near")).alias("c"))
+    asked = found.select("key").distinct()
+    own = docs.join(_small(asked, asked.count()), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("own"))
+
+    def at(c: Column, p: Column) -> Column:
+        return F.struct(p.alias("start"), c["len"].alias("len"), c["items"].alias("items"))
+
+    def stands(c: Column, p: Column) -> Column:
+        return F.xxhash64(F.slice("own", p + 1, c["len"])) == c.win
+
+    def nearly(c: Column, p: Column) -> Column:
+        around = F.slice("own", F.greatest(p - slack, F.lit(0)) + 1, c["len"] + 2 * slack)
+        return F.size(F.array_intersect(c.words, around)) >= NEAR_SHARE * F.size(F.array_distinct(c.words))
+
+    pick = lambda which, test: F.array_sort(F.flatten(F.transform("c", lambda c: F.transform(F.filter(c[which], lambda p: test(c, p)), lambda p: at(c, p)))))
+    return listed.join(own, "key").select("key", pick("exact", stands).alias("hits"), pick("near", nearly).alias("near")).filter((F.size("hits") > 0) | (F.size("near") > 0))
+
+
+def _matches(docs: DataFrame, items: DataFrame, item_col: str, item_text: str, size: int, slack: int) -> DataFrame:
+    """``verified`` of all documents.  docs: id, key, text."""
+    words = docs.select("key", words_of(F.col("text")).alias("words"))
     wins = materialize(windows(items, item_col, item_text, size), "windows")
+    texts = F.length(F.array_join("words", " ")) + F.length(F.array_join("items", " "))
+    n_wins, n_bytes = wins.agg(F.count("*"), F.coalesce(F.sum(texts), F.lit(0))).first()
     terms = wins.select(F.explode("words").alias("term")).distinct()
-    n_terms = terms.count()
-    counts = words.select(F.explode("words").alias("term")).join(_small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    counts = words.select(F.explode("words").alias("term")).join(_small(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
     uses = materialize(anchors(wins, counts), "anchors")
-    n_uses = uses.count()
-    found = materialize(search(build_index(words, uses, n_uses), uses, n_uses, slack), "found")
-    entries = found.agg(F.coalesce(F.sum(F.size("exact") + 1), F.lit(0))).first()[0]
-    joined = words.join(_small(found, entries, BROADCAST_ENTRIES), "id", "left")
-    same = F.filter(F.coalesce("exact", F.array()), lambda s: F.xxhash64(F.slice("words", s.start + 1, s.len)) == s.win)
-    hits = joined.select("id", F.size("words").alias("n_words"), F.array_sort(F.transform(F.array_distinct(same), lambda s: F.struct(s.start.alias("start"), s.len.alias("len"), s["items"].alias("items")))).alias("hits"), "n_near")
+    found = materialize(search(build_index(words, uses), uses, n_wins, slack), "found")
+    return materialize(verified(docs, found, wins, n_bytes, slack), "hits")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, hits, near.
+
+    hits: exact matches, near: proximity matches, both as (start, len, items).
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    matches = _matches(keyed, items, item_col, item_text, size, slack)
+    slim = keyed.select("id", "key", F.size(words_of(F.col("text"))).alias("n_words"))
+    none = F.array().cast(matches.schema["hits"].dataType)
+    hits = slim.join(matches, "key", "left").withColumn("hits", F.coalesce("hits", none)).withColumn("near", F.coalesce("near", none))
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -116,28 +149,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size("met").cast("long").alias("n_items"),
         F.sha2(F.array_join("met", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         "hits",
+        "near",
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark window; all columns stay.  Rows with a null id are kept as they are."""
-    bad = decontaminate(docs, items, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad_id"), "left_anti")
+    """The documents that hold no benchmark window; all columns stay."""
+    bad = _matches(_keyed(docs, id_col, text_col), items, "item_id", "text", WINDOW, SLACK).filter(F.size("hits") > 0).select(F.col("key").alias("_bad"))
+    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w, row_number() OVER () AS r FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 g AS (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS phrase FROM g),
 sizes AS (SELECT DISTINCT n FROM win),
-pos AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
-hit AS (SELECT doc_id, s, pos.n, item FROM pos JOIN win ON win.n = pos.n AND win.phrase = array_to_string(w[s:s + pos.n - 1], ' ')),
-cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM hit GROUP BY doc_id)
+pos AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT r, s, pos.n, item FROM pos JOIN win ON win.n = pos.n AND win.phrase = array_to_string(w[s:s + pos.n - 1], ' ')),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM hit GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+FROM d LEFT JOIN cov ON cov.r = d.r LEFT JOIN it ON it.r = d.r
 """

@@ -36,11 +36,22 @@ def test_equals_brute_force(spark, prose):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
     words_ = items[5][1].split()
     near = spark.createDataFrame([(1, " ".join([*words_[:6], "inserted", *words_[6:]]))], "doc_id long, text string")
-    assert decontam.decontaminate(near, spark.createDataFrame([items[5]], "item_id long, text string")).first().n_near > 0
+    row = decontam.decontaminate(near, spark.createDataFrame([items[5]], "item_id long, text string")).first()
+    assert row.near and all(m["items"] == ["5"] and m.len == 10 for m in row.near)
+    assert row.n_hit == 19 and {m.start for m in row.hits} == set(range(7, 17))  # the windows behind the inserted word
+
+
+def test_null_and_shared_ids(spark, prose):
+    items = [(1, prose(500, 12))]
+    docs = [(None, prose(500, 12)), (None, prose(3, 30)), (7, prose(500, 12)), (7, prose(4, 30)), (8, "x " * 30 + prose(500, 12))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_hit) for r in decontam.decontaminate(frame, bench).collect())
+    assert got == [("7", 0), ("7", 12), ("8", 12), ("None", 0), ("None", 12)]
+    assert sorted(str(r.doc_id) for r in decontam.keep_clean(frame, bench).collect()) == ["7", "None"]
 
 
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b"), (None, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
-    assert [(r.doc_id, r.n_words, r.contaminated) for r in decontam.decontaminate(docs, items).collect()] == [(1, 2, False)]
+    assert [(r.doc_id, r.n_words, r.contaminated) for r in decontam.decontaminate(docs.filter("doc_id = 1"), items).collect()] == [(1, 2, False)]
     assert decontam.decontaminate(docs.limit(0), items).collect() == []
     assert decontam.keep_clean(docs, items).count() == 2
