@@ -11,14 +11,15 @@ words).  Steps:
 3. Bands of compressed registers give buckets of candidates.  Each member is compared with the bucket's
    leader only: the collision-corrected estimate first, then the full sets.
 4. Where a bucket still holds several components after that, a further leader is tried, and finally every pair
-   of members from different components that an odd sketch allows and that was not compared yet.  The sketch
+   of members from different components that an odd sketch allows and that was not compared yet; the members of a
+   large bucket are dealt to parts of ``PART_ROWS`` for that.  The sketch
    holds, for each of 1024 bins, whether an odd number of shingles fell into it; two sketches differ in at most
    as many bins as the sets differ in shingles, so no pair that it rules out can be a link.  No bucket is capped.
 5. Components of the confirmed links name the groups.
 
-Nulls and texts without words have no shingles: n_shingles 0, linked with nothing, kept.  A null id is not a
-document and is left out.  Repeated rows with the same id and text give one row each with the same group; an id is expected to have one text.
-Ties go to the smallest id.  Other columns are ignored.
+Nulls and texts without words have no shingles: n_shingles 0, linked with nothing, kept.  Rows with a null id are
+linked with nothing: component_id null, kept.  Repeated rows with the same id and text give one row each with the same
+group; rows of one id with different texts are different documents of one name.  Ties go to the smallest id.  Ids are integers.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inklattice.llm.common import discard, materialize, mix64, ngram_hashes, word_hashes
@@ -44,6 +45,8 @@ PROBES = 64
 ODD_BITS = 1024
 #: Rounds in which unsettled buckets get further leaders before all pairs left are compared.
 LEADER_ROUNDS = 1
+#: Members of a bucket that one task pairs with the others.
+PART_ROWS = 4096
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -114,7 +117,7 @@ def sketch(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
         weights = mix64(np.arange(1, m + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
         for batch in batches:
             sets = list(shingle_sets(batch.column(1)))
-            digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
+            digests = _digests(sets)
             regs = registers(sets, m)
             keys = mix64((mix64(regs.reshape(-1, bands, rows).astype(np.uint64) * weights)).sum(axis=2) + np.arange(bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays(
@@ -151,15 +154,22 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The full shingle sets of some documents."""
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The full shingle sets (id: of the node).  nodes: id, rep, set_hi, set_lo; rep has a document with that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["id", "shingles"])
+            sets = list(shingle_sets(batch.column(1)))
+            # A document of the same id may have another text.
+            own = pa.array((_digests(sets) == np.stack([batch.column(k).to_numpy() for k in (2, 3)], axis=1)).all(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], ["id", "shingles"])
 
-    return docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    named = docs.select(F.col("id").alias("rep"), "text").join(nodes, "rep")
+    return named.select("id", "text", "set_hi", "set_lo").mapInArrow(run, "id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,19 +213,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     threshold = percent / 100
     bands = bands_for(threshold, rows)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(sketch(docs, bands, rows), "sketch")
-    classes = materialize(sketches.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")), "classes")
-    first = classes.select(F.col("rep").alias("id"))
-    reps = materialize(sketches.filter("n_shingles > 0").join(first, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "registers", "bands", "odd"), "reps")
+    linked = sketches.filter("n_shingles > 0 and id is not null")
+    classes = linked.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep"))
+    # A class is named by its smallest id, or by its digest if that id has several texts.
+    twice = F.count("*").over(Window.partitionBy("rep")) > 1
+    classes = materialize(classes.withColumn("node", F.when(twice, F.xxhash64("set_hi", "set_lo")).otherwise(F.col("rep"))), "classes")
+    first = classes.withColumnRenamed("rep", "id")
+    reps = linked.join(first, ["id", "set_hi", "set_lo"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "n_shingles", "registers", "bands", "odd")
+    reps = materialize(reps, "reps")
     spread = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader")
     members = materialize(spread.join(shared, "key").select("key", "id", F.col("n_shingles").alias("n"), "leader"), "members")
 
     tried = materialize(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     near = materialize(_estimated(tried, reps, threshold), "near")
-    ids = members.select("id").distinct()
-    sets = materialize(full_sets(docs, ids).dropDuplicates(["id"]), "sets") if not members.isEmpty() else None
+    nodes = classes.withColumnRenamed("node", "id").join(members.select("id").distinct(), "id", "left_semi")
+    sets = materialize(full_sets(docs.filter("id is not null"), nodes).dropDuplicates(["id"]), "sets") if not members.isEmpty() else None
     comps = None
     if sets is not None:
         links = materialize(_confirmed(near, sets, percent), "confirmed")
@@ -238,23 +253,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 best = heads.groupBy("key").agg(F.max_by(F.struct("comp", "head"), F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"), "top.head")
                 pairs = open_.alias("l").join(best.alias("r"), "key").filter((F.col("comp") != F.col("top")) & _allowed("l", "head", percent)).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
             else:
+                parts = open_.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+                dealt = open_.join(parts, "key")
+                left = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+                right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                 may = (F.col("l.comp") < F.col("r.comp")) & _allowed("l", "r", percent)
-                pairs = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key")) & may).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+                pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & may).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
             tried = tried.union(pairs)
             links = links.union(materialize(_confirmed(_estimated(pairs, reps, threshold), sets, percent), "confirmed"))
         discard(sets)
-    named = classes if comps is None else classes.join(comps, classes.rep == comps.id, "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("rep"))
+    named = classes
+    if comps is not None:
+        placed = classes.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        least = placed.groupBy("comp").agg(F.min("rep").alias("rep"))
+        named = placed.drop("rep").join(least, "comp")
     slim = sketches.select("id", "n_shingles", "set_hi", "set_lo")
-    out = slim.join(named, ["set_hi", "set_lo"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("rep", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    out = slim.join(named.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"], "left")
+    group = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The documents without those near to a kept one; all columns stay as they are.
 
-    Rows with a null id are no documents and go; repeated rows of a kept id all stay.
+    Rows with a null id stay, and all rows of an id that has a kept one.
     """
-    kept = near_groups(docs, id_col, text_col, percent).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi")
+    judged = near_groups(docs, id_col, text_col, percent).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_gone_id")).agg(F.max("kept").alias("kept"))
+    gone = judged.filter("not kept").select("_gone_id")
+    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")

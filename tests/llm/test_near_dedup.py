@@ -67,8 +67,27 @@ def test_all_pairs_left_are_compared(spark, prose, monkeypatch):
 def test_empty_and_repeated(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_groups(rows).collect()) == [(3, 3), (3, 3), (9, 3)]
-    assert sorted(r.doc_id for r in near_dedup.keep_one(rows).collect()) == [3, 3]
+    got = near_dedup.near_groups(rows).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (3, 3), (9, 3)]
+    assert [(r.component_id, r.kept, r.n_shingles) for r in got if r.doc_id is None] == [(None, True, 2)]
+    assert sorted(str(r.doc_id) for r in near_dedup.keep_one(rows).collect()) == ["3", "3", "None"]
+
+
+def test_one_id_with_two_texts_joins_nothing(spark, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = spark.createDataFrame([(1, a), (1, b), (5, a + " end"), (6, b + " end"), (9, prose(3, 60))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_groups(rows).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1), (9, 9)]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(rows).collect()) == [1, 1, 9]
+    # The two texts' groups are two: without the first text its copies name themselves.
+    alone = spark.createDataFrame([(3, a), (3, b), (2, a + " end")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_groups(alone).collect()) == [(2, 2), (3, 2), (3, 3)]
+
+
+def test_large_bucket_in_parts(spark, prose, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 0)
+    test_all_pairs_left_are_compared(spark, prose, monkeypatch)
 
 
 def test_odd_sketch_never_exceeds_the_difference():
