@@ -62,7 +62,7 @@ def strip_and_terminal(c: Column) -> tuple[Column, Column]:
 def column_text_roles(texts: Column) -> Column:
     """Ordered fold of a column's texts into terminal_no, loop_id, circuit_desc and unknown.
 
-    All digits: the first is the terminal.  Loop-like: loop, then description, then unknown.  With a letter:
+    All digits: the first is the terminal, others go.  Loop-like: loop, then description, then unknown.  With a letter:
     description, then unknown.  Anything else: unknown, then description.
     """
     none = F.lit(None).cast("string")
@@ -71,7 +71,7 @@ def column_text_roles(texts: Column) -> Column:
     def step(acc: Column, t: Column) -> Column:
         digits, alpha = t.rlike("^[0-9]+$"), t.rlike(r"\p{L}")
         number = digits & acc.terminal_no.isNull()
-        other = ~number
+        other = ~digits
         loop = other & loop_like(t) & acc.loop_id.isNull()
         letters = other & ~loop & (loop_like(t) | alpha)
         desc = (letters & acc.circuit_desc.isNull()) | (other & ~loop & ~letters & acc.unknown.isNotNull() & acc.circuit_desc.isNull())

@@ -107,11 +107,30 @@ def position_scores(points: DataFrame, key: str = "document_hash") -> DataFrame:
     return q.select(key, *[F.when(c("n") >= 5, x).otherwise(zero).alias(k) for k, x in scores.items()])
 
 
-def combine(keyword: DataFrame, geometry: DataFrame | None = None, layout: DataFrame | None = None, key: str = "document_hash", types: list[str] | None = None) -> DataFrame:
-    """primary, confidence, secondary (ranks 2 to 4 over 0.05).
+# Texts that mark catalogues and position plans, and the types that a catalogue is not.
+CATALOGUE_MARKS, POSITION_MARKS = ("厂家图册", "产品说明书", "安装使用说明书"), ("屏位布置图", "屏位图")
+NOT_IN_CATALOGUES = ("circuit_loop", "terminal_strip", "protection_diagram", "panel_position")
 
-    Weighted sum over the maximum; confidence min(0.7 p + 0.3 margin, 1).  A catalogue marker wins with confidence
-    1; sums under 0.10 are unknown with confidence 0.
+
+def text_marks(texts: DataFrame, key: str = "document_hash", catalogue: tuple[str, ...] = CATALOGUE_MARKS, position: tuple[str, ...] = POSITION_MARKS) -> DataFrame:
+    """Whether any text of a document marks a catalogue or a position plan: key, catalogue, position."""
+    held = lambda marks: F.coalesce(F.max(_any_exact(F.coalesce("text", F.lit("")), marks)), F.lit(False))
+    return texts.groupBy(key).agg(held(catalogue).alias("catalogue"), held(position).alias("position"))
+
+
+def _any_exact(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | c.contains(w)
+    return out
+
+
+def combine(keyword: DataFrame, geometry: DataFrame | None = None, layout: DataFrame | None = None, key: str = "document_hash", types: list[str] | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """primary, confidence (4 places), secondary (ranks 2 to 4 over 0.05), signals (type -> weighted sum).
+
+    Weighted sums over their maximum; confidence min(0.7 p + 0.3 margin, 1).  A catalogue's mark adds 5 to that type
+    and takes four others to 0, with confidence 1.  Without it, sums of under 0.10 in all are unknown with confidence
+    0; a protection diagram with a position plan's mark is a position plan, with confidence 0.8 p + 0.2 and the three best others.
     """
     types = TYPES if types is None else types
     out, parts = keyword.select(key, *[F.col(t).alias(f"keyword_{t}") for t in types if t in keyword.columns]), [("keyword", keyword)]
@@ -119,6 +138,11 @@ def combine(keyword: DataFrame, geometry: DataFrame | None = None, layout: DataF
         if df is not None:
             out = out.join(df.select(key, *[F.col(t).alias(f"{name}_{t}") for t in types if t in df.columns]), key, "left")
             parts.append((name, df))
+    if marks is not None:
+        out = out.join(marks.select(key, "catalogue", "position"), key, "left")
+    false = F.lit(False)
+    catalogue = F.coalesce("catalogue", false) if marks is not None and "manufacturer_catalog" in types else false
+    position = F.coalesce("position", false) if marks is not None and "panel_position" in types else false
 
     def total(t: str) -> Column:
         s = F.lit(0.0)
@@ -127,16 +151,41 @@ def combine(keyword: DataFrame, geometry: DataFrame | None = None, layout: DataF
                 s = s + WEIGHTS[name] * F.coalesce(F.col(f"{name}_{t}"), F.lit(0.0))
         return s
 
-    raw = F.array(*[F.struct(total(t).alias("score"), F.lit(-k).alias("ord"), F.lit(t).alias("type")) for k, t in enumerate(types)])
-    out = out.withColumn("ranked", F.reverse(F.array_sort(raw)))
+    def marked(t: str) -> Column:
+        if t == "manufacturer_catalog":
+            return F.when(catalogue, total(t) + 5.0).otherwise(total(t))
+        return F.when(catalogue, F.lit(0.0)).otherwise(total(t)) if t in NOT_IN_CATALOGUES else total(t)
+
+    raw = F.array(*[F.struct(marked(t).alias("score"), F.lit(-k).alias("ord"), F.lit(t).alias("type")) for k, t in enumerate(types)])
+    signals = F.create_map(*[x for t in types for x in (F.lit(t), F.round(total(t), 4))])
+    out = out.select(key, catalogue.alias("is_catalogue"), position.alias("is_position"), F.reverse(F.array_sort(raw)).alias("ranked"), signals.alias("signals"))
     top = F.col("ranked")[0]["score"]
-    norm = out.withColumn("top", top).withColumn("ranked", F.transform("ranked", lambda r: F.struct(F.when(F.col("top") > 0, r.score / F.col("top")).otherwise(F.lit(0.0)).alias("score"), r.type.alias("type"))))
+    norm = out.withColumn("sum", F.aggregate("ranked", F.lit(0.0), lambda acc, r: acc + r.score)).withColumn("top", top)
+    norm = norm.withColumn("ranked", F.transform("ranked", lambda r: F.struct(F.when(F.col("top") > 0, r.score / F.col("top")).otherwise(F.lit(0.0)).alias("score"), r.type.alias("type"))))
     p, second = F.col("ranked")[0]["score"], F.col("ranked")[1]["score"]
-    low = F.col("top") < 0.10
-    catalogue = F.col("keyword_manufacturer_catalog") >= 1.0 if "manufacturer_catalog" in keyword.columns else F.lit(False)
+    low = (F.col("sum") < 0.10) & ~F.col("is_catalogue")
+    plan = ~low & ~F.col("is_catalogue") & F.col("is_position") & (F.col("ranked")[0]["type"] == "protection_diagram")
+    own = F.coalesce(F.get(F.filter("ranked", lambda r: r.type == "panel_position"), F.lit(0)).score, F.lit(0.0))
+    margin = F.when(p > 0, F.least(0.7 * p + 0.3 * (p - second), F.lit(1.0))).otherwise(p)
+    names = lambda c: F.transform(c, lambda r: r.type)
     return norm.select(
         key,
-        F.when(catalogue, "manufacturer_catalog").when(low, "unknown").otherwise(F.col("ranked")[0]["type"]).alias("primary"),
-        F.when(catalogue, 1.0).when(low, 0.0).otherwise(F.least(0.7 * p + 0.3 * (p - second), F.lit(1.0))).alias("confidence"),
-        F.when(low | catalogue, F.array().cast("array<string>")).otherwise(F.transform(F.filter(F.slice("ranked", 2, 3), lambda r: r.score > 0.05), lambda r: r.type)).alias("secondary"),
+        F.when(low, "unknown").when(plan, "panel_position").otherwise(F.col("ranked")[0]["type"]).alias("primary"),
+        F.round(F.when(F.col("is_catalogue"), 1.0).when(low, 0.0).when(plan, F.least(0.8 * own + 0.2, F.lit(1.0))).otherwise(margin), 4).alias("confidence"),
+        F.when(low, F.array().cast("array<string>")).when(plan, names(F.slice(F.filter("ranked", lambda r: r.type != "panel_position"), 1, 3))).otherwise(names(F.filter(F.slice("ranked", 2, 3), lambda r: r.score > 0.05))).alias("secondary"),
+        "signals",
     )
+
+
+def classify_documents(entities: DataFrame) -> DataFrame:
+    """Classes of whole documents from their entities: keywords, counts, positions and marks.
+
+    One grouping each of texts, entities and points; a document without texts is classified by its shapes.
+    """
+    texts = entities.filter("kind IN ('TEXT', 'ATTRIB')").select("document_hash", "text", "tag", "x", "y")
+    shown = texts.withColumn("text", F.coalesce("text", F.lit(""))).filter(r"NOT (text rlike '^\\s*$' AND coalesce(tag, '') rlike '^\\s*$')")
+    words = keyword_scores(shown)
+    every = entity_counts(entities)
+    keyword = every.select("document_hash").join(words, "document_hash", "left").na.fill(0.0)
+    points = texts.filter("x IS NOT NULL AND y IS NOT NULL AND trim(coalesce(text, '')) <> ''")
+    return combine(keyword, geometry_scores(every), position_scores(points), marks=text_marks(texts))

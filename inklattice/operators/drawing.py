@@ -1,36 +1,30 @@
-"""Sequential per-document operators on drawing entities: shapes, cabinets, candidates, groups, tables, positions.
+"""Panel layouts of one document: cabinets, areas, device candidates, groups, their meaning, and the tree of all of them.
 
-The functions take plain rows (dicts) of one document in file order and are wrapped by ``per_document`` for grouped
-runs; ties resolve to the first in that order.  Boxes are (x, y, w, h).
+The functions take plain rows (dicts) of one document in file order; ties resolve to the first in that order.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Callable
-from statistics import stdev
+from statistics import mean, stdev
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-Box = tuple[float, float, float, float]
-
-# Header words of tables and their roles, in order.
-TABLE_ROLES = {
-    "equipment": [("index", r"序号|序號|编[号號]|顺序"), ("name", r"名\s*称|名[称稱]|符号|符號|代号"), ("model", r"型\s*号|型[号號]|规\s*格|规[格範]"), ("desc", r"说\s*明|說明|描\s*述|用\s*途|备\s*注|備[注]"), ("qty", r"数\s*量|數量|件数"), ("position", r"安\s*装|位\s*置|柜\s*体|安装位置")],
-    "usage": [("cell_label", r"屏\s*号"), ("equipment", r"名\s*称"), ("qty", r"数\s*量"), ("remark", r"备\s*注")],
-    "material": [("name", r"名\s*称|名[称稱]"), ("unit", r"单位|單[位]"), ("qty", r"数量|數[量]"), ("remark", r"备\s*注|備[注]|说明|說明"), ("index", r"序号|序號|顺序|順[序]"), ("legend", r"图例")],
-    "schedule": [
-        ("cable_id", r"电缆编号|电缆编[号碼]|编[号號]|序号|序號|电缆(?:名称|ID|编号)"), ("circuit_desc", r"电缆型号|型号|规格|电[缆线]型号"), ("strip_name", r"起点(?:柜|端子)?|起始|始端|来源|來[源渊]|本端"), ("terminal_no_remote", r"终点(?:柜|端子)?|終点|末端|目标|目的|对端"),
-        ("conductor_no", r"芯数|线芯|线[芯心]数|芯线数|缆芯"), ("loop_id", r"回路(?:编号|编[号號])?|回[路線]编号"), ("circuit_desc", r"备注|注|说明|說[明文]"), ("cabinet_name", r"柜体|机柜|安装位置|所在柜|所属柜"),
-    ],
-}
+from inklattice.operators.grouped import per_document
+from inklattice.operators.shapes import Box, Point, Word, centre, extents, holds, holds_centre, long_lines, overlap, points_of, rectangles, same_box, texts_near, union_box, words_of
+from inklattice.operators.tables import cabinet_table, dbscan, match_devices
+
+# Words in names of panel cabinets.
+CABINET_WORDS = ("柜", "屏", "箱", "继电器", "控制", "保护")
 # Name prefixes and what they say of a group, with weights.
 NAME_EVIDENCE = [
-    ([f"{k}d" for k in range(1, 21)], "TERMINAL_COLUMN", 0.40), (["dtz", "ddz", "dsz", "dssd"], "METER_GROUP", 0.30), (["dk", "zdk", "zdf", "gz", "xd"], "RELAY_GROUP", 0.30),
-    (["fa", "fu"], "MODULE_GROUP", 0.20), ([f"m{k}" for k in range(1, 9)], "METER_GRID", 0.30), ([f"dh{k}" for k in range(1, 7)], "METER_GRID", 0.20),
+    (("1d", "2d", "3d", "4d", "5d", "6d", "7d", "8d", "9d", "10d", "11d", "12d", "13d", "14d", "15d", "16d", "17d", "18d", "19d", "20d"), "TERMINAL_COLUMN", 0.40),
+    (("dtz", "ddz", "dsz", "dssd"), "METER_GROUP", 0.30),
+    (("dk", "zdk", "zdf", "gz", "xd"), "RELAY_GROUP", 0.30),
+    (("fa", "fu"), "MODULE_GROUP", 0.20),
+    (("m1", "m2", "m3", "m4", "m5", "m6", "m7", "m8"), "METER_GRID", 0.30),
+    (("dh1", "dh2", "dh3", "dh4", "dh5", "dh6"), "METER_GRID", 0.20),
 ]
 # What a group's shape says.
 SHAPE_EVIDENCE = {"VERTICAL_COLUMN": ("TERMINAL_COLUMN", 0.20), "HORIZONTAL_ROW": ("DEVICE_PANEL", 0.10), "GRID": ("METER_GRID", 0.20)}
@@ -38,225 +32,224 @@ SHAPE_EVIDENCE = {"VERTICAL_COLUMN": ("TERMINAL_COLUMN", 0.20), "HORIZONTAL_ROW"
 TABLE_EVIDENCE = [("电表", "METER_GROUP", 0.25), ("电能表", "METER_GROUP", 0.25), ("继电器", "RELAY_GROUP", 0.25), ("端子", "TERMINAL_COLUMN", 0.25), ("开关", "DEVICE_PANEL", 0.20)]
 MODEL_EVIDENCE = [("dtz", "METER_GROUP", 0.15), ("dk", "RELAY_GROUP", 0.15)]
 ATTRIBUTE_EVIDENCE = {"TERMINAL": "TERMINAL_COLUMN", "METER": "METER_GROUP", "RELAY": "RELAY_GROUP"}
+# Categories of blocks and of name prefixes.
+BLOCK_CATEGORIES = {
+    "METER_BLOCK": "METER", "DTZ178_SYMBOL": "METER", "RELAY_SYMBOL": "RELAY", "TERMINAL_SYMBOL": "TERMINAL",
+    "SWITCH_SYMBOL": "SWITCH", "MODULE_SYMBOL": "MODULE", "FUSE_BLOCK": "MODULE", "CABLE_MARKER": "TERMINAL",
+}
+NAME_CATEGORIES = [
+    (("dtz", "ddz", "dsz", "dssd"), "METER"), (("wh", "varh", "vah"), "METER"), (("dk", "zdk", "zdf", "gz"), "RELAY"), (("xd", "xdt"), "RELAY"), (("lp", "zlp"), "TERMINAL"), (("qd", "zqd"), "SWITCH"),
+    (("fa", "fu"), "MODULE"), (("zk", "zkz"), "SWITCH"), (("ya", "ha", "hw"), "SWITCH"), (("1d", "2d", "3d", "4d", "5d", "6d"), "TERMINAL"), (("m1", "m2", "m3", "m4", "m5"), "METER"),
+]
 
 
-# --- boxes --------------------------------------------------------------------------------------------------
-def overlap(a: Box, b: Box) -> float:
-    """Intersection over the smaller area."""
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    small = min(a[2] * a[3], b[2] * b[3])
-    return w * h / small if w > 0 and h > 0 and small > 0 else 0.0
-
-
-def contains(outer: Box, inner: Box) -> bool:
-    return outer[0] <= inner[0] and outer[1] <= inner[1] and outer[0] + outer[2] >= inner[0] + inner[2] and outer[1] + outer[3] >= inner[1] + inner[3]
+# --- cabinets and areas -------------------------------------------------------------------------------------
+def cabinet_name(words: list[Word], box: Box) -> str:
+    """The text with a cabinet word nearest in height to the box's top, from 50 below the box to 10 above it."""
+    near = [w for w in words if box[0] - 20 <= w[0] <= box[0] + box[2] + 20 and box[1] - 50 <= w[1] <= box[1] + box[3] + 10 and any(k in w[2] for k in CABINET_WORDS)]
+    best = min(near, key=lambda w: abs(w[1] - box[1] - box[3]), default=None)
+    return best[2] if best else ""
 
 
-def centre(b: Box) -> tuple[float, float]:
-    return b[0] + b[2] / 2, b[1] + b[3] / 2
+def cabinets(rows: list[dict], boxes: list[Box] | None = None) -> list[dict]:
+    """Tall rectangles and pairs of long verticals, one of each group that overlaps.
 
+    Groups gather around the largest box left (overlap over 0.3).  Of a group the widest rectangle stays, else the
+    widest box with a name, else the widest.  Rectangles come first; a pair of verticals over half on one goes.
+    """
+    boxes = [b for b, _ in rectangles(rows)] if boxes is None else boxes
+    words, whole = words_of(rows), extents(rows)
+    found = [{"bbox": b, "rect": True} for b in boxes if b[2] >= 30 and b[3] >= 100 and 1.5 <= b[3] / b[2] <= 5.0 and 5000 <= b[2] * b[3] and not 0 < 0.9 * whole[2] * whole[3] <= b[2] * b[3]]
+    up = sorted(long_lines(rows, 50.0)[0], key=lambda v: v[0])
+    for k, a in enumerate(up):
+        for b in up[k + 1 :]:
+            low, high, w = max(a[1], b[1]), min(a[2], b[2]), b[0] - a[0]
+            if w >= 100 and high - low >= 100 and (high - low) / w >= 1.5:
+                found.append({"bbox": (a[0], low, w, high - low), "rect": False})
+    for c in found:
+        c["name"] = cabinet_name(words, c["bbox"])
+    groups: list[list[dict]] = []
+    for c in sorted(found, key=lambda c: -c["bbox"][2] * c["bbox"][3]):
+        home = next((g for g in groups if overlap(c["bbox"], g[0]["bbox"]) > 0.3), None)
+        if home is None:
+            groups.append([c])
+        else:
+            home.append(c)
+    best = [max([c for c in g if c["rect"]] or [c for c in g if c["name"]] or g, key=lambda c: c["bbox"][2]) for g in groups]
+    rects = [c for c in best if c["rect"]]
+    return rects + [c for c in best if not c["rect"] and all(overlap(c["bbox"], r["bbox"]) <= 0.5 for r in rects)]
 
-def holds(b: Box, x: float, y: float, pad: float = 0.0) -> bool:
-    return b[0] - pad <= x <= b[0] + b[2] + pad and b[1] - pad <= y <= b[1] + b[3] + pad
 
+def interior(cabinet: Box, boxes: list[Box]) -> tuple[list[Box], Box | None, list[Box]]:
+    """Rectangles inside a cabinet: headers (wide and flat, from below), the largest device area, and others."""
+    headers, area, others = [], None, []
+    for b in boxes:
+        if not holds_centre(cabinet, b):
+            continue
+        if b[2] >= 0.8 * cabinet[2] and b[3] <= 15:
+            headers.append(b)
+        elif b[2] >= 0.5 * cabinet[2] and b[3] >= 0.4 * cabinet[3]:
+            if b[2] <= 1.1 * cabinet[2] and b[3] <= 1.1 * cabinet[3] and (area is None or b[2] * b[3] > area[2] * area[3]):
+                area = b
+        else:
+            others.append(b)
+    return sorted(headers, key=lambda b: b[1]), area, others
 
-def union_box(boxes: list[Box]) -> Box:
-    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
-    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y
 
+def area_name(words: list[Word], area: Box, cabinet: Box) -> str:
+    """The highest text in the area's upper fifth."""
+    top = area[1] + area[3]
+    held = [w for w in words if cabinet[0] <= w[0] <= cabinet[0] + cabinet[2] and top - 0.2 * area[3] <= w[1] <= top]
+    best = min(held, key=lambda w: top - w[1], default=None)
+    return best[2] if best else ""
 
-def _corners(points: list) -> Box | None:
-    """The box of four corners that lie at a rectangle's corners (within the smaller of 3 and 6 % of the side)."""
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
-    w, h = x1 - x0, y1 - y0
-    if w <= 0 or h <= 0:
-        return None
-    tx, ty = min(3.0, 0.06 * w), min(3.0, 0.06 * h)
-    spots = set()
-    for px, py in points:
-        sx = 0 if abs(px - x0) <= tx else 1 if abs(px - x1) <= tx else None
-        sy = 0 if abs(py - y0) <= ty else 1 if abs(py - y1) <= ty else None
-        if sx is None or sy is None:
-            return None
-        spots.add((sx, sy))
-    return (x0, y0, w, h) if len(spots) == 4 else None
-
-
-def _lines(rows: list[dict]) -> list[list[tuple[float, float]]]:
-    return [[(p["x"], p["y"]) for p in r["points"]] for r in rows if r["kind"] == "LINE" and r.get("points") is not None and len(r["points"]) >= 2]
-
-
-def rectangles(rows: list[dict]) -> list[tuple[Box, str]]:
-    """Axis-aligned rectangles from polylines of four or five points and from cycles of four segments."""
-    out: list[tuple[Box, str]] = []
-    seen: set = set()
-
-    def add(b: Box | None, kind: str) -> None:
-        key = b and tuple(round(v, 1) for v in b)
-        if b and key not in seen:
-            seen.add(key)
-            out.append((b, kind))
-
-    lines = _lines(rows)
-    for pts in lines:
-        if len(pts) in (4, 5) and (len(pts) == 4 or math.dist(pts[0], pts[-1]) < 0.01):
-            add(_corners(pts[:4]), "polyline")
-    # Cycles of four segments: every corner joins exactly two of them.
-    key = lambda p: (round(p[0], 2), round(p[1], 2))
-    at: dict = {}
-    segments = [(key(p[0]), key(p[1])) for p in lines if len(p) == 2]
-    for k, (a, b) in enumerate(segments):
-        if a != b:
-            at.setdefault(a, []).append((k, b))
-            at.setdefault(b, []).append((k, a))
-    for k, (a, b) in enumerate(segments):
-        path, used, here = [a, b], {k}, b
-        while len(path) < 5 and len(at.get(here, ())) == 2:
-            nxt = next(((i, q) for i, q in at[here] if i not in used), None)
-            if nxt is None:
-                break
-            used.add(nxt[0])
-            here = nxt[1]
-            path.append(here)
-        if len(path) == 5 and path[0] == path[4] and all(len(at[p]) == 2 for p in path[:4]):
-            add(_corners(path[:4]), "4seg")
-    return out
 
+def areas(rows: list[dict], cabinet: Box, boxes: list[Box] | None = None, least: float = 30.0) -> list[tuple[Box, str, int]]:
+    """(box, name, number) of a cabinet's areas: its device area unless that is the cabinet, else bands between dividers.
 
-def texts_of(rows: list[dict], longest: int = 10**9) -> list[tuple[float, float, str]]:
-    """(x, y, text) of texts and attributes with coordinates, trimmed, not empty, not noise."""
-    out = []
-    for r in rows:
-        t = (r.get("text") or "").strip()
-        if r["kind"] in ("TEXT", "ATTRIB") and t and len(t) <= longest and r.get("x") is not None and r.get("y") is not None:
-            if not (t.startswith(("\\M+", "KKS")) or re.fullmatch("[A-Z]", t)):
-                out.append((r["x"], r["y"], t))
-    return out
+    A divider crosses half of the cabinet, or three tenths from one of its sides.  Numbers count bands that are too low, too.
+    """
+    words = words_of(rows)
+    device_area = interior(cabinet, [b for b, _ in rectangles(rows)] if boxes is None else boxes)[1]
+    if device_area is not None:
+        return [] if same_box(device_area, cabinet) else [(device_area, area_name(words, device_area, cabinet), 0)]
+    x, y, w, h = cabinet
+    dividers = set()
+    for at, x0, x1 in long_lines(rows, 50.0)[1]:
+        part = min(x1, x + w) - max(x0, x)
+        if y < at < y + h and (part >= 0.5 * w or ((abs(x0 - x) < 5 or abs(x1 - x - w) < 5) and part > 0.3 * w)):
+            dividers.add(at)
+    ys = sorted({y, y + h, *dividers}) if dividers else []
+    bands = [((x, a, w, b - a), k) for k, (a, b) in enumerate(zip(ys, ys[1:], strict=False)) if b - a >= least]
+    return [(band, area_name(words, band, cabinet), k) for band, k in bands]
 
 
-# --- cabinets and areas -------------------------------------------------------------------------------------
-def long_lines(rows: list[dict], least: float) -> tuple[list[tuple[float, float, float]], list[tuple[float, float, float]]]:
-    """Vertical (x, y0, y1) and horizontal (y, x0, x1) two-point lines."""
-    up, flat = [], []
-    for p in _lines(rows):
-        if len(p) == 2 and math.dist(*p) >= least:
-            (ax, ay), (bx, by) = p
-            if abs(ax - bx) < 1:
-                up.append((ax, min(ay, by), max(ay, by)))
-            elif abs(ay - by) < 1:
-                flat.append((ay, min(ax, bx), max(ax, bx)))
-    return up, flat
-
-
-def cabinets(rows: list[dict]) -> list[dict]:
-    """Tall rectangles, and pairs of long verticals; overlapping ones are merged greedily, rectangles first."""
-    boxes = [b for b, _ in rectangles(rows)]
-    extent = union_box([(min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p) - min(x for x, _ in p), max(y for _, y in p) - min(y for _, y in p)) for p in _lines(rows)]) if _lines(rows) else (0, 0, 1, 1)
-    found = [(b, True) for b in boxes if b[2] >= 30 and b[3] >= 100 and 1.5 <= b[3] / b[2] <= 5 and b[2] * b[3] >= 5000 and b[2] * b[3] < 0.9 * extent[2] * extent[3]]
-    up = long_lines(rows, 100)[0]
-    for i, a in enumerate(up):
-        for b in up[i + 1 :]:
-            low, high, w = max(a[1], b[1]), min(a[2], b[2]), abs(a[0] - b[0])
-            if w >= 100 and high - low >= 100 and (high - low) / w >= 1.5:
-                found.append(((min(a[0], b[0]), low, w, high - low), False))
-    words = texts_of(rows)
+# --- device candidates --------------------------------------------------------------------------------------
+def _candidate(box: Box, score: float, source: str, texts: list[str] | None = None) -> dict:
+    return {"bbox": box, "score": score, "source": source, "texts": texts or [], "name": "", "description": []}
 
-    def name(b: Box) -> str:
-        best = min(((y - b[1] - b[3], k) for k, (x, y, t) in enumerate(words) if re.search("[屏柜箱]", t) and b[0] <= x <= b[0] + b[2] and 0 <= y - b[1] - b[3] <= 60), default=None)
-        return words[best[1]][2] if best else ""
 
-    ranked = sorted(range(len(found)), key=lambda k: (not found[k][1], not name(found[k][0]), -found[k][0][2], k))
-    kept: list[int] = []
-    for k in ranked:
-        if all(overlap(found[k][0], found[j][0]) <= (0.5 if found[j][1] and not found[k][1] else 0.3) for j in kept):
-            kept.append(k)
-    return [{"bbox": found[k][0], "name": name(found[k][0])} for k in sorted(kept, key=lambda k: (found[k][0][0], found[k][0][1]))]
+def _around(points: list[Point]) -> Box:
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    return min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)
 
 
-def areas(rows: list[dict], cabinet: Box, least: float = 30.0) -> list[Box]:
-    """Bands of a cabinet between its horizontal dividers."""
-    ys = sorted({cabinet[1], cabinet[1] + cabinet[3], *(y for y, x0, x1 in long_lines(rows, 0.6 * cabinet[2])[1] if cabinet[1] < y < cabinet[1] + cabinet[3] and x0 <= cabinet[0] + 0.2 * cabinet[2] and x1 >= cabinet[0] + 0.8 * cabinet[2])})
-    return [(cabinet[0], a, cabinet[2], b - a) for a, b in zip(ys, ys[1:], strict=False) if b - a >= least]
+def _turn(corner: Point, p: Point, q: Point) -> float:
+    u, v = (p[0] - corner[0], p[1] - corner[1]), (q[0] - corner[0], q[1] - corner[1])
+    long = math.hypot(*u) * math.hypot(*v)
+    return math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / long)))) if long else 0.0
 
 
-# --- device candidates --------------------------------------------------------------------------------------
 def open_shapes(rows: list[dict], container: Box, tol: float = 2.0) -> list[tuple[Box, float, str]]:
-    """U shapes (three chained segments, 0.7) and L shapes (two at about a right angle, 0.5); greedy in file order."""
-    segs = [p for p in _lines(rows) if len(p) == 2 and holds(container, *p[0]) and holds(container, *p[1])]
+    """U shapes (three chained segments whose outer ones are upright or level, 0.7), then L shapes (0.5), in file order."""
+    x, y, w, h = container[0] - 5, container[1] - 5, container[2] + 10, container[3] + 10
+    segments = [p for r in rows if len(p := points_of(r)) == 2 and all(holds((x, y, w, h), *q) for q in p)]
+    key = lambda p: (round(p[0], 1), round(p[1], 1))
+    at: dict[Point, list[int]] = {}
+    for k, p in enumerate(segments):
+        for q in p:
+            at.setdefault(key(q), []).append(k)
     used: set[int] = set()
     out: list[tuple[Box, float, str]] = []
-
-    def meet(p, q) -> bool:
-        return any(math.dist(a, b) <= tol for a in p for b in q)
-
-    def angle(p, q) -> float:
-        u, v = (p[1][0] - p[0][0], p[1][1] - p[0][1]), (q[1][0] - q[0][0], q[1][1] - q[0][1])
-        n = math.hypot(*u) * math.hypot(*v)
-        return math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / n)))) if n else 0.0
-
-    right = lambda p, q: meet(p, q) and 85 <= angle(p, q) <= 95
-    box = lambda ps: union_box([(min(p[0][0], p[1][0]), min(p[0][1], p[1][1]), abs(p[0][0] - p[1][0]), abs(p[0][1] - p[1][1])) for p in ps])
-    for m, mid in enumerate(segs):
-        ends = [k for k, p in enumerate(segs) if k != m and k not in used and right(mid, p)]
-        pair = next(((a, b) for i, a in enumerate(ends) for b in ends[i + 1 :] if not meet(segs[a], segs[b])), None)
-        if m not in used and pair:
-            used |= {m, *pair}
-            out.append((box([mid, segs[pair[0]], segs[pair[1]]]), 0.7, "U_shape"))
-    for a, p in enumerate(segs):
-        if a not in used:
-            b = next((k for k in range(a + 1, len(segs)) if k not in used and right(p, segs[k])), None)
-            if b is not None:
-                used |= {a, b}
-                out.append((box([p, segs[b]]), 0.5, "L_shape"))
+    straight = lambda p: abs(p[0][0] - p[1][0]) < 1 or abs(p[0][1] - p[1][1]) < 1
+    for k in range(len(segments)):
+        chain = [k] if k not in used else []
+        while 0 < len(chain) < 3 and (nxt := next((j for q in segments[chain[-1]] for j in at[key(q)] if j not in chain), None)) is not None:
+            chain.append(nxt)
+        if len(chain) == 3 and straight(segments[chain[0]]) and straight(segments[chain[2]]):
+            b = _around([*segments[chain[0]], segments[chain[1]][1], segments[chain[2]][1]])
+            if b[2] >= 3 and b[3] >= 3:
+                used.update(chain)
+                out.append((b, 0.7, "U_shape"))
+    for k, p in enumerate(segments):
+        for j in range(k + 1, len(segments)) if k not in used else ():
+            q = segments[j]
+            met = None if j in used else next(((m, n) for m in (0, 1) for n in (0, 1) if abs(p[m][0] - q[n][0]) <= tol and abs(p[m][1] - q[n][1]) <= tol), None)
+            if met and 85 <= _turn(p[met[0]], p[1 - met[0]], q[1 - met[1]]) <= 95:
+                b = _around([p[met[0]], p[1 - met[0]], q[1 - met[1]]])
+                if b[2] >= 3 and b[3] >= 3:
+                    used |= {k, j}
+                    out.append((b, 0.5, "L_shape"))
+                break
     return out
 
 
-def candidates(rows: list[dict], container: Box) -> list[dict]:
-    """Rectangles (0.95), open shapes, circles (0.60) and lone texts (0.40) inside a container, after dedup."""
-    area = container[2] * container[3]
-    out = [{"bbox": b, "score": 0.95, "source": "rect"} for b, _ in rectangles(rows) if contains(container, b) and b[2] * b[3] < 0.5 * area]
-    out += [{"bbox": b, "score": s, "source": k} for b, s, k in open_shapes(rows, container)]
-    out += [{"bbox": (r["cx"] - r["radius"], r["cy"] - r["radius"], 2 * r["radius"], 2 * r["radius"]), "score": 0.60, "source": "circle"} for r in rows if r["kind"] == "CIRCLE" and r.get("cx") is not None and holds(container, r["cx"], r["cy"])]
-    out = dedup(out)
-    words = [t for t in texts_of(rows, 20) if holds(container, t[0], t[1])]
-    for c in out:
-        own = sorted((t for t in words if holds(c["bbox"], t[0], t[1])), key=lambda t: -t[1])
-        c["name"], c["description"] = (own[0][2], [t[2] for t in own[1:]]) if own else ("", [])
-    for x, y, t in words:
-        b = (x - max(10.0 * len(t), 20.0) / 2, y - 7.5, max(10.0 * len(t), 20.0), 15.0)
-        if not any(holds(c["bbox"], x, y) or overlap(c["bbox"], b) > 0.2 for c in out):
-            out.append({"bbox": b, "score": 0.40, "source": "text", "name": t, "description": []})
+def spine_devices(rows: list[dict], container: Box, words: list[Word]) -> list[dict]:
+    """Boxes with texts between neighbouring short horizontals of one span that hang on a long vertical (0.75).
+
+    Their far side is closed by a vertical or lies at the container's edge.
+    """
+    x, y, w, h = container
+    up, flat = long_lines(rows, 3.0)
+    short = [s for s in flat if y - 3 <= s[0] <= y + h + 3 and s[1] >= x - 5 and s[2] <= x + w + 5 and (s[2] - s[1] < 50 or abs(s[2] - x - w) <= 3 or abs(s[1] - x) <= 3)]
+    steps: dict[Point, set[float]] = {}
+    for at, x0, x1 in short:
+        steps.setdefault((round(x0), round(x1)), set()).add(at)
+    out = []
+    for sx, s0, s1 in up:
+        if s1 - s0 < 100 or not x - 2 <= sx <= x + w + 2:
+            continue
+        for (x0, x1), levels in steps.items():
+            if (abs(x0 - sx) > 2 and abs(x1 - sx) > 2) or x1 - x0 < 2:
+                continue
+            far = x1 if abs(x0 - sx) <= 2 else x0
+            ys = sorted(levels, reverse=True)
+            for top, low in zip(ys, ys[1:], strict=False):
+                closed = any(abs(v[0] - far) < 1 and v[1] <= low + 2 and v[2] >= top - 2 for v in up)
+                box = (float(min(x0, far)), low, float(x1 - x0), top - low)
+                if 5 <= top - low <= 100 and (closed or min(abs(far - x - w), abs(far - x)) <= 3) and holds_centre(container, box):
+                    texts = [t[2] for t in words if len(t[2]) <= 20 and holds(box, t[0], t[1])]
+                    if texts:
+                        out.append(_candidate(box, 0.75, "spine_device", texts))
     return out
 
 
-def dedup(found: list[dict]) -> list[dict]:
-    """Greedy by score: a device that overlaps a kept one by over 0.4 (symbols: 0.5) goes."""
+def dedup(devices: list[dict], symbols: list[dict] = ()) -> list[dict]:
+    """Devices by falling score without those over 0.4 on a kept one, then symbols not over 0.5 on any."""
     kept: list[dict] = []
-    for c in sorted(found, key=lambda c: -c["score"]):
-        if all(overlap(c["bbox"], k["bbox"]) <= (0.5 if c["source"] == "circle" else 0.4) for k in kept):
+    for c in sorted(devices, key=lambda c: -c["score"]):
+        if all(overlap(c["bbox"], k["bbox"]) <= 0.4 for k in kept):
             kept.append(c)
+    for s in symbols:
+        if all(overlap(s["bbox"], k["bbox"]) <= 0.5 for k in kept):
+            kept.append(s)
     return kept
 
 
-def dbscan(features: list[tuple[float, ...]], eps: float, least: int) -> list[int]:
-    """Cluster of each point in scan order, -1 for noise; eps is inclusive and a point is its own neighbour."""
-    n = len(features)
-    near = [[j for j in range(n) if math.dist(features[i], features[j]) <= eps] for i in range(n)]
-    label, at = [-1] * n, -1
-    for i in range(n):
-        if label[i] >= 0 or len(near[i]) < least:
-            continue
-        at += 1
-        label[i], queue = at, list(near[i])
-        while queue:
-            j = queue.pop(0)
-            if label[j] < 0:
-                label[j] = at
-                if len(near[j]) >= least:
-                    queue += near[j]
-    return label
+def candidates(rows: list[dict], container: Box, boxes: list[Box] | None = None) -> list[dict]:
+    """Rectangles (0.95), spine devices (0.75), open shapes (0.7, 0.5), circles with texts (0.60) and lone texts (0.40)."""
+    words = words_of(rows)
+    boxes = [b for b, _ in rectangles(rows)] if boxes is None else boxes
+    devices = [_candidate(b, 0.95, "closed_rect") for b in boxes if holds_centre(container, b) and 3 <= b[2] <= 150 and 3 <= b[3] <= 150]
+    devices += spine_devices(rows, container, words)
+    devices += [_candidate(b, score, kind) for b, score, kind in open_shapes(rows, container)]
+    symbols = []
+    for r in rows:
+        if r["kind"] == "CIRCLE" and r.get("cx") is not None and 2 <= (r.get("radius") or 0) <= 30 and holds(container, r["cx"], r["cy"]):
+            texts = [w[2] for w in texts_near(words, r["cx"], r["cy"], 1.5 * r["radius"])]
+            if texts:
+                box = (r["cx"] - r["radius"], r["cy"] - r["radius"], 2 * r["radius"], 2 * r["radius"])
+                symbols.append({**_candidate(box, 0.60, "symbol", texts), "name": texts[0]})
+    held = dedup(devices, symbols)
+    for x, y, t in words:
+        if len(t) <= 20 and holds(container, x, y) and all(overlap((x - 1, y - 1, 2, 2), c["bbox"]) <= 0.2 for c in held):
+            w = max(10.0 * len(t), 20.0)
+            devices.append(_candidate((x - w / 2, y - 7.5, w, 15.0), 0.40, "text", [t]))
+    return dedup(devices, symbols)
+
+
+def name_devices(devices: list[dict], words: list[Word]) -> None:
+    """The highest text in each device's box is its name, the others its description."""
+    for d in devices:
+        inside = sorted((w for w in words if holds(d["bbox"], w[0], w[1])), key=lambda w: -w[1])
+        if inside:
+            d["name"], d["description"] = inside[0][2], [w[2] for w in inside[1:]]
+
+
+def shown_name(device: dict) -> str:
+    """Name and description as a node shows them; empty for devices without any text."""
+    name = device["name"] or (device["texts"][0] if device.get("texts") else "")
+    return " / ".join([name, *([" / ".join(device["description"])] if device["description"] else [])]) if name else ""
 
 
 # --- groups -------------------------------------------------------------------------------------------------
@@ -264,56 +257,76 @@ def _spread(v: list[float]) -> float:
     return max(v) - min(v)
 
 
-def _line_score(boxes: list[Box], along: int) -> tuple[float, list[str]]:
-    """Evidence that boxes form a column (along 1) or row (along 0)."""
-    across = [centre(b)[1 - along] for b in boxes]
-    order = sorted(centre(b)[along] for b in boxes)
+def line_score(boxes: list[Box], along: int, container: Box) -> tuple[float, list[str]]:
+    """Evidence that boxes form a column (along 1) or row (along 0) of a container."""
+    across, order = [centre(b)[1 - along] for b in boxes], sorted(centre(b)[along] for b in boxes)
     gaps = [b - a for a, b in zip(order, order[1:], strict=False)]
-    score, why = 0.0, []
-    for test, points, name in (
-        (_spread(across) <= 4, 0.30, "x_align" if along else "y_align"),
-        (_spread([b[2] for b in boxes]) <= 8, 0.15, "w_consist"),
-        (_spread([b[3] for b in boxes]) <= 6, 0.15, "h_consist"),
-        (bool(gaps) and min(gaps) > 2, 0.10, "spacing"),
-        (bool(gaps) and min(gaps) > 2 and len(gaps) >= 2 and stdev(gaps) <= 5, 0.20, "spacing_std"),
-        (_spread([b[1 - along] for b in boxes]) <= 4, 0.10, "edge"),
-    ):
-        if test:
-            score += points
-            why.append(name)
-    return score, why
+    apart = bool(gaps) and min(gaps) > 2.0
+    even = stdev(gaps) if apart and len(gaps) >= 2 else None
+    size = container[2 + (1 - along)] if container[2 + (1 - along)] > 0 else 1
+    low, high = (mean(across) - container[1 - along]) / size, (container[1 - along] + size - mean(across)) / size
+    edge = ("left_edge" if container[0] > 0 and low < 0.15 else "right_edge" if high < 0.15 else "") if along else ("top_edge" if high < 0.1 else "")
+    tests = [
+        (_spread(across) <= 4, 0.30, "x_align" if along else "y_align"), (_spread([b[2] for b in boxes]) <= 8, 0.15, "w_consist"), (_spread([b[3] for b in boxes]) <= 6, 0.15, "h_consist"),
+        (even is not None and even <= 5, 0.20, f"spacing_std:{even or 0:.1f}"), (apart, 0.10, f"count:{len(boxes)}"), (bool(edge), 0.10, edge),
+    ]
+    return sum(points for test, points, _ in tests if test), [why for test, _, why in tests if test]
 
 
 def is_grid(boxes: list[Box]) -> tuple[int, int] | None:
-    xs, ys = {round(centre(b)[0], 1) for b in boxes}, {round(centre(b)[1], 1) for b in boxes}
-    full = len({(round(centre(b)[0], 1), round(centre(b)[1], 1)) for b in boxes}) == len(xs) * len(ys)
-    return (len(xs), len(ys)) if len(boxes) >= 4 and len(xs) >= 2 and len(ys) >= 2 and full and len(boxes) == len(xs) * len(ys) else None
+    """(columns, rows) if the centres' distinct coordinates make up as many places as there are boxes."""
+    xs, ys = ({round(centre(b)[axis], 1) for b in boxes} for axis in (0, 1))
+    return (len(xs), len(ys)) if len(boxes) >= 4 and len(xs) >= 2 and len(ys) >= 2 and len(xs) * len(ys) == len(boxes) else None
 
 
-def classify_group(boxes: list[Box]) -> str | None:
-    if is_grid(boxes):
-        return "GRID"
-    if _spread([centre(b)[0] for b in boxes]) <= 12 and _line_score(boxes, 1)[0] >= 0.4:
-        return "VERTICAL_COLUMN"
-    if _spread([centre(b)[1] for b in boxes]) <= 8 and _line_score(boxes, 0)[0] >= 0.4:
-        return "HORIZONTAL_ROW"
-    return "FREEFORM" if len(boxes) >= 2 else None
+def classify_group(boxes: list[Box], container: Box) -> tuple[str, float, list[str]]:
+    grid = is_grid(boxes)
+    if grid:
+        return "GRID", 0.8, [f"grid_{grid[0]}x{grid[1]}"]
+    for kind, along, most in (("VERTICAL_COLUMN", 1, 12), ("HORIZONTAL_ROW", 0, 8)):
+        if _spread([centre(b)[1 - along] for b in boxes]) <= most:
+            score, why = line_score(boxes, along, container)
+            if score >= 0.4:
+                return kind, score, why
+    return "FREEFORM", 0.0, ["connected"]
 
 
-def groups(devices: list[dict]) -> list[dict]:
-    """Clusters of devices within 30 units with their type, semantic label and confidence."""
+def groups(devices: list[dict], container: Box) -> list[dict]:
+    """Clusters of devices within 30 units with their type, score and evidence; columns and grids from above, rows from the left."""
     label = dbscan([(*centre(d["bbox"]), 0.1 * d["bbox"][2], 0.1 * d["bbox"][3]) for d in devices], 30.0, 2)
     out = []
     for k in range(max(label, default=-1) + 1):
-        own = [d for d, x in zip(devices, label, strict=True) if x == k]
-        kind = classify_group([d["bbox"] for d in own])
-        semantic, confidence = semantics(kind, own)
-        out.append({"bbox": union_box([d["bbox"] for d in own]), "type": kind, "members": own, "semantic": semantic, "confidence": confidence})
+        own = [d for d, at in zip(devices, label, strict=True) if at == k]
+        kind, score, why = classify_group([d["bbox"] for d in own], container)
+        if kind != "FREEFORM":
+            own.sort(key=lambda d: centre(d["bbox"])[0] if kind == "HORIZONTAL_ROW" else -centre(d["bbox"])[1])
+        out.append({"bbox": union_box([d["bbox"] for d in own]), "type": kind, "score": score, "evidence": why, "members": own, "name": ""})
     return out
 
 
-def semantics(shape: str | None, members: list[dict]) -> tuple[str, float]:
-    """Sum of evidence from shape, names, attribute categories and table rows; the highest label, first on ties."""
+def name_groups(found: list[dict], words: list[Word]) -> None:
+    """The lowest text up to 30 above a group and 50 beside its middle is its name."""
+    for g in found:
+        top, middle = g["bbox"][1] + g["bbox"][3], centre(g["bbox"])[0]
+        near = [w for w in words if abs(w[0] - middle) <= 50 and 0 <= w[1] - top <= 30]
+        g["name"] = min(near, key=lambda w: w[1])[2] if near else ""
+
+
+def device_category(name: str, block: str = "", parent: str = "") -> tuple[str, float]:
+    """Category of a device from its block (0.4), each list of name prefixes (0.3) and its parent's name (0.1); first on ties."""
+    score: dict[str, float] = {}
+    if block in BLOCK_CATEGORIES:
+        score[BLOCK_CATEGORIES[block]] = 0.4
+    for shown, points in ((name, 0.3), (parent, 0.1)):
+        for prefixes, kind in NAME_CATEGORIES:
+            if shown and shown.lower().startswith(prefixes):
+                score[kind] = score.get(kind, 0.0) + points
+    best = max(score, key=lambda k: score[k], default="UNKNOWN")
+    return best, score.get(best, 0.0)
+
+
+def semantics(shape: str | None, members: list[dict], table: dict | None = None) -> tuple[str, float]:
+    """Sum of evidence from shape, names, attribute categories and a table row; the highest label, first on ties."""
     score: dict[str, float] = {}
 
     def add(label: str, points: float) -> None:
@@ -321,228 +334,137 @@ def semantics(shape: str | None, members: list[dict]) -> tuple[str, float]:
 
     if shape in SHAPE_EVIDENCE:
         add(*SHAPE_EVIDENCE[shape])
-    names = [(m.get("name") or "").lower() for m in members]
-    if any(names):
-        for prefixes, label, weight in NAME_EVIDENCE:
-            hit = sum(any(n.startswith(p) for p in prefixes) for n in names)
-            if hit:
-                add(label, weight * hit / len(names))
-    kinds = Counter(m.get("category") for m in members if m.get("category"))
+    names = [m["name"].lower() for m in members if m.get("name")]
+    for prefixes, label, weight in NAME_EVIDENCE if names else ():
+        hit = sum(n.startswith(prefixes) for n in names)
+        if hit:
+            add(label, weight * hit / len(names))
+    kinds = Counter(m["category"] for m in members if m.get("category"))
     for kind, label in ATTRIBUTE_EVIDENCE.items():
-        if members and kinds[kind] / len(members) >= 0.5:
+        if kinds and kinds[kind] / kinds.total() >= 0.5:
             add(label, 0.20)
-    for m in members:
-        info = m.get("table_info") or {}
-        for word, label, weight in TABLE_EVIDENCE:
-            if word in (info.get("name") or ""):
-                add(label, weight)
-        for prefix, label, weight in MODEL_EVIDENCE:
-            if (info.get("model") or "").lower().startswith(prefix):
-                add(label, weight)
-    if not score:
-        return "UNKNOWN", 0.0
-    best = max(score, key=lambda k: score[k])
-    return best, round(min(score[best], 1.0), 3)
-
-
-def faces(boxes: list[Box], words: list[tuple[float, float, str]]) -> list[str]:
-    """front or back of each cabinet from the face text below it; without any, the lower cabinet is the front."""
+    for word, label, weight in TABLE_EVIDENCE if table else ():
+        if word in (table.get("description") or ""):
+            add(label, weight)
+    model = next((m for m in MODEL_EVIDENCE if table and (table.get("model") or "").strip().lower().startswith(m[0])), None)
+    if model:
+        add(*model[1:])
+    best = max(score, key=lambda k: score[k], default="UNKNOWN")
+    return best, round(score.get(best, 0.0), 3)
+
+
+def faces(boxes: list[Box], words: list[Word]) -> list[str]:
+    """front or back of each cabinet from the face text below it; of cabinets without one, the lowest is the front."""
     if len(boxes) < 2:
         return [""] * len(boxes)
+    marks = [(x, y, t.replace(" ", "")) for x, y, t in words if t.replace(" ", "") in ("正面", "背面")]
     out = []
     for b in boxes:
         cx = centre(b)[0]
-        met = [(abs(x - cx) + 0.5 * (b[1] - y), k) for k, (x, y, t) in enumerate(words) if ("正面" in t or "背面" in t) and abs(x - cx) <= 0.6 * b[2] and 0 <= b[1] - y <= 200]
-        out.append(("正面" if "正面" in words[min(met)[1]][2] else "背面") if met else "")
-    if not any(out):
-        low = min(range(len(boxes)), key=lambda k: boxes[k][1])
-        out = ["正面" if k == low else "背面" for k in range(len(boxes))]
-    return out
-
-
-# --- tables and positions -----------------------------------------------------------------------------------
-def text_rows(words: list[tuple[float, float, str]], tol: float) -> list[list[tuple[float, float, str]]]:
-    """Rows by round(y / tol) half to even, top first, cells from left; one row alone is none."""
-    rows: dict[float, list] = {}
-    for w in words:
-        rows.setdefault(round(w[1] / tol) * tol, []).append(w)
-    return [sorted(rows[k], key=lambda w: w[0]) for k in sorted(rows, reverse=True)] if len(rows) >= 2 else []
-
-
-def parse_table(words: list[tuple[float, float, str]], kind: str, tol: float = 5.0, reach: float = 50.0) -> list[dict] | None:
-    """Rows below the first header row as role -> text, each cell under its nearest header; None without a header."""
-    rows = text_rows(words, tol)
-    roles = TABLE_ROLES[kind]
-    head = next((k for k, row in enumerate(rows) if sum(any(re.search(p, t) for _, p in roles) for _, _, t in row) >= 2), None)
-    if head is None:
-        return None
-    columns: list[tuple[float, str]] = []
-    for x, _, t in rows[head]:
-        role = next((r for r, p in roles if re.search(p, t)), None)
-        if role and role not in [c[1] for c in columns]:
-            columns.append((x, role))
-    out = []
-    for row in rows[head + 1 :]:
-        made: dict[str, str] = {}
-        for x, _, t in row:
-            best = min(columns, key=lambda c: abs(c[0] - x))
-            if abs(best[0] - x) <= reach:
-                made[best[1]] = f"{made[best[1]]} {t}" if best[1] in made else t
-        if made:
-            out.append(made)
+        met = min(((abs(x - cx) + 0.5 * (b[1] - y), k) for k, (x, y, _) in enumerate(marks) if abs(x - cx) <= 0.6 * b[2] and 0 < b[1] - y <= 200), default=None)
+        out.append({"正面": "front", "背面": "back"}[marks[met[1]][2]] if met else "")
+    bare = sorted((k for k, f in enumerate(out) if not f), key=lambda k: boxes[k][1])
+    for n, k in enumerate(bare):
+        out[k] = "back" if n else "front"
     return out
 
 
-def match_devices(table: list[dict], devices: list[dict]) -> dict[int, dict]:
-    """Table row of each device: equal name, or the name and a space at its start; the first device wins."""
-    out: dict[int, dict] = {}
-    for row in table:
-        name = row.get("name") or ""
-        k = next((k for k, d in enumerate(devices) if name and (d["name"] == name or d["name"].startswith(name + " "))), None)
-        if k is not None:
-            out.setdefault(k, row)
-    return out
-
+# --- the tree -----------------------------------------------------------------------------------------------
+NODE_SCHEMA = "document_hash string, node_id string, parent_id string, root_id string, ord int, type string, name string, group_type string, x double, y double, w double, h double, data map<string,string>, error string"
 
-def schedule_records(words: list[tuple[float, float, str]]) -> list[dict]:
-    """Topology records of a cable schedule; without a header, its distinct cable ids in order."""
-    table = parse_table([w for w in words if len(w[2]) <= 80], "schedule", tol=3.0)
-    full = r"[A-Za-z0-9]{2,8}-[A-Za-z0-9]{1,8}"
-    if table:
-        found = []
-        for row in table:
-            if re.fullmatch(full, row.get("cable_id", "")):
-                made = dict(row)
-                number = made.pop("conductor_no", None)
-                if number is not None and number.strip().isdigit():
-                    made["conductor_no"] = int(number)
-                elif number:
-                    made["circuit_desc"] = f"{made.get('circuit_desc', '')} {number}".strip()
-                found.append(made)
-        if found:
-            return found
-    return [{"cable_id": i} for i in sorted({i for _, _, t in words for i in re.findall(rf"\b({full})\b", t)})]
-
-
-def usage_rows(words: list[tuple[float, float, str]]) -> list[dict]:
-    """Rows of a usage table anchored at labels like 12F or 3C: texts within 6 units of a label's row, by column order."""
-    labels = sorted((w for w in words if re.fullmatch(r"\d+[CF]", w[2])), key=lambda w: -w[1])
-    left, out = {id(w): w for w in words}, []
-    for x, y, label in labels:
-        row = sorted((w for w in left.values() if abs(w[1] - y) <= 6 and w[0] > x and not re.fullmatch(r"\d+[CF]", w[2])), key=lambda w: w[0])
-        for w in row:
-            left.pop(id(w), None)
-        names = [w[2] for w in row if not w[2].isdigit()]
-        out.append({"cell_label": label, "equipment": names[0] if names else "", "qty": sum(int(w[2]) for w in row if w[2].isdigit()), "remark": " / ".join(names[1:])})
-    return out
 
+class Tree:
+    """Flat nodes with their parents; ids are numbers in order of making, so they are unique in a document."""
 
-def cross_reference(cells: list[dict], usage: list[dict]) -> list[dict]:
-    """Cells with the equipment, quantity and remark of their label; of equal labels the last counts."""
-    by = {u["cell_label"]: u for u in usage}
-    return [{**c, **{k: by.get(c["label"], {}).get(k, "" if k != "qty" else None) for k in ("equipment", "qty", "remark")}} for c in cells]
+    def __init__(self):
+        self.nodes: list[dict] = []
 
+    def add(self, parent: dict | None, kind: str, box: Box, name: str = "", group_type: str | None = None, **data: object) -> dict:
+        node = {
+            "node_id": f"n{len(self.nodes)}", "parent_id": parent and parent["node_id"], "root_id": parent["root_id"] if parent else f"n{len(self.nodes)}", "ord": len(self.nodes), "type": kind, "name": name,
+            "group_type": group_type, "x": box[0], "y": box[1], "w": box[2], "h": box[3], "data": {k: str(v) for k, v in data.items()},
+        }
+        self.nodes.append(node)
+        return node
 
-def position_cells(rows: list[dict]) -> list[dict]:
-    """Labelled cells of a position plan with row, group and column numbers.
 
-    Cells are rectangles of the most common size (within 3 units); labels are texts like 12F.
-    """
-    words = [w for w in texts_of(rows) if re.fullmatch(r"\d+F", w[2])]
-    boxes = [b for b, _ in rectangles(rows)]
-    sizes = Counter((round(b[2]), round(b[3])) for b in boxes)
-    if not words or not sizes:
-        return []
-    w, h = max(sizes, key=lambda s: sizes[s])
-    cells = []
-    for b in boxes:
-        if abs(b[2] - w) <= 3 and abs(b[3] - h) <= 3:
-            cx, cy = centre(b)
-            near = min(((math.dist((cx, cy), (x, y)), t) for x, y, t in words), default=None)
-            if near and near[0] <= 0.8 * max(b[2], b[3]):
-                cells.append({"bbox": b, "label": near[1], "cx": cx, "cy": cy})
-    cells.sort(key=lambda c: (-c["cy"], c["cx"]))
-    heights = sorted(c["bbox"][3] for c in cells)
-    out: list[list[dict]] = []
-    for c in cells:
-        if out and abs(c["cy"] - out[-1][0]["cy"]) <= 0.6 * heights[len(heights) // 2]:
-            out[-1].append(c)
-        else:
-            out.append([c])
-    for r, row in enumerate(out):
-        row.sort(key=lambda c: c["cx"])
-        gaps = sorted(b["cx"] - a["cx"] for a, b in zip(row, row[1:], strict=False))
-        group = col = 0
-        for k, c in enumerate(row):
-            if k and c["cx"] - row[k - 1]["cx"] > 1.5 * gaps[len(gaps) // 2]:
-                group, col = group + 1, 0
-            c |= {"row": r, "group": group, "col": col}
-            col += 1
-    return [c for row in out for c in row]
+def grow(tree: Tree, parent: dict, container: Box, cabinet: Box, rows: list[dict], boxes: list[Box], table: dict | None, taken: list[Box]) -> None:
+    """Groups and devices of a container, without those in areas that are done; fewer than two candidates give nothing."""
+    words = [w for w in words_of(rows) if len(w[2]) <= 20]
+    devices = candidates(rows, container, boxes)
+    if len(devices) >= 2:
+        devices = [d for d in devices if not any(holds_centre(b, d["bbox"]) for b in taken)]
+    if len(devices) < 2:
+        return
+    name_devices(devices, words)
+    for k, info in match_devices(table, [d["name"] for d in devices]).items():
+        devices[k]["table_info"] = info
+    found = groups(devices, cabinet)
+    name_groups(found, words)
+
+    def put(home: dict, d: dict) -> None:
+        name = shown_name(d)
+        if name:
+            tree.add(home, "DEVICE", d["bbox"], name, source=d["source"], **d.get("table_info", {}))
+
+    for g in found:
+        label, sure = semantics(g["type"], [{"name": shown_name(m)} for m in g["members"]])
+        node = tree.add(parent, "GROUP", g["bbox"], g["name"], g["type"], score=round(g["score"], 2), evidence=",".join(g["evidence"]), semantic=label, confidence=sure)
+        for m in g["members"]:
+            put(node, m)
+    grouped = {id(m) for g in found for m in g["members"]}
+    for d in devices:
+        if id(d) not in grouped:
+            put(parent, d)
 
 
-# --- grouped runs -------------------------------------------------------------------------------------------
 def layout_nodes(rows: list[dict]) -> list[dict]:
     """Flat layout nodes of one document: cabinets, areas, groups, devices with their parents."""
-    out: list[dict] = []
-
-    def add(parent: str | None, kind: str, box: Box, name: str = "", **data: object) -> str:
-        node = f"n{len(out)}"
-        out.append({"node_id": node, "parent_id": parent, "ord": len(out), "type": kind, "name": name, "x": box[0], "y": box[1], "w": box[2], "h": box[3], "data": {k: str(v) for k, v in data.items()}})
-        return node
+    boxes, tree, roots = [b for b, _ in rectangles(rows)], Tree(), []
+    for c in cabinets(rows, boxes):
+        table = cabinet_table(rows, c["bbox"])
+        root = tree.add(None, "CABINET", c["bbox"], c["name"], source="rectangle" if c["rect"] else "paired_verticals")
+        roots.append(root)
+        if table:
+            root["data"] |= {"table_header": "\t".join(table["header"]), "table_rows": "\n".join("\t".join(r) for r in table["rows"])}
+        parts = areas(rows, c["bbox"], boxes)
+        for box, name, number in parts:
+            area = tree.add(root, "PANEL_AREA", box, name, number=number)
+            grow(tree, area, box, c["bbox"], rows, boxes, table, [])
+        grow(tree, root, c["bbox"], c["bbox"], rows, boxes, table, [box for box, _, _ in parts])
+    for root, face in zip(roots, faces([(r["x"], r["y"], r["w"], r["h"]) for r in roots], words_of(rows)), strict=True):
+        if face:
+            root["data"]["face"] = face
+            root["name"] = root["name"] or {"front": "正面", "back": "背面"}[face]
+    return tree.nodes
+
+
+def physical_cabinets(nodes: list[dict]) -> list[dict]:
+    """Cabinets of a layout with their devices: those directly below and any below their areas, not those of direct groups."""
+    by_id = {n["node_id"]: n for n in nodes}
+
+    def counted(n: dict, root: dict) -> bool:
+        up = by_id.get(n["parent_id"])
+        while up and up["parent_id"] != root["node_id"] and up is not root:
+            up = by_id.get(up["parent_id"])
+        return up is root or (up is not None and up["type"] == "PANEL_AREA")
 
-    found = cabinets(rows)
-    sides = faces([c["bbox"] for c in found], texts_of(rows))
-    for c, side in zip(found, sides, strict=True):
-        cab = add(None, "CABINET", c["bbox"], c["name"], **({"face": side} if side else {}))
-        for area in areas(rows, c["bbox"]):
-            devices = [d for d in candidates(rows, area) if d["name"]]
-            if not devices:
-                continue
-            place = add(cab, "PANEL_AREA", area)
-            grouped = [g for g in groups(devices) if g["type"] != "FREEFORM"] if len(devices) >= 2 else []
-            inside = {id(m) for g in grouped for m in g["members"]}
-            for g in grouped:
-                node = add(place, "GROUP", g["bbox"], "", group_type=g["type"], semantic=g["semantic"], confidence=g["confidence"])
-                for m in g["members"]:
-                    add(node, "DEVICE", m["bbox"], m["name"], source=m["source"], description=" ".join(m["description"]))
-            for d in devices:
-                if id(d) not in inside:
-                    add(place, "DEVICE", d["bbox"], d["name"], source=d["source"], description=" ".join(d["description"]))
+    out = []
+    for root in nodes:
+        if root["type"] == "CABINET":
+            own = [n for n in nodes if n["type"] == "DEVICE" and n["root_id"] == root["node_id"] and counted(n, root)]
+            out.append({"cabinet_id": root["node_id"], "name": root["name"], "x": root["x"], "y": root["y"], "w": root["w"], "h": root["h"], "devices": len(own), "names": ",".join(sorted(n["name"] for n in own))})
     return out
 
 
-NODE_SCHEMA = "document_hash string, node_id string, parent_id string, ord int, type string, name string, x double, y double, w double, h double, data map<string,string>, error string"
-CELL_SCHEMA = "document_hash string, label string, row int, grp int, col int, x double, y double, w double, h double, error string"
-RECORD_SCHEMA = "document_hash string, cable_id string, conductor_no int, strip_name string, terminal_no_remote string, circuit_desc string, loop_id string, cabinet_name string, error string"
-
-
-def per_document(entities: DataFrame, run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """Run a function on each document's rows in file order; an error becomes a row with its message."""
-    names = [part.strip().split(" ")[0] for part in re.sub(r"<[^>]*>", "", schema).split(",")]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["document_hash"].iloc[0]
-        rows = pdf.sort_values("seq").astype(object).where(pdf.sort_values("seq").notna(), None).to_dict("records")
-        try:
-            made = run(rows)
-        except (ValueError, KeyError, TypeError, ZeroDivisionError) as error:
-            made = [{"error": f"{type(error).__name__}: {error}"}]
-        return pd.DataFrame([{**dict.fromkeys(names), **m, "document_hash": key} for m in made], columns=names).astype(object)
-
-    return entities.groupBy("document_hash").applyInPandas(one, schema)
+PHYSICAL_SCHEMA = "document_hash string, cabinet_id string, name string, x double, y double, w double, h double, devices int, names string, error string"
 
 
+# --- grouped runs -------------------------------------------------------------------------------------------
 def scan_layout(entities: DataFrame) -> DataFrame:
     return per_document(entities, layout_nodes, NODE_SCHEMA)
 
 
-def scan_positions(entities: DataFrame) -> DataFrame:
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"label": c["label"], "row": c["row"], "grp": c["group"], "col": c["col"], "x": c["bbox"][0], "y": c["bbox"][1], "w": c["bbox"][2], "h": c["bbox"][3]} for c in position_cells(rows)]
-
-    return per_document(entities, run, CELL_SCHEMA)
-
+def scan_physical_cabinets(entities: DataFrame) -> DataFrame:
+    return per_document(entities, lambda rows: physical_cabinets(layout_nodes(rows)), PHYSICAL_SCHEMA)
 
-def scan_schedules(entities: DataFrame) -> DataFrame:
-    return per_document(entities, lambda rows: schedule_records(texts_of(rows, 80)), RECORD_SCHEMA)

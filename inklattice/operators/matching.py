@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inklattice.functions import text as T
 
 
+#: Characters of a key by which texts are looked up.
+GRAM = 4
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct runs of ``n`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n)))
+
+
+def containing(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k, doc): texts that hold a key anywhere.  keys: k; texts: doc, text.
+
+    A key is looked up by its last ``GRAM`` characters (all, if it has fewer) among those of the texts, by an
+    equi-join; then the whole key is tested.  Only runs that some key ends with leave a text.
+    """
+    size = F.least(F.length("k"), F.lit(GRAM))
+    ends = keys.filter("k <> ''").select("k").distinct().select("k", size.alias("n"), F.expr(f"right(k, {GRAM})").alias("gram"))
+    sizes = [r.n for r in ends.select("n").distinct().collect()]  # GRAM at most
+    if not sizes:
+        return keys.select("k").limit(0).withColumn("doc", F.lit(None).cast(texts.schema["doc"].dataType))
+    every = texts.filter("text <> ''").select("doc", F.explode(F.array(*map(F.lit, sizes))).alias("n"), "text").select("doc", F.explode(_grams(F.col("text"), F.col("n"))).alias("gram"))
+    met = every.join(ends, "gram").select("doc", "k")
+    return met.join(texts.select("doc", "text"), "doc").filter(F.col("text").contains(F.col("k"))).select("k", "doc").distinct()
+
+
 def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(target, doc, match_type): best tier at which a target occurs in a document's text.
 
-    targets: target; texts: doc, text.  Tokens of texts are matched by equality for the first three tiers, so
-    the joins are equi-joins on keys instead of a substring test of every pair; a target inside a longer token is
-    not found.
+    targets: target; texts: doc, text.  The first three tiers are substring tests: of the target, of both sides
+    normalised, and of the target's variants with one confused character.  The fourth (``fuzzy``) compares tokens.
     """
-    token = texts.select("doc", F.explode(F.array_distinct(F.split(F.col("text"), r"\s+"))).alias("token")).filter("token <> ''")
     t = targets.select("target").distinct()
-    exact = token.join(t, token.token == t.target).select("target", "doc", F.lit("exact").alias("match_type"))
+    tier = lambda found, name: found.select("target", "doc", F.lit(name).alias("match_type"))
+    exact = tier(containing(t.withColumnRenamed("target", "k"), texts).withColumnRenamed("k", "target"), "exact")
     nt = t.select("target", T.normalized(F.col("target")).alias("k"))
-    normal = token.withColumn("k", T.normalized(F.col("token"))).join(nt, "k").select("target", "doc", F.lit("normalized").alias("match_type"))
+    normal = tier(containing(nt, texts.select("doc", T.normalized(F.col("text")).alias("text"))).join(nt, "k"), "normalized")
     variants = t.select("target", F.explode(T.confusion_variants(F.col("target"))).alias("k")).filter("k <> ''")
-    confused = token.join(variants, token.token == variants.k).select("target", "doc", F.lit("confusion").alias("match_type"))
+    confused = tier(containing(variants, texts).join(variants, "k"), "confusion")
     every = exact.union(normal).union(confused)
     if fuzzy:
+        token = texts.select("doc", F.explode(F.array_distinct(F.split(F.col("text"), r"\s+"))).alias("token")).filter("token <> ''")
+
         # Strings at distance one agree on a copy with one character deleted (or are equal): an equi-join on those.
         def deletions(df: DataFrame, c: str) -> DataFrame:
             cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
             return df.withColumn("k", F.explode(F.array_distinct(F.concat(F.array(F.col(c)), cuts))))
 
         near = deletions(token, "token").join(deletions(t, "target"), "k").filter(F.levenshtein("token", "target") <= 1)
-        every = every.union(near.select("target", "doc", F.lit("levenshtein").alias("match_type")))
+        every = every.union(tier(near, "levenshtein"))
     return every.groupBy("target", "doc").agg(F.min_by("match_type", T.tier_rank(F.col("match_type"))).alias("match_type"))
 
 

@@ -57,16 +57,23 @@ def device_rows(items: DataFrame, low: float = 5.0, high: float = 100.0) -> Data
 
 
 def dominant_size(items: DataFrame) -> DataFrame:
-    """The most common (rounded pos % 40, rounded size % 5) per grp; ties to the first inserted."""
-    keyed = items.select("grp", "seq", F.bround(F.col("pos") % 40).alias("w"), F.bround(F.col("size") % 5).alias("h"))
+    """The most common (rounded w, rounded h) per grp; ties to the first inserted.  items: grp, seq, w, h."""
+    keyed = items.select("grp", "seq", F.bround("w").alias("w"), F.bround("h").alias("h"))
     per = keyed.groupBy("grp", "w", "h").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     return per.groupBy("grp").agg(F.max_by(F.struct("w", "h", "n"), F.struct(F.col("n"), -F.col("first"))).alias("r")).select("grp", "r.*")
 
 
+def cells_of_size(items: DataFrame, within: float = 3.0) -> DataFrame:
+    """The items whose width and height lie within 3 of the dominant ones of their grp."""
+    held = items.join(dominant_size(items).select("grp", F.col("w").alias("dw"), F.col("h").alias("dh")), "grp")
+    return held.filter((F.abs(F.col("w") - F.col("dw")) <= within) & (F.abs(F.col("h") - F.col("dh")) <= within)).drop("dw", "dh")
+
+
 def merged_lines(items: DataFrame) -> DataFrame:
-    """Lines by half-unit rows: union span, longest segment and its seq."""
-    keyed = items.withColumn("row", F.bround(F.col("size") * 2) / 2).withColumn("x2", F.col("pos") + F.col("size"))
-    return keyed.groupBy("grp", "row").agg(F.min("pos").alias("x1"), F.max("x2").alias("x2"), F.max("size").alias("longest"), F.max_by("seq", F.struct(F.col("size"), -F.col("seq"))).alias("seq"))
+    """Horizontal lines by half-unit rows of y: union span, longest segment and its seq.  items: grp, seq, y, x1, x2."""
+    long = F.col("x2") - F.col("x1")
+    keyed = items.withColumn("row", F.bround(F.col("y") * 2) / 2).withColumn("long", long)
+    return keyed.groupBy("grp", "row").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.max("long").alias("longest"), F.max_by("seq", F.struct(F.col("long"), -F.col("seq"))).alias("seq"))
 
 
 def ordered_within(items: DataFrame, by: list, order: list) -> DataFrame:
@@ -86,3 +93,42 @@ def extents(points: DataFrame) -> DataFrame:
     """Bounding box per document; (0, 0, 1, 1) where nothing has coordinates."""
     out = points.groupBy("doc").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     return out.select("doc", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("w", F.lit(1.0)).alias("w"), F.coalesce("h", F.lit(1.0)).alias("h"))
+
+
+def entity_extents(entities: DataFrame) -> DataFrame:
+    """Bounding box per document over its lines, circles and arcs; (0, 0, 1, 1) without any."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    r = F.coalesce("radius", F.lit(0.0))
+    round_ = F.array(point(F.col("cx") - r, F.col("cy") - r), point(F.col("cx") + r, F.col("cy") + r))
+    own = F.when(F.col("kind") == "LINE", F.col("points")).when(F.col("kind").isin("CIRCLE", "ARC") & F.col("cx").isNotNull(), round_)
+    every = entities.select(F.col("document_hash").alias("doc"), F.explode_outer(own).alias("p"))
+    return extents(every.select("doc", "p.x", "p.y"))
+
+
+# A cross-section in a cable's model.
+CROSS_SECTION = r"(\d+)[×x*](\d+(?:\.\d+)?)"
+
+
+def cable_models(cables: DataFrame, texts: DataFrame, reach: float = 300.0) -> DataFrame:
+    """(cable_id, document_hash, model, cross_section): the two texts below a cable's label, and the first section in them.
+
+    The label is the first text that is the id, else the first that is the id before a parenthesis.  Texts below it
+    within ``reach`` in x count from above, without empty ones and the id itself.  cables: cable_id, document_hash;
+    texts: document_hash, seq, text, x, y.
+    """
+    clean = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    t = texts.select("document_hash", "seq", clean.alias("text"), "x", "y")
+    bare = F.when(F.instr("text", "(") > 1, F.regexp_replace(F.substring_index("text", "(", 1), r"(?U)\s+$", "")).otherwise(F.col("text"))
+    named = t.withColumn("cable_id", F.explode(F.array_distinct(F.array("text", bare)))).withColumn("rank", (F.col("text") != F.col("cable_id")).cast("int"))
+    met = named.join(cables.select("cable_id", "document_hash").distinct(), ["document_hash", "cable_id"])
+    anchor = met.groupBy("document_hash", "cable_id").agg(F.min(F.struct("rank", "seq", "x", "y")).alias("a")).select("document_hash", "cable_id", F.col("a.seq").alias("aseq"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"))
+    # Bands of x of the reach's width are the key; a text is dealt to those that it can be below.
+    band = lambda c: F.floor(c / reach)
+    spread = t.withColumn("band", F.explode(F.sequence(band(F.col("x") - reach), band(F.col("x") + reach))))
+    below = anchor.withColumn("band", band(F.col("ax"))).join(spread, ["document_hash", "band"])
+    below = below.filter((F.col("seq") != F.col("aseq")) & (F.abs(F.col("x") - F.col("ax")) < reach) & (F.col("y") < F.col("ay")) & (F.col("text") != "") & (F.col("text") != F.col("cable_id")))
+    rank = F.row_number().over(Window.partitionBy("document_hash", "cable_id").orderBy(F.col("y").desc(), "seq"))
+    two = below.withColumn("k", rank).filter("k <= 2").withColumn("section", F.regexp_extract("text", CROSS_SECTION, 2))
+    parts = two.groupBy("document_hash", "cable_id").agg(F.array_sort(F.collect_list(F.struct("k", "text", "section"))).alias("p"))
+    first = F.get(F.filter("p", lambda p: p.section != ""), F.lit(0))
+    return parts.select("cable_id", "document_hash", F.array_join(F.transform("p", lambda p: p.text), " ").alias("model"), F.coalesce(first.section, F.lit("")).alias("cross_section"))

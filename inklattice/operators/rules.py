@@ -1,14 +1,18 @@
 """A boolean rule language over row cells, compiled to Column expressions.
 
-Rules: {id: {"column": spec, "equals" | "contains" | "startswith" | "endswith" | "regex": target}} or
-{"column": spec, "match": "contains:on"}.  Expressions: ids with ``| & !``, ``or and not``, parentheses, True, False.
+Rules: {id: spec} or a list of specs with an ``id``.  A spec has a ``column`` and a ``match``: ``"contains:on"`` or
+``{"type": "contains", "value": "on"}`` with equals, contains, startswith, endswith or regex (or the type as a key of the
+spec itself), or ``{"type": "py", "function": name}`` with a Python function of a cell.
+Expressions: ids with ``| & !``, ``or and not``, parentheses, True, False.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,31 +62,79 @@ def column_spec(spec: object) -> tuple[int, ...]:
 class Rules:
     """Compiled rules over an array<string> column of cells."""
 
-    def __init__(self, specs: dict[str, dict], cells: str = "cells", null_text: str = "None"):
+    def __init__(self, specs: dict[str, dict] | list[dict], cells: str = "cells", null_text: str = "None", functions: dict[str, Callable] | None = None):
         self.compiled: dict[str, Column] = {}
-        for name, spec in specs.items():
-            if not name.isidentifier() or name in ("True", "False", "and", "or", "not"):
+        named = list(specs.items()) if isinstance(specs, dict) else [(s.get("id") if isinstance(s, dict) else None, s) for s in specs]
+        for name, spec in named:
+            if not isinstance(name, str) or not name.isidentifier() or name in ("True", "False", "and", "or", "not"):
                 raise ValueError(f"bad rule id: {name!r}")
+            if name in self.compiled:
+                raise ValueError(f"rule id twice: {name!r}")
+            if not isinstance(spec, dict) or "columns" in spec or spec.get("column") is None:
+                raise ValueError(f"rule {name!r} needs a column: {spec!r}")
             kind, target = self._matcher(spec)
-            tests = [MATCHERS[kind](F.coalesce(F.get(F.col(cells), F.lit(k - 1)), F.lit(null_text)), target) for k in column_spec(spec["column"])]
+            tests = [self._test(kind, target, F.get(F.col(cells), F.lit(k - 1)), null_text, functions or {}) for k in column_spec(spec["column"])]
             test = tests[0]
             for other in tests[1:]:
                 test = test | other
             self.compiled[name] = test
 
+    @classmethod
+    def from_json(cls, text: str, **how) -> Rules:
+        """Rules of a JSON object {id: spec}; a repeated id is an error."""
+
+        def once(pairs: list[tuple[str, object]]) -> dict:
+            if len({k for k, _ in pairs}) < len(pairs):
+                raise ValueError(f"a key stands twice: {[k for k, _ in pairs]}")
+            return dict(pairs)
+
+        specs = json.loads(text, object_pairs_hook=once)
+        if not isinstance(specs, dict):
+            raise ValueError("rules are an object of ids and specs")
+        return cls(specs, **how)
+
+    @classmethod
+    def from_script(cls, source: str, **how) -> Rules:
+        """Rules of a Python source that defines RULES (an object or a list) and the functions that its ``py`` rules name."""
+        held: dict[str, object] = {}
+        exec(compile(source, "<rules>", "exec"), held)  # the caller's own rules
+        if not isinstance(held.get("RULES"), (dict, list)):
+            raise ValueError("the script defines no RULES")
+        return cls(held["RULES"], functions={k: v for k, v in held.items() if callable(v) and not k.startswith("_")}, **how)
+
+    @staticmethod
+    def _test(kind: str, target: str, cell: Column, null_text: str, functions: dict[str, Callable]) -> Column:
+        if kind != "py":
+            return MATCHERS[kind](F.coalesce(cell, F.lit(null_text)), target)
+        if target not in functions:
+            raise ValueError(f"no function {target!r}; there are {sorted(functions)}")
+        own = functions[target]
+
+        @F.pandas_udf("boolean")
+        def called(values: pd.Series) -> pd.Series:
+            return pd.Series([bool(own(v)) for v in values], dtype=bool)
+
+        return called(cell)
+
     @staticmethod
     def _matcher(spec: dict) -> tuple[str, str]:
-        if "match" in spec:
-            kind, _, target = str(spec["match"]).partition(":")
+        match = spec.get("match")
+        if isinstance(match, dict):
+            kind = str(match.get("type", ""))
+            target = match.get("function") if kind == "py" else match.get("value")
+            target = "" if target is None else str(target)
+        elif match is not None:
+            kind, colon, target = str(match).partition(":")
+            kind = kind if colon else ""
         else:
             kind = next((k for k in MATCHERS if k in spec), "")
             target = str(spec.get(kind, ""))
-        if kind not in MATCHERS:
+        if kind not in MATCHERS and kind != "py":
             raise ValueError(f"no matcher in {spec}")
         return kind, target
 
     def expression(self, source: str) -> Column:
-        """Precedence: ``!`` / ``not``, then ``&``, ``|``, ``and``, ``or``."""
+        """Precedence: ``!``, then ``&``, ``|``, ``not``, ``and``, ``or``; so ``not a & b`` is ``not (a & b)``, and ``a & not b`` an error."""
         tokens = re.findall(r"[A-Za-z_]\w*|[()|&!]|\S", source)
         place = 0
 
@@ -96,7 +148,7 @@ class Rules:
 
         def unary() -> Column:
             t = peek()
-            if t in ("!", "not"):
+            if t == "!":
                 take()
                 return ~unary()
             if t == "(":
@@ -112,11 +164,16 @@ class Rules:
                 return self.compiled[take()]
             raise ValueError(f"unexpected {t or 'end'!r} in {source!r}")
 
-        levels = [("or",), ("and",), ("|",), ("&",)]
+        levels = [("or",), ("and",), ("not",), ("|",), ("&",)]
 
         def level(k: int) -> Column:
             if k == len(levels):
                 return unary()
+            if levels[k] == ("not",):
+                if peek() == "not":
+                    take()
+                    return ~level(k)
+                return level(k + 1)
             left = level(k + 1)
             while peek() in levels[k]:
                 op = take()

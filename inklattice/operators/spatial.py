@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL = 50.0
@@ -19,12 +21,19 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = CELL, pad: float = 0.0) -> DataFrame:
     """All (point, box) pairs with closed containment.  points: doc, x, y, ...; boxes: doc, b_x, b_y, b_w, b_h, ...
 
-    Each box is dealt to the cells it covers; a point has one cell, so no pair comes twice.
+    There is a grid for each doubling of ``size``; a box lies in the finest grid of which it covers two cells each way
+    at most, so a wide box makes few rows.  Points have one cell in every grid that some box uses (a few numbers are
+    collected), so no pair comes twice.
     """
-    b = boxes.withColumn("cx", F.explode(_cells(F.col("b_x") - pad, F.col("b_x") + F.col("b_w") + pad, size))).withColumn("cy", F.explode(_cells(F.col("b_y") - pad, F.col("b_y") + F.col("b_h") + pad, size)))
-    p = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
+    wide = F.greatest(F.col("b_w"), F.col("b_h")) + 2 * pad
+    b = boxes.withColumn("lv", F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(1e-300)) / size)), F.lit(0)).cast("int"))
+    levels = sorted(r.lv for r in b.select("lv").filter("lv IS NOT NULL").distinct().collect())
+    edge = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("lv"))
+    span = lambda low, high: F.sequence(F.floor((low - pad) / edge), F.floor((high + pad) / edge))
+    b = b.withColumn("cx", F.explode(span(F.col("b_x"), F.col("b_x") + F.col("b_w")))).withColumn("cy", F.explode(span(F.col("b_y"), F.col("b_y") + F.col("b_h"))))
+    p = points.withColumn("lv", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cx", F.floor(F.col("x") / edge)).withColumn("cy", F.floor(F.col("y") / edge))
     within = (F.col("x") >= F.col("b_x") - pad) & (F.col("x") <= F.col("b_x") + F.col("b_w") + pad) & (F.col("y") >= F.col("b_y") - pad) & (F.col("y") <= F.col("b_y") + F.col("b_h") + pad)
-    return p.join(b, ["doc", "cx", "cy"]).filter(within).drop("cx", "cy")
+    return p.join(b, ["doc", "lv", "cx", "cy"]).filter(within).drop("lv", "cx", "cy")
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, key: str = "seq", size: float = CELL) -> DataFrame:
@@ -68,6 +77,15 @@ def above(left: DataFrame, right: DataFrame, window: float, reach: float) -> Dat
     return met.groupBy("doc", "seq").agg(F.min(F.struct("dx", "dy", "rseq")).alias("r")).select("doc", "seq", F.col("r.rseq").alias("rseq"))
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; only local mode without it gets one of its own."""
+    if not spark.sparkContext.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='inklattice-')}")
+
+
 def close_pairs(points: DataFrame, eps: float) -> DataFrame:
     """Pairs a < b of points of one document at ``eps`` or less (inclusive)."""
     other = points.select("doc", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("seq").alias("rseq"))
@@ -80,13 +98,7 @@ def clusters(points: DataFrame, eps: float, rounds: int = 40) -> DataFrame:
     Labels fall along links until nothing changes; each second round doubles reach by following labels, and every
     round's labels are cut from their lineage by a checkpoint.
     """
-    spark = points.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='inklattice-')}")
+    use_checkpoints(points.sparkSession)
     pairs = close_pairs(points, eps)
     links = pairs.select("doc", "seq", "rseq").union(pairs.select("doc", F.col("rseq").alias("seq"), F.col("seq").alias("rseq"))).checkpoint()
     labels = links.groupBy("doc", "seq").agg(F.least(F.min("rseq"), F.first("seq")).alias("cluster")).checkpoint()
@@ -110,6 +122,77 @@ def sibling_relations(boxes: DataFrame, near: float = 40.0, align: float = 8.0)
     return met.select("doc", "seq", "rseq", kind.alias("relation"), F.round("dist", 1).alias("distance"))
 
 
+def _sides(a: str, b: str) -> dict[str, Column]:
+    c = lambda p, k: F.col(f"{p}.{k}")
+    out = {f"{p}{axis}": c(p, axis) + c(p, size) / 2 for p in (a, b) for axis, size in (("x", "w"), ("y", "h"))}
+    for axis, size in (("x", "w"), ("y", "h")):
+        part = F.greatest(F.least(c(a, axis) + c(a, size), c(b, axis) + c(b, size)) - F.greatest(c(a, axis), c(b, axis)), F.lit(0.0))
+        small = F.least(c(a, size), c(b, size))
+        out[f"on_{axis}"] = F.when(small > 0, part / small).otherwise(F.lit(0.0))
+    return out
+
+
+def directional_relations(nodes: DataFrame, share: float = 0.3) -> DataFrame:
+    """ABOVE, BELOW, LEFT_OF or RIGHT_OF between nodes with one parent, the earlier first, and the gap between them.
+
+    Overlap of ``share`` in x makes a pair vertical, else such overlap in y horizontal; other pairs have no relation.
+    nodes: document_hash, node_id, parent_id, ord, x, y, w, h.
+    """
+    a, b = nodes.filter("parent_id IS NOT NULL").alias("a"), nodes.alias("b")
+    met = a.join(b, (F.col("a.document_hash") == F.col("b.document_hash")) & (F.col("a.parent_id") == F.col("b.parent_id")) & (F.col("a.ord") < F.col("b.ord")))
+    s = _sides("a", "b")
+    up, flat = s["on_x"] >= share, s["on_y"] >= share
+    kind = F.when(up, F.when(s["ay"] > s["by"], "ABOVE").otherwise("BELOW")).when(flat, F.when(s["ax"] < s["bx"], "LEFT_OF").otherwise("RIGHT_OF"))
+    gap = F.when(up, F.abs(s["ay"] - s["by"]) - (F.col("a.h") + F.col("b.h")) / 2).otherwise(F.abs(s["ax"] - s["bx"]) - (F.col("a.w") + F.col("b.w")) / 2)
+    return met.select(F.col("a.document_hash").alias("document_hash"), F.col("a.node_id").alias("source"), F.col("b.node_id").alias("target"), kind.alias("relation"), F.bround(gap, 1).alias("distance")).filter("relation IS NOT NULL")
+
+
+def device_relations(nodes: DataFrame, align: float = 8.0, near: float = 40.0, most: int = 2000) -> DataFrame:
+    """ALIGNED_VERT, ALIGNED_HORZ or NEAR between devices of one cabinet, the earlier first; cabinets of over ``most`` pairs give none.
+
+    nodes: as of a layout, with root_id.
+    """
+    own = nodes.filter("type = 'DEVICE'")
+    few = own.groupBy("document_hash", "root_id").agg(F.count("*").alias("n")).filter(F.col("n") * (F.col("n") - 1) / 2 <= most).select("document_hash", "root_id")
+    own = own.join(few, ["document_hash", "root_id"])
+    a, b = own.alias("a"), own.alias("b")
+    met = a.join(b, (F.col("a.document_hash") == F.col("b.document_hash")) & (F.col("a.root_id") == F.col("b.root_id")) & (F.col("a.ord") < F.col("b.ord")))
+    s = _sides("a", "b")
+    dx, dy = F.abs(s["ax"] - s["bx"]), F.abs(s["ay"] - s["by"])
+    far = F.sqrt(dx * dx + dy * dy)
+    kind = F.when(dx <= align, "ALIGNED_VERT").when(dy <= align, "ALIGNED_HORZ").when(far <= near, "NEAR")
+    gap = F.when(dx <= align, F.greatest(dy - (F.col("a.h") + F.col("b.h")) / 2, F.lit(0.0))).when(dy <= align, F.greatest(dx - (F.col("a.w") + F.col("b.w")) / 2, F.lit(0.0))).otherwise(far)
+    return met.select(F.col("a.document_hash").alias("document_hash"), F.col("a.node_id").alias("source"), F.col("b.node_id").alias("target"), kind.alias("relation"), F.bround(gap, 1).alias("distance")).filter("relation IS NOT NULL")
+
+
+def tree_relations(nodes: DataFrame) -> DataFrame:
+    """All relations of a layout's nodes: CONTAINS from parents, directions among siblings, alignment and nearness of devices."""
+    down = nodes.filter("parent_id IS NOT NULL").select("document_hash", F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.lit("CONTAINS").alias("relation"), F.lit(0.0).alias("distance"))
+    return down.unionByName(directional_relations(nodes)).unionByName(device_relations(nodes))
+
+
+# Relations seen from the other side.
+REVERSED = {"LEFT_OF": "RIGHT_OF", "RIGHT_OF": "LEFT_OF", "ABOVE": "BELOW", "BELOW": "ABOVE"}
+
+
+def reversed_relations(edges: DataFrame) -> DataFrame:
+    kind = F.col("relation")
+    for a, b in REVERSED.items():
+        kind = F.when(F.col("relation") == a, F.lit(b)).otherwise(kind)
+    return edges.select("document_hash", F.col("target").alias("source"), F.col("source").alias("target"), kind.alias("relation"), "distance")
+
+
+def nodes_meeting(nodes: DataFrame, x: float, y: float, w: float, h: float) -> DataFrame:
+    """Nodes whose boxes overlap a box (edges that only touch do not)."""
+    return nodes.filter((F.col("x") < x + w) & (F.col("x") + F.col("w") > x) & (F.col("y") < y + h) & (F.col("y") + F.col("h") > y))
+
+
+def nodes_near(nodes: DataFrame, x: float, y: float, radius: float) -> DataFrame:
+    """Nodes whose centres lie within a radius."""
+    dx, dy = F.col("x") + F.col("w") / 2 - x, F.col("y") + F.col("h") / 2 - y
+    return nodes.filter(dx * dx + dy * dy <= radius * radius)
+
+
 def contains_pairs(boxes: DataFrame, size: float = CELL) -> DataFrame:
     """(outer, inner) pairs of boxes of one document, closed; equal boxes do not contain each other."""
     inner = boxes.select("doc", F.col("box").alias("inner"), F.col("b_x").alias("x"), F.col("b_y").alias("y"), (F.col("b_x") + F.col("b_w")).alias("x2"), (F.col("b_y") + F.col("b_h")).alias("y2"))

@@ -45,10 +45,46 @@ def replace_documents(old: DataFrame, new: DataFrame, processed: DataFrame, key:
     return old.join(processed.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
-def append_state(state: DataFrame, additions: DataFrame) -> DataFrame:
-    """Set-like lists by key; the order of first insertion is not kept, lists are sorted."""
-    both = state.select("key", "values").unionByName(additions.select("key", "values"))
-    return both.select("key", F.explode_outer("values").alias("v")).groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("values"))
+def append_state(state: DataFrame, additions: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Set-like lists by key in order of first insertion: what is held, then additions by ``order`` (columns of additions) and place."""
+    held = state.select("key", F.lit(0).alias("_step"), F.lit(None).cast("array<string>").alias("_at"), F.posexplode("values").alias("_pos", "v"))
+    at = F.array(*[F.lpad(F.col(c).cast("string"), 20, "0") for c in order]) if order else F.lit(None).cast("array<string>")
+    new = additions.select("key", F.lit(1).alias("_step"), at.alias("_at"), F.posexplode("values").alias("_pos", "v"))
+    first = held.union(new).groupBy("key", "v").agg(F.min(F.struct("_step", "_at", "_pos")).alias("f"))
+    out = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x.v).alias("values"))
+    keys = state.select("key").union(additions.select("key")).distinct()
+    return keys.join(out, "key", "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
+
+
+def set_state(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Upsert of JSON values by key; the last change of a key wins.  state: key, value; changes: key, value, seq."""
+    last = last_write_wins(changes, ["key"], ["seq"]).select("key", "value")
+    return state.join(last.select("key"), "key", "left_anti").select("key", "value").unionByName(last)
+
+
+def get_state(state: DataFrame, key: str, schema: str, default: object = None) -> DataFrame:
+    """The value of a key read by a schema; a missing key or bad JSON gives the default (JSON text or None)."""
+    value = F.from_json(F.max("value"), schema)
+    out = state.filter(F.col("key") == key).agg(value.alias("value"))
+    return out if default is None else out.select(F.coalesce("value", F.from_json(F.lit(default), schema)).alias("value"))
+
+
+def append_rows(rows: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """Rows in a table's columns and types, with defaults (else nulls) for those that they lack; to be written in append mode."""
+    given = {**{c: None for c in columns}, **(defaults or {})}
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(given[c])).cast(t).alias(c) for c, t in columns.items()])
+
+
+def delete_documents(tables: dict[str, DataFrame], processed: DataFrame, key: str = "document_hash") -> dict[str, DataFrame]:
+    """Tables without the rows of processed documents; where topology goes, cable_info goes with it."""
+    gone = processed.select(key).distinct()
+    return {name: rows.join(gone, key, "left_anti").select(*rows.columns) for name, rows in tables.items()}
+
+
+def upsert_trees(stored: DataFrame, trees: DataFrame) -> DataFrame:
+    """JSON trees by document: new ones take the place of stored ones; documents without a tree keep theirs."""
+    new = trees.filter("tree_json IS NOT NULL").select("document_hash", "tree_json")
+    return replace_documents(stored.select("document_hash", "tree_json"), new, new)
 
 
 def with_missing_columns(rows: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -90,13 +126,21 @@ def by_classification(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.coalesce("classification", F.lit("unclassified")).alias("classification")).agg(F.count("*").alias("n"))
 
 
+def truncated(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of a sorted report; 0 is no limit."""
+    return rows.limit(limit) if limit else rows
+
+
 def cabinet_search(topology: DataFrame, query: str) -> DataFrame:
     hit = F.col("cabinet_name").ilike(f"%{query}%") | F.col("cabinet_name_remote").ilike(f"%{query}%")
     return topology.filter(hit).groupBy("cabinet_name", "cabinet_name_remote", "document_hash").agg(F.count("*").alias("conductors"), F.expr("listagg(DISTINCT cable_id, ',') WITHIN GROUP (ORDER BY cable_id)").alias("cables"))
 
 
 def cables(topology: DataFrame) -> DataFrame:
-    return topology.groupBy("cable_id").agg(F.countDistinct("document_hash").alias("documents"), F.array_join(F.array_sort(F.collect_set("document_hash")), ",").alias("hashes"))
+    """Distinct documents of each cable, in the order in which (conductor_no, document) first names them; both counts are equal."""
+    seen = topology.groupBy("cable_id", "document_hash").agg(F.min(F.coalesce("conductor_no", F.lit(-1))).alias("first"))
+    out = seen.groupBy("cable_id").agg(F.array_sort(F.collect_list(F.struct("first", "document_hash"))).alias("d"))
+    return out.select("cable_id", F.size("d").cast("long").alias("documents"), F.array_join(F.transform("d", lambda x: x.document_hash), ",").alias("hashes"))
 
 
 def first_conductor(topology: DataFrame) -> DataFrame:
@@ -107,29 +151,106 @@ def first_conductor(topology: DataFrame) -> DataFrame:
 
 def document_rollup(documents: DataFrame, topology: DataFrame, query: str = "") -> DataFrame:
     """Per document: distinct cables, conductors, sorted source types; filtered by a substring of the path."""
-    per = topology.groupBy("document_hash").agg(F.countDistinct("cable_id").alias("cables"), F.count("*").alias("conductors"), F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("source_types"))
-    out = documents.join(per, "document_hash", "left").filter(F.lower("path").contains(query.lower()))
+    # Cables are counted as groups, not by a distinct count beside other sums, which would multiply the rows.
+    cables = topology.groupBy("document_hash", "cable_id").agg(F.count("*").alias("n"), F.collect_set("source_type").alias("t"))
+    per = cables.groupBy("document_hash").agg(F.count("*").alias("cables"), F.sum("n").alias("conductors"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))), ",").alias("source_types"))
+    out = documents.filter(F.lower("path").contains(query.lower())).join(per, "document_hash", "left")
     return out.select("document_hash", "path", F.coalesce("cables", F.lit(0)).alias("cables"), F.coalesce("conductors", F.lit(0)).alias("conductors"), F.coalesce("source_types", F.lit("")).alias("source_types"))
 
 
-def stats(documents: DataFrame, topology: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row of totals; each table is read once."""
-    t = topology.agg(
-        F.count("*").alias("conductors"),
-        F.countDistinct("cable_id").alias("cables"),
-        F.countDistinct(F.when(F.col("terminal_no").isNotNull(), F.col("cable_id"))).alias("cables_with_terminals"),
-        F.countDistinct(F.when(F.col("terminal_no").isNull(), F.col("cable_id"))).alias("cables_without_terminals"),
-        F.countDistinct(F.coalesce("cabinet_name", "cabinet_name_remote")).alias("cabinets"),
-        F.countDistinct("strip_name").alias("strips"),
-    )
-    d = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.count_if(F.col("classification").isNull()).alias("unclassified"))
-    u = unprocessed(documents, topology).agg(F.count("*").alias("unprocessed"))
-    x = texts.agg(F.count("*").alias("texts"))
-    return t.crossJoin(d).crossJoin(u).crossJoin(x)  # one row each
+def document_folders(rollup: DataFrame, root: str = "") -> DataFrame:
+    """The folders of a document rollup: each folder of each path below ``root``, its parent, depth, and sums over all below it."""
+    inner = F.regexp_replace(F.expr(f"replace(path, '{root.rstrip('/')}/', '')") if root else F.col("path"), "^/+", "")
+    parts = F.split(inner, "/")
+    ups = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    each = rollup.filter(F.size(parts) > 1).select(F.explode(ups).alias("folder"), "cables", "conductors")
+    out = each.groupBy("folder").agg(F.count("*").alias("documents"), F.count_if(F.col("conductors") > 0).alias("with_topology"), F.sum("conductors").alias("conductors"))
+    parent = F.when(F.instr("folder", "/") > 0, F.regexp_replace("folder", "/[^/]*$", "")).otherwise(F.lit(""))
+    return out.select("folder", parent.alias("parent"), F.size(F.split("folder", "/")).alias("depth"), "documents", "with_topology", "conductors")
+
+
+# Classes without an analyzer.
+UNMATCHED = ["protection_diagram", "panel_layout", "panel_position", "monitoring_system", "manufacturer_catalog", "unknown"]
+
+
+def _listed(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """One row: ``key=value`` of all rows, by falling value, joined."""
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("o"), F.coalesce(F.col(key), F.lit("")).alias("k"), F.col(value).cast("string").alias("v"))))
+    return rows.agg(F.array_join(F.transform(pairs, lambda p: F.concat(p.k, F.lit("="), p.v)), ",").alias(name))
+
+
+def stats(documents: DataFrame, topology: DataFrame, strips: DataFrame, cabinets: DataFrame, terminals: DataFrame) -> DataFrame:
+    """One row with the seventeen totals and breakdowns.
+
+    Topology is grouped once by (cable, source type) and once by cabinet and document, each with few columns, so that
+    no distinct count multiplies its rows.
+    """
+    per = topology.groupBy("cable_id", "source_type").agg(F.count("*").alias("n"), F.count("conductor_no").alias("numbered"), F.max(F.col("terminal_no").isNotNull()).alias("ended"))
+    cable = per.groupBy("cable_id").agg(F.sum("n").alias("n"), F.sum("numbered").alias("numbered"), F.max("ended").alias("ended"))
+    t = cable.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("topology_rows"), F.count("cable_id").alias("cables"), F.coalesce(F.sum("numbered"), F.lit(0)).alias("conductors"),
+        F.count_if("ended").alias("cables_with_terminals"), (F.count("cable_id") - F.count_if("ended")).alias("cables_without_terminals"),
+    )
+    named = topology.select(F.coalesce("cabinet_name", "cabinet_name_remote").alias("c")).filter("c IS NOT NULL").distinct().agg(F.count("*").alias("cabinet_names"))
+    found = topology.select("document_hash").distinct()
+    lone = F.col("classification").isNull() | F.col("classification").isin(UNMATCHED)
+    d = documents.join(found.withColumn("_t", F.lit(True)), "document_hash", "left")
+    d = d.agg(F.count("*").alias("documents"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.count_if(F.col("_t").isNull()).alias("unprocessed"), F.count_if(lone).alias("unmatched"))
+    regions = cabinets.groupBy("document_hash").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("regions"), F.count("document_hash").alias("documents_with_regions"))
+    by = per.groupBy("source_type").agg(F.sum("n").alias("n"), F.count("cable_id").alias("cables"))
+    out = t
+    for one in (
+        named, d, strips.agg(F.count("*").alias("strips")), regions, terminals.agg(F.count("*").alias("region_terminals")),
+        _listed(documents.groupBy("document_type").agg(F.count("*").alias("n")), "document_type", "n", "by_type"), _listed(by, "source_type", "n", "rows_by_source"), _listed(by, "source_type", "cables", "cables_by_source"),
+        _listed(by_classification(documents), "classification", "n", "by_classification"),
+    ):
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
+def cable_cabinets(topology: DataFrame, models: DataFrame) -> DataFrame:
+    """The export of one row a cable: model and section, cores, both cabinets, number.
+
+    The first row of a cable by (conductor_no, nulls first, document, strip, terminal) gives the cabinets; models
+    (``rows.cable_models``) count for cables whose first row is a circuit loop's.
+    """
+    order = F.struct(F.coalesce("conductor_no", F.lit(-1)), "document_hash", F.coalesce("strip_name", F.lit("")), F.coalesce("terminal_no", F.lit(-1)), F.coalesce("cabinet_name", F.lit("")), F.coalesce("cabinet_name_remote", F.lit("")))
+    first = topology.groupBy("cable_id").agg(F.min_by(F.struct("cabinet_name", "cabinet_name_remote", "document_hash", "source_type"), order).alias("r"), F.count("*").alias("cores"))
+    one = first.select("cable_id", "cores", "r.*").withColumn("document_hash", F.when(F.col("source_type") == "circuit_loop", F.col("document_hash")))
+    out = one.join(models, ["cable_id", "document_hash"], "left")
+    near, far, none = F.coalesce("cabinet_name", F.lit("")), F.coalesce("cabinet_name_remote", F.lit("")), F.lit("")
+    return out.select(
+        "cable_id", F.coalesce("model", none).alias("model"), F.col("cores").alias("cable_core_numbers"), F.coalesce("cross_section", none).alias("cable_core_cross_section"), none.alias("cable_core_numbers2"), none.alias("cable_core_cross_section2"),
+        near.alias("origin"), near.alias("origin_cubicle"), none.alias("origin_device"), far.alias("terminal"), far.alias("terminal_cubicle"), none.alias("terminal_device"),
+    )
+
+
+def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """Numbers from 1 by a distinct key: each range of keys counts its own rows and starts behind those before it, so no task sorts them all."""
+    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("_k", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")  # one row a partition
+
+
+def document_detail(document: str, documents: DataFrame, topology: DataFrame, cabinets: DataFrame, terminals: DataFrame) -> DataFrame:
+    """One row: a document's path and size, its cables, conductors and source types, its conductors in order, its cabinets with their terminals."""
+    own = F.col("document_hash") == document
+    line = F.struct(F.coalesce("cable_id", F.lit("")).alias("c"), F.coalesce("conductor_no", F.lit(0)).alias("n"), F.coalesce("strip_name", F.lit("")).alias("s"), F.coalesce(F.col("terminal_no").cast("string"), F.lit("")).alias("t"))
+    t = topology.filter(own).agg(
+        F.size(F.collect_set("cable_id")).cast("long").alias("cables"), F.count("*").alias("conductors"), F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("source_types"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat_ws(":", x.c, x.n.cast("string"), x.s, x.t)), ";").alias("lines"),
+    )
+    with_terms = cabinets_with_terminals(cabinets.filter(own), terminals.filter(own).select("cabinet_id", "terminal", "kind"))
+    shown = F.concat("id", F.lit("["), F.array_join(F.transform(F.coalesce("terminals", F.array()), lambda x: x.terminal.cast("string")), " "), F.lit("]"))
+    c = with_terms.agg(F.count("*").alias("regions"), F.array_join(F.array_sort(F.collect_list(shown)), ";").alias("cabinets"))
+    return documents.filter(own).select("document_hash", "path", "document_type", "file_size").crossJoin(t).crossJoin(c)  # one row each
 
 
 def breakdown(topology: DataFrame, by: str) -> DataFrame:
-    return topology.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("cable_id").alias("cables"))
+    per = topology.groupBy(by, "cable_id").agg(F.count("*").alias("n"))
+    return per.groupBy(by).agg(F.sum("n").alias("n"), F.count("cable_id").alias("cables"))
 
 
 def cabinets_with_terminals(cabinets: DataFrame, terminals: DataFrame) -> DataFrame:

@@ -1,37 +1,52 @@
-"""Cable topology of drawings: strip diagrams, circuit loops, cabinet regions and the geometry graph.
+"""Cable topology of drawings: strip diagrams, circuit loops, cabinet regions, terminals and the geometry graph.
 
-Work on one document's rows in file order; ``scan_topology`` runs them grouped by document.
+Work on one document's rows in file order; the ``scan_`` functions run them grouped by document, for documents of the
+classes that have an analyzer.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inklattice.functions.text import CABLE_PREFIX, LOOP_LIKE, STRIP_NAME, WIRE_SERIAL
-from inklattice.operators.drawing import _corners, _lines, holds, per_document
+from inklattice.operators.grouped import per_document
+from inklattice.operators.shapes import Box, Point, Word, corner_box, four_segment_boxes, holds, points_of, spans, words_of, written
+from inklattice.operators.tables import schedule_records
 
-RECORD = "document_hash string, cable_id string, conductor_no int, strip_name string, terminal_no int, terminal_no_remote string, cabinet_name string, cabinet_name_remote string, circuit_desc string, loop_id string, source_type string, error string"
-REGION = "document_hash string, id string, name string, location string, display_name string, text_label string, x double, y double, w double, h double, error string"
+RECORD = "document_hash string, cable_id string, conductor_no int, strip_name string, terminal_no int, terminal_no_remote string, cabinet_name string, cabinet_name_remote string, circuit_desc string, loop_id string, source_type string, wire_type string, error string"
+REGION = "document_hash string, id string, name string, location string, display_name string, text_label string, x double, y double, w double, h double, layer string, handle string, ltype string, error string"
+TERMINAL = "document_hash string, cabinet_id string, terminal_id string, kind string, x double, y double, error string"
 # Names of dashed line types.
-DASHED = frozenset(
-    "ACAD_ISO02W100 ACAD_ISO03W100 ACAD_ISO04W100 ACAD_ISO05W100 ACAD_ISO06W100 ACAD_ISO07W100 ACAD_ISO08W100 ACAD_ISO09W100 ACAD_ISO10W100 BATTING BATTING2 DASH DASHDOT DASHDOT2 DASHED DASHED2 DASHEDX2 DOT DOT2 DOTTED HIDDEN HIDDEN2 HIDDENX2".split()
-)
+DASHED = frozenset({
+    "ACAD_ISO10W100", "HIDDEN", "DASHED", "DASH", "DOTTED", "DASHDOT",
+    "DASHED2", "HIDDEN2", "DASHEDX2", "HIDDENX2", "DOT2", "DASHDOT2", "DOT",
+    "ACAD_ISO02W100", "ACAD_ISO03W100", "ACAD_ISO04W100", "ACAD_ISO05W100", "ACAD_ISO06W100", "ACAD_ISO07W100", "ACAD_ISO08W100", "ACAD_ISO09W100",
+    "BATTING", "BATTING2",
+})
+# Words in names of cabinets, and what a short name looks like.
+NAME_WORDS = ("屏", "柜", "箱", "端子排图")
+SHORT_NAME = r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,12}$"
+# Tags of terminals; icons need no text, names need a colon.
+ICON_TAGS, NAME_TAGS = ("TERNO", "BL", "BR"), ("NO", "ObjTerm.Name")
 
 
-def _spans(points: list[tuple[float, float]]) -> tuple[float, float]:
-    return max(p[0] for p in points) - min(p[0] for p in points), max(p[1] for p in points) - min(p[1] for p in points)
+class ByHeight:
+    """Things with a y, for scans of a band; a band comes in file order."""
 
+    def __init__(self, things: list, y: Callable):
+        self.order = sorted(range(len(things)), key=lambda k: y(things[k]))
+        self.ys = [y(things[k]) for k in self.order]
+        self.things = things
 
-def _placed(rows: list[dict], *tags: str) -> list[dict]:
-    return [r for r in rows if r["kind"] == "ATTRIB" and r.get("tag") in tags and r.get("x") is not None and (r.get("text") or "").strip()]
-
-
-def _texts(rows: list[dict], sure: float = 0.0) -> list[tuple[float, float, str]]:
-    return [(r["x"], r["y"], r["text"].strip()) for r in rows if r["kind"] in ("TEXT", "ATTRIB") and r.get("x") is not None and (r.get("text") or "").strip() and (r.get("confidence") is None or r["confidence"] >= sure)]
+    def band(self, low: float, high: float) -> list:
+        return [self.things[k] for k in sorted(self.order[bisect_left(self.ys, low) : bisect_right(self.ys, high)])]
 
 
 def cable_of(eed: object) -> str:
@@ -53,10 +68,9 @@ def column_roles(texts: list[str]) -> dict[str, str | None]:
             out[free] = t
 
     for t in texts:
-        loop = ("-" in t and len(t) >= 4) or any(re.match(p, t) for p in LOOP_LIKE)
-        if re.fullmatch("[0-9]+", t) and out["terminal_no"] is None:
-            out["terminal_no"] = t
-        elif loop:
+        if t.isdigit():  # of several numbers the first counts, the others go
+            put(t, "terminal_no")
+        elif ("-" in t and len(t) >= 4) or any(re.match(p, t) for p in LOOP_LIKE):
             put(t, "loop_id", "circuit_desc", "unknown")
         elif any(c.isalpha() for c in t):
             put(t, "circuit_desc", "unknown")
@@ -65,147 +79,228 @@ def column_roles(texts: list[str]) -> dict[str, str | None]:
     return out
 
 
-def strip_name(x: float, y: float, words: list[tuple[float, float, str]]) -> str | None:
-    """The strip pattern nearest to the left of the nearest "1" (to the left if there is one)."""
-    ones = [w for w in words if w[2] == "1"]
-    left = [w for w in ones if w[0] <= x]
-    anchor = min(left or ones, key=lambda w: math.hypot(w[0] - x, w[1] - y), default=None)
-    if anchor is None:
+def strip_name(x: float, y: float, ones: list[Point], words: ByHeight) -> str | None:
+    """The strip pattern nearest to the left of the text "1" next to a terminal: the nearest to its left, else the nearest."""
+    level = [p for p in ones if abs(p[1] - y) < 40]
+    start = min([p for p in level if p[0] < x - 1] or level, key=lambda p: abs(p[0] - x), default=None)
+    if start is None:
         return None
-    named = [w for w in words if w[0] < anchor[0] and any(re.match(p, w[2]) for p in STRIP_NAME) and not w[2].isdigit()]
-    best = min(named, key=lambda w: math.hypot(w[0] - anchor[0], w[1] - anchor[1]), default=None)
+    named = [w for w in words.band(start[1] - 38, start[1] + 38) if w[0] < start[0] - 3 and abs(w[1] - start[1]) < 38 and any(re.match(p, w[2]) for p in STRIP_NAME)]
+    best = min(named, key=lambda w: start[0] - w[0], default=None)
     return best and best[2]
 
 
-def strip_records(rows: list[dict]) -> list[dict]:
-    """Conductors of a strip diagram: verticals that meet a horizontal with a cable's extended data."""
-    words, tags = _texts(rows), _placed(rows, "NO")
-    remote = _placed(rows, "EQUNAME")
-    titled = next((t for _, _, t in words if "端子排图" in t), None)
-    lines = [(r, [(p["x"], p["y"]) for p in r["points"]]) for r in rows if r["kind"] == "LINE" and r.get("points") is not None and len(r["points"]) >= 2]
-    flat = [(cable_of(r.get("eed")), pts) for r, pts in lines if _spans(pts)[1] < 1.0 and cable_of(r.get("eed"))]
-    up = [pts for _, pts in lines if _spans(pts)[0] < 1.0 and _spans(pts)[1] >= 1.0]
+def strip_records(rows: list[dict], least: float = 20.0) -> list[dict]:
+    """Conductors of a strip diagram.
+
+    Lines with a cable's extended data are grouped by cable.  Each vertical of a cable, ``least`` long or more, is a
+    conductor that leaves the cable's first horizontal; the texts beyond its far end say what it is joined to.
+    """
+    words = words_of(rows)
+    tall, ones = ByHeight(words, lambda w: w[1]), [(r["x"], r["y"]) for r, t in written(rows, ("TEXT",)) if t == "1"]
+    tagged = {name: ByHeight([(r["x"], r["y"], t) for r, t in written(rows, ("ATTRIB",)) if (r.get("tag") or "").upper() == name], lambda w: w[1]) for name in ("NO", "EQUNAME")}
+    title = next((t for t in ((r.get("text") or "").strip() for r in rows if r["kind"] in ("TEXT", "ATTRIB")) if "端子排图" in t), None)
+    home = title and (title.replace("端子排图", "").strip() or title)
+    cables: dict[str, tuple[list, list]] = {}
+    for r in rows:
+        pts = points_of(r)
+        cable = cable_of(r.get("eed")) if r["kind"] == "LINE" else ""
+        if cable:
+            flat, up = cables.setdefault(cable, ([], []))
+            if len(pts) >= 2 and spans(pts)[1] < 1.0:
+                flat.append(pts)
+            elif len(pts) >= 2 and spans(pts)[0] < 1.0:
+                up.append(pts)
     out = []
-    for cable, pts in flat:
-        y, x0, x1 = pts[0][1], min(p[0] for p in pts), max(p[0] for p in pts)
-        for v in up:
-            x = v[0][0]
-            near, far = sorted((p[1] for p in (min(v, key=lambda p: p[1]), max(v, key=lambda p: p[1]))), key=lambda t: abs(t - y))
-            if not (x0 - 1 <= x <= x1 + 1 and abs(near - y) <= 2):
+    for cable, (flat, up) in cables.items():
+        if not flat:
+            continue
+        y = flat[0][0][1]
+        side = max((w for w in tagged["EQUNAME"].band(y - 10, y + 10) if w[2]), key=lambda w: w[0], default=None)
+        for pts in up:
+            x, a, b = pts[0][0], pts[0][1], pts[-1][1]
+            if abs(b - a) < least:
                 continue
-            number = next((r["text"].strip() for r in tags if abs(r["x"] - x) <= 5 and abs(r["y"] - y) <= 10 and re.fullmatch("[0-9]+", r["text"].strip())), None)
-            down = far < y
-            column = sorted(((abs(ty - far), t) for tx, ty, t in words if abs(tx - x) <= 3 and (ty <= far if down else ty >= far)), key=lambda c: c[0])
-            roles = column_roles([t for _, t in column])
-            side = max((r for r in remote if abs(r["y"] - y) <= 10), key=lambda r: r["x"], default=None)
+            corner, end = (a, b) if abs(a - y) < abs(b - y) else (b, a)
+            number = next((int(t) for tx, _, t in tagged["NO"].band(y - 10, y + 10) if abs(tx - x) <= 5 and t.isdigit()), None)
+            reach = tall.band(end - 0.1, math.inf) if end > corner else tall.band(-math.inf, end + 0.1)
+            column = sorted((w for w in reach if abs(w[0] - x) <= 3 and abs(w[1] - end) >= 0.1), key=lambda w: abs(w[1] - end))
+            roles = column_roles([w[2] for w in column])
+            terminal = int(roles["terminal_no"]) if roles["terminal_no"] else None
+            at = next((w for w in column if w[2] == str(terminal)), None)
             out.append(
                 {
-                    "cable_id": cable, "conductor_no": int(number) if number else None, "strip_name": strip_name(x, far, words), "terminal_no": int(roles["terminal_no"]) if roles["terminal_no"] else None,
-                    "terminal_no_remote": None, "cabinet_name": titled, "cabinet_name_remote": side and side["text"].strip(), "circuit_desc": roles["circuit_desc"], "loop_id": roles["loop_id"], "source_type": "strip",
+                    "cable_id": cable, "conductor_no": number, "strip_name": strip_name(at[0], at[1], ones, tall) if at else None, "terminal_no": terminal, "terminal_no_remote": None,
+                    "cabinet_name": home, "cabinet_name_remote": side and side[2], "circuit_desc": roles["circuit_desc"], "loop_id": roles["loop_id"], "source_type": "terminal_strip",
                 }
             )
     return out
 
 
+# --- the geometry graph -------------------------------------------------------------------------------------
+class Grid:
+    """Numbered points in square cells."""
+
+    def __init__(self, size: float):
+        self.size, self.cells = size, {}
+
+    def add(self, n: int, x: float, y: float) -> None:
+        self.cells.setdefault((math.floor(x / self.size), math.floor(y / self.size)), []).append((n, x, y))
+
+    def within(self, x: float, y: float, radius: float) -> list[tuple[float, int]]:
+        """(distance, number) of points within a radius, by number."""
+        i, j, span = math.floor(x / self.size), math.floor(y / self.size), math.ceil(radius / self.size)
+        found = [(math.hypot(px - x, py - y), n) for a in range(i - span, i + span + 1) for b in range(j - span, j + span + 1) for n, px, py in self.cells.get((a, b), ())]
+        return sorted((f for f in found if f[0] <= radius), key=lambda f: f[1])
+
+
 class Graph:
-    """Wire vertices and circles of a drawing with straight segments between them."""
+    """Wire vertices and circles of a drawing, with numbered segments between them; close vertices stay apart beyond ``snap``."""
 
-    def __init__(self, rows: list[dict], boxes: list[tuple[float, float, float, float]] | None = None, snap: float = 0.5):
-        self.at: list[tuple[float, float]] = []
-        self.near: list[list[int]] = []
+    def __init__(self, rows: list[dict], boxes: list[Box] | None = None, handles: frozenset[str] = frozenset(), snap: float = 0.5):
+        self.at: list[Point] = []
+        self.near: list[list[tuple[int, int]]] = []
         self.circles: set[int] = set()
-        grid: dict[tuple[int, int], list[int]] = {}
+        self.edges: dict[int, tuple[int, int]] = {}
+        self.next_edge = 0
+        wires, rings = Grid(2.0), Grid(8.0)
+        borders = [(y, b[0], b[0] + b[2]) for b in boxes or [] for y in (b[1], b[1] + b[3])]
 
         def vertex(x: float, y: float) -> int:
-            cell = (math.floor(x / snap), math.floor(y / snap))
-            for i in range(cell[0] - 1, cell[0] + 2):
-                for j in range(cell[1] - 1, cell[1] + 2):
-                    for n in grid.get((i, j), ()):
-                        if math.hypot(self.at[n][0] - x, self.at[n][1] - y) <= snap:
-                            return n
-            self.at.append((x, y))
-            self.near.append([])
-            grid.setdefault(cell, []).append(len(self.at) - 1)
-            return len(self.at) - 1
+            met = wires.within(x, y, snap)
+            if met:
+                return met[0][1]
+            n = self.add(x, y)
+            wires.add(n, x, y)
+            return n
 
         for r in rows:
-            if r.get("confidence") is not None and r["confidence"] < 0.5:
-                continue
-            if r["kind"] == "LINE" and r.get("points") is not None:
-                pts = [(p["x"], p["y"]) for p in r["points"]]
+            pts = points_of(r)
+            if pts and not (r.get("handle") and r["handle"] in handles):
                 for a, b in zip(pts, pts[1:], strict=False):
                     dx, dy = abs(a[0] - b[0]), abs(a[1] - b[1])
-                    if min(dx, dy) <= 3 and max(dx, dy) > 2 and not self._edge_of(boxes or [], a, b):
-                        self.link(vertex(*a), vertex(*b))
-        for r in rows:
-            if r["kind"] == "CIRCLE" and r.get("cx") is not None:
-                self._attach(r["cx"], r["cy"])
-
-    @staticmethod
-    def _edge_of(boxes, a, b, tol: float = 1.0) -> bool:
-        for x, y, w, h in boxes:
-            if any(abs(a[0] - e) <= tol and abs(b[0] - e) <= tol for e in (x, x + w)) or any(abs(a[1] - e) <= tol and abs(b[1] - e) <= tol for e in (y, y + h)):
-                if holds((x, y, w, h), *a, tol) and holds((x, y, w, h), *b, tol):
-                    return True
-        return False
-
-    def link(self, a: int, b: int) -> None:
-        if a != b and b not in self.near[a]:
-            self.near[a].append(b)
-            self.near[b].append(a)
-
-    def _attach(self, x: float, y: float, tol: float = 2.0) -> None:
-        """A circle joins a wired vertex within ``tol``, else it splits the segments that pass by."""
-        n = len(self.at)
+                    if not ((dy <= 3 and dx > 2) or (dx <= 3 and dy > 2)):
+                        continue
+                    level = a[1] if dy <= 3 else (a[1] + b[1]) / 2
+                    if any(abs(level - y) <= 0.5 and abs(min(a[0], b[0]) - x0) <= 2 and abs(max(a[0], b[0]) - x1) <= 2 for y, x0, x1 in borders):
+                        continue
+                    i, j = vertex(*a), vertex(*b)
+                    if i != j:
+                        self.link(i, j)
+            elif r["kind"] == "CIRCLE" and r.get("cx") is not None:
+                n = self.add(r["cx"], r["cy"])
+                self.circles.add(n)
+                rings.add(n, r["cx"], r["cy"])
+        self.rings = rings
+        for n in range(len(self.at)):
+            if n not in self.circles and self.near[n]:
+                for _, c in rings.within(*self.at[n], 2.0):
+                    if all(m != c for m, _ in self.near[n]):
+                        self.link(n, c)
+        self._split_at_circles()
+        self.levels = ByHeight(sorted(self.edges), self.level)
+
+    def add(self, x: float, y: float) -> int:
         self.at.append((x, y))
         self.near.append([])
-        self.circles.add(n)
-        wired = min((k for k in range(n) if self.near[k] and k not in self.circles and math.dist(self.at[k], (x, y)) <= tol), key=lambda k: math.dist(self.at[k], (x, y)), default=None)
-        if wired is not None:
-            self.link(n, wired)
-            return
-        for a in range(n):
-            for b in list(self.near[a]):
-                if a < b < n:
-                    (ax, ay), (bx, by) = self.at[a], self.at[b]
-                    size = (bx - ax) ** 2 + (by - ay) ** 2
-                    t = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size if size else -1
-                    if 0.01 <= t <= 0.99 and math.hypot(ax + t * (bx - ax) - x, ay + t * (by - ay) - y) <= tol:
-                        self.near[a].remove(b)
-                        self.near[b].remove(a)
-                        self.link(a, n)
-                        self.link(n, b)
-
-    def wire_near(self, x: float, y: float, tol: float = 30.0, tags: list[tuple[float, float]] | None = None) -> tuple[int, int] | None:
-        """The flat edge with least dy + 0.1 * distance outside its x range, less 3 where a tag stands on its row."""
+        return len(self.at) - 1
+
+    def link(self, a: int, b: int) -> int:
+        e = self.next_edge
+        self.next_edge += 1
+        self.edges[e] = (a, b)
+        self.near[a].append((b, e))
+        self.near[b].append((a, e))
+        return e
+
+    def level(self, e: int) -> float:
+        a, b = self.edges[e]
+        return (self.at[a][1] + self.at[b][1]) / 2
+
+    def _split_at_circles(self, tol: float = 2.0) -> None:
+        """A circle that no wire ends at takes part in the segments that pass within ``tol`` of it: they get a vertex there."""
+        size = 25.0
+        cells: dict[tuple[int, int], list[int]] = {}
+
+        def file(e: int) -> None:
+            (ax, ay), (bx, by) = (self.at[n] for n in self.edges[e])
+            for i in range(math.floor((min(ax, bx) - tol) / size), math.floor((max(ax, bx) + tol) / size) + 1):
+                for j in range(math.floor((min(ay, by) - tol) / size), math.floor((max(ay, by) + tol) / size) + 1):
+                    cells.setdefault((i, j), []).append(e)
+
+        lone = [c for c in sorted(self.circles) if not self.near[c]]
+        if lone:
+            for e in self.edges:
+                file(e)
+        for c in lone:
+            x, y = self.at[c]
+            for e in sorted(set(cells.get((math.floor(x / size), math.floor(y / size)), ()))):
+                if e not in self.edges:
+                    continue
+                a, b = self.edges[e]
+                (ax, ay), (bx, by) = self.at[a], self.at[b]
+                long = (bx - ax) ** 2 + (by - ay) ** 2
+                t = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / long if long >= 1e-12 else -1
+                px, py = ax + t * (bx - ax), ay + t * (by - ay)
+                if 0.01 <= t <= 0.99 and math.hypot(px - x, py - y) <= tol:
+                    del self.edges[e]
+                    for n in (a, b):
+                        self.near[n] = [(m, k) for m, k in self.near[n] if k != e]
+                    n = self.add(px, py)
+                    for made in (self.link(a, n), self.link(n, b), self.link(n, c)):
+                        file(made)
+
+    def wire_near(self, x: float, y: float, tol: float = 30.0, tags: list[Point] | None = None) -> int | None:
+        """An end of the segment with least dy + 0.1 * distance outside its x range, less 3 where a tag stands over it.
+
+        The end is no circle if there is a choice, else the nearer one.  Without segments on that level, the nearest
+        wired vertex within ``tol``.
+        """
         best = None
-        for a in range(len(self.at)):
-            for b in self.near[a]:
-                if a < b and abs(self.at[a][1] - self.at[b][1]) <= 3:
-                    x0, x1 = sorted((self.at[a][0], self.at[b][0]))
-                    dy = abs((self.at[a][1] + self.at[b][1]) / 2 - y)
-                    if dy <= tol:
-                        cost = dy + 0.1 * max(x0 - x, x - x1, 0.0) - 3 * any(x0 - 5 <= tx <= x1 + 5 and abs(ty - self.at[a][1]) < 40 for tx, ty in tags or [])
-                        if best is None or cost < best[0]:
-                            best = (cost, a, b)
-        return best and best[1:]
-
-    def reach(self, start: int, sign: int, numbers, slop: float = 5.0, depth: int = 30) -> tuple[int, str] | None:
-        """Breadth-first walk to one side to the first circle that ``numbers`` names: (vertex, number)."""
-        seen, queue, last = {start}, deque([(start, 0)]), None
+        for e in self.levels.band(y - tol, y + tol):
+            a, b = self.edges[e]
+            x0, x1 = sorted((self.at[a][0], self.at[b][0]))
+            level = self.level(e)
+            if abs(level - y) > tol:
+                continue
+            cost = abs(level - y) + 0.1 * max(x0 - x, x - x1, 0.0) - 3 * any(x0 <= tx <= x1 and abs(ty - level) < 40 for tx, ty in tags or [])
+            if best is None or cost < best[0]:
+                best = (cost, a, b)
+        if best:
+            _, a, b = best
+            if (a in self.circles) != (b in self.circles):
+                return b if a in self.circles else a
+            return a if math.dist(self.at[a], (x, y)) <= math.dist(self.at[b], (x, y)) else b
+        return min((n for n in range(len(self.at)) if self.near[n] and math.dist(self.at[n], (x, y)) <= tol), key=lambda n: math.dist(self.at[n], (x, y)), default=None)
+
+    def _onward(self, n: int, sign: int, seen: set[int]) -> list[int]:
+        return [m for m, _ in self.near[n] if m not in seen and sign * (self.at[m][0] - self.at[n][0]) > 0]
+
+    def walk(self, start: int, sign: int, branch: bool = False) -> int:
+        """Follow the wire to one side, up to a circle, its end or (unless ``branch``) a fork; at a fork the farthest way is taken."""
+        n, seen = start, set()
+        while n not in self.circles:
+            seen.add(n)
+            ways = self._onward(n, sign, seen)
+            if not ways or (len(ways) > 1 and not branch):
+                break
+            n = max(ways, key=lambda m: sign * self.at[m][0])
+        return n
+
+    def reach(self, start: int, sign: int, numbered: Callable[[int], object], slop: float = 5.0, depth: int = 30) -> object:
+        """What ``numbered`` gives for the first circle for which it gives anything, breadth first, never back by more than ``slop``."""
+        seen, queue = {start}, deque([(start, self.at[start][0], 0)])
         while queue:
-            n, d = queue.popleft()
-            if n in self.circles:
-                number = numbers(n)
-                if number:
-                    return n, number
-                last = last or (n, "")
+            n, far, d = queue.popleft()
+            if n in self.circles and (got := numbered(n)):
+                return got
             if d < depth:
-                for m in self.near[n]:
-                    if m not in seen and sign * (self.at[m][0] - self.at[n][0]) >= -slop:
+                for m, _ in self.near[n]:
+                    x = self.at[m][0]
+                    if m not in seen and sign * (x - far) >= -slop:
                         seen.add(m)
-                        queue.append((m, d + 1))
-        return last
+                        queue.append((m, min(far, x) if sign < 0 else max(far, x), d + 1))
+        return None
 
     def trace(self, start: int, stop, most: int = 20) -> tuple[list[int], float, str]:
         """Path to the first vertex that ``stop`` accepts: (vertices, length, reason)."""
@@ -222,115 +317,238 @@ class Graph:
             if d >= most:
                 deep = True
                 continue
-            for m in self.near[n]:
+            for m, _ in self.near[n]:
                 if m not in before:
                     before[m] = n
                     queue.append((m, d + 1))
         return [], 0.0, "MAX_DEPTH" if deep else "DEAD_END" if self.near[start] else "NO_PATH"
 
 
-def dashed_regions(rows: list[dict]) -> list[tuple[float, float, float, float]]:
-    """Closed dashed rectangles with sides of 8 units or more, by rounded (x, y)."""
+# --- cabinets -----------------------------------------------------------------------------------------------
+def dashed_regions(rows: list[dict], least: float = 8.0) -> list[dict]:
+    """Closed dashed rectangles with their layer, handle and line type, by (x, y) rounded to hundredths."""
+    dashed = [(r, points_of(r)) for r in rows if r["kind"] == "LINE" and (r.get("ltype") or "").upper() in DASHED]
     found = []
-    for r in rows:
-        if r["kind"] == "LINE" and (r.get("ltype") or "").upper() in DASHED and r.get("points") is not None:
-            pts = [(p["x"], p["y"]) for p in r["points"]]
-            if len(pts) in (4, 5) and (len(pts) == 4 or math.dist(pts[0], pts[-1]) < 0.01):
-                b = _corners(pts[:4])
-                if b and b[2] >= 8 and b[3] >= 8:
-                    found.append(b)
-    segments = [r for r in rows if r["kind"] == "LINE" and (r.get("ltype") or "").upper() in DASHED and r.get("points") is not None and len(r["points"]) == 2]
-    if segments:
-        from inklattice.operators.drawing import rectangles
-
-        found += [b for b, kind in rectangles(segments) if kind == "4seg" and b[2] >= 8 and b[3] >= 8]
-    return sorted(dict.fromkeys(found), key=lambda b: (round(b[0]), round(b[1])))
+    for r, pts in dashed:
+        box = corner_box(pts, least) if 4 <= len(pts) <= 8 else None
+        if box and (r.get("closed") or len(pts) == 4 or max(abs(pts[0][0] - pts[-1][0]), abs(pts[0][1] - pts[-1][1])) < 3.0):
+            found.append({"box": box, "layer": r.get("layer") or "", "handle": r.get("handle") or "", "ltype": r["ltype"]})
+    single = [(r, pts) for r, pts in dashed if len(pts) == 2]
+    for box, k in four_segment_boxes([tuple(pts) for _, pts in single], least, loops=False) if len(single) >= 4 else ():
+        found.append({"box": box, "layer": single[k][0].get("layer") or "", "handle": "", "ltype": single[k][0]["ltype"]})
+    return sorted(found, key=lambda f: (round(f["box"][0], 2), round(f["box"][1], 2)))
+
+
+def _named(text: str) -> bool:
+    return any(w in text for w in NAME_WORDS)
+
+
+def region_texts(box: Box, words: list[tuple[int, Word]], by_row: dict[int, list[tuple[int, Word]]]) -> dict[str, str]:
+    """Name, location and label of a region.
+
+    The name is a text up to 60 above with a cabinet word, else a short code: the lowest, or of texts within 3 units
+    in height of the one held the nearest to the middle, in file order.  The location is the nearest text left of the
+    name on its row; the label the nearest text below with a cabinet word, which also names regions without such a word.
+    """
+    top, middle = box[1] + box[3], box[0] + box[2] / 2
+    around = [(k, w) for k, w in words if box[0] - 50 <= w[0] <= box[0] + box[2] + 80]
+    above = [(k, w) for k, w in around if 0 < w[1] - top <= 60]
+    pick = None
+    for fits in (_named, lambda t: re.match(SHORT_NAME, t)):
+        high = off = math.inf
+        for k, w in above:
+            if fits(w[2]):
+                dy, dx = abs(w[1] - top), abs(w[0] - middle)
+                if dy < high - 3 or (abs(dy - high) <= 3 and dx < off):
+                    high, off, pick = dy, dx, (k, w)
+        if pick:
+            break
+    name = location = ""
+    if pick:
+        k, w = pick
+        name, row = w[2], round(w[1] * 2)
+        beside = by_row.get(row) or by_row.get(row + 1) or by_row.get(row - 1) or []
+        left = [(w[0] - v[0], v[2]) for j, v in beside if j != k and v[0] < w[0] and abs(v[1] - w[1]) <= 3 and w[0] - v[0] <= 250]
+        location = min(left, key=lambda v: v[0])[1] if left else ""
+    low = [(box[1] - w[1], w[2]) for _, w in around if 0 < box[1] - w[1] <= 240 and _named(w[2]) and 3 <= len(w[2]) <= 30]
+    label = min(low, key=lambda v: v[0])[1] if low else ""
+    if label and not _named(name):
+        name, label = label, "" if name else label
+    return {"name": name, "location": location, "display_name": f"{location}-{name}" if location and name else name, "text_label": label}
 
 
 def cabinet_regions(rows: list[dict]) -> list[dict]:
-    """Cabinets of a circuit drawing: dashed rectangles with the name above, its location left of it and a label below."""
-    words = _texts(rows)
+    """Cabinets of a circuit drawing: dashed rectangles with their texts, numbered by place."""
+    words = list(enumerate(words_of(rows)))
+    by_row: dict[int, list] = {}
+    for k, w in words:
+        by_row.setdefault(round(w[1] * 2), []).append((k, w))
     key = (rows[0].get("document_hash") or "")[:12] if rows else ""
     out = []
-    for k, b in enumerate(dashed_regions(rows)):
-        top = b[1] + b[3]
-        above = [w for w in words if 0 <= w[1] - top <= 60 and b[0] - 50 <= w[0] <= b[0] + b[2] + 80]
-        named = [w for w in above if re.search("[屏柜箱]|端子排图", w[2])] or [w for w in above if re.match(r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,12}$", w[2])]
-        best = min(named, key=lambda w: (w[1] - top, abs(w[0] - b[0])), default=None)
-        left = [w for w in words if best and w is not best and abs(w[1] - best[1]) <= 3 and 0 < best[0] - w[0] <= 250]
-        place = min(left, key=lambda w: best[0] - w[0], default=None) if best else None
-        label = min((w for w in words if 0 <= b[1] - w[1] <= 240 and b[0] <= w[0] <= b[0] + b[2] and 3 <= len(w[2]) <= 30), key=lambda w: b[1] - w[1], default=None)
-        name, location = (best[2] if best else ""), (place[2] if place else "")
-        out.append({"id": f"cab_{key}_{k:03d}", "name": name, "location": location, "display_name": "-".join(x for x in (location, name) if x), "text_label": label[2] if label else "", "x": b[0], "y": b[1], "w": b[2], "h": b[3]})
+    for k, f in enumerate(dashed_regions(rows)):
+        b = f["box"]
+        out.append({"id": f"cab_{key or 'doc'}_{k + 1:03d}", **region_texts(b, words, by_row), "x": b[0], "y": b[1], "w": b[2], "h": b[3], "layer": f["layer"], "handle": f["handle"], "ltype": f["ltype"]})
     return out
 
 
-def loop_records(rows: list[dict]) -> list[dict]:
-    """Cores of a circuit loop: each wire serial's wire, its terminals on both sides and the nearest descriptions."""
-    sure = [r for r in rows if r.get("confidence") is None or r["confidence"] >= 0.5]
-    boxes = [(c["x"], c["y"], c["w"], c["h"]) for c in cabinet_regions(rows)]
-    names = {(c["x"], c["y"], c["w"], c["h"]): c["display_name"] for c in cabinet_regions(rows)}
-    graph = Graph(sure, boxes)
-    tags = [r for r in _placed(sure, "NO", "ObjTerm.Name") if ":" in r["text"]]
-    words = _texts(sure)
-
-    def cabinet_at(x: float, y: float) -> str | None:
-        return next((names[b] or None for b in boxes if holds(b, x, y)), None)
+def _box(c: dict) -> Box:
+    return c["x"], c["y"], c["w"], c["h"]
 
-    def number(n: int) -> str:
-        x, y = graph.at[n]
-        best = min(((math.hypot(r["x"] - x, r["y"] - y), k) for k, r in enumerate(tags) if math.hypot(r["x"] - x, r["y"] - y) <= 12 and cabinet_at(r["x"], r["y"]) == cabinet_at(x, y)), default=None)
-        return tags[best[1]]["text"].strip() if best else ""
 
-    def nearest(tag: str, x: float, y: float) -> str | None:
-        best = min(((abs(r["y"] - y), abs(r["x"] - x), k) for k, r in enumerate(found[tag]) if abs(r["y"] - y) <= 80), default=None)
-        return found[tag][best[2]]["text"].strip() if best else None
-
-    found = {t: _placed(sure, t) for t in ("WireDescription", "LoopCode")}
-    out = []
-    serials = [(r, m) for r in _placed(sure, "WireSerial") if (m := re.match(WIRE_SERIAL, r["text"].strip()))]
-    for r, m in sorted(serials, key=lambda s: (s[1][1], -s[0]["y"])):
-        x, y = r["x"], r["y"]
-        edge = graph.wire_near(x, y, tags=[(t["x"], t["y"]) for t in tags])
-        sides: list[tuple[int | None, str | None]] = [(None, None), (None, None)]
-        if edge:
-            low, high = sorted(edge, key=lambda n: graph.at[n][0])
-            sides = [graph.reach(low, -1, number) or (None, ""), graph.reach(high, 1, number) or (None, "")]
-        (a, local), (b, far) = sides
-        strip, _, no = (local or "").partition(":")
-        where = lambda n: cabinet_at(*graph.at[n]) if n is not None else None
-        out.append(
-            {
-                "cable_id": m[1], "conductor_no": int(m[2]), "strip_name": strip or None, "terminal_no": int(no) if re.fullmatch("[0-9]+", no.strip()) else None, "terminal_no_remote": far,
-                "cabinet_name": where(a), "cabinet_name_remote": where(b), "circuit_desc": nearest("WireDescription", x, y), "loop_id": nearest("LoopCode", x, y), "source_type": "circuit_loop",
-            }
-        )
-    return out
+def cabinet_at(cabinets: list[dict], x: float, y: float) -> dict | None:
+    """The first cabinet around a point, those whose centre is not far off before others."""
+    held = [c for c in cabinets if holds(_box(c), x, y)]
+    cell = lambda v: math.floor(v / 50)
+    close = [c for c in held if abs(cell(c["x"] + c["w"] / 2) - cell(x)) <= 2 and abs(cell(c["y"] + c["h"] / 2) - cell(y)) <= 2]
+    return (close or held or [None])[0]
 
 
-def find_cabinet(x: float, y: float, words: list[tuple[float, float, str]]) -> str | None:
-    """The least (dx, dy) text with 屏, 柜 or 箱 above, joined to the nearest text left of it on its row."""
+def find_cabinet(x: float, y: float, words: list[Word]) -> str | None:
+    """The least (dx, dy) text with 屏, 柜 or 箱 above, joined to the nearest other text left of it on its row."""
     best = min((w for w in words if re.search("[屏柜箱]", w[2]) and w[1] > y), key=lambda w: (abs(w[0] - x), w[1] - y), default=None)
     if best is None:
         return None
-    left = min((w for w in words if abs(w[1] - best[1]) < 3 and 0 < best[0] - w[0] < 200), key=lambda w: best[0] - w[0], default=None)
+    left = min((w for w in words if w[2] and w[2] != best[2] and abs(w[1] - best[1]) < 3 and 0 < best[0] - w[0] < 200), key=lambda w: best[0] - w[0], default=None)
     return f"{left[2]}-{best[2]}" if left else best[2]
 
 
-def wire_types(codes: list[tuple[float, float, str]], types: list[tuple[float, float, str]]) -> dict[str, str]:
+def wire_types(codes: list[Word], types: list[Word]) -> dict[str, str | None]:
     """Nearest type of each code by Manhattan distance under 100; later codes of one value overwrite."""
-    out = {}
+    out: dict[str, str | None] = {}
     for x, y, code in codes:
         best = min(((abs(tx - x) + abs(ty - y), k) for k, (tx, ty, _) in enumerate(types)), default=None)
-        if best and best[0] < 100:
-            out[code] = types[best[1]][2]
+        out[code] = types[best[1]][2] if best and best[0] < 100 else None
     return out
 
 
-def scan_topology(entities: DataFrame) -> DataFrame:
-    """Strip and circuit-loop records of each document."""
-    return per_document(entities, lambda rows: strip_records(rows) + loop_records(rows), RECORD)
+def loop_records(rows: list[dict], cabinets: list[dict] | None = None) -> list[dict]:
+    """Cores of a circuit loop: each wire serial's wire, its terminals on both sides and the nearest descriptions."""
+    cabinets = cabinet_regions(rows) if cabinets is None else cabinets
+    graph = Graph(rows, [_box(c) for c in cabinets], frozenset(c["handle"] for c in cabinets if c["handle"]))
+    placed = [(r.get("tag") or "" if r["kind"] == "ATTRIB" else "", r["x"], r["y"], t) for r, t in written(rows, sure=0.5)]
+    words = [p[1:] for p in placed]
+    tagged: dict[str, list[Word]] = {}
+    for tag, *w in placed:
+        if tag:
+            tagged.setdefault(tag, []).append(tuple(w))
+    names, terminals = [w for tag, *w in placed if tag in NAME_TAGS and ":" in w[2]], Grid(12.0)
+    for k, (x, y, _) in enumerate(names):
+        terminals.add(k, x, y)
+    cores: dict[str, dict[int, Point]] = {}
+    for x, y, t in tagged.get("WireSerial", []):
+        m = re.match(WIRE_SERIAL, t)
+        if m:
+            cores.setdefault(m[1], {}).setdefault(int(m[2]), (x, y))
+    types = wire_types(tagged.get("WIRECODE", []), tagged.get("WIRETYPE", []))
+
+    def resolve(x: float, y: float) -> tuple[str, float, float, str]:
+        """(terminal, x, y, cabinet) at a place: its nearest circle within 8, and the name within 12 in the same cabinet."""
+        ring = min(graph.rings.within(x, y, 8.0), default=None)
+        x, y = graph.at[ring[1]] if ring else (x, y)
+        home = cabinet_at(cabinets, x, y)
+        met = min(((d, k) for d, k in terminals.within(x, y, 12.0) if home is None or holds(_box(home), names[k][0], names[k][1])), default=None)
+        where = home["display_name"] if home else ""
+        return (names[met[1]][2], names[met[1]][0], names[met[1]][1], where) if met else ("", x, y, where)
+
+    def context(cable: str) -> list[Point]:
+        code = next((w for w in tagged.get("WIRECODE", []) if w[2] == cable), None)
+        kind = code and next((w for w in tagged.get("WIRETYPE", []) if abs(w[0] - code[0]) < 50 and abs(w[1] - code[1]) < 50), None)
+        return [w[:2] for w in (code, kind) if w]
+
+    def terminal(x: float, y: float, sign: int, tags: list[Point]) -> tuple[str, float, float, str] | None:
+        start = graph.wire_near(x, y, tags=tags)
+        if start is None:
+            return None
+        end = graph.walk(start, sign)
+        if end not in graph.circles:
+            got = graph.reach(end, sign, lambda n: (r := resolve(*graph.at[n])) if resolve(*graph.at[n])[0] else None)
+            if got:
+                return got
+        return resolve(*graph.at[end])
+
+    def nearest(tag: str, x: float, y: float) -> str | None:
+        best = min(((abs(wy - y), abs(wx - x), k) for k, (wx, wy, _) in enumerate(tagged.get(tag, [])) if abs(wy - y) <= 80), default=None)
+        return tagged[tag][best[2]][2] if best else None
+
+    out = []
+    for cable in sorted(cores):
+        tags, here, there = context(cable), None, None
+        for core, (x, y) in sorted(cores[cable].items(), key=lambda c: -c[1][1]):
+            left, right = terminal(x, y, -1, tags), terminal(x, y, 1, tags)
+            if left and right and left[0] and left[0] == right[0] and left[3] == right[3]:
+                right = None  # a short stub: both sides are one terminal
+            if left and here is None:
+                here = left[3] or find_cabinet(left[1], left[2], words)
+            if right and there is None:
+                there = right[3] or find_cabinet(right[1], right[2], words)
+            strip, colon, no = (left[0] if left else "").partition(":")
+            number = re.fullmatch(r"\s*[+-]?[0-9]+\s*", no)
+            out.append(
+                {
+                    "cable_id": cable, "conductor_no": core, "strip_name": strip.strip() if colon else None, "terminal_no": int(no) if number else None, "terminal_no_remote": right[0] if right else None,
+                    "cabinet_name": here, "cabinet_name_remote": there, "circuit_desc": nearest("WireDescription", x, y), "loop_id": nearest("LoopCode", x, y), "source_type": "circuit_loop", "wire_type": types.get(cable),
+                }
+            )
+    return out
+
+
+def cabinet_terminals(rows: list[dict], cabinets: list[dict], records: list[dict]) -> list[dict]:
+    """Terminals inside cabinets, small cabinets first, one row for each (cabinet, terminal, kind): the last place wins.
+
+    Named terminals count only if a cable's record uses them; icons always do, by their place if they have no text.
+    """
+    used = {f"{r['strip_name']}:{r['terminal_no']}" for r in records if r.get("strip_name") and r.get("terminal_no")}
+    used |= {r["terminal_no_remote"] for r in records if ":" in (r.get("terminal_no_remote") or "")}
+    out: dict[tuple, dict] = {}
+    ordered = sorted(cabinets, key=lambda c: c["w"] * c["h"])
+    for r, t in written(rows, ("ATTRIB",)):
+        kind = r.get("tag") or ""
+        if kind in ICON_TAGS:
+            t = t or f"ICON_{kind}@{r['x']:.0f}_{r['y']:.0f}"
+        elif kind not in NAME_TAGS or ":" not in t or t not in used:
+            continue
+        for c in ordered:
+            if holds(_box(c), r["x"], r["y"]):
+                out[c["id"], t, kind] = {"cabinet_id": c["id"], "terminal_id": t, "kind": kind, "x": r["x"], "y": r["y"]}
+    return list(out.values())
+
+
+# --- grouped runs -------------------------------------------------------------------------------------------
+#: The analyzer of each class that has one.
+ANALYZERS: dict[str, Callable[[list[dict]], list[dict]]] = {"circuit_loop": loop_records, "terminal_strip": strip_records, "cable_schedule": schedule_records}
+
+
+def of_class(entities: DataFrame, classes: DataFrame | None, name: str) -> DataFrame:
+    """The entities of the documents of one class (of all documents without a table of classes: document_hash, classification)."""
+    if classes is None:
+        return entities
+    return entities.join(classes.filter(F.col("classification") == name).select("document_hash").distinct(), "document_hash", "left_semi")
+
+
+def scan_topology(entities: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Topology records, each document by its class's analyzer; without classes, by all of them but the schedule's."""
+    out = None
+    for name, run in ANALYZERS.items():
+        if classes is not None or name != "cable_schedule":
+            part = per_document(of_class(entities, classes, name), run, RECORD)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def scan_cabinet_regions(entities: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    return per_document(of_class(entities, classes, "circuit_loop"), cabinet_regions, REGION)
+
+
+def scan_cabinet_terminals(entities: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Terminals of cabinets of circuit loops that cables use, and icons."""
+
+    def run(rows: list[dict]) -> list[dict]:
+        regions = cabinet_regions(rows)
+        return cabinet_terminals(rows, regions, loop_records(rows, regions))
+
+    return per_document(of_class(entities, classes, "circuit_loop"), run, TERMINAL)
 
 
-def scan_cabinet_regions(entities: DataFrame) -> DataFrame:
-    return per_document(entities, cabinet_regions, REGION)
+def cable_info(records: DataFrame) -> DataFrame:
+    """One wire type for each cable of each document."""
+    return records.filter("wire_type IS NOT NULL AND wire_type <> ''").groupBy("cable_id", "document_hash").agg(F.first("wire_type").alias("wire_type"))

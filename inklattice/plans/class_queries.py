@@ -24,7 +24,7 @@ def keyword_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def composite_classes(spark: SparkSession, d: str) -> DataFrame:
     out = classify.combine(_scores(spark, d), types=list(STAND_IN))
-    return out.select("document_hash", "primary", F.round("confidence", 8).alias("confidence"), F.array_join("secondary", ",").alias("secondary"))
+    return out.select("document_hash", "primary", "confidence", F.array_join("secondary", ",").alias("secondary"))
 
 
 def text_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +65,14 @@ def json_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_roles(spark: SparkSession, d: str) -> DataFrame:
-    o = S.table(spark, d, "orders").filter("o_orderkey % 10 = 0")
-    t = F.array(F.lit("--"), F.col("o_custkey").cast("string"), F.concat(F.lit("AB-"), F.col("o_custkey").cast("string")), F.col("o_orderstatus"))
-    r = T.column_text_roles(t)
+    """The fold over columns of up to six texts whose kinds and order vary with the order."""
+    o = S.table(spark, d, "orders")
+    number, other = F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 50).cast("string")
+    texts = F.array(
+        F.when(F.col("o_orderkey") % 3 > 0, F.lit("--")), F.when(F.col("o_orderkey") % 4 > 0, number), F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("AB-"), number)), other,
+        F.when(F.col("o_orderkey") % 2 > 0, F.concat(F.lit("K"), other)), F.col("o_orderstatus"),
+    )
+    r = T.column_text_roles(F.filter(texts, lambda t: t.isNotNull()))
     return o.select("o_orderkey", r.alias("r")).select("o_orderkey", "r.*")
 
 
@@ -80,15 +85,32 @@ def _any(words: list[str]) -> str:
 
 _SUMS = ", ".join(f"round(least(ln(1 + sum(CASE WHEN {_any(s)} THEN 5 ELSE 0 END + CASE WHEN {_any(w)} THEN 1 ELSE 0 END)) / ln(6.0), 1.0), {{r}}) AS {k}" for k, (w, s) in STAND_IN.items())
 _KEY = f"WITH {S.TEXTS_SQL}, k AS (SELECT document_hash, {_SUMS.format(r=15)} FROM texts GROUP BY 1)"
+_POSITIONS = f"""WITH {S.POINTS_SQL}, p AS (SELECT CAST(seq % 17 AS VARCHAR) AS document_hash, x, y FROM points),
+  b AS (SELECT document_hash, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT round_even(y, 0)) AS DOUBLE) AS rows FROM p GROUP BY 1),
+  m AS (SELECT p.*, b.n, b.rows, x > (x0 + x1) / 2 AS east, y > (y0 + y1) / 2 AS north, x < x0 + 0.2 * (x1 - x0) OR x > x1 - 0.2 * (x1 - x0) OR y < y0 + 0.2 * (y1 - y0) OR y > y1 - 0.2 * (y1 - y0) AS margin FROM p JOIN b ON b.document_hash = p.document_hash),
+  q AS (SELECT document_hash, any_value(n) AS n, any_value(rows) AS rows, any_value(rows) / any_value(n) AS rn, count(*) FILTER (east AND NOT north) / any_value(n) AS se, count(*) FILTER (east AND north) / any_value(n) AS ne, count(*) FILTER (NOT east AND NOT north) / any_value(n) AS sw, count(*) FILTER (NOT east AND north) / any_value(n) AS nw, count(*) FILTER (margin) / any_value(n) AS m FROM m GROUP BY 1),
+  s AS (SELECT *, 1 - (abs(se - 0.25) + abs(ne - 0.25) + abs(sw - 0.25) + abs(nw - 0.25)) AS bal, greatest(se, ne, sw, nw) AS mq FROM q)
+  SELECT document_hash, round(CASE WHEN n >= 5 AND bal > 0.7 THEN least((bal - 0.7) / 0.3, 1.0) ELSE 0 END, 8) AS circuit_loop,
+  round(CASE WHEN n >= 5 AND m > 0.55 AND rn < 0.4 THEN least(0.5 * least((m - 0.55) / 0.3, 1.0) + 0.5 * least(rows / 20, 1.0), 1.0) ELSE 0 END, 8) AS terminal_strip,
+  round(CASE WHEN n >= 5 AND rn > 0.5 AND n > 20 AND n / rows > 1.5 AND n / rows < 8 THEN least(0.5 * least(rn, 1.0) + 0.5 * least(rows / 50, 1.0), 1.0) ELSE 0 END, 8) AS cable_schedule,
+  round(CASE WHEN n >= 5 AND bal > 0.7 THEN least((bal - 0.7) / 0.5, 0.5) ELSE 0 END, 8) AS protection_diagram,
+  round(CASE WHEN n >= 5 AND se > 0.45 THEN least((se - 0.45) / 0.3, 1.0) ELSE 0 END, 8) AS panel_layout,
+  round(CASE WHEN n < 5 THEN 0 WHEN se > 0.45 THEN least((se - 0.45) / 0.35, 0.7) WHEN n > 50 AND bal > 0.35 AND bal < 0.7 AND rn > 0.15 AND rn < 0.5 THEN least(0.5 * least((bal - 0.35) / 0.2, 1.0) + 0.5 * least(rn / 0.3, 1.0), 1.0) ELSE 0 END, 8) AS panel_position,
+  round(CASE WHEN n >= 5 AND bal > 0.7 THEN least((bal - 0.7) / 0.5, 0.6) ELSE 0 END, 8) AS monitoring_system, round(CASE WHEN n >= 5 AND mq > 0.7 THEN least((mq - 0.7) / 0.2, 1.0) ELSE 0 END, 8) AS unknown FROM s"""
 ORACLE_SQL = {
     "keyword_classes": f"WITH {S.TEXTS_SQL} SELECT document_hash, {_SUMS.format(r=8)} FROM texts GROUP BY 1",
     "composite_classes": _KEY
-    + ", u AS (SELECT document_hash, unnest([{'t': 'circuit_loop', 'o': 0, 's': 0.55 * circuit_loop}, {'t': 'terminal_strip', 'o': 1, 's': 0.55 * terminal_strip}, {'t': 'cable_schedule', 'o': 2, 's': 0.55 * cable_schedule}, {'t': 'unknown', 'o': 3, 's': 0.55 * unknown}], recursive := true) FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY document_hash ORDER BY s DESC, o) AS n, max(s) OVER (PARTITION BY document_hash) AS top FROM u), q AS (SELECT *, CASE WHEN top > 0 THEN s / top ELSE 0 END AS p FROM r) SELECT document_hash, CASE WHEN max(top) < 0.10 THEN 'unknown' ELSE max(t) FILTER (n = 1) END AS primary, round(CASE WHEN max(top) < 0.10 THEN 0.0 ELSE least(0.7 * max(p) FILTER (n = 1) + 0.3 * (max(p) FILTER (n = 1) - max(p) FILTER (n = 2)), 1.0) END, 8) AS confidence, CASE WHEN max(top) < 0.10 THEN '' ELSE coalesce(string_agg(t, ',' ORDER BY n) FILTER (n > 1 AND n <= 4 AND p > 0.05), '') END AS secondary FROM q GROUP BY 1",
+    + ", u AS (SELECT document_hash, unnest([{'t': 'circuit_loop', 'o': 0, 's': 0.55 * circuit_loop}, {'t': 'terminal_strip', 'o': 1, 's': 0.55 * terminal_strip}, {'t': 'cable_schedule', 'o': 2, 's': 0.55 * cable_schedule}, {'t': 'unknown', 'o': 3, 's': 0.55 * unknown}], recursive := true) FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY document_hash ORDER BY s DESC, o) AS n, max(s) OVER (PARTITION BY document_hash) AS top FROM u), q AS (SELECT *, CASE WHEN top > 0 THEN s / top ELSE 0 END AS p FROM r) SELECT document_hash, CASE WHEN sum(s) < 0.10 THEN 'unknown' ELSE max(t) FILTER (n = 1) END AS primary, round(CASE WHEN sum(s) < 0.10 THEN 0.0 ELSE least(0.7 * max(p) FILTER (n = 1) + 0.3 * (max(p) FILTER (n = 1) - max(p) FILTER (n = 2)), 1.0) END, 4) AS confidence, CASE WHEN sum(s) < 0.10 THEN '' ELSE coalesce(string_agg(t, ',' ORDER BY n) FILTER (n > 1 AND n <= 4 AND p > 0.05), '') END AS secondary FROM q GROUP BY 1",
     "cable_ids_in_text": f"WITH {S.TEXTS_SQL} SELECT DISTINCT unnest(regexp_extract_all(text, '\\b([A-Za-z0-9]{{2,8}}-[A-Za-z0-9]{{1,8}})\\b', 1)) AS cable FROM texts",
     "parse_strip_terminal": "WITH o AS (SELECT o_orderkey, o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ':' END || CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS t FROM orders) SELECT o_orderkey, split_part(t, ':', 1) AS strip, CASE WHEN contains(t, ':') AND regexp_full_match(split_part(t, ':', 2), '[0-9]+') THEN CAST(split_part(t, ':', 2) AS INT) END AS terminal FROM o",
     "normalized_contains": "SELECT doc_id FROM documents WHERE contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), 'and the')",
     "path_parts": "SELECT source AS top, lang AS sub, count(*) AS n FROM documents GROUP BY 1, 2",
     "content_hashes": "SELECT substr(sha256(text), 1, 16) AS hash16, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "text_positions": _POSITIONS,
     "json_state": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
-    "column_roles": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS terminal_no, 'AB-' || o_custkey AS loop_id, o_orderstatus AS circuit_desc, '--' AS unknown FROM orders WHERE o_orderkey % 10 = 0",
+    # Loop-like texts (AB-<n>, K<n> of one or two digits) fill loop, description, unknown; -- takes unknown first; the status is a description.
+    "column_roles": """WITH x AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS n, CAST(o_orderkey % 50 AS VARCHAR) AS t, o_orderstatus AS s FROM orders),
+      y AS (SELECT *, CASE WHEN k % 3 > 0 THEN '--' END AS dash, [u FOR u IN [CASE WHEN k % 5 > 0 THEN 'AB-' || n END, CASE WHEN k % 2 > 0 THEN 'K' || t END] IF u IS NOT NULL] AS l FROM x),
+      z AS (SELECT *, CASE WHEN len(l) > 1 THEN [l[2], s] ELSE [s] END AS d FROM y)
+      SELECT k AS o_orderkey, CASE WHEN k % 4 > 0 THEN n ELSE t END AS terminal_no, l[1] AS loop_id, d[1] AS circuit_desc, CASE WHEN dash IS NOT NULL THEN dash ELSE d[2] END AS unknown FROM z""",
 }

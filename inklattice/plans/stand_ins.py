@@ -69,13 +69,13 @@ def points(spark: SparkSession, sf_dir: str, scale: float = 400.0) -> DataFrame:
 POINTS_SQL = "points AS (SELECT label % 3 AS doc, vec_id AS seq, floor(CAST(embedding[1] AS DOUBLE) * 400.0 * 64) / 64 AS x, floor(CAST(embedding[2] AS DOUBLE) * 400.0 * 64) / 64 AS y FROM embeddings)"
 
 
-def boxes(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
-    """Boxes around every twentieth point, as the SQL has them, or every ``every``-th: doc, box, b_x, b_y, b_w, b_h."""
-    p = points(spark, sf_dir).filter(F.col("seq") % every == 0)
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes around all points: doc, box, b_x, b_y, b_w, b_h."""
+    p = points(spark, sf_dir)
     return p.select("doc", F.col("seq").alias("box"), (F.col("x") - 15).alias("b_x"), (F.col("y") - 10).alias("b_y"), (F.lit(30.0) + F.col("seq") % 7).alias("b_w"), (F.lit(20.0) + F.col("seq") % 5).alias("b_h"))
 
 
-BOXES_SQL = "boxes AS (SELECT doc, seq AS box, x - 15 AS b_x, y - 10 AS b_y, 30.0 + seq % 7 AS b_w, 20.0 + seq % 5 AS b_h FROM points WHERE seq % 20 = 0)"
+BOXES_SQL = "boxes AS (SELECT doc, seq AS box, x - 15 AS b_x, y - 10 AS b_y, 30.0 + seq % 7 AS b_w, 20.0 + seq % 5 AS b_h FROM points)"
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

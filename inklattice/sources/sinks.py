@@ -30,23 +30,59 @@ def unique_targets(rows: DataFrame, name: str = "name", order: str = "path") ->
 
 
 def cabinet_folders(rows: DataFrame, cables: DataFrame) -> DataFrame:
-    """First cable of each row that has a document: folder ``<cubicle>+<cable>``.  rows: row, cubicle, cables (array)."""
-    each = rows.select("row", "cubicle", F.posexplode("cables").alias("ord", "cable")).join(cables.select("cable", "document_hash"), "cable")
-    best = each.groupBy("row", "cubicle").agg(F.min(F.struct("ord", "cable", "document_hash")).alias("r"))
-    return best.select("row", F.concat("cubicle", F.lit("+"), F.col("r.cable")).alias("folder"), F.col("r.document_hash").alias("document_hash"))
+    """First cable of each row that has a document: folder ``<cubicle>+<cable>``; rows without one have nulls and count as unmatched.
+
+    rows: row, cubicle, cables (array).
+    """
+    each = rows.select("row", F.posexplode("cables").alias("ord", "cable")).join(cables.select("cable", "document_hash"), "cable")
+    best = each.groupBy("row").agg(F.min(F.struct("ord", "cable", "document_hash")).alias("r"))
+    out = rows.select("row", "cubicle").join(best, "row", "left")
+    return out.select("row", F.when(F.col("r").isNotNull(), F.concat("cubicle", F.lit("+"), F.col("r.cable"))).alias("folder"), F.col("r.document_hash").alias("document_hash"), F.col("r").isNotNull().alias("matched"))
 
 
 def tree_json(nodes: DataFrame) -> DataFrame:
-    """Nested JSON of flat layout nodes, per document: children are collected bottom-up by depth.
+    """Nested JSON of flat layout nodes, per document: children are collected bottom-up, level by level.
 
-    nodes: document_hash, node_id, parent_id (null for roots), ord, depth, type, name.
+    nodes: document_hash, node_id, parent_id (null for roots), ord, type, name, and where there are group_type, x, y, w,
+    h and data.  A node is {id, type, name, bbox, children, data[, group_type]}; names of any text are escaped.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    n = nodes
+    for c, t in (("group_type", "string"), ("x", "double"), ("y", "double"), ("w", "double"), ("h", "double"), ("data", "map<string,string>")):
+        if c not in n.columns:
+            n = n.withColumn(c, F.lit(None).cast(t))
+    # Levels from the roots down; a layout has few.
+    level, levels = n.filter("parent_id IS NULL"), []
+    while not level.isEmpty():
+        levels.append(level)
+        up = level.select("document_hash", F.col("node_id").alias("parent_id"))
+        level = n.join(up, ["document_hash", "parent_id"], "left_semi").select(*n.columns)
     below = None
-    for depth in range(deepest, -1, -1):
-        own = nodes.filter(F.col("depth") == depth)
+    for own in reversed(levels):
         own = own.withColumn("kids", F.lit(None).cast("string")) if below is None else own.join(below, (own.document_hash == below.dh) & (own.node_id == below.pid), "left").drop("dh", "pid")
-        text = F.concat(F.lit('{"id":"'), "node_id", F.lit('","type":"'), "type", F.lit('","name":'), F.to_json(F.struct("name")).substr(F.lit(9), F.length(F.to_json(F.struct("name"))) - 9), F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}"))
+        quoted = lambda c: F.expr(f"substr(to_json(struct({c} AS v)), 6, length(to_json(struct({c} AS v))) - 6)")
+        box = F.when(F.col("x").isNotNull(), F.to_json(F.array("x", "y", "w", "h"))).otherwise(F.lit("null"))
+        text = F.concat(
+            F.lit('{"id":'), quoted("node_id"), F.lit(',"type":'), quoted("type"), F.lit(',"name":'), quoted("coalesce(name, '')"), F.lit(',"bbox":'), box, F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit('],"data":'),
+            F.coalesce(F.to_json("data"), F.lit("{}")), F.when(F.col("group_type").isNotNull(), F.concat(F.lit(',"group_type":'), quoted("group_type"))).otherwise(F.lit("")), F.lit("}"),
+        )
         made = own.withColumn("json", text)
         below = made.groupBy(F.col("document_hash").alias("dh"), F.col("parent_id").alias("pid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda s: s.json), ",").alias("kids"))
+    if below is None:
+        return n.select("document_hash", F.lit(None).cast("string").alias("tree_json")).limit(0)
     return below.select(F.col("dh").alias("document_hash"), F.concat(F.lit("["), "kids", F.lit("]")).alias("tree_json"))
+
+
+def text_files(rows: DataFrame, per_file: bool = True) -> DataFrame:
+    """Texts to be written, one for each file or one of all: (target, text).  rows: path, page, rows (array of cells of each line).
+
+    Pages of a file come after ``=== Page n ===`` lines if there are several; lines are cells joined by tabs, empty ones left out.
+    """
+    from inklattice.functions.text import page_text
+
+    many = F.count("*").over(Window.partitionBy("path")) > 1
+    shown = rows.withColumn("body", page_text(F.col("rows"))).withColumn("body", F.when(many, F.concat(F.lit("=== Page "), F.col("page").cast("string"), F.lit(" ===\n"), F.col("body"))).otherwise(F.col("body")))
+    whole = shown.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda s: s.body), "\n").alias("text"))
+    own = whole.select(F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".txt")).alias("target"), "text")
+    if per_file:
+        return own
+    return own.agg(F.lit("combined.txt").alias("target"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "text"))), lambda s: s.text), "\n").alias("text"))

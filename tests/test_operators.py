@@ -9,9 +9,12 @@ def test_tiers_and_variants(spark):
     variants = spark.sql("SELECT '3B-0' AS t").select(T.confusion_variants(F.col("t")).alias("v")).first().v
     assert set(variants) == {"8B-0", "JB-0", "38-0", "3B_0", "3B.0", "3B 0", "3B0", "3B-O", "3B-Q"}
     targets = spark.createDataFrame([("GY6-136",), ("AB-1",)], "target string")
-    texts = spark.createDataFrame([("d1", "see GY6-136 now"), ("d2", "gy6_136"), ("d3", "GY6-I36"), ("d4", "GY6-1367"), ("d5", "none")], "doc string, text string")
+    texts = spark.createDataFrame([("d1", "see GY6-136 now"), ("d2", "xgy6_136"), ("d3", "GY6-I36"), ("d4", "GY6-1367"), ("d5", "none"), ("d6", "G6-136"), ("d7", "a gy6 136 b"), ("d8", "GY6 136"), ("d9", None)], "doc string, text string")
     got = {r.doc: r.match_type for r in matching.tiered(targets, texts, fuzzy=True).collect()}
-    assert got == {"d1": "exact", "d2": "normalized", "d3": "confusion", "d4": "levenshtein"}
+    assert got == {"d1": "exact", "d2": "normalized", "d3": "confusion", "d4": "exact", "d6": "levenshtein", "d7": "normalized", "d8": "normalized"}
+    assert matching.tiered(targets.limit(0), texts).collect() == [] and matching.tiered(targets, texts.limit(0)).collect() == []
+    short = spark.createDataFrame([("ab",), ("b",), ("",)], "k string")
+    assert sorted((r.k, r.doc) for r in matching.containing(short, spark.createDataFrame([(1, "xabx"), (2, "b"), (3, "")], "doc int, text string")).collect()) == [("ab", 1), ("b", 1), ("b", 2)]
 
 
 def test_best_of_stages(spark):
@@ -38,7 +41,24 @@ def test_edges_are_inclusive(spark):
 def test_classes(spark):
     texts = spark.createDataFrame([("a", "端子排图", None), ("b", "产品说明书", None), ("c", "nothing", None), ("d", "WIRENO", "WIRENO")], "document_hash string, text string, tag string")
     got = {r.document_hash: (r.primary, r.confidence) for r in classify.combine(classify.keyword_scores(texts)).collect()}
-    assert got["a"][0] == "terminal_strip" and got["b"] == ("manufacturer_catalog", 1.0) and got["c"] == ("unknown", 0.0) and got["d"][0] == "circuit_loop"
+    assert got["a"][0] == "terminal_strip" and got["c"] == ("unknown", 0.0) and got["d"][0] == "circuit_loop"
+
+
+def test_marks_override(spark):
+    texts = spark.createDataFrame([("b", "产品说明书"), ("b", "回路图"), ("b", "屏柜"), ("p", "保护屏位图"), ("p", "保护"), ("p", "差动"), ("q", "保护 测控")], "document_hash string, text string")
+    got = {r.document_hash: r for r in classify.combine(classify.keyword_scores(texts), marks=classify.text_marks(texts)).collect()}
+    assert (got["b"].primary, got["b"].confidence) == ("manufacturer_catalog", 1.0) and "circuit_loop" not in got["b"].secondary
+    assert got["p"].primary == "panel_position" and "protection_diagram" in got["p"].secondary + [got["p"].primary]
+    assert got["q"].primary == "protection_diagram" and set(got["q"].signals) == set(classify.TYPES)
+
+
+def test_documents_are_classified_from_their_entities(spark):
+    from inklattice import schema
+
+    rows = [("a", k, "TEXT", float(k), 0.0, "端子排图" if k == 1 else "x") for k in range(3)] + [("b", 0, "LINE", None, None, None)]
+    df = spark.createDataFrame([], schema.ENTITIES).unionByName(spark.createDataFrame(rows, "document_hash string, seq long, kind string, x double, y double, text string"), allowMissingColumns=True)
+    got = {r.document_hash: r.primary for r in classify.classify_documents(df).collect()}
+    assert got == {"a": "terminal_strip", "b": "unknown"}
 
 
 DXF = "0\nSECTION\n2\nENTITIES\n0\nLINE\n5\nA1\n8\nL\n10\n0\n20\n0\n11\n5\n21\n0\n0\nTEXT\n10\n1\n20\n2\n1\n1D\n0\nLWPOLYLINE\n70\n1\n10\n0\n20\n0\n10\n4\n20\n0\n10\n4\n20\n3\n0\nCIRCLE\n10\n1\n20\n1\n40\n2\n0\nENDSEC\n0\nEOF\n"
@@ -57,6 +77,9 @@ def test_blocks(spark):
     mem = spark.createDataFrame([("b", "TEXT", 1.0, 0.0, "t", None, 0.0, 0.0), ("b", "INSERT", 0.0, 0.0, None, "in", 0.0, 0.0), ("in", "TEXT", 0.0, 1.0, "u", None, 0.0, 0.0)], "block_name string, kind string, mx double, my double, text string, child string, base_x double, base_y double")
     got = {r.text: (round(r.x, 6), round(r.y, 6)) for r in entities.expand_blocks(ins, mem).collect()}
     assert got == {"t": (10.0, 2.0), "u": (8.0, 0.0)}
+    turned = mem.withColumn("scale_x", F.when(F.col("child") == "in", 3.0)).withColumn("scale_y", F.when(F.col("child") == "in", 5.0)).withColumn("rotation", F.when(F.col("child") == "in", 90.0))
+    got = {r.text: (round(r.x, 6), round(r.y, 6)) for r in entities.expand_blocks(ins, turned).collect()}
+    assert got == {"t": (10.0, 2.0), "u": (10.0, -10.0)}
 
 
 def test_tree_and_targets(spark):
@@ -78,3 +101,62 @@ def test_incremental(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         scan_stream(spark, src, schema, out, ck).awaitTermination()
     assert sorted((r.document_hash, r.v) for r in spark.read.parquet(out).collect()) == [("a", 9), ("b", 1)]
+    # A document of which a batch leaves nothing loses its old rows.
+    for batch in ([("a", -1), ("c", 4)],):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        scan_stream(spark, src, schema, out, ck, lambda df: df.filter("v > 0")).awaitTermination()
+    assert sorted((r.document_hash, r.v) for r in spark.read.parquet(out).collect()) == [("b", 1), ("c", 4)]
+
+
+def test_dumps(spark, tmp_path):
+    from inklattice.sources import dump
+
+    objects = [
+        {"object": "BLOCK_CONTROL", "entries": [[2, 1, 50]]}, {"entity": "BLOCK", "name": "CT1", "handle": [0, 1, 9]}, {"object": "BLOCK_HEADER", "name": "CT1", "handle": [0, 1, 50], "entities": [[3, 1, 60], [3, 1, 61]], "base_pt": [1, 0, 0]},
+        {"entity": "LWPOLYLINE", "handle": [0, 1, 1], "points": [[0, 0], [1, 0], [1, 1]], "flag": 1, "eed": [{"code": 0, "value": " C-1 "}, {"value": 3}, {"value": [{"value": "in"}]}], "ltype": [5, 1, 8], "ltype_flags": 1},
+        {"entity": "INSERT", "handle": [0, 1, 2], "block_header": [5, 1, 50], "ins_pt": [10, 0], "rotation": 3.141592653589793}, {"entity": "ARC", "handle": [0, 1, 3], "center": [0, 0], "radius": 2, "start_angle": 1},
+        {"entity": "LINE", "handle": [0, 1, 60], "start": [1, 0], "end": [3, 0]}, {"entity": "ATTRIB", "handle": [0, 1, 61], "tag": "NO", "text_value": "", "ins_pt": [1, 1]}, {"entity": "TEXT", "handle": [0, 1, 62], "text_value": " "}, {"entity": "CIRCLE", "handle": [0, 1, 63]}, 7,
+    ]
+    import json
+
+    rows = dump.dump_rows(json.dumps({"OBJECTS": objects}))
+    assert [r["kind"] for r in rows] == ["LINE", "INSERT", "ARC", "LINE", "ATTRIB"] and rows[0]["closed"] and rows[0]["eed"] == ["C-1", "in"] and rows[0]["ltype"] is None
+    assert rows[1]["block_name"] == "CT1" and [(round(p["x"], 6), round(p["y"], 6)) for p in rows[3]["points"]] == [(10, 0), (8, 0)] and (round(rows[4]["x"], 6), round(rows[4]["y"], 6)) == (10, -1)
+    assert dump.dump_rows("{}") == []
+    frame = spark.createDataFrame([("a", json.dumps({"OBJECTS": objects})), ("b", "{"), ("c", None)], "document_hash string, content string")
+    got = dump.dump_entities(frame).collect()
+    assert {(r.document_hash, r.confidence) for r in got if r.document_hash != "a"} == {("b", 0.0)} and sum(r.document_hash == "a" for r in got) == 5
+    (tmp_path / "x.json").write_text(json.dumps({"OBJECTS": objects}))
+    (tmp_path / "a.dxf").write_text(DXF)
+    (tmp_path / "n.txt").write_text("no drawing")
+    assert sorted(r.kind for r in entities.read_drawings(spark, str(tmp_path)).collect()) == sorted(["LINE", "TEXT", "LINE", "CIRCLE", "LINE", "INSERT", "ARC", "LINE", "ATTRIB"])
+    (gone,) = entities.read_drawings(spark, str(tmp_path / "none")).collect()
+    assert gone.confidence == 0.0 and gone.text.startswith("<missing")
+
+
+def test_wide_boxes_make_few_rows(spark):
+    p = spark.createDataFrame([("d", 1, 5e5, 5e5), ("d", 2, 1.0, 1.0), ("d", 3, -1.0, 0.0)], "doc string, seq int, x double, y double")
+    b = spark.createDataFrame([("d", 1, 0.0, 0.0, 1e6, 1e6), ("d", 2, 0.0, 0.0, 2.0, 2.0), ("d", 3, 0.0, 0.0, 0.0, 0.0)], "doc string, box int, b_x double, b_y double, b_w double, b_h double")
+    assert sorted((r.seq, r.box) for r in spatial.points_in_boxes(p, b).collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_relations(spark):
+    nodes = [("d", "r", None, "r", 0, "CABINET", 0.0, 0.0, 100.0, 100.0), ("d", "a", "r", "r", 1, "DEVICE", 0.0, 0.0, 10.0, 10.0), ("d", "b", "r", "r", 2, "DEVICE", 2.0, 30.0, 10.0, 10.0), ("d", "c", "r", "r", 3, "DEVICE", 50.0, 2.0, 10.0, 10.0)]
+    df = spark.createDataFrame(nodes, "document_hash string, node_id string, parent_id string, root_id string, ord int, type string, x double, y double, w double, h double")
+    got = sorted((r.source, r.target, r.relation, r.distance) for r in spatial.tree_relations(df).collect())
+    want = [("a", "b", "ALIGNED_VERT", 20.0), ("a", "b", "BELOW", 20.0), ("a", "c", "ALIGNED_HORZ", 40.0), ("a", "c", "LEFT_OF", 40.0), ("r", "a", "CONTAINS", 0.0), ("r", "b", "CONTAINS", 0.0), ("r", "c", "CONTAINS", 0.0)]
+    assert got == want
+    assert spatial.device_relations(df, most=2).collect() == []
+    assert [(r.source, r.relation) for r in spatial.reversed_relations(spatial.directional_relations(df)).orderBy("source").collect()] == [("b", "ABOVE"), ("c", "RIGHT_OF")]
+    assert {r.node_id for r in spatial.nodes_meeting(df, 5, 5, 10, 10).collect()} == {"r", "a"} and {r.node_id for r in spatial.nodes_near(df, 5, 5, 1).collect()} == {"a"}
+
+
+def test_scan_keeps_errors_apart(spark):
+    from inklattice.operators import scan
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "document_hash string, v int")
+    first = lambda t: {"one": t["entities"].selectExpr("document_hash", "v", "IF(v = 2, 'bad', NULL) AS error")}
+    second = lambda t: {"two": t["entities"].selectExpr("document_hash", "v * 10 AS v")}
+    got = scan.run_steps({"entities": df}, [first, second])
+    assert [tuple(r) for r in got["errors"].collect()] == [("b", "one", "bad")] and [tuple(r) for r in got["two"].collect()] == [("a", 10)] and got["one"].columns == ["document_hash", "v"]
+    assert [s[0] for s in scan.chosen_stages("tesseract", "1,3")] == ["chieng_tess", "chisim_tess"]
