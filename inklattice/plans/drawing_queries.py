@@ -70,9 +70,12 @@ _E = f"""WITH {S.POINTS_SQL}, {S.BOXES_SQL}, f AS (SELECT doc, min(b_x) AS x, mi
   e AS (SELECT doc, count(*) + 2 AS lines FROM boxes GROUP BY doc), t AS (SELECT doc, count(*) FILTER (seq % 50 <> 0) AS text, count(*) FILTER (seq % 50 = 0) AS attr FROM points GROUP BY doc)"""
 _C = "c AS (SELECT CAST(e.doc AS VARCHAR) AS document_hash, CAST(lines + text + attr AS DOUBLE) AS total, CAST(text AS DOUBLE) AS text, CAST(attr AS DOUBLE) AS attr, 0.0 AS block, 0.0 AS circ, 0.0 AS arc, CAST(lines AS DOUBLE) AS line, 0.0 AS h, 2.0 AS v, 0.0 AS eed FROM e JOIN t ON t.doc = e.doc)"
 ORACLE_SQL: dict[str, str] = {
-    "entity_counts": f"{_E}, {_C} SELECT * FROM c",
+    "entity_counts": S.as_doubles(f"{_E}, {_C} SELECT * FROM c", "block", "circ", "arc", "h", "v", "eed"),
     "entity_extents": f"{_E}, b AS (SELECT boxes.doc, min(b_x) AS x, min(b_y) AS y, max(b_x + b_w) AS x2, greatest(max(b_y + b_h), any_value(greatest(f.y2, f.y + 1.6 * (f.x2 - f.x)))) AS y2 FROM boxes JOIN f ON f.doc = boxes.doc GROUP BY boxes.doc) SELECT CAST(doc AS VARCHAR) AS doc, x, y, x2 - x AS w, y2 - y AS h FROM b",
-    "geometry_signature": f"""{_E}, {_C}, r AS (SELECT document_hash, total, text, attr, line, attr / line AS pa, line / total AS pl, text / total AS pt FROM c)
+    "geometry_signature": S.as_doubles(
+        f"""{_E}, {_C}, r AS (SELECT document_hash, total, text, attr, line, attr / line AS pa, line / total AS pl, text / total AS pt FROM c)
       SELECT document_hash, 0.0 AS circuit_loop, 0.0 AS terminal_strip, CASE WHEN total >= 20 AND pt > 0.85 AND pl < 0.05 THEN pt ELSE 0.0 END AS cable_schedule, 0.0 AS protection_diagram, 0.0 AS panel_layout, 0.0 AS panel_position, 0.0 AS monitoring_system,
       CASE WHEN total < 30 AND text > 5 THEN 0.5 + 0.5 * (1 - least(total / 30, 1.0)) ELSE 0.0 END AS unknown FROM r""",
+        "circuit_loop", "terminal_strip", "cable_schedule", "protection_diagram", "panel_layout", "panel_position", "monitoring_system", "unknown",
+    ),
 }

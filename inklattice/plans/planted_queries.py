@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inklattice.operators import drawing, positions, spatial, tables, topology
 from inklattice.operators.grouped import per_document
 from inklattice.plans import planted as P
+from inklattice.plans.stand_ins import as_doubles
 from inklattice.sources import dump
 
 
@@ -104,17 +105,17 @@ ORACLE_SQL = {
     "strip_topology": P.STRIPS_SQL,
     "loop_topology": P.LOOPS_SQL,
     "loop_cable_types": "SELECT DISTINCT 'OR-' || o_orderkey AS cable_id, 'L' || o_custkey AS document_hash, 'T' || (o_orderkey % 7) AS wire_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
-    "cabinet_regions": P.REGIONS_SQL,
-    "cabinet_region_terminals": P.TERMINALS_SQL,
+    "cabinet_regions": as_doubles(P.REGIONS_SQL, "x", "y", "w", "h"),
+    "cabinet_region_terminals": as_doubles(P.TERMINALS_SQL, "x", "y"),
     "classed_topology": f"WITH {P.CONDUCTORS_SQL} SELECT source_type, cable_id, count(*) AS n, count(t) AS ended, 0 AS errors FROM (SELECT 'terminal_strip' AS source_type, 'OR-' || ok AS cable_id, 1 AS t FROM k WHERE ln <> 7 UNION ALL SELECT 'circuit_loop', 'OR-' || ok, CASE WHEN ln % 4 <> 0 THEN 1 END FROM k UNION ALL SELECT 'cable_schedule', 'OR-' || o_orderkey, NULL FROM orders) GROUP BY 1, 2",
     "schedule_topology": P.SCHEDULES_SQL,
-    "layout_nodes": P.LAYOUTS_SQL,
-    "group_semantics": "SELECT 'P' || p_partkey AS document_hash, 'TERMINAL_COLUMN' AS semantic, 0.6 AS confidence FROM part",
-    "layout_relations": P.RELATIONS_SQL,
+    "layout_nodes": as_doubles(P.LAYOUTS_SQL, "x", "y", "w", "h"),
+    "group_semantics": "SELECT 'P' || p_partkey AS document_hash, 'TERMINAL_COLUMN' AS semantic, CAST(0.6 AS DOUBLE) AS confidence FROM part",
+    "layout_relations": as_doubles(P.RELATIONS_SQL, "distance"),
     "physical_cabinets": P.PHYSICAL_SQL,
     "equipment_rows": P.EQUIPMENT_SQL,
-    "position_plan": P.PLANS_SQL,
+    "position_plan": as_doubles(P.PLANS_SQL, "x", "y"),
     "usage_table": P.USAGE_SQL,
     "material_table": P.MATERIALS_SQL,
-    "dump_entities": P.DUMPS_SQL,
+    "dump_entities": as_doubles(P.DUMPS_SQL, "x", "y", "confidence"),
 }
