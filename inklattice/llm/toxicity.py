@@ -5,13 +5,16 @@ it apart (few segments of words that cover what recurs in toxic training texts a
 ones).  A text is cut into windows of about 48 bytes.  Each window is compressed with the ordinary dictionary
 alone and with the toxic one before it; the bytes saved by the second say how toxic the window is.  A logistic
 curve fitted on other labelled texts turns the savings of a document's windows into a score from 0 to 1.
+(Dictionaries trained apart on whole toxic and whole ordinary texts differ by chance more than by toxic words: see the README.)
 
-Fitting reads a bounded sample (``FIT_TOXIC`` and ``FIT_ORDINARY`` texts for the dictionaries,
-``CURVE_TOXIC`` and ``CURVE_ORDINARY`` for the curve); scoring reads every window of every text.
+Fitting reads a bounded sample of whole labelled texts: ``FIT_TOXIC`` and ``FIT_ORDINARY`` for the dictionaries,
+``CURVE_TOXIC`` and ``CURVE_ORDINARY`` for the curve, by a hash of their ids, of each of the four as many as have
+``SAMPLE_BYTES`` together.  Scoring reads every window of every text.
 
 Nulls: a null text is an empty text; empty texts get the curve's value for no savings.  Without labelled
 texts of both classes every score is 0.0.  Null labels are not learnt from.  Repeated rows are scored alike;
-rows with a null id are scored too but never learnt from.  Other columns are ignored.
+rows with a null id are scored too, as held out, and never learnt from.  Of an id with several texts one is learnt from
+(the least by hash).  Bytes that are not UTF-8 are read as they are.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIT_TOXIC, FIT_ORDINARY = 1000, 2000
 CURVE_TOXIC, CURVE_ORDINARY = 600, 1200
+SAMPLE_BYTES = 16_000_000
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 4
 GRAM = 5
 #: A gram sets toxic text apart if contexts as many as this share of the toxic texts hold it, at this many times the ordinary rate.
@@ -39,9 +44,10 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def normal(text: str | None) -> bytes:
+def normal(text: str | bytes | None) -> bytes:
     """A-Z folded, white space as single spaces, one at either end."""
-    return b" " + b" ".join((text or "").encode().lower().split()) + b" "
+    data = text.encode() if isinstance(text, str) else text or b""
+    return b" " + b" ".join(data.lower().split()) + b" "
 
 
 def windows(data: bytes, size: int = WINDOW) -> Iterator[bytes]:
@@ -68,7 +74,7 @@ def _gram_counts(texts: list[bytes]) -> tuple[Counter, Counter]:
     words = Counter({w: times[k] for w, k in ids.items() if times[k]})
     grams: Counter = Counter()
     for word, n in words.items():
-        shown = b" " + word[:200] + b" "
+        shown = b" " + word + b" "
         for g in {shown[i : i + GRAM] for i in range(len(shown) - GRAM + 1)}:
             grams[g] += n
     return words, grams
@@ -77,7 +83,7 @@ def _gram_counts(texts: list[bytes]) -> tuple[Counter, Counter]:
 def _segments(words: Counter, apart: set[bytes], support: int) -> list[bytes]:
     """Few segments that cover the marked words: again and again the gram in most uncovered words (weighed by texts),
     widened while over half of that weight has the same next byte."""
-    left = {b" " + w[:200] + b" ": n for w, n in words.items()}
+    left = {b" " + w + b" ": n for w, n in words.items()}
     holders: dict[bytes, set[bytes]] = {g: set() for g in apart}
     for shown in left:
         for i in range(len(shown) - GRAM + 1):
@@ -129,7 +135,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     segments = _segments(words, apart, support)
     samples = [b"".join(x for x in segments for _ in range(text.count(x))) for text in toxic]
     samples = [s for s in samples if len(s) >= 8]
-    return _trained(samples, TOXIC_BYTES, 16), _trained([text[i : i + 4000] for text in ordinary[:1500] for i in range(0, min(len(text), 40_000), 4000)], ORDINARY_BYTES, 64)
+    return _trained(samples, TOXIC_BYTES, 16), _trained([text[i : i + 4000] for text in ordinary for i in range(0, len(text), 4000)], ORDINARY_BYTES, 64)
 
 
 class Scorer:
@@ -154,7 +160,7 @@ class Scorer:
         made.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=made, compression_params=how)
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | bytes | None) -> list[float]:
         plain, marked = self.plain.compress, self.marked.compress
         saved = np.array([len(plain(w)) - len(marked(w)) for w in windows(normal(text))], float)
         if not len(saved):
@@ -190,8 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for curve, y, most in ((False, 1, FIT_TOXIC), (False, 0, FIT_ORDINARY), (True, 1, CURVE_TOXIC), (True, 0, CURVE_ORDINARY)):
         part = parts.filter((F.col("curve") == curve) & (F.col("y") == y)).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")  # at most the sum of the four bounds
-    sample = sorted((r.id, r.curve, r.y, r.text) for r in texts.select("id", "curve", "y", "text").dropDuplicates(["id"]).collect())
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").withColumn("key", F.xxhash64("text"))
+    # At most the sum of the four bounds: first the texts' sizes, then those that fit together.
+    sizes = own.select("id", "key", F.octet_length("text").cast("long").alias("size")).join(F.broadcast(chosen), "id")
+    sizes = sizes.groupBy("id", "curve", "y").agg(F.min(F.struct("key", "size")).alias("t")).select("id", "curve", "y", "t.key", "t.size")
+    so_far = F.sum("size").over(Window.partitionBy("curve", "y").orderBy(F.xxhash64("id"), "id"))
+    fitting = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).select("id", "key", "curve", "y")
+    texts = own.join(F.broadcast(fitting), ["id", "key"]).select("id", "curve", "y", F.col("text").cast("binary").alias("text"))
+    sample = sorted({(r.id, r.curve, r.y, bytes(r.text)) for r in texts.collect()})
     toxic = [normal(t) for _, curve, y, t in sample if not curve and y == 1]
     ordinary = [normal(t) for _, curve, y, t in sample if not curve and y == 0]
     if not toxic or not ordinary:
@@ -214,11 +226,11 @@ def score(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_c
             if scorer is None:
                 values = np.zeros(batch.num_rows)
             else:
-                rows = [scorer.features(t.as_py()) for t in batch.column(1)]
+                rows = [scorer.features(t.as_py()) for t in batch.column(1).cast(pa.binary())]
                 values = scorer.scores(np.array(rows).reshape(len(rows), -1)) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype("int32"))], [id_col, "held_out", "score", "predicted"])
 
-    ready = docs.select(id_col, text_col, (fold(id_col) == HELD_OUT).alias("held_out"))
+    ready = docs.select(id_col, text_col, F.coalesce(fold(id_col) == HELD_OUT, F.lit(True)).alias("held_out"))
     return ready.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
@@ -231,8 +243,6 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     @F.pandas_udf("boolean")
     def ordinary(texts):
         rows = np.array([scorer.features(t) for t in texts]).reshape(len(texts), -1)
-        import pandas as pd
-
         return pd.Series(scorer.scores(rows) < 0.5) if len(texts) else pd.Series([], dtype=bool)
 
-    return docs.filter(ordinary(F.col(text_col)))
+    return docs.filter(ordinary(F.col(text_col).cast("binary")))

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from inklattice.llm import toxicity
 
 
@@ -42,3 +44,33 @@ def test_windows_cover_the_text():
         data = toxicity.normal(text)
         parts = list(toxicity.windows(data))
         assert b"".join(p[:-1] for p in parts) + data[-1:] == data
+
+
+def test_scores_equal_the_scorer_alone(spark, prose):
+    """Each row's score is that of its windows compressed one by one; one id with two texts has a score for each."""
+    docs, labels, _ = tables(spark, prose, 300)
+    scorer = toxicity.train(docs, labels)
+    extra = spark.createDataFrame([(5, "zounder quorx smeltpig blimbag " * 5, 1), (None, "zounder", 1)], docs.schema)
+    for r, text in ((r, t) for t in ("zounder quorx smeltpig blimbag " * 5,) for r in toxicity.score(extra, scorer).collect() if r.doc_id == 5):
+        saved = [len(scorer.plain.compress(w)) - len(scorer.marked.compress(w)) for w in toxicity.windows(toxicity.normal(text))]
+        assert scorer.features(text)[0] == sum(saved) / len(saved) > 0 and scorer.features(text)[2] == max(saved)
+        assert abs(r.score - scorer.scores(np.array([scorer.features(text)]))[0]) < 1e-12
+    assert {r.held_out for r in toxicity.score(extra, scorer).collect() if r.doc_id is None} == {True}
+    both = docs.unionByName(extra)
+    assert sorted(r.score for r in toxicity.score(both, scorer).collect() if r.doc_id == 5)[1] == max(r.score for r in toxicity.score(extra, scorer).collect() if r.doc_id == 5)
+
+
+def test_sample_is_bounded_in_bytes(spark, prose, monkeypatch):
+    docs, labels, _ = tables(spark, prose)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1)
+    assert toxicity.train(docs, labels) is None
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    assert toxicity.train(docs, labels) is not None
+
+
+def test_bytes_that_are_not_utf8(spark, prose):
+    docs, labels, _ = tables(spark, prose, 200)
+    odd = spark.range(1).selectExpr("77 AS doc_id", "CAST(X'61FF62' AS STRING) AS text", "1 AS score")
+    scorer = toxicity.train(docs.unionByName(odd.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "score")), labels)
+    (r,) = toxicity.score(odd, scorer).collect()
+    assert 0 <= r.score <= 1
