@@ -121,3 +121,46 @@ def page_text(rows: Column) -> Column:
     """Rows (arrays of cells) as lines of tab-joined cells, nulls as '', without empty rows."""
     lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), "\t"))
     return F.array_join(F.filter(lines, lambda x: strip(x) != ""), "\n")
+
+
+# What lines of code hold, and the encodings that are tried in turn.
+CODE_MARKS = ["import ", "def ", "class ", "function ", "{", "}", ";", "//", "/*", "*/", "#include"]
+ENCODINGS = ["UTF-8", "GBK", "GB2312", "UTF-16", "ISO-8859-1"]
+
+
+def paragraphs(text: Column) -> Column:
+    """Runs of lines without a blank one, line ends kept inside; fewer than three of over ten lines stay one text."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r+$", ""))
+    blank = lambda x: x.rlike(r"(?U)^\s*$")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ended = blank(x)
+        done = F.when(ended & acc.open.isNotNull(), F.concat(acc.done, F.array(acc.open))).otherwise(acc.done)
+        return F.struct(done.alias("done"), F.when(ended, F.lit(None).cast("string")).otherwise(F.when(acc.open.isNull(), x).otherwise(F.concat(acc.open, F.lit("\n"), x))).alias("open"))
+
+    made = F.aggregate(lines, start, step, lambda acc: F.when(acc.open.isNull(), acc.done).otherwise(F.concat(acc.done, F.array(acc.open))))
+    return F.when((F.size(made) < 3) & (F.size(lines) > 10), F.array(text)).otherwise(made)
+
+
+def code_like(text: Column) -> Column:
+    """Three or more of the first twenty lines hold a mark of code."""
+
+    def marked(line: Column) -> Column:
+        out = F.lit(False)
+        for m in CODE_MARKS:
+            out = out | line.contains(m)
+        return out
+
+    return F.size(F.filter(F.slice(F.split(text, "\n"), 1, 20), marked)) >= 3
+
+
+def is_real_text(c: Column) -> Column:
+    """Texts that are no error marks, which begin with ``<``."""
+    return ~c.startswith("<")
+
+
+def whole_contains(text: Column, target: str, ignore_case: bool = False, normalize: bool = True) -> Column:
+    """A target somewhere in a text, both with white space collapsed unless that is switched off."""
+    t, q = (collapsed(text), " ".join(target.split())) if normalize else (text, target)
+    return F.lower(t).contains(q.lower()) if ignore_case else t.contains(q)

@@ -189,3 +189,25 @@ def classify_documents(entities: DataFrame) -> DataFrame:
     keyword = every.select("document_hash").join(words, "document_hash", "left").na.fill(0.0)
     points = texts.filter("x IS NOT NULL AND y IS NOT NULL AND trim(coalesce(text, '')) <> ''")
     return combine(keyword, geometry_scores(every), position_scores(points), marks=text_marks(texts))
+
+
+# Words of paths and of texts that name a class, in order.
+PATH_WORDS, TEXT_WORDS = [("端子排", "terminal_strip"), ("回路图", "circuit_loop")], [("端子排图", "terminal_strip"), ("回路图", "circuit_loop")]
+
+
+def class_by_name(paths: DataFrame, texts: DataFrame, key: str = "document_hash") -> DataFrame:
+    """The class that a path names, else that of the first text that names one, else unknown.  paths: key, path; texts: key, seq, text."""
+
+    def named(c: Column, words: list[tuple[str, str]]) -> Column:
+        out = F.lit(None).cast("string")
+        for word, kind in reversed(words):
+            out = F.when(F.lower(c).contains(word), F.lit(kind)).otherwise(out)
+        return out
+
+    first = texts.select(key, "seq", named(F.col("text"), TEXT_WORDS).alias("kind")).filter("kind IS NOT NULL").groupBy(key).agg(F.min_by("kind", "seq").alias("by_text"))
+    return paths.join(first, key, "left").select(key, F.coalesce(named(F.col("path"), PATH_WORDS), "by_text", F.lit("unknown")).alias("kind"))
+
+
+def classification_json(classes: DataFrame, key: str = "document_hash") -> DataFrame:
+    """Classes as JSON: primary, confidence, secondary, signals."""
+    return classes.select(key, F.to_json(F.struct("primary", F.round("confidence", 4).alias("confidence"), "secondary", "signals")).alias("json"))

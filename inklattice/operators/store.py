@@ -261,3 +261,13 @@ def cabinets_with_terminals(cabinets: DataFrame, terminals: DataFrame) -> DataFr
 
 def ranked(by: list[Column], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
+def stamped(rows: DataFrame, name: str = "updated_at") -> DataFrame:
+    """Rows with the time of the statement, as text; the same for all of them."""
+    return rows.withColumn(name, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+
+
+def epoch_seconds(c: Column) -> Column:
+    """A timestamp as seconds since 1970, with fractions."""
+    return F.unix_micros(c) / 1e6

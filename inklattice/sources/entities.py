@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inklattice import schema
 from inklattice.functions.text import strip
+from inklattice.sources.dxf import dxf_entities, gbk_escapes
 
 LOADED = (".dwg", ".dxf", ".pdf", ".json", ".parquet")
 
@@ -41,15 +42,7 @@ def decode_mplus(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        import re
-
-        def one(m):
-            try:
-                return bytes.fromhex(m[1]).decode("gbk")
-            except (UnicodeDecodeError, ValueError):
-                return m[0]
-
-        return values.map(lambda v: v if v is None else re.sub(r"\\M\+5([0-9A-Fa-f]{4})", one, v))
+        return values.map(lambda v: v if v is None else gbk_escapes(v))
 
     return run(c)
 
@@ -59,59 +52,7 @@ def eed_values(c: Column) -> Column:
     return F.transform(F.filter(c, lambda v: v.value.isNotNull()), lambda v: v.value)
 
 
-# Group codes of ASCII DXF.
-_COORDS = {"10": "x", "20": "y", "40": "radius", "50": "rotation", "51": "end_angle", "8": "layer", "5": "handle", "6": "ltype", "1": "text", "2": "name", "70": "flags", "11": "x2", "21": "y2", "41": "scale_x", "42": "scale_y"}
-
-
-def dxf_entities(text: str, document: str) -> list[dict]:
-    """Entities of the ENTITIES section of an ASCII DXF text; kinds beyond lines, circles, arcs, texts and inserts are left out."""
-    lines = [x.strip() for x in text.splitlines()]
-    pairs = list(zip(lines[::2], lines[1::2], strict=False))
-    out: list[dict] = []
-    inside, current, points = False, None, []
-
-    def close() -> None:
-        if current is None:
-            return
-        kind = current.pop("type")
-        num = lambda k: float(current[k]) if current.get(k) not in (None, "") else None
-        row = {"document_hash": document, "seq": len(out), "entity_id": current.get("handle") or f"dxf_{len(out)}", "handle": current.get("handle"), "source": "dxf", "layer": current.get("layer", ""), "page": 1, "confidence": 1.0, "ltype": current.get("ltype")}
-        if kind == "LINE" and num("x2") is not None:
-            row |= {"kind": "LINE", "points": [{"x": num("x"), "y": num("y")}, {"x": num("x2"), "y": num("y2")}], "closed": False}
-        elif kind == "LWPOLYLINE":
-            row |= {"kind": "LINE", "points": [{"x": float(a), "y": float(b)} for a, b in points], "closed": bool(int(current.get("flags") or 0) & 1)}
-        elif kind in ("CIRCLE", "ARC"):
-            row |= {"kind": kind, "cx": num("x"), "cy": num("y"), "radius": num("radius"), "start_angle": num("rotation"), "end_angle": num("end_angle")}
-        elif kind in ("TEXT", "MTEXT"):
-            row |= {"kind": "TEXT", "x": num("x"), "y": num("y"), "text": current.get("text", "")}
-        elif kind == "ATTRIB":
-            row |= {"kind": "ATTRIB", "x": num("x"), "y": num("y"), "text": current.get("text", ""), "tag": current.get("name", "")}
-        elif kind == "INSERT":
-            row |= {"kind": "INSERT", "block_name": current.get("name"), "ins_x": num("x"), "ins_y": num("y"), "rotation": num("rotation") or 0.0, "scale_x": num("scale_x") or 1.0, "scale_y": num("scale_y") or 1.0}
-        else:
-            return
-        out.append(row)
-
-    for code, value in pairs:
-        if code == "0":
-            close()
-            current, points = ({"type": value} if inside and value not in ("ENDSEC", "EOF") else None), []
-            if value == "ENDSEC":
-                inside = False
-        elif code == "2" and current is None and value == "ENTITIES":
-            inside = True
-        elif current is not None and code in _COORDS:
-            if current["type"] == "LWPOLYLINE" and code == "10":
-                points.append([value, "0"])
-            elif current["type"] == "LWPOLYLINE" and code == "20" and points:
-                points[-1][1] = value
-            else:
-                current.setdefault(_COORDS[code], value)
-    close()
-    return out
-
-
-def read_dxf(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def read_dxf(spark: SparkSession, path: str, pattern: str = "*", full: bool = True) -> DataFrame:
     """Entities of ASCII DXF files, keyed by content hash.  A file that cannot be read gives one text of confidence 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("content")
     from pyspark.sql.types import _parse_datatype_string
@@ -125,7 +66,7 @@ def read_dxf(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             for content in batch["content"]:
                 key = hashlib.sha256(content).hexdigest()
                 try:
-                    rows = dxf_entities(content.decode("utf-8", "replace"), key)
+                    rows = dxf_entities(content.decode("utf-8", "replace"), key, full)
                 except Exception as error:  # one bad file must not stop the job
                     rows = [{"document_hash": key, "seq": 0, "entity_id": "error", "kind": "TEXT", "text": f"<{error}>", "confidence": 0.0}]
                 if rows:

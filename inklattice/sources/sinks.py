@@ -86,3 +86,17 @@ def text_files(rows: DataFrame, per_file: bool = True) -> DataFrame:
     if per_file:
         return own
     return own.agg(F.lit("combined.txt").alias("target"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "text"))), lambda s: s.text), "\n").alias("text"))
+
+
+def organize_manifest(files: DataFrame, target: str, output: str, root: str = "", mirror: bool = False, ignore_case: bool = False, normalize: bool = True) -> DataFrame:
+    """(path, target): where the files whose text holds a target go; names that clash get ``_n``, files below the output are left out.
+
+    files: path, text.  ``mirror`` keeps the folders below ``root``.
+    """
+    from inklattice.functions.text import whole_contains
+
+    out = output.rstrip("/")
+    own = files.filter(~(F.col("path").startswith(out + "/") | (F.col("path") == out)) & whole_contains(F.coalesce("text", F.lit("")), target, ignore_case, normalize))
+    inner = F.expr(f"replace(path, '{root.rstrip('/')}/', '')") if mirror else F.element_at(F.split("path", "/"), -1)
+    named = unique_targets(own.select("path", inner.alias("name")))
+    return named.select("path", F.concat(F.lit(out + "/"), "target").alias("target"))

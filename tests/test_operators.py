@@ -72,6 +72,28 @@ def test_dxf(spark, tmp_path):
     assert [r.suffix for r in entities.discover(spark, str(tmp_path)).collect()] == [".dxf"]
 
 
+RICH = [
+    (0, "SECTION"), (2, "TABLES"), (0, "TABLE"), (2, "LAYER"), (0, "LAYER"), (2, "W"), (6, "HIDDEN"), (0, "ENDTAB"), (0, "ENDSEC"),
+    (0, "SECTION"), (2, "BLOCKS"), (0, "BLOCK"), (2, "b"), (10, 1), (20, 0), (0, "LINE"), (8, "W"), (10, 1), (20, 0), (11, 3), (21, 0), (0, "CIRCLE"), (10, 2), (20, 0), (40, 1), (0, "ATTDEF"), (1, "x"), (0, "ENDBLK"), (0, "ENDSEC"),
+    (0, "SECTION"), (2, "ENTITIES"), (0, "LINE"), (5, "A"), (8, "W"), (10, 0), (20, 0), (11, 5), (21, 0), (1001, "Cable"), (1000, "C-1"), (1001, "Other"), (1000, "no"),
+    (0, "MTEXT"), (10, 1), (20, 1), (3, "{\\\\fArial|b0;up"), (1, "per}\\\\Plow \\\\M+5B9F1"), (0, "INSERT"), (5, "I"), (8, "W"), (2, "b"), (10, 10), (20, 0), (41, 2), (42, 2), (50, 90), (66, 1), (0, "ATTRIB"), (2, "NO"), (1, "X:1"), (10, 11), (20, 2), (0, "ATTRIB"), (2, "E"), (1, " "), (0, "SEQEND"),
+    (0, "ARC"), (10, 0), (20, 0), (40, 3), (50, 0), (51, 90), (0, "ENDSEC"), (0, "EOF"),
+]
+
+
+def test_rich_dxf():
+    from inklattice.sources.dxf import dxf_entities
+
+    text = "\n".join(f"{c}\n{v}" for c, v in RICH).replace("\\\\", "\\")
+    rows = dxf_entities(text, "d")
+    assert [r["kind"] for r in rows] == ["LINE", "TEXT", "ATTRIB", "LINE", "CIRCLE", "INSERT", "ARC"]
+    assert rows[0]["ltype"] == "HIDDEN" and rows[0]["eed"] == ["C-1"] and rows[1]["text"] == "upper\nlow 柜"
+    assert rows[2]["entity_id"] == "I__NO" and [(round(p["x"], 6), round(p["y"], 6)) for p in rows[3]["points"]] == [(10, 0), (10, 4)] and rows[3]["ltype"] == "HIDDEN"
+    assert (round(rows[4]["cx"], 6), round(rows[4]["cy"], 6), rows[4]["radius"]) == (10, 2, 2.0) and rows[5]["rotation"] == 90.0
+    plain = dxf_entities(text, "d", full=False)
+    assert [r["kind"] for r in plain] == ["LINE", "TEXT", "ATTRIB", "INSERT"] and "ltype" not in plain[0]
+
+
 def test_blocks(spark):
     ins = spark.createDataFrame([("d", 1, "b", 10.0, 0.0, 90.0, 2.0, 2.0)], "document_hash string, seq int, block_name string, ins_x double, ins_y double, rotation double, scale_x double, scale_y double")
     mem = spark.createDataFrame([("b", "TEXT", 1.0, 0.0, "t", None, 0.0, 0.0), ("b", "INSERT", 0.0, 0.0, None, "in", 0.0, 0.0), ("in", "TEXT", 0.0, 1.0, "u", None, 0.0, 0.0)], "block_name string, kind string, mx double, my double, text string, child string, base_x double, base_y double")
