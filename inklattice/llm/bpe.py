@@ -5,7 +5,8 @@ recur.  Texts are cut by the public pattern, each match is encoded on its own, a
 strings in a text are ordinary text.  Decoding maps ids to byte strings through the reversed
 byte-to-character table and joins bytes before reading UTF-8, so characters split over tokens are whole.
 
-Nulls: a null text is an empty text (0 tokens, the digests of nothing).  Empty tables give empty
+Nulls: a null text is an empty text (0 tokens, the digests of nothing).  Bytes that are not UTF-8 are encoded byte by
+byte as characters that are neither letters, numbers nor spaces, and come back unchanged.  Empty tables give empty
 results; repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -91,6 +92,11 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     return made.to_str()
 
 
+def read_text(data: bytes) -> str:
+    """A text from its bytes; those that are not UTF-8 become lone surrogates, which stand for themselves."""
+    return data.decode("utf-8", "surrogateescape")
+
+
 class Codec:
     """Encodes and decodes whole texts.  Built from ``tokenizer_json`` in each Python worker."""
 
@@ -109,7 +115,7 @@ class Codec:
         self.cache: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.to_chars)
+        shown = piece.encode("utf-8", "surrogateescape").decode("latin-1").translate(self.to_chars)
         ids = np.fromiter((t.id for t in self.model.tokenize(shown)), "<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_PIECES:
@@ -127,7 +133,7 @@ class Codec:
 
     def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first character, character after the last) of each token; tokens inside one character share its span."""
-        data = text.encode()
+        data = text.encode("utf-8", "surrogateescape")
         starts = [i for i, b in enumerate(data) if b & 0xC0 != 0x80]
         char_at = np.searchsorted(starts, np.arange(len(data)), "right") - 1
         out, at = [], 0
@@ -173,8 +179,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         codec = get()
         for batch in batches:
             counts, digests, decoded, ids = [], [], [], []
-            for text in batch.column(1):
-                data = codec.encode_bytes(text.as_py() or "")
+            for text in batch.column(1).cast(pa.binary()):
+                data = codec.encode_bytes(read_text(text.as_py() or b""))
                 counts.append(len(data) // 4)
                 digests.append(hashlib.sha256(data).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode_bytes(data)).hexdigest())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inklattice.llm import ann, bpe, decontam, html_extract, license_scan, line_dedup, lm_score, near_dedup, sql, toxicity, url_filter
 
@@ -29,6 +30,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can say: host, path and rule of every url, and the verdicts of rules."""
+    out = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "url_rules": url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,4 +77,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": license_scan.oracle_sql(),
     "op8_near_dedup": sql.NEAR_DEDUP,
     "op10_decontamination": decontam.ORACLE_SQL,
+    "url_rules": url_filter.RULES_SQL,
 }

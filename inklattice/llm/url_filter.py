@@ -32,7 +32,9 @@ ITERATIONS = 8
 #: Largest change of a host's mass in a round, as a share of that mass, at which the walk has settled.
 TOLERANCE = 1e-9
 RATIO = 1.0
-#: Rows up to which the table of judged hosts is sent to all executors.
+#: Links of one host that one task joins.
+HUB = 100_000
+#: Rows up to which the table of judged hosts, or that of hosts with many links, is sent to all executors.
 BROADCAST_ROWS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,25 +66,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, mass) by personalised PageRank along ``edges`` from ``seeds`` (host); masses sum to one at most.
+    """(host, mass) by personalised PageRank along ``edges`` from ``seeds`` (host); masses sum to one.
 
     Runs blocks of ``iterations`` rounds until a block's last round reaches no new host and changes no mass by more
-    than ``TOLERANCE`` of it.  A hot source or target is pre-aggregated before each shuffle.  Every second round and
-    the last of a block are written to the shared folder.
+    than ``TOLERANCE`` of it.  A hot target is pre-aggregated before each shuffle; the links of a source with many are
+    dealt to parts of ``HUB`` links, to each of which its mass goes.  Every second round and
+    the last of a block are written to the shared folder.  Mass that hosts without links hold goes back to the seeds,
+    which multiplies all masses alike and is made up for at the end.
     """
     if not 0 <= damping < 1 or iterations < 1:
         raise ValueError("damping must be in [0, 1) and iterations 1 or more")
     n = seeds.count()
     start = seeds.select("host", F.lit(1.0 / max(n, 1)).alias("jump"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "steps")
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    share = (F.col("weight") / F.col("total")).alias("p")
+    steps = materialize(edges.join(out, "src").select("src", "dst", share, F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part")), "steps")
+    hubs = materialize(out.filter("parts > 1").select(F.col("src").alias("host"), "parts"), "hubs")
+    n_hubs = hubs.count()
     mass = start.select("host", F.col("jump").alias("mass"))
     if n and not steps.isEmpty():
         kept, settled = None, False
         while not settled:
             for k in range(iterations):
                 before = mass
-                moved = steps.join(mass, steps.src == mass.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("mass") * F.col("p"))).alias("mass"))
+                held = mass.withColumn("part", F.lit(0))
+                if n_hubs:
+                    spread = mass.join(F.broadcast(hubs) if n_hubs <= BROADCAST_ROWS else hubs, "host", "left")
+                    held = spread.select("host", "mass", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+                moved = steps.join(held, (steps.src == held.host) & (steps.part == held.part)).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("mass") * F.col("p"))).alias("mass"))
                 mass = moved.union(start.select("host", ((1 - damping) * F.col("jump")).alias("mass"))).groupBy("host").agg(F.sum("mass").alias("mass"))
                 if k % 2 or k >= iterations - 2:
                     mass = materialize(mass, "mass")
@@ -94,7 +105,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
             settled = mass.join(old, "host", "left").filter(F.col("old").isNull() | (F.abs(F.col("mass") - F.col("old")) > TOLERANCE * F.col("mass"))).isEmpty()
             if last is not None:
                 discard(last)
-    return mass
+    total = mass.agg(F.sum("mass")).first()[0]
+    return mass.select("host", (F.col("mass") / F.lit(float(total or 1.0))).alias("mass"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, damping: float = DAMPING, iterations: int = ITERATIONS, ratio: float = RATIO) -> DataFrame:
@@ -117,3 +129,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     out = urls.join(scored, "host", "left").withColumn("trust", F.coalesce("trust", none)).withColumn("distrust", F.coalesce("distrust", none))
     spread = F.when((F.col("distrust") > 0) & (F.col("distrust") >= ratio * F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", spread).alias("verdict"), "trust", "distrust")
+
+
+RULES_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, v DESC) AS k FROM h JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT h.page_id, h.host, h.path, m.rule, m.v AS ruled FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
+"""

@@ -35,3 +35,35 @@ def test_rows_without_part_and_few_candidates(spark):
     df = spark.createDataFrame([(i, v, "b") for i, v in rows], "vec_id long, embedding array<float>, block string")
     assert answers(ann.neighbours(df)) == {q: v for q, v in brute(list(dict.fromkeys((i, tuple(v) if v is not None else None) for i, v in rows))).items() if v}
     assert ann.neighbours(df.limit(0)).collect() == []
+
+
+def test_offset_and_huge_vectors(spark):
+    r = np.random.default_rng(8)
+    for offset, scale in ((1e5, 1.0), (0.0, 1e25), (3e18, 1e13)):
+        x = (offset + scale * r.normal(size=(500, 16))).astype(np.float32)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got, want = answers(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))), brute_exact(rows)
+        assert all(len(got[q]) == 10 for q in want)
+        found = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+        assert found / (10 * len(want)) >= 0.95
+        assert all(abs(a - b) <= 1e-9 * b for q in want for (a, i), (b, j) in zip(got[q], want[q], strict=True) if i == j)
+
+
+def test_far_queries_and_doubles(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 8)))] + [(1000, [1e30] * 8), (2000, [1e200, -1e200] * 4), (3000, [1e-200] * 8)]
+    got, want = answers(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), brute_exact(rows, np.float64)
+    assert set(got) == set(want) and all(len(v) == 10 and all(np.isfinite(d) for d, _ in v) for v in got.values())
+
+
+def test_several_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(10)
+    rows = [(i * 100, v.tolist()) for i, v in enumerate(r.normal(size=(40, 8)).astype(np.float32))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert answers(ann.neighbours(frame, shard_rows=15)) == brute(rows)
+
+
+def brute_exact(rows, kind=np.float32, k=10):
+    x = [(i, np.array(v, kind).astype(np.longdouble)) for i, v in rows]
+    return {q: sorted((float(np.sqrt(((v - y) ** 2).sum())), i) for i, y in x if i != q)[:k] for q, v in x if q % 100 == 0}

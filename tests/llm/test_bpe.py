@@ -47,3 +47,14 @@ def test_split_characters():
     codec = bpe.Codec(bpe.tokenizer_json(ranks), public_tokenizers.PATTERN)
     ids = codec.encode("𒀀")
     assert len(ids) > 1 and codec.decode(ids[:1]) == own.decode(ids[:1])
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.range(2).selectExpr("id AS doc_id", "IF(id = 0, CAST(X'61FF62C328' AS STRING), 'ok') AS text")
+    row = next(r for r in bpe.encode_documents(docs, with_ids=True).collect() if r.doc_id == 0)
+    assert row.decoded_sha256 == hashlib.sha256(b"a\xffb\xc3(").hexdigest() and row.n_tokens == len(row.ids) >= 3
+
+
+def test_null_ids_stay(spark):
+    got = bpe.encode_documents(spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 2), ("None", 0), ("None", 2)]

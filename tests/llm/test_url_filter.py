@@ -50,6 +50,7 @@ def test_propagation(spark):
         for (a, b), w in edges.items():
             new[b] = new.get(b, 0) + url_filter.DAMPING * mass.get(a, 0) * w
         mass = new
+    mass = {h: m / sum(mass.values()) for h, m in mass.items()}
     assert abs(got[2].trust - mass["friend.com"]) < 1e-12 and abs(got[3].trust - mass["second.com"]) < 1e-12
 
 
@@ -60,7 +61,7 @@ def test_long_chains_are_followed_to_their_ends(spark):
     assert {r.verdict for r in got} == {"block"}
     for r in got:
         far = 20 - r.page_id
-        want = url_filter.DAMPING**far * (1 - url_filter.DAMPING)
+        want = url_filter.DAMPING**far * (1 - url_filter.DAMPING) / (1 - url_filter.DAMPING**21)
         assert abs(r.distrust - want) < 1e-12 * want
 
 
@@ -70,5 +71,36 @@ def test_cycles_converge(spark):
     assert abs(got["a"] - 2 / 3) < 1e-8 and abs(got["b"] - 1 / 3) < 1e-8
 
 
+def test_masses_equal_a_dense_solution(spark, monkeypatch):
+    """Trust and distrust on a random graph with hosts without links and a host with many."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(url_filter, "HUB", 4)
+    r = random.Random(4)
+    hosts = [f"h{k}.com" for k in range(25)] + ["a.net", "b.net", "x.org", "y.org"]
+    links = {(a, b): r.randint(1, 3) for a in hosts[:20] + ["x.org"] for b in r.sample(hosts, 3) if a != b}
+    links |= {("h3.com", b): 1 for b in hosts if b != "h3.com"}
+    rows = [(k, f"http://{h}/fr/", "".join(f'<a href="http://{b}/p">x</a>' * n for (a, b), n in links.items() if a == h)) for k, h in enumerate(hosts)]
+    got = {r.host: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    def solve(weights, seeds):
+        at = {h: k for k, h in enumerate(hosts)}
+        move, start = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+        for (a, b), n in weights.items():
+            move[at[b], at[a]] = n
+        out = move.sum(axis=0)
+        start[[at[h] for h in seeds]] = 1 / len(seeds)
+        move = np.where(out > 0, move / np.maximum(out, 1), start[:, None])  # hosts without links return to the seeds
+        return np.linalg.solve(np.eye(len(hosts)) - url_filter.DAMPING * move, (1 - url_filter.DAMPING) * start)
+
+    trust, distrust = solve(links, ["x.org", "y.org"]), solve({(b, a): n for (a, b), n in links.items()}, ["a.net", "b.net"])
+    for k, h in enumerate(hosts):
+        assert abs(got[h].trust - trust[k]) < 1e-7 and abs(got[h].distrust - distrust[k]) < 1e-7
+        if got[h].rule is None:
+            assert got[h].verdict == ("block" if distrust[k] > 0 and distrust[k] >= trust[k] else "allow")
+
+
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
