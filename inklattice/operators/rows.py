@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inklattice.operators.spatial import use_checkpoints
+
 
 def gap_statistics(items: DataFrame) -> DataFrame:
     """Per grp: gaps between neighbours in order of ``pos``: count, least, sample deviation, regular or not.
@@ -122,13 +124,29 @@ def cable_models(cables: DataFrame, texts: DataFrame, reach: float = 300.0) -> D
     named = t.withColumn("cable_id", F.explode(F.array_distinct(F.array("text", bare)))).withColumn("rank", (F.col("text") != F.col("cable_id")).cast("int"))
     met = named.join(cables.select("cable_id", "document_hash").distinct(), ["document_hash", "cable_id"])
     anchor = met.groupBy("document_hash", "cable_id").agg(F.min(F.struct("rank", "seq", "x", "y")).alias("a")).select("document_hash", "cable_id", F.col("a.seq").alias("aseq"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"))
-    # Bands of x of the reach's width are the key; a text is dealt to those that it can be below.
-    band = lambda c: F.floor(c / reach)
-    spread = t.withColumn("band", F.explode(F.sequence(band(F.col("x") - reach), band(F.col("x") + reach))))
-    below = anchor.withColumn("band", band(F.col("ax"))).join(spread, ["document_hash", "band"])
-    below = below.filter((F.col("seq") != F.col("aseq")) & (F.abs(F.col("x") - F.col("ax")) < reach) & (F.col("y") < F.col("ay")) & (F.col("text") != "") & (F.col("text") != F.col("cable_id")))
-    rank = F.row_number().over(Window.partitionBy("document_hash", "cable_id").orderBy(F.col("y").desc(), "seq"))
-    two = below.withColumn("k", rank).filter("k <= 2").withColumn("section", F.regexp_extract("text", CROSS_SECTION, 2))
+    use_checkpoints(texts.sparkSession)
+    anchor, shown = anchor.checkpoint(), t.filter("text <> ''")
+    low, high = shown.agg(F.min("y"), F.max("y")).first()
+    # Bands of x of the reach's width and of y of a height are the key; a text is dealt to those that it can be below.
+    # Labels without two texts within the height look farther, up to the drawing's whole height.
+    height, two = reach / 4, None
+    while True:
+        band, last = lambda c: F.floor(c / reach), low is None or height >= high - low
+        level = lambda c, h=height: F.floor(c / h)
+        spread = shown.withColumn("band", F.explode(F.sequence(band(F.col("x") - reach), band(F.col("x") + reach)))).withColumn("level", F.explode(F.array(level(F.col("y")), level(F.col("y")) + 1)))
+        below = anchor.withColumn("band", band(F.col("ax"))).withColumn("level", level(F.col("ay"))).join(spread, ["document_hash", "band", "level"])
+        near = (F.col("y") < F.col("ay")) & (F.col("ay") - F.col("y") <= height) & (F.abs(F.col("x") - F.col("ax")) < reach)
+        below = below.filter(near & (F.col("seq") != F.col("aseq")) & (F.col("text") != F.col("cable_id")))
+        whole = Window.partitionBy("document_hash", "cable_id")
+        ranked = below.withColumn("k", F.row_number().over(whole.orderBy(F.col("y").desc(), "seq"))).filter("k <= 2").withColumn("n", F.count("*").over(whole))
+        ranked = ranked.select("document_hash", "cable_id", "k", "n", "text").checkpoint()
+        own = ranked if last else ranked.filter("n = 2")
+        two = own if two is None else two.unionByName(own)
+        anchor = anchor.join(own.select("document_hash", "cable_id").distinct(), ["document_hash", "cable_id"], "left_anti").checkpoint()
+        if last or anchor.isEmpty():
+            break
+        height *= 16
+    two = two.withColumn("section", F.regexp_extract("text", CROSS_SECTION, 2))
     parts = two.groupBy("document_hash", "cable_id").agg(F.array_sort(F.collect_list(F.struct("k", "text", "section"))).alias("p"))
     first = F.get(F.filter("p", lambda p: p.section != ""), F.lit(0))
     return parts.select("cable_id", "document_hash", F.array_join(F.transform("p", lambda p: p.text), " ").alias("model"), F.coalesce(first.section, F.lit("")).alias("cross_section"))

@@ -59,7 +59,8 @@ def group_semantics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layout_relations(spark: SparkSession, d: str) -> DataFrame:
-    nodes = drawing.scan_layout(P.layouts(spark, d))
+    spatial.use_checkpoints(spark)
+    nodes = drawing.scan_layout(P.layouts(spark, d)).checkpoint()
     return spatial.tree_relations(nodes).groupBy("document_hash", "relation", "distance").agg(F.count("*").alias("n"))
 
 

@@ -182,3 +182,12 @@ def test_scan_keeps_errors_apart(spark):
     got = scan.run_steps({"entities": df}, [first, second])
     assert [tuple(r) for r in got["errors"].collect()] == [("b", "one", "bad")] and [tuple(r) for r in got["two"].collect()] == [("a", 10)] and got["one"].columns == ["document_hash", "v"]
     assert [s[0] for s in scan.chosen_stages("tesseract", "1,3")] == ["chieng_tess", "chisim_tess"]
+
+
+def test_cable_models_look_far(spark):
+    from inklattice.operators import rows
+
+    texts = [("d", 0, "C-1(2)", 0.0, 100.0), ("d", 1, "far", 10.0, -9000.0), ("d", 2, "3x2.5 end", 299.0, -9e6), ("d", 3, "beside", 301.0, 90.0), ("d", 4, "C-1", 0.0, 50.0), ("d", 5, "C-2", 0.0, -1e7), ("e", 0, "C-1", 0.0, 0.0), ("e", 1, "one", 0.0, -1.0)]
+    cables = spark.createDataFrame([("C-1", "d"), ("C-2", "d"), ("C-1", "e"), ("C-9", "e")], "cable_id string, document_hash string")
+    got = {(r.cable_id, r.document_hash): (r.model, r.cross_section) for r in rows.cable_models(cables, spark.createDataFrame(texts, "document_hash string, seq int, text string, x double, y double")).collect()}
+    assert got == {("C-1", "d"): ("far 3x2.5 end", "2.5"), ("C-1", "e"): ("one", "")}
