@@ -60,6 +60,16 @@ def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFra
     return every.groupBy("target", "doc").agg(F.min_by("match_type", T.tier_rank(F.col("match_type"))).alias("match_type"))
 
 
+def ids_in_json(dumps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, document_hash): the least document whose raw JSON has a text that is the id, without what follows a parenthesis.
+
+    dumps: document_hash, content; ids: id.
+    """
+    t = dumps.select("document_hash", F.explode(F.regexp_extract_all("content", F.lit(r'"text"\s*:\s*"([^"]*)"'), F.lit(1))).alias("t"))
+    bare = t.select("document_hash", T.strip(F.substring_index("t", "(", 1)).alias("id"))
+    return bare.join(ids.select("id").distinct(), "id").groupBy("id").agg(F.min("document_hash").alias("document_hash"))
+
+
 def best_of_stages(stages: list[DataFrame], keys: list[str], tier: str = "match_type", order: str = "row_ix") -> DataFrame:
     """Union of stages; per key the row of the best tier, ties to the earliest stage and row.  Adds ``stage``."""
     every = None

@@ -102,6 +102,15 @@ def cable_topology(topology: DataFrame, cable_id: str | None = None, document: s
     return out.orderBy("cable_id", F.col("conductor_no").asc_nulls_first())
 
 
+def document_path(documents: DataFrame, document: str) -> DataFrame:
+    """The path of one document; no row without one."""
+    return documents.filter((F.col("document_hash") == document) & (F.coalesce("path", F.lit("")) != "")).select("path")
+
+
+def terminal_strips(strips: DataFrame) -> DataFrame:
+    return strips.orderBy("strip_name")
+
+
 def find_cabinets(cabinets: DataFrame, document: str | None = None, name: str | None = None) -> DataFrame:
     out = cabinets
     if document is not None:

@@ -1,4 +1,4 @@
-"""Drawing operators on entities made from the driver's tables (rows only: grouped Python, no SQL equivalent)."""
+"""Counts, extents, classes and the whole scan of drawings made from the driver's points and boxes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inklattice import schema
-from inklattice.operators import classify, drawing, positions, rows, scan, topology
+from inklattice.operators import classify, rows, scan
 from inklattice.plans import stand_ins as S
 
 
@@ -26,26 +26,6 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return empty.unionByName(lines, allowMissingColumns=True).unionByName(sides, allowMissingColumns=True).unionByName(t, allowMissingColumns=True).unionByName(serials, allowMissingColumns=True)
 
 
-def layout_scan(spark: SparkSession, d: str) -> DataFrame:
-    return drawing.scan_layout(entities(spark, d)).drop("data")
-
-
-def position_scan(spark: SparkSession, d: str) -> DataFrame:
-    return positions.scan_positions(entities(spark, d))
-
-
-def schedule_scan(spark: SparkSession, d: str) -> DataFrame:
-    return positions.scan_schedules(entities(spark, d))
-
-
-def topology_scan(spark: SparkSession, d: str) -> DataFrame:
-    return topology.scan_topology(entities(spark, d))
-
-
-def cabinet_region_scan(spark: SparkSession, d: str) -> DataFrame:
-    return topology.scan_cabinet_regions(entities(spark, d))
-
-
 def geometry_signature(spark: SparkSession, d: str) -> DataFrame:
     return classify.geometry_scores(classify.entity_counts(entities(spark, d)))
 
@@ -63,7 +43,7 @@ def scan_tables(spark: SparkSession, d: str) -> DataFrame:
     return scan.scan_summary(scan.scan(entities(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (layout_scan, position_scan, schedule_scan, topology_scan, cabinet_region_scan, geometry_signature, entity_counts, entity_extents, scan_tables)}
+QUERIES = {f.__name__: f for f in (geometry_signature, entity_counts, entity_extents, scan_tables)}
 
 #: Boxes are five-point lines, frames two uprights; texts and serials share the points.
 _E = f"""WITH {S.POINTS_SQL}, {S.BOXES_SQL}, f AS (SELECT doc, min(b_x) AS x, min(b_y) AS y, max(b_x) AS x2, max(b_y) AS y2 FROM boxes GROUP BY doc),

@@ -286,6 +286,24 @@ def chosen_text(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.length(T.better_text(F.col("a"), F.concat(F.lit("z"), "b"))).alias("n"), F.substring(T.better_text(F.col("a"), F.concat(F.lit("z"), "b")), 1, 1).alias("first"))
 
 
+def ids_in_json(spark: SparkSession, d: str) -> DataFrame:
+    dumps = S.table(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("document_hash"), F.concat(F.lit('{"a": [{"text" : "B'), F.col("p_partkey") % 70, F.lit("-"), F.col("p_size"), F.lit(' (C1)"}, {"text": "x"}, {"note": "B1-1"}]}')).alias("content"))
+    return matching.ids_in_json(dumps, _targets(spark, d).withColumnRenamed("target", "id"))
+
+
+def document_path(spark: SparkSession, d: str) -> DataFrame:
+    return store.document_path(S.stored_documents(spark, d), "7")
+
+
+def terminal_strips(spark: SparkSession, d: str) -> DataFrame:
+    t = S.topology(spark, d).select("strip_name", "document_hash", F.when(F.col("strip_name").startswith("A"), F.concat(F.lit("n"), "document_hash")).alias("chinese_name"))
+    return store.terminal_strips(store.first_write_fills(t.distinct(), "strip_name", ["document_hash"], ["chinese_name"]))
+
+
+def truncated_cabinets(spark: SparkSession, d: str) -> DataFrame:
+    return store.truncated(list_cabinets(spark, d).orderBy("document_hash", "x", "y", "id"), 50)
+
+
 RULES = {"steel": {"column": 1, "match": "contains:STEEL"}, "brand": {"column": "B", "startswith": "Brand#1"}, "size": {"column": [3], "regex": "^[1-4]$"}, "any": {"column": "1,2", "endswith": "3"}, "none": {"column": 4, "contains": "on"}}
 RULE = "(steel | brand) & !size or any and not none | size"
 
@@ -307,7 +325,7 @@ QUERIES = {f.__name__: f for f in (
     list_cable_topology, list_cabinets, list_unclassified_documents, documents_without_topology, documents_by_classification, search_cabinets, list_cables, cable_first_conductor, documents_tree, store_stats, topology_by_source,
     documents_by_type, count_cabinets, cable_detail, cabinet_with_terminals, upsert_cabinets, upsert_cabinet_terminals, upsert_strips, upsert_documents, replace_by_document, state_lists, resume_filter, cable_to_document,
     merge_stages, merge_two_runs, merge_summary, diff_pairs, diff_cables, multi_hit_cables, match_tiers, match_levenshtein, rule_rows, rule_hits, strip_upserts_append, delete_documents, stored_trees, state_values, state_value, document_folders, document_detail, cable_models, cable_cabinets, cabinet_folders, copy_targets,
-    copy_manifest, text_files, stage_progress, chosen_text,
+    copy_manifest, text_files, stage_progress, chosen_text, ids_in_json, document_path, terminal_strips, truncated_cabinets,
 )}
 
 _RULE_SQL = """
@@ -380,6 +398,10 @@ ORACLE_SQL = {
     "text_files": "SELECT '/t/c' || conv_id || '.txt' AS target, string_agg(CASE WHEN n > 1 THEN '=== Page ' || turn || ' ===' || chr(10) ELSE '' END || role || chr(9) || chr(9) || 'x', chr(10) ORDER BY turn, role) AS text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id",
     "stage_progress": "WITH s AS (SELECT unnest(['chieng_tess', 'chieng_tess_gauss', 'chisim_tess', 'chisim_tess_gauss', 'chieng_paddle', 'chisim_paddle']) AS stage, generate_series AS k FROM generate_series(0, 0)), l AS (SELECT (['chieng_tess', 'chieng_tess_gauss', 'chisim_tess', 'chisim_tess_gauss', 'chieng_paddle'])[l_linenumber % 5 + 1] AS stage, l_suppkey, l_partkey FROM lineitem) SELECT s.stage, count(DISTINCT l_suppkey) AS done, 1000 AS total, count(l_partkey) AS matches, count(DISTINCT l_partkey) AS cables FROM s LEFT JOIN l ON l.stage = s.stage GROUP BY 1",
     "chosen_text": "SELECT p_partkey, CASE WHEN p_partkey % 90 > 1.3 * p_size AND p_partkey % 90 > 50 THEN p_partkey % 90 + 1 ELSE p_size END AS n, CASE WHEN p_partkey % 90 > 1.3 * p_size AND p_partkey % 90 > 50 THEN 'z' ELSE '屏' END AS first FROM part",
+    "ids_in_json": f"WITH {_TARGETS} SELECT target AS id, min(lpad(CAST(p_partkey AS VARCHAR), 8, '0')) AS document_hash FROM t JOIN part ON target = 'B' || (p_partkey % 70) || '-' || p_size GROUP BY 1",
+    "document_path": f"WITH {S.DOCUMENTS_SQL} SELECT path FROM stored WHERE document_hash = '7'",
+    "terminal_strips": f"WITH {S.TOPOLOGY_SQL} SELECT strip_name, min(document_hash) AS document_hash, CASE WHEN starts_with(strip_name, 'A') THEN 'n' || min(document_hash) END AS chinese_name FROM topology GROUP BY 1",
+    "truncated_cabinets": "SELECT p_partkey AS id, p_brand AS document_hash, p_name AS display_name, p_size AS x, p_retailprice AS y FROM part WHERE p_name ILIKE '%A%' ORDER BY document_hash, x, y, id LIMIT 50",
     "rule_rows": f"WITH {_RULE_SQL} SELECT p_partkey, m AS matched, CASE WHEN m THEN 'FFFFFF00' END AS fill_argb FROM (SELECT p_partkey, ((steel OR brand) AND NOT size) OR (anyr AND NOT (nonr OR size)) AS m FROM r)",
     "rule_hits": f"WITH {_RULE_SQL} SELECT count(*) FILTER (steel) AS steel, count(*) FILTER (brand) AS brand, count(*) FILTER (size) AS size, count(*) FILTER (anyr) AS any, count(*) FILTER (nonr) AS none FROM r",
 }
