@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
-def column_names(schema: str) -> list[str]:
-    return [part.strip().split(" ")[0] for part in re.sub(r"<[^>]*>", "", schema).split(",")]
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(schema))
 
 
-def per_document(entities: DataFrame, run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """Run a function on each document's rows in file order; any error becomes a row with its message."""
-    names = column_names(schema)
+def table_of(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    """Rows as a table; missing columns are null, dicts fill maps."""
+    maps = [f.name for f in schema if pa.types.is_map(f.type)]
+    ready = [{**r, **{m: list(r[m].items()) for m in maps if isinstance(r.get(m), dict)}} for r in rows] if maps else rows
+    return pa.Table.from_pylist([{f.name: r.get(f.name) for f in schema} for r in ready], schema=schema)
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["document_hash"].iloc[0]
-        ordered = pdf.sort_values("seq", kind="stable")
-        rows = ordered.astype(object).where(ordered.notna(), None).to_dict("records")
+def per_document(entities: DataFrame, run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """Run a function on each document's rows in file order; any error becomes a row with its message.  NaN counts as null."""
+    made_as = arrow_schema(schema)
+
+    def one(table: pa.Table) -> pa.Table:
+        key = table.column("document_hash")[0].as_py()
+        rows = table.sort_by("seq").to_pylist()
+        for name in (f.name for f in table.schema if pa.types.is_floating(f.type)):
+            for r in rows:
+                if r[name] != r[name]:
+                    r[name] = None
         try:
-            made = run(rows)
+            return table_of([{**m, "document_hash": key} for m in run(rows)], made_as)
         except Exception as error:  # one bad document must not stop the job
-            made = [{"error": f"{type(error).__name__}: {error}"}]
-        return pd.DataFrame([{**dict.fromkeys(names), **m, "document_hash": key} for m in made], columns=names).astype(object)
+            return table_of([{"document_hash": key, "error": f"{type(error).__name__}: {error}"}], made_as)
 
-    return entities.groupBy("document_hash").applyInPandas(one, schema)
+    return entities.groupBy("document_hash").applyInArrow(one, schema)

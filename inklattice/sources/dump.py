@@ -12,15 +12,18 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import _parse_datatype_string
 
 from inklattice import schema
+from inklattice.operators.grouped import arrow_schema, table_of
 
 # Named blocks that are expanded beside anonymous ones (*U...), and the two spaces.
 EXPANDED = frozenset({"CT1", "tmR", "tmInLR", "IsGround", "CQ"})
 SPACES = ("*Model_Space", "*Paper_Space")
 DEPTH = 8
+#: Rows that leave a task together.
+BATCH_ROWS = 10_000
 
 Affine = tuple[float, float, float, float, float, float]
 
@@ -209,23 +212,25 @@ def dump_rows(text: str) -> list[dict]:
 # --- grouped runs -------------------------------------------------------------------------------------------
 def dump_entities(dumps: DataFrame, key: str = "document_hash", content: str = "content") -> DataFrame:
     """Entities of dumps held in a column.  A dump that cannot be read gives one text of confidence 0; a null one nothing."""
-    names = [f.name for f in _parse_datatype_string(schema.ENTITIES).fields]
+    made_as = arrow_schema(schema.ENTITIES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for document, text in zip(batch["key"], batch["content"], strict=True):
+            rows: list[dict] = []
+            for document, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 try:
-                    rows = dump_rows(text)
+                    own = dump_rows(text)
                 except Exception as error:  # one bad dump must not stop the job
-                    rows = [{"seq": 0, "entity_id": "error", "source": "dwg", "page": 1, "kind": "TEXT", "text": f"<{type(error).__name__}: {error}>", "confidence": 0.0}]
-                if rows:
-                    made = pd.DataFrame(rows).reindex(columns=names).astype(object)
-                    made["document_hash"] = document
-                    yield made.where(made.notna(), None)
-
-    return dumps.select(dumps[key].cast("string").alias("key"), dumps[content].alias("content")).mapInPandas(run, schema.ENTITIES)
+                    own = [{"seq": 0, "entity_id": "error", "source": "dwg", "page": 1, "kind": "TEXT", "text": f"<{type(error).__name__}: {error}>", "confidence": 0.0}]
+                rows += [{**r, "document_hash": document} for r in own]
+                if len(rows) >= BATCH_ROWS:
+                    yield from table_of(rows, made_as).to_batches()
+                    rows = []
+            yield from table_of(rows, made_as).to_batches()
+
+    return dumps.select(dumps[key].cast("string").alias("key"), dumps[content].alias("content")).mapInArrow(run, schema.ENTITIES)
 
 
 def read_dumps(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
