@@ -427,7 +427,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             slots, c = own.vocab.look_up(tokens)
             logs = own.log10(slots, starts)
             known = c >= 0
-            base = np.where(known, np.log10((c + 1) / floor), 0.0)
+            base = np.where(known, np.log10(np.maximum(c + 1, 1) / floor), 0.0)
             outer = np.flatnonzero(slots >= (CLASSES - 1) * PER_CLASS)
             logs[outer] += np.log10(np.maximum(c[outer], 0) + 1) - own.last[leaf_of(slots[outer], len(own.last))] / np.log(10)
             sums = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else np.zeros(0)
