@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inklattice.operators.spatial import use_checkpoints
+
 
 # --- writes -------------------------------------------------------------------------------------------------
 def last_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -236,7 +238,9 @@ def cable_cabinets(topology: DataFrame, models: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     """Numbers from 1 by a distinct key: each range of keys counts its own rows and starts behind those before it, so no task sorts them all."""
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    use_checkpoints(rows.sparkSession)
+    # Written once: ranges are sampled, so a second run might cut them elsewhere.
+    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
