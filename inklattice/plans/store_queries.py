@@ -75,7 +75,7 @@ def cable_detail(spark: SparkSession, d: str) -> DataFrame:
 
 def cabinet_with_terminals(spark: SparkSession, d: str) -> DataFrame:
     cabs = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    terms = S.table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").alias("cabinet_id"), (F.col("l_partkey") % 1000).alias("terminal"), F.col("l_linestatus").alias("kind")).distinct()
+    terms = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cabinet_id"), (F.col("l_partkey") % 1000).alias("terminal"), F.col("l_linestatus").alias("kind")).distinct()
     out = store.cabinets_with_terminals(cabs, terms)
     return out.select("id", "name", F.coalesce(F.array_join(F.transform("terminals", lambda t: F.concat(t.terminal.cast("string"), F.lit(":"), t.kind)), ","), F.lit("")).alias("terminals"))
 
@@ -229,7 +229,7 @@ def document_folders(spark: SparkSession, d: str) -> DataFrame:
 
 def document_detail(spark: SparkSession, d: str) -> DataFrame:
     cabinets = S.table(spark, d, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), (F.col("s_suppkey") % 10).cast("string").alias("document_hash"))
-    terminals = S.table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.concat(F.lit("c"), "l_suppkey").alias("cabinet_id"), (F.col("l_suppkey") % 10).cast("string").alias("document_hash"), (F.col("l_partkey") % 1000).alias("terminal"), F.col("l_linestatus").alias("kind")).distinct()
+    terminals = S.table(spark, d, "lineitem").select(F.concat(F.lit("c"), "l_suppkey").alias("cabinet_id"), (F.col("l_suppkey") % 10).cast("string").alias("document_hash"), (F.col("l_partkey") % 1000).alias("terminal"), F.col("l_linestatus").alias("kind")).distinct()
     return store.document_detail("7", S.stored_documents(spark, d), S.topology(spark, d), cabinets, terminals)
 
 
@@ -360,7 +360,7 @@ ORACLE_SQL = {
     "documents_by_type": f"WITH {S.DOCUMENTS_SQL} SELECT document_type, count(*) AS n FROM stored GROUP BY 1",
     "count_cabinets": "SELECT count(*) AS n FROM part",
     "cable_detail": f"WITH {S.DOCUMENTS_SQL}, {S.TOPOLOGY_SQL} SELECT cable_id, conductor_no, strip_name, t.document_hash, path FROM topology t LEFT JOIN stored s ON s.document_hash = t.document_hash WHERE cable_id = 'C-7'",
-    "cabinet_with_terminals": "WITH t AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 1000 AS p, l_linestatus AS s FROM lineitem WHERE l_quantity >= 49), g AS (SELECT k, string_agg(p || ':' || s, ',' ORDER BY p, s) AS terminals FROM t GROUP BY k) SELECT s_suppkey AS id, s_name AS name, coalesce(terminals, '') AS terminals FROM supplier LEFT JOIN g ON k = s_suppkey",
+    "cabinet_with_terminals": "WITH t AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 1000 AS p, l_linestatus AS s FROM lineitem), g AS (SELECT k, string_agg(p || ':' || s, ',' ORDER BY p, s) AS terminals FROM t GROUP BY k) SELECT s_suppkey AS id, s_name AS name, coalesce(terminals, '') AS terminals FROM supplier LEFT JOIN g ON k = s_suppkey",
     "upsert_cabinets": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
     "upsert_cabinet_terminals": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
     "upsert_strips": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) FILTER (event_id % 3 = 0 AND value IS NOT NULL) AS value FROM events GROUP BY 1",
@@ -383,7 +383,7 @@ ORACLE_SQL = {
     "state_values": "SELECT 'u' || (user_id % 40) AS key, '{\"event_type\":\"' || arg_max(event_type, event_id) || '\"}' AS value FROM events GROUP BY 1 UNION ALL SELECT 'scan', '{\"root\":\"/scan\"}'",
     "state_value": "SELECT coalesce(arg_max(event_type, event_id), 'none') AS event_type FROM events WHERE user_id % 40 = 3",
     "document_folders": f"WITH {S.DOCUMENTS_SQL}, {S.TOPOLOGY_SQL}, p AS (SELECT document_hash, count(*) AS c FROM topology GROUP BY 1), r AS (SELECT string_split(replace(path, '/scan/', ''), '/') AS parts, coalesce(c, 0) AS c FROM stored s LEFT JOIN p ON p.document_hash = s.document_hash), e AS (SELECT parts[1] AS folder, '' AS parent, 1 AS depth, c FROM r UNION ALL SELECT parts[1] || '/' || parts[2], parts[1], 2, c FROM r) SELECT folder, parent, depth, count(*) AS documents, count(*) FILTER (c > 0) AS with_topology, CAST(sum(c) AS BIGINT) AS conductors FROM e GROUP BY 1, 2, 3",
-    "document_detail": f"""WITH {S.DOCUMENTS_SQL}, {S.TOPOLOGY_SQL}, t AS (SELECT * FROM topology WHERE document_hash = '7'), x AS (SELECT DISTINCT 'c' || l_suppkey AS id, l_partkey % 1000 AS terminal, l_linestatus AS kind FROM lineitem WHERE l_quantity >= 49 AND l_suppkey % 10 = 7),
+    "document_detail": f"""WITH {S.DOCUMENTS_SQL}, {S.TOPOLOGY_SQL}, t AS (SELECT * FROM topology WHERE document_hash = '7'), x AS (SELECT DISTINCT 'c' || l_suppkey AS id, l_partkey % 1000 AS terminal, l_linestatus AS kind FROM lineitem WHERE l_suppkey % 10 = 7),
       c AS (SELECT 'c' || s_suppkey AS id, (SELECT coalesce(string_agg(terminal, ' ' ORDER BY terminal, kind), '') FROM x WHERE x.id = 'c' || s_suppkey) AS terms FROM supplier WHERE s_suppkey % 10 = 7)
       SELECT document_hash, path, document_type, file_size, (SELECT count(DISTINCT cable_id) FROM t) AS cables, (SELECT count(*) FROM t) AS conductors, (SELECT coalesce(string_agg(DISTINCT source_type, ',' ORDER BY source_type), '') FROM t) AS source_types,
       (SELECT coalesce(string_agg(l, ';' ORDER BY a, n, s, te), '') FROM (SELECT cable_id AS a, coalesce(conductor_no, 0) AS n, strip_name AS s, coalesce(CAST(terminal_no AS VARCHAR), '') AS te, cable_id || ':' || coalesce(conductor_no, 0) || ':' || strip_name || ':' || coalesce(CAST(terminal_no AS VARCHAR), '') AS l FROM t)) AS lines,
