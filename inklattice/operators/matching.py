@@ -29,8 +29,9 @@ def containing(keys: DataFrame, texts: DataFrame) -> DataFrame:
     if not sizes:
         return keys.select("k").limit(0).withColumn("doc", F.lit(None).cast(texts.schema["doc"].dataType))
     every = texts.filter("text <> ''").select("doc", F.explode(F.array(*map(F.lit, sizes))).alias("n"), "text").select("doc", F.explode(_grams(F.col("text"), F.col("n"))).alias("gram"))
-    met = every.join(ends, "gram").select("doc", "k")
-    return met.join(texts.select("doc", "text"), "doc").filter(F.col("text").contains(F.col("k"))).select("k", "doc").distinct()
+    # Runs and pairs are many times what their tables' sizes let expect, so neither side of a join is broadcast.
+    met = every.join(ends.hint("merge"), "gram").select("doc", "k")
+    return met.join(texts.select("doc", "text").hint("merge"), "doc").filter(F.col("text").contains(F.col("k"))).select("k", "doc").distinct()
 
 
 def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -43,9 +44,9 @@ def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFra
     tier = lambda found, name: found.select("target", "doc", F.lit(name).alias("match_type"))
     exact = tier(containing(t.withColumnRenamed("target", "k"), texts).withColumnRenamed("k", "target"), "exact")
     nt = t.select("target", T.normalized(F.col("target")).alias("k"))
-    normal = tier(containing(nt, texts.select("doc", T.normalized(F.col("text")).alias("text"))).join(nt, "k"), "normalized")
+    normal = tier(containing(nt, texts.select("doc", T.normalized(F.col("text")).alias("text"))).join(nt.hint("merge"), "k"), "normalized")
     variants = t.select("target", F.explode(T.confusion_variants(F.col("target"))).alias("k")).filter("k <> ''")
-    confused = tier(containing(variants, texts).join(variants, "k"), "confusion")
+    confused = tier(containing(variants, texts).join(variants.hint("merge"), "k"), "confusion")
     every = exact.union(normal).union(confused)
     if fuzzy:
         token = texts.select("doc", F.explode(F.array_distinct(F.split(F.col("text"), r"\s+"))).alias("token")).filter("token <> ''")
@@ -55,7 +56,7 @@ def tiered(targets: DataFrame, texts: DataFrame, fuzzy: bool = False) -> DataFra
             cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
             return df.withColumn("k", F.explode(F.array_distinct(F.concat(F.array(F.col(c)), cuts))))
 
-        near = deletions(token, "token").join(deletions(t, "target"), "k").filter(F.levenshtein("token", "target") <= 1)
+        near = deletions(token, "token").join(deletions(t, "target").hint("merge"), "k").filter(F.levenshtein("token", "target") <= 1)
         every = every.union(tier(near, "levenshtein"))
     return every.groupBy("target", "doc").agg(F.min_by("match_type", T.tier_rank(F.col("match_type"))).alias("match_type"))
 
