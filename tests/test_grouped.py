@@ -41,3 +41,21 @@ def test_position_plan_deals_parts_not_entities(spark):
     plan = physical(planted_queries.position_plan(spark, SF))
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.index("Generate") < plan.index("Exchange")
     assert planted.plans(spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@tables
+def test_layout_nodes_run_once_and_join_nothing(spark):
+    plan = physical(planted_queries.layout_nodes(spark, SF))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@tables
+def test_layout_relations_broadcast_nothing(spark):
+    assert "Broadcast" not in physical(planted_queries.layout_relations(spark, SF))
+
+
+@tables
+def test_match_tiers_broadcast_nothing(spark):
+    from inklattice.plans import store_queries
+
+    assert "Broadcast" not in physical(store_queries.match_tiers(spark, SF))
