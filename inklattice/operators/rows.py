@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_right
+from heapq import merge
+from itertools import chain, islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inklattice.operators.spatial import use_checkpoints
+from inklattice.operators.grouped import per_document
 
 
 def gap_statistics(items: DataFrame) -> DataFrame:
@@ -111,42 +117,68 @@ def entity_extents(entities: DataFrame) -> DataFrame:
 CROSS_SECTION = r"(\d+)[×x*](\d+(?:\.\d+)?)"
 
 
+#: White space, as (?U) has it in Java.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class Below:
+    """A drawing's texts in bands of x of the reach's width, each from above; walked downwards from a height."""
+
+    def __init__(self, texts: list[tuple[float, int, float, str]], reach: float):
+        """texts: (-y, seq, x, text)."""
+        self.reach, self.bands = reach, {}
+        for t in sorted(texts, key=lambda t: t[:2]):
+            self.bands.setdefault(math.floor(t[2] / reach), []).append(t)
+
+    def first(self, x: float, y: float, seq: int, label: str, take: int = 2) -> list[str]:
+        """The first texts strictly below a label within the reach, without the label itself and other texts like it."""
+        band, found = math.floor(x / self.reach), []
+        near = [self.bands[b] for b in (band - 1, band, band + 1) if b in self.bands]
+        walks = [islice(own, bisect_right(own, -y, key=lambda t: t[0]), None) for own in near]
+        for _, at, tx, text in merge(*walks, key=lambda t: t[:2]) if len(walks) > 1 else chain(*walks):
+            if abs(tx - x) < self.reach and at != seq and text != label:
+                found.append(text)
+                if len(found) == take:
+                    break
+        return found
+
+
+def _placed(x: float | None, y: float | None) -> bool:
+    return x is not None and y is not None and math.isfinite(x) and math.isfinite(y)
+
+
+def models_of(rows: list[dict], reach: float = 300.0) -> list[dict]:
+    """Models of one document's cables (rows with a ``cable_id``) from its texts (the others)."""
+    cables = {r["cable_id"] for r in rows if r["cable_id"] is not None}
+    if not cables:
+        return []
+    texts = [(r["seq"], (r["text"] or "").strip(WHITE), r["x"], r["y"]) for r in rows if r["cable_id"] is None and r["text"] is not None]
+    anchors: dict[str, tuple] = {}
+    for seq, text, x, y in texts:
+        bare = text[:at].rstrip(WHITE) if (at := text.find("(")) > 0 else text
+        for rank, name in ((0, text),) if bare == text else ((0, text), (1, bare)):
+            if name in cables and (name not in anchors or (rank, seq) < anchors[name][:2]):
+                anchors[name] = (rank, seq, x, y)
+    below = Below([(-y, seq, x, text) for seq, text, x, y in texts if text and _placed(x, y)], reach)
+    out = []
+    for cable, (_, seq, x, y) in anchors.items():
+        two = below.first(x, y, seq, cable) if _placed(x, y) else []
+        if two:
+            section = next((m[2] for t in two if (m := re.search(CROSS_SECTION, t, re.ASCII))), "")
+            out.append({"cable_id": cable, "model": " ".join(two), "cross_section": section})
+    return out
+
+
 def cable_models(cables: DataFrame, texts: DataFrame, reach: float = 300.0) -> DataFrame:
     """(cable_id, document_hash, model, cross_section): the two texts below a cable's label, and the first section in them.
 
     The label is the first text that is the id, else the first that is the id before a parenthesis.  Texts below it
     within ``reach`` in x count from above, without empty ones and the id itself.  cables: cable_id, document_hash;
-    texts: document_hash, seq, text, x, y.
+    texts: document_hash, seq, text, x, y.  One pass over each document: tables that are dealt by document are not
+    shuffled, and nothing is written.
     """
-    clean = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    t = texts.select("document_hash", "seq", clean.alias("text"), "x", "y")
-    bare = F.when(F.instr("text", "(") > 1, F.regexp_replace(F.substring_index("text", "(", 1), r"(?U)\s+$", "")).otherwise(F.col("text"))
-    named = t.withColumn("cable_id", F.explode(F.array_distinct(F.array("text", bare)))).withColumn("rank", (F.col("text") != F.col("cable_id")).cast("int"))
-    met = named.join(cables.select("cable_id", "document_hash").distinct(), ["document_hash", "cable_id"])
-    anchor = met.groupBy("document_hash", "cable_id").agg(F.min(F.struct("rank", "seq", "x", "y")).alias("a")).select("document_hash", "cable_id", F.col("a.seq").alias("aseq"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"))
-    use_checkpoints(texts.sparkSession)
-    anchor, shown = anchor.checkpoint(), t.filter("text <> ''")
-    low, high = shown.agg(F.min("y"), F.max("y")).first()
-    # Bands of x of the reach's width and of y of a height are the key; a text is dealt to those that it can be below.
-    # Labels without two texts within the height look farther, up to the drawing's whole height.
-    height, two = reach / 4, None
-    while True:
-        band, last = lambda c: F.floor(c / reach), low is None or height >= high - low
-        level = lambda c, h=height: F.floor(c / h)
-        spread = shown.withColumn("band", F.explode(F.sequence(band(F.col("x") - reach), band(F.col("x") + reach)))).withColumn("level", F.explode(F.array(level(F.col("y")), level(F.col("y")) + 1)))
-        below = anchor.withColumn("band", band(F.col("ax"))).withColumn("level", level(F.col("ay"))).join(spread, ["document_hash", "band", "level"])
-        near = (F.col("y") < F.col("ay")) & (F.col("ay") - F.col("y") <= height) & (F.abs(F.col("x") - F.col("ax")) < reach)
-        below = below.filter(near & (F.col("seq") != F.col("aseq")) & (F.col("text") != F.col("cable_id")))
-        whole = Window.partitionBy("document_hash", "cable_id")
-        ranked = below.withColumn("k", F.row_number().over(whole.orderBy(F.col("y").desc(), "seq"))).filter("k <= 2").withColumn("n", F.count("*").over(whole))
-        ranked = ranked.select("document_hash", "cable_id", "k", "n", "text").checkpoint()
-        own = ranked if last else ranked.filter("n = 2")
-        two = own if two is None else two.unionByName(own)
-        anchor = anchor.join(own.select("document_hash", "cable_id").distinct(), ["document_hash", "cable_id"], "left_anti").checkpoint()
-        if last or anchor.isEmpty():
-            break
-        height *= 16
-    two = two.withColumn("section", F.regexp_extract("text", CROSS_SECTION, 2))
-    parts = two.groupBy("document_hash", "cable_id").agg(F.array_sort(F.collect_list(F.struct("k", "text", "section"))).alias("p"))
-    first = F.get(F.filter("p", lambda p: p.section != ""), F.lit(0))
-    return parts.select("cable_id", "document_hash", F.array_join(F.transform("p", lambda p: p.text), " ").alias("model"), F.coalesce(first.section, F.lit("")).alias("cross_section"))
+    none = lambda c: F.lit(None).cast(texts.schema[c].dataType).alias(c)
+    asked = cables.select("document_hash", none("seq"), none("text"), none("x"), none("y"), "cable_id")
+    every = texts.select("document_hash", "seq", "text", "x", "y", F.lit(None).cast("string").alias("cable_id")).unionByName(asked.filter("cable_id IS NOT NULL"))
+    found = per_document(every, lambda rows: models_of(rows, reach), "cable_id string, document_hash string, model string, cross_section string, error string")
+    return found.drop("error")
