@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inklattice.operators.spatial import use_checkpoints
+from inklattice.operators.spatial import held
 
 
 # --- writes -------------------------------------------------------------------------------------------------
@@ -219,17 +219,30 @@ def stats(documents: DataFrame, topology: DataFrame, strips: DataFrame, cabinets
     return out
 
 
-def cable_cabinets(topology: DataFrame, models: DataFrame) -> DataFrame:
-    """The export of one row a cable: model and section, cores, both cabinets, number.
+def first_rows(topology: DataFrame) -> DataFrame:
+    """The first row of a cable by (conductor_no, nulls first, document, strip, terminal, cabinets), and its number of rows."""
+    none = F.lit("")
+    row = F.struct(
+        F.coalesce("conductor_no", F.lit(-1)).alias("n"), "document_hash", F.coalesce("strip_name", none).alias("strip"), F.coalesce("terminal_no", F.lit(-1)).alias("t"),
+        F.coalesce("cabinet_name", none).alias("cabinet_name"), F.coalesce("cabinet_name_remote", none).alias("cabinet_name_remote"), "source_type",
+    )
+    first = topology.groupBy("cable_id").agg(F.min(row).alias("r"), F.count("*").alias("cores"))
+    return first.select("cable_id", "cores", *[F.col(f"r.{c}").alias(c) for c in ("document_hash", "cabinet_name", "cabinet_name_remote", "source_type")])
+
+
+def with_model(first: DataFrame) -> DataFrame:
+    """The cables whose model counts, with their documents: those whose first row is a circuit loop's."""
+    return first.filter("source_type = 'circuit_loop'").select("cable_id", "document_hash")
+
+
+def cable_cabinets(first: DataFrame, models: DataFrame) -> DataFrame:
+    """The export of one row a cable: model and section, cores, both cabinets.
 
-    The first row of a cable by (conductor_no, nulls first, document, strip, terminal) gives the cabinets; models
-    (``rows.cable_models``) count for cables whose first row is a circuit loop's.
+    first: ``first_rows`` of a topology; models (``rows.cable_models``) count for cables whose first row is a circuit loop's.
     """
-    order = F.struct(F.coalesce("conductor_no", F.lit(-1)), "document_hash", F.coalesce("strip_name", F.lit("")), F.coalesce("terminal_no", F.lit(-1)), F.coalesce("cabinet_name", F.lit("")), F.coalesce("cabinet_name_remote", F.lit("")))
-    first = topology.groupBy("cable_id").agg(F.min_by(F.struct("cabinet_name", "cabinet_name_remote", "document_hash", "source_type"), order).alias("r"), F.count("*").alias("cores"))
-    one = first.select("cable_id", "cores", "r.*").withColumn("document_hash", F.when(F.col("source_type") == "circuit_loop", F.col("document_hash")))
-    out = one.join(models, ["cable_id", "document_hash"], "left")
-    near, far, none = F.coalesce("cabinet_name", F.lit("")), F.coalesce("cabinet_name_remote", F.lit("")), F.lit("")
+    one = first.withColumn("document_hash", F.when(F.col("source_type") == "circuit_loop", F.col("document_hash")))
+    out = one.join(models.hint("merge"), ["cable_id", "document_hash"], "left")
+    near, far, none = F.col("cabinet_name"), F.col("cabinet_name_remote"), F.lit("")
     return out.select(
         "cable_id", F.coalesce("model", none).alias("model"), F.col("cores").alias("cable_core_numbers"), F.coalesce("cross_section", none).alias("cable_core_cross_section"), none.alias("cable_core_numbers2"), none.alias("cable_core_cross_section2"),
         near.alias("origin"), near.alias("origin_cubicle"), none.alias("origin_device"), far.alias("terminal"), far.alias("terminal_cubicle"), none.alias("terminal_device"),
@@ -238,13 +251,12 @@ def cable_cabinets(topology: DataFrame, models: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
     """Numbers from 1 by a distinct key: each range of keys counts its own rows and starts behind those before it, so no task sorts them all."""
-    use_checkpoints(rows.sparkSession)
-    # Written once: ranges are sampled, so a second run might cut them elsewhere.
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # Written once: ranges are sampled, so a second run might cut them elsewhere.  An id is the range's number and, in 33 bits, the row's.
+    ranged = held(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return ranged.withColumn("_k", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")  # one row a partition
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place + 1).drop("_part", "_id", "_before")  # one row a range
 
 
 def document_detail(document: str, documents: DataFrame, topology: DataFrame, cabinets: DataFrame, terminals: DataFrame) -> DataFrame:

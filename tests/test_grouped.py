@@ -59,3 +59,21 @@ def test_match_tiers_broadcast_nothing(spark):
     from inklattice.plans import store_queries
 
     assert "Broadcast" not in physical(store_queries.match_tiers(spark, SF))
+
+
+@tables
+def test_cable_models_deal_pairs_not_texts(spark):
+    """The pairs are dealt by document once for cables and once for texts (one exchange, used twice); no text is."""
+    from inklattice.plans import store_queries
+
+    plan = physical(store_queries.cable_models(spark, SF))
+    assert "Join" not in plan and "Scan ExistingRDD" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and all("Generate" not in below for below in plan.split("Exchange hashpartitioning")[2:])
+
+
+def test_numbers_come_from_a_table_not_a_checkpoint(spark):
+    from inklattice.operators import store
+
+    made = store.numbered(spark.range(1000, -1, -1).selectExpr("lpad(id, 4, '0') AS k"), "k")
+    assert [(r.k, r.number) for r in made.orderBy("k").collect()] == [(f"{k:04}", k + 1) for k in range(1001)]
+    assert "ExistingRDD" not in physical(made)
