@@ -77,3 +77,33 @@ def test_numbers_come_from_a_table_not_a_checkpoint(spark):
     made = store.numbered(spark.range(1000, -1, -1).selectExpr("lpad(id, 4, '0') AS k"), "k")
     assert [(r.k, r.number) for r in made.orderBy("k").collect()] == [(f"{k:04}", k + 1) for k in range(1001)]
     assert "ExistingRDD" not in physical(made)
+
+
+@tables
+@pytest.mark.parametrize("name", ["strip_topology", "loop_topology", "cabinet_regions", "cabinet_region_terminals"])
+def test_conductors_are_dealt_not_their_entities(spark, name):
+    """Line items and orders by order, conductors by document; no entity is."""
+    plan = physical(planted_queries.QUERIES[name](spark, SF))
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+@tables
+def test_loop_cable_types_read_loops_once(spark):
+    plan = physical(planted_queries.loop_cable_types(spark, SF))
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate") == 1
+
+
+@tables
+def test_classed_topology_reads_entities_once(spark):
+    plan = physical(planted_queries.classed_topology(spark, SF))
+    assert plan.count("MapInArrow") == 1
+
+
+def test_each_class_of_a_document_has_its_analyzer(spark):
+    """Records of both classes; the error of one analyzer leaves the other's."""
+    from inklattice.operators import topology
+
+    e = spark.createDataFrame([("d", 0, "TEXT", 0.0, 0.0, "AB-1"), ("b", 0, "LINE", None, None, None), ("z", 0, "TEXT", 0.0, 0.0, "AB-2")], "document_hash string, seq long, kind string, x double, y double, text string")
+    c = spark.createDataFrame([("d", "cable_schedule"), ("d", "terminal_strip"), ("b", "terminal_strip"), ("b", "cable_schedule"), ("z", "unknown")], "document_hash string, classification string")
+    got = [(r.document_hash, r.cable_id, r.error) for r in topology.scan_topology(e, c).collect()]
+    assert ("d", "AB-1", None) in got and not [g for g in got if g[0] == "z"]
