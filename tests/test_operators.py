@@ -191,3 +191,17 @@ def test_cable_models_look_far(spark):
     cables = spark.createDataFrame([("C-1", "d"), ("C-2", "d"), ("C-1", "e"), ("C-9", "e")], "cable_id string, document_hash string")
     got = {(r.cable_id, r.document_hash): (r.model, r.cross_section) for r in rows.cable_models(cables, spark.createDataFrame(texts, "document_hash string, seq int, text string, x double, y double")).collect()}
     assert got == {("C-1", "d"): ("far 3x2.5 end", "2.5"), ("C-1", "e"): ("one", "")}
+
+
+def test_clusters_across_tiles(spark):
+    """A chain of over forty tiles' doublings, copies of one place, and a lone point."""
+    line = [("a", k, 3.0 * k, 0.5) for k in range(3000)] + [("a", 5000 + k, -900.0, 7.0) for k in range(300)] + [("a", 9999, -5000.0, 0.0), ("b", 1, 0.0, 0.0)]
+    got = {(r.doc, r.seq): r.cluster for r in spatial.clusters(spark.createDataFrame(line, "doc string, seq long, x double, y double"), 4.0).collect()}
+    assert got == {**{("a", k): 0 for k in range(3000)}, **{("a", 5000 + k): 5000 for k in range(300)}}
+
+
+def test_clusters_pair_copies_once(spark):
+    """Copies of a place are not paired with each other: half a million pairs of a thousand copies were."""
+    copies = spark.range(1000).selectExpr("'a' AS doc", "id AS seq", "1.0D AS x", "2.0D AS y")
+    out = spatial.clusters(copies, 4.0)
+    assert out.filter("cluster = 0").count() == 1000 and "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
