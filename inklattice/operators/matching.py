@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inklattice.functions import text as T
+from inklattice.operators.grouped import arrow_schema
 
 
 #: Characters of a key by which texts are looked up.
@@ -17,12 +21,45 @@ def _grams(text: Column, n: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n)))
 
 
+#: Keys that are sent to every task; more are joined with the texts' runs.
+KEYS = 100_000
+
+
+def _held_by(keys: list[str], kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(k, doc) of batches of (doc, text): keys whose last characters are among a text's runs are tested as a whole."""
+    made_as = arrow_schema(f"k string, doc {kind}")
+    ends: dict[int, dict[str, list[str]]] = {}
+    for k in keys:
+        ends.setdefault(min(len(k), GRAM), {}).setdefault(k[-GRAM:], []).append(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, found = b.column(0).to_pylist(), []
+            for doc, text in zip(docs, b.column(1).to_pylist(), strict=True):
+                for n, own in ends.items():
+                    runs = {text[i : i + n] for i in range(len(text) - n + 1)}
+                    found += [(k, doc) for gram in (own.keys() & runs) for k in own[gram] if k in text]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], made_as[i].type) for i in (0, 1)], schema=made_as)
+
+    return run
+
+
 def containing(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, doc): texts that hold a key anywhere.  keys: k; texts: doc, text.
 
-    A key is looked up by its last ``GRAM`` characters (all, if it has fewer) among those of the texts, by an
-    equi-join; then the whole key is tested.  Only runs that some key ends with leave a text.
+    A key is looked up by its last ``GRAM`` characters (all, if it has fewer) among those of the texts; then the whole
+    key is tested.  Up to ``KEYS`` keys go to the texts' tasks; with more, runs that some key ends with are joined with the keys.
     """
+    given = keys.filter("k <> ''").select("k").distinct()
+    few = [r.k for r in given.limit(KEYS + 1).collect()]
+    if len(few) <= KEYS:
+        kind = texts.schema["doc"].dataType.simpleString()
+        return texts.filter("text <> ''").select("doc", "text").mapInArrow(_held_by(few, kind), f"k string, doc {kind}").distinct()
+    return containing_joined(given, texts)
+
+
+def containing_joined(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for any number of keys, by an equi-join on the last characters; only runs that some key ends with leave a text."""
     size = F.least(F.length("k"), F.lit(GRAM))
     ends = keys.filter("k <> ''").select("k").distinct().select("k", size.alias("n"), F.expr(f"right(k, {GRAM})").alias("gram"))
     sizes = [r.n for r in ends.select("n").distinct().collect()]  # GRAM at most

@@ -205,3 +205,12 @@ def test_clusters_pair_copies_once(spark):
     copies = spark.range(1000).selectExpr("'a' AS doc", "id AS seq", "1.0D AS x", "2.0D AS y")
     out = spatial.clusters(copies, 4.0)
     assert out.filter("cluster = 0").count() == 1000 and "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containing_by_tasks_and_by_join(spark):
+    """Few keys go to the texts' tasks, any number to a join; both find the same."""
+    keys = spark.createDataFrame([("b",), ("AB-12",), ("屏-1",), ("xAB-12",), ("",), (None,)], "k string")
+    texts = spark.createDataFrame([(1, "xAB-123"), (2, "屏-1屏-1b"), (3, "12-BA"), (4, None), (5, "")], "doc int, text string")
+    near, far = (sorted((r.k, r.doc) for r in f(keys, texts).collect()) for f in (matching.containing, matching.containing_joined))
+    assert near == far == [("AB-12", 1), ("b", 2), ("xAB-12", 1), ("屏-1", 2)]
+    assert "Join" not in matching.containing(keys, texts)._jdf.queryExecution().executedPlan().toString()
