@@ -107,3 +107,39 @@ def test_each_class_of_a_document_has_its_analyzer(spark):
     c = spark.createDataFrame([("d", "cable_schedule"), ("d", "terminal_strip"), ("b", "terminal_strip"), ("b", "cable_schedule"), ("z", "unknown")], "document_hash string, classification string")
     got = [(r.document_hash, r.cable_id, r.error) for r in topology.scan_topology(e, c).collect()]
     assert ("d", "AB-1", None) in got and not [g for g in got if g[0] == "z"]
+
+
+def test_packed_documents_across_batches(spark):
+    """Packed entities come in file order, whole documents at a time, also where a document, or one without a key, fills several batches."""
+    from inklattice.operators.grouped import Packed, Part
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = spark.createDataFrame([(f"d{k}" if k else None, s, s % 2 == 1, float("nan") if s == 3 else float(s)) for k in range(4) for s in range(3 * k + 2)], "document_hash string, s long, odd boolean, x double")
+        rows = rows.withColumn("later", F.col("s") - 100).coalesce(1).sortWithinPartitions("document_hash", "s")
+        packed = Packed(rows, [Part(None, {"seq": "s", "x": "x"}, {"kind": "TEXT"}), Part("odd", {"seq": "later"}, {"kind": "LINE", "closed": True})])
+        run = lambda rows: [{"n": len(rows), "shown": ",".join(f"{r['kind'][0]}{r.get('x')}" for r in rows)}]
+        got = {r.document_hash: (r.n, r.shown) for r in per_document(packed, run, "document_hash string, n int, shown string, error string", ("kind", "x")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {k: n for k, (n, _) in got.items()} == {None: 3, "d1": 7, "d2": 12, "d3": 16}
+    assert got[None][1] == "LNone,T0.0,T1.0" and got["d1"][1] == "LNone,LNone,T0.0,T1.0,T2.0,TNone,T4.0"
+
+
+@tables
+@pytest.mark.parametrize("name", ["loops", "layouts"])
+def test_packed_entities_are_the_entities(spark, name):
+    made, schema = getattr(planted, name), "document_hash string, shown string, error string"
+    fields = ("kind", "x", "y", "text", "tag", "points", "closed", "cx", "cy", "radius", "ltype", "handle")
+    run = lambda rows: [{"shown": repr([[list(r[f]) if f == "points" and r.get(f) else r.get(f) for f in fields] for r in rows])}]
+    packed, plain = (per_document(made(spark, SF, how), run, schema, fields).toPandas().sort_values("document_hash", ignore_index=True) for how in (planted.packed, planted.entities))
+    assert len(packed) and packed.equals(plain)
+
+
+@tables
+@pytest.mark.parametrize("name", ["loop_topology", "loop_cable_types", "cabinet_regions", "cabinet_region_terminals", "layout_nodes"])
+def test_entities_reach_python_packed(spark, name):
+    """Neither made nor sorted one by one before they get there: rows are numbered once at most, where conductors get their marks."""
+    plan = physical(planted_queries.QUERIES[name](spark, SF)).split("MapInArrow")[1]
+    assert "row_number" not in plan.split("Window")[0] and plan.count("Window ") <= (name != "layout_nodes") and "explode(array" not in plan
