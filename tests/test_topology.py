@@ -111,3 +111,16 @@ def test_grouped(spark):
     (r,) = T.scan_topology(df).collect()
     assert (r.cable_id, r.terminal_no, r.terminal_no_remote, r.error) == ("ZL-307ZF", 1, "X2:1", None)
     assert T.scan_cabinet_regions(df).collect() == []
+
+
+def test_wire_of_a_core_is_looked_up_once(monkeypatch):
+    """Both sides start from one wire; a core without any near it has no terminals."""
+    from inklattice.operators import topology
+
+    asked, near = [], topology.Graph.wire_near
+    monkeypatch.setattr(topology.Graph, "wire_near", lambda self, *a, **k: asked.append(a) or near(self, *a, **k))
+    rows = [{"kind": "LINE", "points": [{"x": 100.0, "y": 0.0}, {"x": 300.0, "y": 0.0}]}]
+    rows += [{"kind": "CIRCLE", "cx": x, "cy": 0.0} for x in (100.0, 300.0)]
+    rows += [{"kind": "ATTRIB", "tag": tag, "x": x, "y": y, "text": t} for tag, x, y, t in (("NO", 97.0, 2.0, "X1:7"), ("ObjTerm.Name", 303.0, 2.0, "Y2:3"), ("WireSerial", 200.0, 2.0, "OR-1(1)"), ("WireSerial", 200.0, -500.0, "OR-1(2)"))]
+    got = {r["conductor_no"]: (r["strip_name"], r["terminal_no"], r["terminal_no_remote"]) for r in topology.loop_records(rows)}
+    assert got == {1: ("X1", 7, "Y2:3"), 2: (None, None, None)} and len(asked) == 2
