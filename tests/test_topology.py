@@ -124,3 +124,54 @@ def test_wire_of_a_core_is_looked_up_once(monkeypatch):
     rows += [{"kind": "ATTRIB", "tag": tag, "x": x, "y": y, "text": t} for tag, x, y, t in (("NO", 97.0, 2.0, "X1:7"), ("ObjTerm.Name", 303.0, 2.0, "Y2:3"), ("WireSerial", 200.0, 2.0, "OR-1(1)"), ("WireSerial", 200.0, -500.0, "OR-1(2)"))]
     got = {r["conductor_no"]: (r["strip_name"], r["terminal_no"], r["terminal_no_remote"]) for r in topology.loop_records(rows)}
     assert got == {1: ("X1", 7, "Y2:3"), 2: (None, None, None)} and len(asked) == 2
+
+
+def test_crowded_drawings_are_looked_at_near_their_texts_only(monkeypatch):
+    """Wires, names and terminals are as a look at everything gives them, without that look."""
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(1)
+    place = lambda: (rng.randrange(-960, 960) / 16, rng.randrange(-960, 960) / 16)
+    rows = []
+    for k in range(1200):
+        x, y = place()
+        rows += [line((x, y), (x + 5 + k % 7, y), (x + 5 + k % 7, y + 4), ltype=None), text(f"{k % 12}D", *place())]
+        if k % 40 == 0:
+            rows += [line((x, y), (x + 9, y), (x + 9, y + 9), (x, y + 9), (x, y), ltype="DASHED"), attrib("WireSerial", f"ZL-{k}(1)", *place())]
+    graph, seen = T.Graph(rows), []
+
+    class Seen(list):
+        def __getitem__(self, k):
+            seen.append(k)
+            return list.__getitem__(self, k)
+
+    every = list(graph.levels.things)
+    graph.levels.things = Seen(every)
+    asked = [place() for _ in range(50)]
+    for x, y in asked:
+        for tags in (None, [(x + 3, y), (x - 30, y + 9)]):
+            cost = lambda s: abs(s[0] - y) + 0.1 * max(s[1] - x, x - s[2], 0.0) - (3 if any(s[1] <= tx <= s[2] and abs(ty - s[0]) < 40 for tx, ty in tags or ()) else 0)  # noqa: B023, E731
+            best = min((s for s in every if abs(s[0] - y) <= 30), key=cost)
+            a, b = best[3:]
+            assert graph.wire_near(x, y, tags=tags) == min(a, b, key=lambda n: (T.hypot(graph.at[n][0] - x, graph.at[n][1] - y), n != a))  # noqa: B023
+    assert len(seen) < 100 * len(every) / 8
+
+    held: list[str] = []
+    pattern = T.SHORT
+    monkeypatch.setattr(T, "SHORT", SimpleNamespace(match=lambda t: held.append(t) or pattern.match(t)))
+    regions, words = T.cabinet_regions(rows), T.words_of(rows)
+    assert len(regions) == 30 and len(held) == len(words)
+    for r in regions:
+        top, middle, high, off, name = r["y"] + r["h"], r["x"] + r["w"] / 2, 1e9, 1e9, ""
+        for x, y, t in words:
+            dy, dx = y - top, abs(x - middle)
+            if r["x"] - 50 <= x <= r["x"] + r["w"] + 80 and 0 < dy <= 60 and pattern.match(t) and (dy < high - 3 or (abs(dy - high) <= 3 and dx < off)):
+                high, off, name = dy, dx, t
+        assert r["name"] == name
+
+    # No circle, or none with a terminal: no core's wire is followed to look for one.
+    monkeypatch.setattr(T.Graph, "reach", lambda *_: 1 / 0)
+    assert len(T.loop_records(rows, regions)) == 30
+    ring = T.Graph([line((0, 0), (9, 0)), line((9, 0), (20, 0)), line((50, 0), (60, 0)), circle(20, 0)])
+    assert [len(ring.circles_joined(n)) for n in range(len(ring.at))] == [1, 1, 1, 0, 0, 1]
