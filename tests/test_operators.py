@@ -173,6 +173,30 @@ def test_relations(spark):
     assert {r.node_id for r in spatial.nodes_meeting(df, 5, 5, 10, 10).collect()} == {"r", "a"} and {r.node_id for r in spatial.nodes_near(df, 5, 5, 1).collect()} == {"a"}
 
 
+def test_large_cabinets_have_all_device_relations(spark):
+    """Cabinets of over 2,000 pairs of devices had none."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    devices = [(r, f"{r}{k}", k, float(draw.randrange(-900, 900)) / 2, float(draw.randrange(-900, 900)) / 2, 10.0, float(draw.choice([6, 8]))) for r, n in (("p", 150), ("q", 70), ("s", 40)) for k in range(n)]
+    devices += [("p", "pn", 900, math.nan, 0.0, 10.0, 8.0), ("p", "pi", 901, math.inf, 0.0, 10.0, 8.0), ("p", "pj", 902, 2e19, 8.0, 10.0, 8.0)]
+    want = []
+    for i, (r, a, ka, ax, ay, aw, ah) in enumerate(devices):
+        for r2, b, kb, bx, by, bw, bh in devices[i + 1 :]:
+            dx, dy = abs(ax + aw / 2 - bx - bw / 2), abs(ay + ah / 2 - by - bh / 2)
+            if r == r2:
+                kind = "ALIGNED_VERT" if dx <= 8 else "ALIGNED_HORZ" if dy <= 8 else "NEAR" if math.hypot(dx, dy) <= 40 else None
+                if kind:
+                    gap = max(dy - (ah + bh) / 2, 0.0) if dx <= 8 else max(dx - (aw + bw) / 2, 0.0) if dy <= 8 else math.hypot(dx, dy)
+                    want.append((a, b, kind, round(gap, 1)))
+    df = spark.createDataFrame([("d", d[1], "r", d[0], d[2], "DEVICE", *d[3:]) for d in devices], "document_hash string, node_id string, parent_id string, root_id string, ord int, type string, x double, y double, w double, h double")
+    got = [(r.source, r.target, r.relation, r.distance) for r in spatial.device_relations(df).collect()]
+    assert len(got) == len(want) and {g[:3] for g in got} == {w[:3] for w in want} and {w[2] for w in want} == {"ALIGNED_VERT", "ALIGNED_HORZ", "NEAR"}
+    far = {w[:3]: w[3] for w in want}
+    assert all(abs(g[3] - far[g[:3]]) < 0.11 for g in got if not {g[0], g[1]} & {"pn", "pi", "pj"})
+
+
 def test_scan_keeps_errors_apart(spark):
     from inklattice.operators import scan
 
