@@ -143,3 +143,33 @@ def test_entities_reach_python_packed(spark, name):
     """Neither made nor sorted one by one before they get there: rows are numbered once at most, where conductors get their marks."""
     plan = physical(planted_queries.QUERIES[name](spark, SF)).split("MapInArrow")[1]
     assert "row_number" not in plan.split("Window")[0] and plan.count("Window ") <= (name != "layout_nodes") and "explode(array" not in plan
+
+
+@tables
+def test_classed_entities_reach_python_packed(spark):
+    """They were made one by one, dealt again and sorted again for their classes and their order."""
+    plan = physical(planted_queries.classed_topology(spark, SF)).split("MapInArrow")[1]
+    assert "explode(array" not in plan and plan.count("Window ") == 3
+
+
+@tables
+@pytest.mark.parametrize("name", ["strips", "schedules"])
+def test_packed_strips_and_schedules_are_the_entities(spark, name):
+    made, schema = getattr(planted, name), "document_hash string, shown string, error string"
+    fields = ("kind", "x", "y", "text", "tag", "points", "eed")
+    run = lambda rows: [{"shown": repr([[list(r[f]) if f == "points" and r.get(f) else r.get(f) for f in fields] for r in rows])}]
+    packed, plain = (per_document(made(spark, SF, how), run, schema, fields).toPandas().sort_values("document_hash", ignore_index=True) for how in (planted.packed, planted.entities))
+    assert len(packed) and packed.equals(plain)
+
+
+def test_packed_tables_together(spark):
+    """Documents of two kinds, also in one partition, each with its own fields and what its rows tell."""
+    from inklattice.operators.grouped import Packed, Part, together
+
+    one = Packed(spark.sql("SELECT * FROM VALUES ('a', 2L, 'x'), ('a', 1L, 'y'), ('b', 1L, NULL) t(document_hash, s, t)").selectExpr("document_hash", "'A' AS told", "s", "t").coalesce(1), [Part(None, {"seq": "s", "text": "t"}, {"kind": "TEXT"})], None, ("told",))
+    two = Packed(spark.sql("SELECT * FROM VALUES ('c', 5.0D, true), ('c', 6.0D, false), ('d', 7.0D, false) t(document_hash, r, w)").selectExpr("document_hash", "'C' AS told", "r", "w").coalesce(1), [Part("w", {"cx": "r"}, {"kind": "CIRCLE", "seq": 3})], None, ("told",))
+    both = together({"one": one, "two": two})
+    run = lambda rows: [{"shown": repr([(r["kind"], r.get("text"), r.get("cx")) for r in rows]) + rows[0]["told"]}]
+    want = {"a": "[('TEXT', 'y', None), ('TEXT', 'x', None)]A", "b": "[('TEXT', None, None)]A", "c": "[('CIRCLE', None, 5.0)]C"}
+    for p in (both, both._replace(rows=both.rows.coalesce(1))):
+        assert {r.document_hash: r.shown for r in per_document(p, run, "document_hash string, shown string, error string").collect()} == want
